@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from galley.llm import exact_dedup, mixing, packing, tokens
+from galley.llm import exact_dedup, mixing, near_dedup, packing, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_minhash_near_dedup": near_dedup.query,
     "op3_token_counts": tokens.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_pack_sequences": packing.query,
@@ -13,5 +14,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
+    "op2_minhash_near_dedup": near_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
 }
