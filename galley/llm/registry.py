@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from galley.llm import exact_dedup, mixing, near_dedup, packing, tokens
+from galley.llm import exact_dedup, mixing, near_dedup, packing, quality, tokens, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_minhash_near_dedup": near_dedup.query,
     "op3_token_counts": tokens.query,
+    "op4_toxicity": toxicity.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_pack_sequences": packing.query,
+    "op10_quality_rules": quality.query,
 }
 
 ORACLES = {
