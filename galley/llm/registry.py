@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from galley.llm import exact_dedup, mixing, near_dedup, packing, quality, tokens, toxicity
+from galley.llm import chat, exact_dedup, html_text, mixing, near_dedup, nearest, packing, quality, tokens, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_minhash_near_dedup": near_dedup.query,
     "op3_token_counts": tokens.query,
     "op4_toxicity": toxicity.query,
+    "op5_nearest_neighbours": nearest.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_pack_sequences": packing.query,
+    "op8_html_text": html_text.query,
+    "op9_chat_format": chat.query,
     "op10_quality_rules": quality.query,
 }
 
