@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("s1_snapshots",)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "s1_topic_table"
+
+for _name in MODULES:
+    _module = import_module(f"galley.plans.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
