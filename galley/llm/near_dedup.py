@@ -10,9 +10,10 @@ What keeps it bounded:
 * Documents with equal sets form a class; only its smallest doc_id goes on.
 * A key of A that one class alone has can't give a table hit, so B is combined only with A keys that
   collide.
+* Of buckets with the same members one goes on.
 * A bucket never yields all its pairs. Its members are first compared with one leader, then, where the
-  bucket still holds several components, with another. Only components matter, so a bucket inside one
-  component is done. What is left is compared in blocks of at most about ``BLOCK`` members, components
+  bucket still holds several components, with up to ``LEADERS`` others, each of which then leaves it. Only
+  components matter, so a bucket inside one component is done. What is left is compared in blocks of at most about ``BLOCK`` members, components
   against each other, by an exact count of common shingles in each pair of blocks. Nothing is capped.
 """
 
@@ -31,6 +32,8 @@ ROWS = 3
 #: Chance that a pair exactly at the threshold meets in no key of A (or of B).
 MISS = 2e-4
 BLOCK = 256
+#: Leaders that a bucket's members are compared with, after the first, before blocks are.
+LEADERS = 4
 SHINGLE = 5
 PERCENT = 80
 
@@ -247,7 +250,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     one = _colliding(reps.select("rep", F.posexplode("a").alias("i", "x")), ["i", "x"])
     two = one.join(reps.select("rep", "n", "b"), "rep").select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y"))
     tables = two.select("rep", "n", F.xxhash64("i", "x", "j", "y").alias("key")).distinct()
-    buckets = scratch.write(_colliding(tables, ["key"]))
+    buckets = scratch.write(_distinct_buckets(scratch.write(_colliding(tables, ["key"]))))
     alive = scratch.write(buckets.select("rep").distinct())
     n_alive = alive.count()
     labels = None
@@ -263,20 +266,32 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def _distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """One bucket of those with the same members: alike documents meet in many tables."""
+    print_of = lambda seed: F.bit_xor(F.xxhash64("rep", F.lit(seed)))
+    members = buckets.groupBy("key").agg(print_of(1).alias("p1"), print_of(2).alias("p2"), F.count("*").alias("size"))
+    return buckets.join(members.groupBy("p1", "p2", "size").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """node, label over the confirmed links of all buckets."""
+    """node, label over the confirmed links of all buckets (key, rep, n)."""
     labels = alive.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
-    for step in range(3):
+    for step in range(LEADERS + 2):
         here = buckets.join(labels.withColumnRenamed("node", "rep"), "rep")
-        if step < 2:
+        rest = None
+        if step <= LEADERS:
             rank = F.xxhash64("rep", F.lit(step)) if step else F.col("rep")
             leaders = here.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min_by("rep", rank).alias("u"), F.min_by("label", rank).alias("u_label"), F.min_by("n", rank).alias("u_n"))
-            mixed = leaders.filter("_a < _b").select("key", "u", "u_label", "u_n")
+            mixed = scratch.write(leaders.filter("_a < _b").select("key", "u", "u_label", "u_n"))
+            if mixed.limit(1).count() == 0:
+                break
             near = here.join(mixed, "key").filter("label <> u_label").filter(100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
-            if step == 0:  # one leader a member joins most groups; others are tried after that
+            if step == 0:  # one leader a member joins most groups
                 pairs = near.groupBy(F.col("rep").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
             else:
                 pairs = near.select("u", F.col("rep").alias("v")).distinct()
+                # a leader that has been compared with its whole bucket is done there
+                rest = scratch.write(buckets.join(mixed.select("key", "u"), "key").filter("rep <> u").drop("u"))
             links = scratch.write(confirm(pairs, sets, percent))
         else:
             sizes = here.groupBy("key", "label").agg(F.count("*").alias("size"))
@@ -285,6 +300,9 @@ def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, percent: int, s
             if mixed.limit(1).count() == 0:
                 break
             links = scratch.write(_blocks(here, mixed, sets, percent))
+        buckets = buckets if rest is None else rest
+        if links.limit(1).count() == 0:
+            continue
         old = labels
         name = lambda end: old.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
         between = links.join(name("u"), "u").join(name("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
