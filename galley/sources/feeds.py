@@ -54,7 +54,7 @@ def scraped_links(pages: DataFrame, prefix: str, shortest: int = 5, back: int =
     The lines of an anchor's text are its title, then its summary; the date is one in the text, else the last in the
     ``back`` characters before the anchor.
     """
-    pattern = rf"(?s)(.{{0,{back}}})<a\s[^>]*href=[\"']({re.escape(prefix)}[^\"'#?]+)[^>]*>(.*?)</a>"
+    pattern = rf"(?s)(.{{0,{back}}}?)<a\s[^>]*href=[\"']({re.escape(prefix)}[^\"'#?]+)[^>]*>(.*?)</a>"
     hits = F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
     rows = pages.select("url", F.posexplode(hits).alias("place", "x"))
     part = lambda k: F.regexp_extract("x", pattern, k)
@@ -186,12 +186,7 @@ def tolerant_json(raw: str | None) -> str | None:
 
 def parsed_answers(answers: DataFrame, schema: str, column: str = "raw") -> DataFrame:
     """``answers`` with json (clean text, null where there is none) and value (of ``schema``)."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def clean(raw: pd.Series) -> pd.Series:
-        return raw.map(tolerant_json)
-
+    clean = F.pandas_udf(lambda raw: raw.map(tolerant_json), "string", F.PandasUDFType.SCALAR)
     return answers.withColumn("json", clean(F.col(column))).withColumn("value", F.from_json("json", schema))
 
 
