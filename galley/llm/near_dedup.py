@@ -12,7 +12,7 @@ What keeps it bounded:
   collide.
 * Of buckets with the same members one goes on.
 * A bucket never yields all its pairs. Its members are first compared with one leader, then, where the
-  bucket still holds several components, with up to ``LEADERS`` others, each of which then leaves it. Only
+  bucket still holds several components, with the few leaders of each further round, which then leave it. Only
   components matter, so a bucket inside one component is done. What is left is compared in blocks of at most about ``BLOCK`` members, components
   against each other, by an exact count of common shingles in each pair of blocks. Nothing is capped.
 """
@@ -23,6 +23,7 @@ import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.llm.common import Scratch, small_broadcast
@@ -32,8 +33,8 @@ ROWS = 3
 #: Chance that a pair exactly at the threshold meets in no key of A (or of B).
 MISS = 2e-4
 BLOCK = 256
-#: Leaders that a bucket's members are compared with, after the first, before blocks are.
-LEADERS = 4
+#: Leaders that a bucket's members are compared with, round by round, before blocks are.
+LEADERS = (1, 1, 16)
 SHINGLE = 5
 PERCENT = 80
 
@@ -47,42 +48,81 @@ def collection_size(percent: int) -> int:
     return 1 if p >= 1 else math.ceil(math.log(MISS) / math.log(1 - p))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+class _Tables:
+    """Random values of bytes, odd powers by the place in a word, and which bytes are white space."""
+
+    def __init__(self) -> None:
+        import numpy as np
+
+        self.value = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.inside = np.ones(256, bool)
+        self.inside[[9, 10, 11, 12, 13, 32]] = False
+        self.power = self.powers(4096)
 
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    @staticmethod
+    def powers(n: int):
+        import numpy as np
+
+        p = np.full(n, _ODD[0], np.uint64)
+        p[0] = 1
+        return np.multiply.accumulate(p)
 
 
-_hashes = _WordHash()
+_tables: list[_Tables] = []
+
+
+def word_hashes(text: str | None):
+    """64-bit hashes of the words of a text, in order, A-Z in lower case; all characters at once."""
+    import numpy as np
+
+    if not _tables:
+        _tables.append(_Tables())
+    t = _tables[0]
+    chars = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
+    inside = t.inside[chars]
+    if not inside.any():
+        return np.empty(0, np.uint64)
+    turns = np.empty(len(chars) + 1, bool)
+    turns[0], turns[-1] = inside[0], inside[-1]
+    np.not_equal(inside[1:], inside[:-1], out=turns[1:-1])
+    edges = np.flatnonzero(turns)
+    size = edges[1::2] - edges[0::2]
+    first = np.cumsum(size) - size
+    chars = chars[inside]
+    place = np.arange(len(chars)) - np.repeat(first, size)
+    if (most := int(size.max())) > len(t.power):
+        t.power = t.powers(2 * most)
+    h = np.add.reduceat(t.value[chars] * t.power[place], first) + size.astype(np.uint64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_ODD[1])
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def shingle_set(text: str | None, k: int):
     """Sorted distinct 64-bit hashes of the ``k``-word shingles; one for a shorter text; none without words."""
     import numpy as np
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - k + 1)
-    s = np.full(n, np.uint64(min(len(words), k)))
-    for j in range(min(k, len(words))):
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    n = max(1, len(h) - k + 1)
+    s = np.full(n, np.uint64(min(len(h), k)))
+    for j in range(min(k, len(h))):
         s = (s ^ h[j : j + n]) * np.uint64(_ODD[j % len(_ODD)] + 2 * (j // len(_ODD)))
         s ^= s >> np.uint64(29)
     s *= np.uint64(0xBF58476D1CE4E5B9)
     s ^= s >> np.uint64(32)
-    return np.unique(s)
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def _functions(m: int):
+    """Multipliers and addends of linear permutations of 32-bit integers."""
     import numpy as np
 
     rng = np.random.default_rng(20240229)
-    pick = lambda: rng.integers(0, 2**63, size=(2 * m * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    pick = lambda: rng.integers(0, 2**31, size=(2 * m * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     return pick(), pick()
 
 
@@ -91,9 +131,15 @@ def collections_of(s, m: int, functions):
     import numpy as np
 
     a, b = functions
-    least = np.full(2 * m * ROWS, np.uint64(2**64 - 1))
-    for at in range(0, len(s), 4096):
-        least = np.minimum(least, (s[None, at : at + 4096] * a + b).min(axis=1))
+    top = (s >> np.uint64(32)).astype(np.uint32)  # half of a hash ranks well enough
+    least = np.full(2 * m * ROWS, np.uint32(2**32 - 1))
+    held = np.empty((2 * m * ROWS, min(1024, len(top))), np.uint32)
+    for at in range(0, len(top), 1024):
+        part = top[None, at : at + 1024]
+        now = held[:, : part.shape[1]]
+        np.multiply(part, a, out=now)
+        now += b
+        np.minimum(least, now.min(axis=1), out=least)
     key = np.zeros(2 * m, np.uint64)
     for r in range(ROWS):
         key = (key ^ least[r :: ROWS]) * np.uint64(_ODD[r])
@@ -243,7 +289,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     m = collection_size(percent)
     signed = scratch.write(signatures(docs, k, m))
     classes = signed.filter("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    member = signed.join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), "a", "b")
+    member = signed.join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("rep")), "doc_id").alias("rep"), "a", "b")
     member = scratch.write(member)
     scratch.drop(signed)
     reps = member.filter("doc_id = rep and n > 0")
@@ -276,22 +322,24 @@ def _distinct_buckets(buckets: DataFrame) -> DataFrame:
 def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """node, label over the confirmed links of all buckets (key, rep, n)."""
     labels = alive.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
-    for step in range(LEADERS + 2):
+    for step in range(len(LEADERS) + 1):
         here = buckets.join(labels.withColumnRenamed("node", "rep"), "rep")
         rest = None
-        if step <= LEADERS:
-            rank = F.xxhash64("rep", F.lit(step)) if step else F.col("rep")
-            leaders = here.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min_by("rep", rank).alias("u"), F.min_by("label", rank).alias("u_label"), F.min_by("n", rank).alias("u_n"))
-            mixed = scratch.write(leaders.filter("_a < _b").select("key", "u", "u_label", "u_n"))
-            if mixed.limit(1).count() == 0:
+        if step < len(LEADERS):
+            mixed = here.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a < _b").select("key")
+            here = scratch.write(here.join(mixed, "key"))
+            if here.limit(1).count() == 0:
                 break
-            near = here.join(mixed, "key").filter("label <> u_label").filter(100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
+            rank = F.xxhash64("rep", F.lit(step)) if step else F.col("rep")
+            first = F.row_number().over(W.partitionBy("key").orderBy(rank, "rep"))
+            lead = here.withColumn("_r", first).filter(F.col("_r") <= LEADERS[step]).select("key", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"))
+            near = here.join(lead, "key").filter("label <> u_label").filter(100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
             if step == 0:  # one leader a member joins most groups
                 pairs = near.groupBy(F.col("rep").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
             else:
-                pairs = near.select("u", F.col("rep").alias("v")).distinct()
-                # a leader that has been compared with its whole bucket is done there
-                rest = scratch.write(buckets.join(mixed.select("key", "u"), "key").filter("rep <> u").drop("u"))
+                pairs = near.select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
+                # leaders that have been compared with their whole bucket are done there
+                rest = scratch.write(here.join(lead.select("key", F.col("u").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n"))
             links = scratch.write(confirm(pairs, sets, percent))
         else:
             sizes = here.groupBy("key", "label").agg(F.count("*").alias("size"))
