@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from galley.llm.common import word_count
+from galley.llm.common import Scratch, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -71,7 +71,9 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     sources form one source. Rows that repeat a doc_id count as documents of their own. An empty table
     gives an empty result. Other columns are ignored.
     """
-    rows = docs.select("doc_id", "source", word_count("text").alias("size")).withColumn("class", _size_class(F.col("size"))).withColumn("bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2))
+    # the texts are read once; all that follows is on the sizes
+    sized = Scratch(docs.sparkSession, "mix").write(docs.select("doc_id", "source", word_count("text").alias("size")))
+    rows = sized.withColumn("class", _size_class(F.col("size"))).withColumn("bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2))
     cells = rows.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("cell_size"))
     classes = rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("class_size"))
     sizes = classes.groupBy("source").agg(F.sum("class_size").alias("source_size"))
