@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -29,11 +30,12 @@ OVERLAP = 256
 #: Longer than a contraction, a multi-part lookahead or a special string (13 characters).
 MARGIN = 24
 #: Pieces that a Python worker keeps.
-CACHE = 300_000
+CACHE = 600_000
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: A space next to other white space, or to the separators that libraries class differently.
 _ODD_SPACE = re.compile(r"\s | \s")
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD_CHAR = re.compile("[^\x00-ɏ]|[\x1c-\x1f\x85\xa0]")
 
 
@@ -63,13 +65,23 @@ class Encoder:
         self.plain = _Cache(self, "")
 
     def piece(self, text: str) -> bytes:
-        import numpy as np
-
+        if self.quick is not None and len(text) < 1000:
+            if "\n" in text and all(lines := text.split("\n")):
+                # one line break between other signs is a pre-token of its own
+                head = self.spaced[lines[0][1:]] if text[0] == " " and len(lines[0]) > 1 else self.plain[lines[0]]
+                return head + b"".join(self.plain["\n"] + self.plain[x] for x in lines[1:])
+            end = text.rstrip(_SIGNS)
+            if end.removeprefix(" ").isalpha() and (end.isascii() or not _ODD_CHAR.search(end)):
+                # letters are one pre-token, and the signs behind them another
+                if len(end) < len(text):
+                    head = self.spaced[end[1:]] if end[0] == " " else self.plain[end]
+                    return head + self.plain[text[len(end) :]]
+                return array("I", self.quick._core_bpe.encode_single_piece(end.encode())).tobytes()
         if self.quick is not None and len(text) < 1000 and not _ODD_CHAR.search(text) and not any(s in text for s in self.specials):
             ids = self.quick.encode_ordinary(text)
         else:
             ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
