@@ -37,6 +37,8 @@ _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s | \s")
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD_CHAR = re.compile("[^\x00-ɏ]|[\x1c-\x1f\x85\xa0]")
+#: A line break whose run of white space goes on, so that it is no pre-token of its own.
+_JOINED_BREAK = re.compile(r"\n\s(?:\s|\Z)|\s\n\s")
 
 
 class Encoder:
@@ -66,8 +68,9 @@ class Encoder:
 
     def piece(self, text: str) -> bytes:
         if self.quick is not None and len(text) < 1000:
-            if "\n" in text and all(lines := text.split("\n")):
-                # one line break between other signs is a pre-token of its own
+            if "\n" in text and all(lines := text.split("\n")) and not _JOINED_BREAK.search(text) and not any(s in text for s in self.specials):
+                # white space gives its last sign to what follows, so a line break is a pre-token of its own
+                # where it is that last one, or where it stands first and just one white space follows
                 head = self.spaced[lines[0][1:]] if text[0] == " " and len(lines[0]) > 1 else self.plain[lines[0]]
                 return head + b"".join(self.plain["\n"] + self.plain[x] for x in lines[1:])
             end = text.rstrip(_SIGNS)

@@ -36,6 +36,12 @@ def test_chunks_splice_exactly(chunk):
         assert unpack(encode(text)) == ids(text), repr(text)[:200]
 
 
+def test_line_breaks_inside_a_run_of_white_space():
+    encode = tokens.Encoder()
+    for text in ["foo\n\xa0\xa0bar", "foo\n\xa0 bar", "foo \n\xa0bar", "foo\n\xa0", "foo\n\xa0<|endoftext|>", "foo\n\xa0bar", "foo\n bar", "foo\r\nbar"]:
+        assert unpack(encode(text)) == ids(text), repr(text)
+
+
 def test_counts(docs):
     rows = [(1, None), (2, ""), (3, "hello <|endoftext|> é"), (3, "hello"), (4, "tok " * 2000), (5, "word" * 40_000)]
     got = sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.token_counts(docs(rows)).collect())
