@@ -66,7 +66,10 @@ def parse(source: str) -> tuple[Node, list[str]]:
     while True:
         m = _TOKEN.search(source, at)
         if text := source[at : m.start() if m else len(source)]:
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            text = html.unescape(text) if "&" in text else text
+            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                _leave_head(stack)
+            stack[-1].children.append(text)
         if not m:
             return root, styles
         at = m.end()
@@ -77,6 +80,8 @@ def parse(source: str) -> tuple[Node, list[str]]:
             _end(stack, tag)
             continue
         if tag in ("html", "body"):
+            if tag == "body":
+                _leave_head(stack)
             if m[3]:
                 (root if tag == "html" else stack[-1]).attrs += m[3] if tag == "html" or len(stack) == 1 else ""
             continue
@@ -97,10 +102,16 @@ def parse(source: str) -> tuple[Node, list[str]]:
         stack.append(node)
 
 
+def _leave_head(stack: list[Node]) -> None:
+    """Ends a head that nothing has closed."""
+    while len(stack) > 1 and stack[-1].tag == "head":
+        stack.pop()
+
+
 def _make_way(stack: list[Node], tag: str) -> None:
     """Ends what ``tag`` ends by implication, and opens what it implies."""
-    if len(stack) > 1 and stack[-1].tag == "head" and tag not in UNSEEN:
-        stack.pop()
+    if tag not in UNSEEN:
+        _leave_head(stack)
     if tag in ENDS_P:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == "p":

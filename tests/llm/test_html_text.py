@@ -37,6 +37,24 @@ CASES = [
 ]
 
 
+OPEN_HEAD = [
+    ("<head><title>T</title><body>Hello <b>x</b>", "Hello x"),
+    ("<html><head><title>T</title>\n<body>all the text", "all the text"),
+    ("<head><title>T</title><meta charset=u>\n Hello", "Hello"),
+    ("<head><title>T</title>&lt;a&gt; <i>b</i>", "<a> b"),
+    ("<head><head>Hello", "Hello"),
+    ("<p>a<head>b", "ab"),
+    ("<head><title>T</title><style>.h{display:none}</style> <body><p class=h>no<p>yes", "yes"),
+    ("<head><noscript>no</noscript><script>no</script> <link><body hidden>no", ""),
+    ("<head><title>T</title></head>a<p>b", "a\n\nb"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), OPEN_HEAD)
+def test_head_without_an_end(source, text):
+    assert page_text(source) == text
+
+
 @pytest.mark.parametrize(("source", "text"), CASES)
 def test_cases(source, text):
     assert page_text(source) == text
