@@ -72,8 +72,18 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     gives an empty result. Other columns are ignored.
     """
     # the texts are read once; all that follows is on the sizes
-    sized = Scratch(docs.sparkSession, "mix").write(docs.select("doc_id", "source", word_count("text").alias("size")))
-    rows = sized.withColumn("class", _size_class(F.col("size"))).withColumn("bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2))
+    sized = Scratch(docs.sparkSession, "mix").write(docs.select(*_sizes()))
+    return _drawn(sized, weights, max_repeats, draws, []).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def _sizes() -> list[Column]:
+    """What sampling reads of a row. The text's hash orders rows that share a doc_id, and deals out those without one."""
+    return [F.col("doc_id"), F.col("source"), word_count("text").alias("size"), F.xxhash64("text").alias("text_hash")]
+
+
+def _drawn(sized: DataFrame, weights: tuple[int, ...], max_repeats: int, draws: int, more: list[str]) -> DataFrame:
+    """The rows of ``sized`` with source_size, target and copies; columns ``more`` break the last ties."""
+    rows = sized.withColumn("class", _size_class(F.col("size"))).withColumn("bucket", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text_hash").cast("string")).cast("binary")), 1, 2))
     cells = rows.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("cell_size"))
     classes = rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("class_size"))
     sizes = classes.groupBy("source").agg(F.sum("class_size").alias("source_size"))
@@ -84,8 +94,8 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     before_cell = F.sum("n").over(W.partitionBy("source", "class").orderBy("bucket")) - F.col("n")
     starts = cells.select("source", "class", "bucket", before_cell.alias("cell_start"))
     starts = starts.alias("c").join(classes.alias("k"), F.expr("c.source <=> k.source AND c.class = k.class")).select("c.source", "c.class", "bucket", (F.col("cell_start") + F.col("class_start")).alias("start"), "source_size", "target", "rate")
-    placed = rows.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source AND r.class = s.class AND r.bucket = s.bucket")).select("doc_id", "r.source", "size", "r.class", "r.bucket", "start", "source_size", "target", "rate")
-    within = W.partitionBy("source", "class", "bucket").orderBy("size", F.col("doc_id").asc_nulls_last())
+    placed = rows.alias("r").join(starts.alias("s"), F.expr("r.source <=> s.source AND r.class = s.class AND r.bucket = s.bucket")).select("doc_id", "r.source", "size", "text_hash", *more, "r.class", "r.bucket", "start", "source_size", "target", "rate")
+    within = W.partitionBy("source", "class", "bucket").orderBy("size", F.col("doc_id").asc_nulls_last(), "text_hash", *more)
     placed = placed.withColumn("k", F.col("start") + F.row_number().over(within))
 
     def crossed(u: Column) -> Column:
@@ -99,17 +109,20 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     chosen = chosen.select("source", _offset(F.col("draw")).alias("offset"))
     # one row a source: broadcast by Spark itself where it is below the session's threshold
     out = placed.alias("p").join(chosen.alias("o"), F.expr("p.source <=> o.source"))
-    return out.select("doc_id", "p.source", "size", "source_size", "target", crossed(F.col("offset")).alias("copies"))
+    return out.select("doc_id", "p.source", "size", *more, "source_size", "target", crossed(F.col("offset")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The documents of the mix, each as many times as it was drawn, with the columns of ``docs``."""
-    drawn = copies(docs, weights, max_repeats).filter(F.col("copies") > 0).select("doc_id", F.col("copies").alias("_copies"))
-    # rows that share a doc_id share their texts' fate: the drawn copies of an id are spread over its first row
-    drawn = drawn.groupBy("doc_id").agg(F.sum("_copies").alias("_copies"))
-    first = docs.withColumn("_row", F.row_number().over(W.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])))
-    picked = first.filter("_row = 1").alias("d").join(drawn.alias("c"), F.expr("d.doc_id <=> c.doc_id"))
-    return picked.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    """The documents of the mix, each as many times as it was drawn, with the columns of ``docs``.
+
+    Every row is drawn for itself, at most ``max_repeats`` times, whether its doc_id is null, repeated or its own.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    # a row's key is written with it, so that both sides of the join see the same; the hash makes draws repeatable
+    keyed = scratch.write(docs.select(*_sizes(), F.xxhash64(*docs.columns).alias("row_hash"), F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")))
+    drawn = _drawn(keyed.drop("row"), weights, max_repeats, DRAWS, ["row_hash", "key"]).filter(F.col("copies") > 0).select("key", "copies")
+    picked = keyed.select("key", "row").join(drawn, "key")
+    return picked.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def query(spark, sf_dir):

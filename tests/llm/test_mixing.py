@@ -59,6 +59,28 @@ def test_mix_repeats_whole_rows(docs):
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: v for k, v in drawn.items() if v})
 
 
+def test_mix_draws_null_and_repeated_ids_row_by_row(docs):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{i} {text}", source) for i, text, source in texts(300)]
+    rows += [(None, "twin twin", "b")] * 2
+    out = mixing.mix(docs(rows)).collect()
+    there, got = Counter(rows), Counter((r.doc_id, r.text, r.source) for r in out)
+    assert set(got) <= set(there)
+    assert all(n <= 3 * there[k] for k, n in got.items())
+    drawn = Counter()
+    for r in mixing.copies(docs(rows)).collect():
+        drawn[r.doc_id, r.source, r["size"]] += r.copies
+    assert +drawn == Counter((r.doc_id, r.source, len(WORD.findall(r.text))) for r in out)
+    sizes, taken = Counter(), Counter()
+    for _, text, source in rows:
+        sizes[source] += len(WORD.findall(text))
+    for r in out:
+        taken[r.source] += len(WORD.findall(r.text))
+    for source, target in targets(sizes).items():
+        assert abs(taken[source] - target) <= max(63, 0.05 * target), source
+    again = mixing.mix(docs(rows).repartition(7)).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in again) == got
+
+
 def test_empty_and_one_row(docs):
     assert mixing.copies(docs([])).collect() == []
     assert mixing.mix(docs([])).collect() == []
