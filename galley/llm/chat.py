@@ -7,8 +7,10 @@ and a limited history. The system turn opens every window; the turns before a sp
 to ``history`` tokens; the loss mask covers the texts of assistant turns in the window where they are
 new, and never where they are repeated.
 
-A conversation is cut in parts of ``PART`` turn numbers. Spans are chosen part by part, and a part brings
-the history before it, so that a conversation with a third of all rows is the work of many tasks.
+A conversation is cut in parts of ``PART`` rows, by their position in it: all rows are sorted by ranges of
+(conversation, turn, role, text), numbered range by range, and the counts of earlier ranges are added. Spans
+are chosen part by part, and a part gets the history before it from as many parts as that reaches back, so
+that a conversation with a third of all rows is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from galley.llm.common import Scratch
 BUDGET = 2048
 HISTORY = 512
 PART = 256
+#: Signs of a text that ranges are cut by; equal rows up to that length may fall in several ranges.
+LEADING = 256
 #: Control strings of the template (fixed values).
 OPEN, CLOSE = "<s>", "</s>"
 USER, USER_END = "[INST]", "[/INST]"
@@ -109,36 +113,61 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
             n = pa.array([len(encode(t)) // 4 for t in batch.column("shown").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n], names=[*batch.schema.names, "n"])
 
-    rows = turns.select("conv_id", "turn", "role", F.col("text"), rendered(F.col("role"), F.col("text")).alias("shown"))
-    rows = rows.mapInArrow(counted, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role {kinds['role']}, text string, shown string, n long")
-    part = F.coalesce(F.floor(F.col("turn") / PART).cast("long"), F.lit(2**62))
-    rows = scratch.write(rows.withColumn("part", part))
-    order = [F.col("turn").isNull(), "turn", F.col("role").isNull(), "role", F.col("text").isNull(), "text"]
-    key = F.struct(*[F.col(c) if isinstance(c, str) else c.alias(f"n{i}") for i, c in enumerate(order)])
-    whole = rows.groupBy("conv_id").agg(F.min_by(F.struct("role", "shown", "n"), key).alias("first"), F.min("part").alias("first_part"))
-    system = whole.filter("first.role = 'system'").select(F.col("conv_id").alias("conv"), "first", "first_part")
-    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("rows"))
-    parts = parts.withColumn("next", F.lead("part").over(W.partitionBy("conv_id").orderBy("part")))
-    opening = parts.join(system, F.col("conv_id").eqNullSafe(F.col("conv"))).filter("part > first_part")
-    none = lambda kind: F.lit(None).cast(kind)
-    opening = opening.select("conv_id", "part", F.lit(0).alias("kind"), none(kinds["turn"]).alias("turn"), "first.role", none("string").alias("text"), "first.shown", "first.n")
-    behind = F.sum("n").over(W.partitionBy("conv_id", "part").orderBy(*[F.col(c).desc() if isinstance(c, str) else c.desc() for c in order]))
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, now, k = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            numbers = []
+            for conv in batch.column("conv_id").to_pylist():
+                if now != (conv,):
+                    now, k = (conv,), 0
+                numbers.append(k)
+                k += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([chunk] * batch.num_rows, pa.int32()), pa.array(numbers, pa.int64())], names=[*batch.schema.names, "chunk", "k"])
+
+    shown = rendered(F.col("role"), F.col("text")).alias("shown")
+    counts = turns.select("conv_id", "turn", "role", F.col("text"), shown).mapInArrow(counted, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role {kinds['role']}, text string, shown string, n long")
+    counts = scratch.write(counts.select("conv_id", "turn", "role", "text", "n", F.monotonically_increasing_id().alias("salt")))
+    order = [F.col("conv_id"), F.col("turn").isNull(), F.col("turn"), F.col("role").isNull(), F.col("role"), F.col("text").isNull()]
+    # a text that is all in the range's key is followed by the salt, one that isn't comes after those
+    salt = F.when(F.coalesce(F.length("text"), F.lit(0)) <= LEADING, F.col("salt")).otherwise(F.lit(2**63 - 1))
+    ranged = counts.repartitionByRange(*order, F.substring("text", 1, LEADING), salt).sortWithinPartitions(*order, "text", "salt")
+    ranged = ranged.select("conv_id", "role", shown, "n").mapInArrow(numbered, f"conv_id {kinds['conv_id']}, role {kinds['role']}, shown string, n long, chunk int, k long")
+    ranged = scratch.write(ranged)
+    scratch.drop(counts)
+    # only the first and last conversation of a range go on in another one: at most two rows a range
+    cells = ranged.groupBy("conv_id", "chunk").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.partitionBy("conv_id").orderBy("chunk")) - F.col("c")
+    cells = cells.select(F.col("conv_id").alias("conv"), F.col("chunk").alias("in"), before.alias("before")).filter("before > 0")
+    same = F.col("conv_id").eqNullSafe(F.col("conv"))
+    rows = ranged.join(F.broadcast(cells), same & (F.col("chunk") == F.col("in")), "left")
+    rows = rows.select("conv_id", "role", "shown", "n", (F.col("k") + F.coalesce("before", F.lit(0))).alias("pos"))
+    rows = rows.withColumn("part", F.floor(F.col("pos") / PART).cast("long"))
+    system = rows.filter("pos = 0 AND role = 'system'").select(F.col("conv_id").alias("conv"), "role", "shown", "n")
+    parts = rows.groupBy("conv_id", "part").agg(F.sum("n").alias("size"))
+    opening = parts.filter("part > 0").join(system, same).select("conv_id", "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("pos"), "role", "shown", "n")
+    # each turn has a token at least, so history reaches back over so many parts at most
+    far = 1 + history // PART
+    later = parts.withColumn("sizes", F.collect_list("size").over(W.partitionBy("conv_id").orderBy("part").rowsBetween(1, far)))
+    later = later.filter(F.size("sizes") > 0).select(F.col("conv_id").alias("conv"), F.col("part").alias("this"), "sizes", F.explode(F.sequence(F.lit(1), F.size("sizes"))).alias("step"))
+    gap = F.aggregate(F.slice("sizes", 1, F.col("step") - 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    later = later.select("conv", "this", (F.col("this") + F.col("step")).alias("to"), gap.alias("gap")).filter(F.col("gap") < history)
+    behind = F.sum("n").over(W.partitionBy("conv_id", "part").orderBy(F.desc("pos")))
     late = rows.withColumn("behind", behind).filter(F.col("behind") <= history)
-    ahead = parts.filter("next is not null").select(F.col("conv_id").alias("conv"), F.col("part").alias("this"), "next")
-    late = late.join(ahead, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("this")))
-    late = late.select("conv_id", F.col("next").alias("part"), F.lit(1).alias("kind"), "turn", "role", "text", "shown", "n")
-    own = rows.select("conv_id", "part", F.lit(2).alias("kind"), "turn", "role", "text", "shown", "n")
+    late = late.join(later, same & (F.col("part") == F.col("this"))).filter(F.col("behind") + F.col("gap") <= history)
+    late = late.select("conv_id", F.col("to").alias("part"), F.lit(1).alias("kind"), "pos", "role", "shown", "n")
+    own = rows.select("conv_id", "part", F.lit(2).alias("kind"), "pos", "role", "shown", "n")
 
     def fill(group: pa.Table) -> pa.Table:
         t = group.to_pylist()
-        nulls = lambda r, *names: tuple(x for c in names for x in (r[c] is None, r[c] if r[c] is not None else 0))
-        t.sort(key=lambda r: (r["kind"], *nulls(r, "turn", "role", "text")))
+        t.sort(key=lambda r: (r["kind"], r["pos"]))
         new = [r for r in t if r["kind"] == 2]
         head = [r for r in t if r["kind"] == 0]
         past = [r for r in t if r["kind"] == 1]
-        starts_here = not head and new[0]["role"] == "system" and not past
+        starts_here = new[0]["pos"] == 0 and new[0]["role"] == "system"
         system = head or (new[:1] if starts_here else [])
-        if past and head and past[0]["shown"] == head[0]["shown"] and past[0]["role"] == "system":
+        if past and head and past[0]["pos"] == 0:
             past = past[1:]  # the system turn opens the window anyway
         held = sum(r["n"] for r in system)
         out = []

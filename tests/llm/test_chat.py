@@ -61,6 +61,23 @@ def test_windows_keep_budget_system_turn_and_history(spark):
     assert seen == len(rows)
 
 
+def test_parts_go_by_position_whatever_the_turn_numbers(spark):
+    texts = [f"turn {t:04} " + "w " * 20 for t in range(700)]
+    plain = [(1, t, "user", x) for t, x in enumerate(texts)]
+    shape = lambda rows, **k: [(r.part, r.window, r.formatted, r.n_repeated) for r in sorted(chat.windows(table(spark, rows), **k).collect(), key=lambda r: (r.part, r.window))]
+    want_windows = shape(plain, budget=256, history=64)
+    assert {p for p, *_ in want_windows} == {0, 1, 2}
+    for change in (lambda t: t * 100_000, lambda t: None, lambda t: 5):
+        assert shape([(None, change(t), r, x) for _, t, r, x in plain], budget=256, history=64) == want_windows
+
+
+def test_history_reaches_over_parts(spark):
+    rows = [(1, 1000 * t, "user", "a") for t in range(600)]
+    out = sorted(chat.windows(table(spark, rows), budget=16_000, history=8000).collect(), key=lambda r: (r.part, r.window))
+    last = [r for r in out if r.part == 2][0]
+    assert last.n_repeated > chat.PART
+
+
 def test_a_turn_larger_than_the_budget_stays_whole(spark):
     rows = [(1, 0, "user", "w " * 3000), (1, 1, "assistant", "x " * 3000), (1, 2, "user", "y")]
     out = chat.windows(table(spark, rows), budget=200, history=50)
