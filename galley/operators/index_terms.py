@@ -31,13 +31,20 @@ def signals(pages: DataFrame, pattern: str = CAPITALISED, definition: str = r"(?
 
     A term is defined where ``definition`` follows it, acted on where ``action`` does, and has an English name where a
     bracket does. It is header-only where four fifths of its pages have it in a line of its own up to 40
-    characters.
+    characters. Each test walks over a page once, whatever the number of its terms.
     """
-    rows = pages.select("doc_id", "page", "code", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("term"))
-    quoted = F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E"))
-    has = lambda after: F.regexp_like("text", F.concat(quoted, F.lit(after)))
-    short = F.exists(F.split("text", "\n"), lambda line: F.contains(line, F.col("term")) & (F.length(F.trim(line)) <= 40))
-    rows = rows.select("doc_id", "page", "term", "code", F.regexp_count("text", F.concat(F.lit("(?<![A-Za-z0-9])"), quoted, F.lit("(?![A-Za-z0-9])"))).alias("n"), has(definition).alias("d"), has(action).alias("a"), has(r"\s?\(").alias("e"), short.alias("h"))
+    term = f"(?>{pattern})"
+    found = lambda regex, text="text": F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    short = F.filter(F.split("text", "\n"), lambda line: F.length(F.trim(line)) <= 40)
+    tests = {
+        "t": found(pattern), "n": found(f"(?<![A-Za-z0-9]){term}(?![A-Za-z0-9])"), "d": found(f"{term}(?={definition})"), "a": found(f"{term}(?={action})"),
+        "e": found(rf"{term}(?=\s?\()"), "h": F.flatten(F.transform(short, lambda line: found(pattern, line))),
+    }
+    tag = lambda x, k: F.transform(x, lambda t: F.struct(F.lit(k).alias("test"), t.alias("term")))
+    hits = F.concat(*[tag(x, k) for k, x in tests.items()])
+    rows = pages.select("doc_id", "page", "code", F.monotonically_increasing_id().alias("row"), hits.alias("hits")).select("doc_id", "page", "code", "row", F.inline("hits"))
+    is_ = lambda k: F.col("test") == k
+    rows = rows.groupBy("row", "doc_id", "page", "code", "term").agg(F.count_if(is_("n")).alias("n"), *[F.bool_or(is_(k)).alias(k) for k in "tdaeh"]).filter("t")
     out = rows.groupBy("doc_id", "term").agg(
         F.sum("n").alias("freq"), F.array_sort(F.collect_set("page")).alias("pages"), F.count_if(~F.col("code")).alias("body_pages"), F.count_if("code").alias("code_pages"),
         F.bool_or("d").alias("defined"), F.bool_or("e").alias("with_english"), F.bool_or("a").alias("acted"), (F.count_if("h") * 5 >= F.count("*") * 4).alias("header_only"),

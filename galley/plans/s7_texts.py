@@ -18,6 +18,8 @@ RULES = (
 )
 STYLES = {"formal": r"tion[. ]", "plain": r"he[. ]", "polite": r"en[. ]"}
 PARTICLES = {"the": r"the(?=\s)", "of": r"of(?=\s)"}
+#: A line that looks like source code: indented, or ended by a sign of its syntax.
+CODE = r"^(?: {4}|\t)|[;{}]\s*$"
 KINDS = ("user", "assistant", "system")
 
 
@@ -99,7 +101,7 @@ QUERIES = {
     "s8_summary": lambda spark, sf_dir: toc.summary(toc.compare(_entries(spark, sf_dir), lines(spark, sf_dir))),
     "s8_page_offset": _lines(lambda p: toc.page_offset(p)),
     "s9_candidates": lambda spark, sf_dir: index_terms.candidates(_whole(spark, sf_dir).withColumn("code", F.lit(False)), "[A-Z][a-z]{3,}").groupBy("doc_id", "term").agg(F.count("*").alias("n")),
-    "s9_signals": lambda spark, sf_dir: index_terms.valued(index_terms.signals(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(1).alias("page"), "text", F.lit(False).alias("code")), "[A-Z][a-z]{2,}", " the", " of"), 5).select("doc_id", "term", "freq", "score"),
+    "s9_signals": lambda spark, sf_dir: index_terms.valued(index_terms.signals(lines(spark, sf_dir).select("doc_id", "page", "text", F.col("text").rlike(CODE).alias("code")), "[A-Z][a-z]{2,}", " the", " of"), 5).select("doc_id", "term", "freq", "score"),
     "s10_best_files": _compared(lambda b, s, c: c),
     "s10_compare_lines": _compared(listings.compare_lines),
     "s10_coverage": _compared(listings.coverage),

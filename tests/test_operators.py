@@ -234,3 +234,40 @@ def test_index_terms(spark, terms):
     assert {(r.korean, r.english) for r in pairs.collect()} == {("에이전트", "Agent"), ("깃허브", "GitHub")}
     listed = t.select("doc_id", "term").unionByName(spark.createDataFrame([(1, "에이전트"), (1, "깃허브")], "doc_id int, term string"))
     assert sorted(r.term for r in index_terms.one_language(listed, pairs).collect()) == ["GitHub", "깃허브", "에이전트"]
+
+
+def test_term_signals_against_brute_force(spark):
+    import random
+    import re
+    from collections import defaultdict
+
+    from galley.operators import index_terms
+
+    rng = random.Random(4)
+    words = ["Spark", "Sparks", "Foo", "FooBar", "the", "of", "(x)", "(", "a", "\n", "\n", "Foo the", "xFoo of"]
+    pages = [(d, p, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25))), rng.random() < 0.4) for d in range(3) for p in range(1, 9)]
+    pages += [pages[0], (9, 1, None, False), (9, 2, "Foo the", True)]
+    want = defaultdict(lambda: [0, set(), 0, 0, False, False, False, 0, 0])
+    for d, p, text, code in pages:
+        for t in set(re.findall("[A-Z][a-z]{2,}", text or "")):
+            w = want[d, t]
+            ends = [m.end() for m in re.finditer("[A-Z][a-z]{2,}", text) if m[0] == t]
+            w[0] += len(re.findall(rf"(?<![A-Za-z0-9]){t}(?![A-Za-z0-9])", text))
+            w[1].add(p)
+            w[2 + code] += 1
+            for k, after in ((4, " the"), (5, r"\s?\("), (6, " of")):
+                w[k] |= any(re.match(after, text[e:]) for e in ends)
+            w[7] += any(t in re.findall("[A-Z][a-z]{2,}", line) for line in text.split("\n") if len(line.strip(" ")) <= 40)
+            w[8] += 1
+    table = spark.createDataFrame(pages, "doc_id long, page int, text string, code boolean")
+    got = {(r.doc_id, r.term): (r.freq, r.pages, r.body_pages, r.code_pages, r.defined, r.with_english, r.acted, r.header_only) for r in index_terms.signals(table, "[A-Z][a-z]{2,}", " the", " of").collect()}
+    assert got == {k: (w[0], sorted(w[1]), *w[2:7], w[7] * 5 >= w[8] * 4) for k, w in want.items()}
+
+
+def test_term_signals_query_reads_the_documents(spark, sf_dir):
+    from galley.plans import s7_texts
+
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    rows = s7_texts.QUERIES["s9_signals"](spark, sf_dir).collect()
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count()
+    assert {r.doc_id for r in rows} <= docs and len({r.doc_id for r in rows}) > items
