@@ -52,6 +52,19 @@ class Scratch:
                 folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def column(name: str) -> Column:
+    """The column of that name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame, scratch: Scratch, *more: Column) -> DataFrame:
+    """key (a long of its own for each row), row (a struct of all columns) and ``more``, written once so that keys stay the same.
+
+    Equal rows are told apart by their keys, and no column of ``docs``, whatever its name or type, meets another.
+    """
+    return scratch.write(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*map(column, docs.columns)).alias("row"), *more))
+
+
 #: Rows of at most this many bytes in all are broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 16_000_000
 

@@ -12,8 +12,9 @@ What keeps it bounded:
   collide.
 * Of buckets with the same members one goes on.
 * A bucket never yields all its pairs. Its members are first compared with one leader, then, where the
-  bucket still holds several components, with the few leaders of each further round, which then leave it. Only
-  components matter, so a bucket inside one component is done. What is left is compared in blocks of at most about ``BLOCK`` members, components
+  bucket still holds several components, with the few leaders of each further round. Only
+  components matter, so a bucket inside one component is done, as is one whose leaders have been all its
+  members but one. What is left is compared in blocks of at most about ``BLOCK`` members, components
   against each other, by an exact count of common shingles in each pair of blocks. Nothing is capped.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, small_broadcast
+from galley.llm.common import Scratch, numbered, small_broadcast
 from galley.llm.components import components
 
 ROWS = 3
@@ -218,10 +219,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y").mapInArrow(run, f"u {id_type}, v {id_type}")
 
 
-def _colliding(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _colliding(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """``rows`` (keys..., rep) whose key more than one class has."""
     many = rows.groupBy(*keys).agg(F.min("rep").alias("_least"), F.max("rep").alias("_most")).filter("_least < _most").select(*keys)
-    return rows.join(many, keys)
+    many = scratch.write(many)  # a table of its own, so that Spark may split a frequent key in the join
+    return rows.join(small_broadcast(many, many.count(), 8 * len(keys) + 16), keys)
 
 
 def _blocks(buckets: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,26 +286,30 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     share a doc_id are one document. A null doc_id stays alone and kept. An empty table gives an empty
     result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(docs.sparkSession, "near")
     m = collection_size(percent)
     signed = scratch.write(signatures(docs, k, m))
-    classes = signed.filter("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
+    sets_of_many = signed.filter("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    classes = scratch.write(sets_of_many.filter("rows > 1").select("c1", "c2", "rep"))
+    classes = small_broadcast(classes, classes.count(), 40)
     member = signed.join(classes, ["c1", "c2"], "left").select("doc_id", "n", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("rep")), "doc_id").alias("rep"), "a", "b")
     member = scratch.write(member)
     scratch.drop(signed)
     reps = member.filter("doc_id = rep and n > 0")
-    one = _colliding(reps.select("rep", F.posexplode("a").alias("i", "x")), ["i", "x"])
+    one = _colliding(reps.select("rep", F.posexplode("a").alias("i", "x")), ["i", "x"], scratch)
     two = one.join(reps.select("rep", "n", "b"), "rep").select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y"))
-    tables = two.select("rep", "n", F.xxhash64("i", "x", "j", "y").alias("key")).distinct()
-    buckets = scratch.write(_distinct_buckets(scratch.write(_colliding(tables, ["key"]))))
+    tables = scratch.write(two.select("rep", "n", F.xxhash64("i", "x", "j", "y").alias("key")).distinct())
+    met = scratch.write(_colliding(tables, ["key"], scratch))
+    scratch.drop(tables)
+    buckets = scratch.write(_distinct_buckets(met, scratch))
+    scratch.drop(met)
     alive = scratch.write(buckets.select("rep").distinct())
     n_alive = alive.count()
     labels = None
     if n_alive:
         texts = docs.select("doc_id", "text").join(small_broadcast(alive.withColumnRenamed("rep", "doc_id"), n_alive, 16), "doc_id", "left_semi")
         sets = scratch.write(shingle_sets(texts, k))
-        labels = _link(buckets, sets, alive, percent, scratch)
+        labels = _link(buckets, sets, alive, n_alive, percent, scratch)
     component = F.col("rep")
     out = member.select("doc_id", "n", "rep")
     if labels is not None:
@@ -312,43 +318,47 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _distinct_buckets(buckets: DataFrame) -> DataFrame:
+def _distinct_buckets(buckets: DataFrame, scratch: Scratch) -> DataFrame:
     """One bucket of those with the same members: alike documents meet in many tables."""
     print_of = lambda seed: F.bit_xor(F.xxhash64("rep", F.lit(seed)))
     members = buckets.groupBy("key").agg(print_of(1).alias("p1"), print_of(2).alias("p2"), F.count("*").alias("size"))
-    return buckets.join(members.groupBy("p1", "p2", "size").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    first = scratch.write(members.groupBy("p1", "p2", "size").agg(F.min("key").alias("key")).select("key"))
+    return buckets.join(small_broadcast(first, first.count(), 24), "key", "left_semi")
 
 
-def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """node, label over the confirmed links of all buckets (key, rep, n)."""
+def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, n_alive: int, percent: int, scratch: Scratch) -> DataFrame:
+    """node, label over the confirmed links of all buckets (key, rep, n).
+
+    Each round first drops the buckets that lie inside one component, or whose members the last round has
+    all compared with each other, and only then chooses leaders.
+    """
     labels = alive.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+    done = 1  # buckets of so many members have no pair left
     for step in range(len(LEADERS) + 1):
-        here = buckets.join(labels.withColumnRenamed("node", "rep"), "rep")
-        rest = None
+        here = buckets.join(small_broadcast(labels.withColumnRenamed("node", "rep"), n_alive, 32), "rep")
+        mixed = here.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("size"))
+        mixed = scratch.write(mixed.filter(F.col("_a") < F.col("_b")).filter(F.col("size") > done).select("key"))
+        n_mixed = mixed.count()
+        if not n_mixed:
+            break
+        here = scratch.write(here.select("key", "rep", "n", "label").join(small_broadcast(mixed, n_mixed, 24), "key"))
+        buckets = here.select("key", "rep", "n")
         if step < len(LEADERS):
-            mixed = here.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a < _b").select("key")
-            here = scratch.write(here.join(mixed, "key"))
-            if here.limit(1).count() == 0:
-                break
             rank = F.xxhash64("rep", F.lit(step)) if step else F.col("rep")
             first = F.row_number().over(W.partitionBy("key").orderBy(rank, "rep"))
             lead = here.withColumn("_r", first).filter(F.col("_r") <= LEADERS[step]).select("key", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"))
-            near = here.join(lead, "key").filter("label <> u_label").filter(100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
+            lead = scratch.write(lead)
+            near = here.join(small_broadcast(lead, n_mixed * LEADERS[step], 48), "key").filter("label <> u_label").filter(100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
             if step == 0:  # one leader a member joins most groups
                 pairs = near.groupBy(F.col("rep").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
             else:
                 pairs = near.select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
-                # leaders that have been compared with their whole bucket are done there
-                rest = scratch.write(here.join(lead.select("key", F.col("u").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep", "n"))
+                done = LEADERS[step] + 1
             links = scratch.write(confirm(pairs, sets, percent))
         else:
             sizes = here.groupBy("key", "label").agg(F.count("*").alias("size"))
             mixed = sizes.groupBy("key").agg(F.max_by("label", "size").alias("main"), F.max("size").alias("n_main"), (F.sum("size") - F.max("size")).alias("n_rest"))
-            mixed = scratch.write(mixed.filter("n_rest > 0"))
-            if mixed.limit(1).count() == 0:
-                break
-            links = scratch.write(_blocks(here, mixed, sets, percent))
-        buckets = buckets if rest is None else rest
+            links = scratch.write(_blocks(here, scratch.write(mixed), sets, percent))
         if links.limit(1).count() == 0:
             continue
         old = labels
@@ -360,9 +370,18 @@ def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, percent: int, s
 
 
 def deduplicate(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component."""
-    keep = near_groups(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, nulls last.
+
+    Rows are told apart by themselves, not by doc_id: of repeated rows, and of similar rows with one
+    doc_id or none, one stays. Rows without words all stay, as they link with nothing. All columns come
+    back, whatever their names and types; an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = numbered(docs, scratch)
+    found = near_groups(rows.select(F.col("key").alias("doc_id"), "row.text"), k, percent).select(F.col("doc_id").alias("key"), "component_id")
+    found = found.join(rows.select("key", "row.doc_id"), "key")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("first.key")
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def query(spark, sf_dir):

@@ -100,3 +100,13 @@ def test_word_hashes_split_as_the_contract_says():
         w = words(text)
         assert len(h) == len(w)
         assert len(set(h.tolist())) == len(set(w))
+
+
+def test_deduplicate_tells_rows_apart(spark):
+    text = "a b c d e f g h i j"
+    schema = "doc_id long, text string, m map<string,int>, key int, row int, _keep int, component_id int"
+    rows = [(1, text, {"x": 1}, 1, 2, 3, 4), (1, text, {"x": 1}, 1, 2, 3, 4), (None, text.upper(), None, 1, 2, 3, 4), (1, "quite other words stand here", None, 1, 2, 3, 4), (None, "", None, 1, 2, 3, 4), (None, None, None, 1, 2, 3, 4)]
+    table = spark.createDataFrame(rows, schema)
+    out = nd.deduplicate(table)
+    assert out.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.component_id) for r in out.collect()) == [(0, "", 4), (0, "", 4), (1, text, 4), (1, "quite other words stand here", 4)]
