@@ -66,7 +66,7 @@ def numbered(docs: DataFrame, scratch: Scratch, *more: Column) -> DataFrame:
 
 
 #: Rows of at most this many bytes in all are broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 16_000_000
+BROADCAST_BYTES = 8_000_000
 
 
 def small_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
