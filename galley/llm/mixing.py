@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from galley.llm.common import Scratch, word_count
+from galley.llm.common import Scratch, column, numbered, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -116,15 +116,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
     """The documents of the mix, each as many times as it was drawn, with the columns of ``docs``.
 
     Every row is drawn for itself, at most ``max_repeats`` times, whether its doc_id is null, repeated or its own.
+    Null texts and sources are treated as in :func:`copies`. All columns come back, whatever their names and
+    types; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    # a row's key is written with it, so that both sides of the join see the same; the hash makes draws repeatable
-    keyed = scratch.write(docs.select(*_sizes(), F.xxhash64(*docs.columns).alias("row_hash"), F.monotonically_increasing_id().alias("key"), F.struct(*docs.columns).alias("row")))
-    drawn = _drawn(keyed.drop("row"), weights, max_repeats, DRAWS, ["row_hash", "key"]).filter(F.col("copies") > 0).select("key", "copies")
-    picked = keyed.select("key", "row").join(drawn, "key")
+    # the hash makes draws repeatable; rows that it can't tell apart are equal but for columns without a hash
+    hashed = F.xxhash64(*[column(f.name) for f in docs.schema if _hashable(f.dataType)])
+    rows = numbered(docs, scratch, *_sizes(), hashed.alias("row_hash"))
+    drawn = _drawn(rows.drop("row"), weights, max_repeats, DRAWS, ["row_hash", "key"]).filter(F.col("copies") > 0).select("key", "copies")
+    picked = rows.select("key", "row").join(drawn, "key")
     return picked.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
+def _hashable(kind) -> bool:
+    """Whether Spark hashes values of this type: maps and variants, alone or inside, have no hash."""
+    return not any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
 def query(spark, sf_dir):
     from galley.session import table
 

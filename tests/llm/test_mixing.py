@@ -86,3 +86,12 @@ def test_empty_and_one_row(docs):
     assert mixing.mix(docs([])).collect() == []
     (row,) = mixing.copies(docs([(1, None, None)])).collect()
     assert (row["size"], row.source_size, row.target) == (0, 0, 0.0)
+
+
+def test_mix_keeps_rows_of_one_id_and_any_columns(spark):
+    schema = "doc_id long, text string, source string, m map<string,int>, _row int, _copy int, key int, size int"
+    rows = [(1, "alpha one", "s", {"x": 1}, 5, 6, 7, 8), (1, "beta two", "s", None, 5, 6, 7, 8), (2, "gamma three", "s", {"y": 2}, 5, 6, 7, 8)]
+    table = spark.createDataFrame(rows, schema)
+    out = mixing.mix(table, weights=(1,))
+    assert out.columns == table.columns
+    assert sorted(tuple(r) for r in out.collect()) == sorted(rows)
