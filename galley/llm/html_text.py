@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -32,6 +35,11 @@ ENDS = {
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 SCOPE = frozenset("table td th caption button".split())
 
+#: Tables inside so many others are laid out as plain blocks; their text is kept.
+DEEPEST = 20
+#: A table is aligned if padding makes it at most so many times as long as its text; else two spaces part its cells.
+PADDING = 8
+
 _TOKEN = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -59,17 +67,47 @@ class Node:
         return found
 
 
+class Open:
+    """The open elements, root first, with the places of each tag, so that no rule has to walk over them."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """End the elements from place ``at`` on."""
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element with one of the tags, 0 for none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def outermost(self, tags: frozenset, after: int) -> int:
+        """The place of the outermost of them beyond place ``after``, 0 for none."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, after)) < len(p)]
+        return min(found, default=0)
+
+
 def parse(source: str) -> tuple[Node, list[str]]:
     """The tree of a page and the texts of its style elements."""
     root = Node("html")
-    stack, styles, at = [root], [], 0
+    open_, styles, at = Open(root), [], 0
     while True:
         m = _TOKEN.search(source, at)
         if text := source[at : m.start() if m else len(source)]:
             text = html.unescape(text) if "&" in text else text
-            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-                _leave_head(stack)
-            stack[-1].children.append(text)
+            if open_.top.tag == "head" and text.strip(" \t\n\r\f"):
+                _leave_head(open_)
+            open_.top.children.append(text)
         if not m:
             return root, styles
         at = m.end()
@@ -77,17 +115,17 @@ def parse(source: str) -> tuple[Node, list[str]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            _end(stack, tag)
+            _end(open_, tag)
             continue
         if tag in ("html", "body"):
             if tag == "body":
-                _leave_head(stack)
+                _leave_head(open_)
             if m[3]:
-                (root if tag == "html" else stack[-1]).attrs += m[3] if tag == "html" or len(stack) == 1 else ""
+                (root if tag == "html" else open_.top).attrs += m[3] if tag == "html" or len(open_.nodes) == 1 else ""
             continue
-        _make_way(stack, tag)
+        _make_way(open_, tag)
         node = Node(tag, m[3].rstrip("/") if m[3] else "")
-        stack[-1].children.append(node)
+        open_.top.children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -99,62 +137,54 @@ def parse(source: str) -> tuple[Node, list[str]]:
                 node.children.append(html.unescape(content) if tag in ("textarea", "title") else content)
             at = close.end()
             continue
-        stack.append(node)
+        open_.push(node)
 
 
-def _leave_head(stack: list[Node]) -> None:
+def _leave_head(open_: Open) -> None:
     """Ends a head that nothing has closed."""
-    while len(stack) > 1 and stack[-1].tag == "head":
-        stack.pop()
+    while len(open_.nodes) > 1 and open_.top.tag == "head":
+        open_.cut(len(open_.nodes) - 1)
 
 
-def _make_way(stack: list[Node], tag: str) -> None:
+def _make_way(open_: Open, tag: str) -> None:
     """Ends what ``tag`` ends by implication, and opens what it implies."""
     if tag not in UNSEEN:
-        _leave_head(stack)
-    if tag in ENDS_P:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p":
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPE:
-                break
+        _leave_head(open_)
+    if tag in ENDS_P and (p := open_.last("p")) > open_.last(*SCOPE):
+        open_.cut(p)
     if tag in ENDS:
         ended, boundary = ENDS[tag]
-        last = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in ended:
-                last = k
-            elif stack[k].tag in boundary:
-                break
-        if last is not None:
-            del stack[last:]
-    if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+        if first := open_.outermost(ended, open_.last(*(boundary - ended))):
+            open_.cut(first)
+    if tag in ("td", "th") and open_.top.tag in ("table", "thead", "tbody", "tfoot"):
         row = Node("tr")
-        stack[-1].children.append(row)
-        stack.append(row)
+        open_.top.children.append(row)
+        open_.push(row)
 
 
-def _end(stack: list[Node], tag: str) -> None:
+def _end(open_: Open, tag: str) -> None:
     if tag == "br":
-        stack[-1].children.append(Node("br"))
+        open_.top.children.append(Node("br"))
+        return
+    barrier = SCOPE if tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption") else ("table",)
+    at = open_.last(tag)
+    if at and at >= open_.last(*barrier):
+        open_.cut(at)
         return
-    barrier = SCOPE if tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption") else {"table"}
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag == tag:
-            del stack[k:]
-            return
-        if stack[k].tag in barrier:
-            break
     if tag == "p":  # an end without a start is an empty paragraph
-        stack[-1].children.append(Node("p"))
+        open_.top.children.append(Node("p"))
 
 
 class Visibility:
-    """Which elements a reader sees, by element, attributes and the page's plain style rules."""
+    """Which elements a reader sees, by element, attributes and the page's plain style rules.
+
+    Rules of one selector are one, and each is filed under the rarest of its id, classes and element, so that an
+    element is tested by few of them.
+    """
 
     def __init__(self, styles: list[str]) -> None:
-        self.rules: list[tuple[str, frozenset, frozenset, str]] = []
+        rules: dict[tuple[str, frozenset, frozenset], tuple[bool, int, str]] = {}  # selector -> none, order, visibility
+        at = 0
         for sheet in styles:
             for selectors, body in _RULE.findall(_MEDIA.sub("", sheet)):
                 v = _VISIBILITY.search(body)
@@ -162,23 +192,39 @@ class Visibility:
                 for s in selectors.split(",") if effect else ():
                     if (m := _SIMPLE.match(s.strip())) and m[0]:
                         parts = re.findall(r"[.#][\w-]+", m[2])
-                        self.rules.append(((m[1] or "").lower(), frozenset(p[1:] for p in parts if p[0] == "."), frozenset(p[1:] for p in parts if p[0] == "#"), effect))
+                        selector = (m[1] or "").lower(), frozenset(p[1:] for p in parts if p[0] == "."), frozenset(p[1:] for p in parts if p[0] == "#")
+                        none, order, said = rules.get(selector, (False, 0, ""))
+                        at += 1
+                        rules[selector] = (True, order, said) if effect == "none" else (none, at, effect)
+        names = lambda r: [f"#{i}" for i in r[2]] + [f".{c}" for c in r[1]] + ([r[0] or "*"] if not r[1] and not r[2] else [])
+        often = Counter(n for r in rules for n in names(r))
+        self.filed: dict[str, list[tuple]] = {}
+        for r, effect in rules.items():
+            self.filed.setdefault(min(names(r), key=lambda n: (often[n], n)), []).append((*r, *effect))
 
     def of(self, node: Node, hidden: bool) -> tuple[bool, bool]:
         """Whether the element makes a box at all, and whether its own text is hidden."""
         if node.tag in UNSEEN:
             return False, hidden
-        if not self.rules and (not node.attrs or node.attrs.isspace()):
+        if not self.filed and (not node.attrs or node.attrs.isspace()):
             return node.tag != "dialog", hidden
         a = node.attributes()
         if "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
             return False, hidden
-        effects = [e for tag, classes, ids, e in self.rules if tag in ("", node.tag) and classes <= set(a.get("class", "").split()) and ids <= {a.get("id", "")}]
+        none, said, latest = False, "", 0
+        if self.filed:
+            classes, ids = set(a.get("class", "").split()), {a.get("id", "")}
+            for name in ("*", node.tag, *(f".{c}" for c in classes), *(f"#{i}" for i in ids)):
+                for tag, those, that, is_none, order, visibility in self.filed.get(name, ()):
+                    if tag in ("", node.tag) and those <= classes and that <= ids:
+                        none |= is_none
+                        if order > latest:
+                            latest, said = order, visibility
         style = a.get("style", "")
-        if (_NONE.search(style)) or ("none" in effects and not re.search(r"display\s*:", style, re.I)):
+        if (_NONE.search(style)) or (none and not re.search(r"display\s*:", style, re.I)):
             return False, hidden
         own = _VISIBILITY.search(style)
-        said = own[1].lower() if own else next((e for e in reversed(effects) if e != "none"), "")
+        said = own[1].lower() if own else said
         return True, said != "visible" if said else hidden
 
 
@@ -275,7 +321,7 @@ def render(node: Node, see: Visibility, hidden: bool = False, tables: int = 0) -
         gap = 2 if tag in PARAGRAPHS and not (tag in ("ul", "ol") and lists) else 1 if tag in BLOCKS else 0
         if gap:
             out.lines(gap)
-        if tag == "table" and tables < 20:
+        if tag == "table" and tables < DEEPEST:
             if text := _table(child, see, unseen, tables + 1):
                 for k, line in enumerate(text.split("\n")):
                     if k:
@@ -312,11 +358,23 @@ def render(node: Node, see: Visibility, hidden: bool = False, tables: int = 0) -
     return out.done()
 
 
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of columns with neighbours that end in the same row made one."""
+    out: list[tuple[int, int, int]] = []
+    for start, end, last in spans:
+        if out and out[-1][2] == last and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], end), last)
+        else:
+            out.append((start, end, last))
+    return out
+
+
 def _table(table: Node, see: Visibility, hidden: bool, depth: int) -> str:
-    """Rows as lines (or more, if a cell has several) with columns of equal width, two spaces apart."""
+    """Rows as lines (or more, if a cell has several) with columns of equal width, two spaces apart, up to ``PADDING``."""
     rows: list[dict[int, str]] = []
     titles: list[str] = []
-    below: dict[int, int] = {}  # columns that a cell above covers -> rows left
+    covered: list[tuple[int, int, int]] = []  # columns that cells above cover, as start, end and the last row, by start
+    n_rows = sum(sum(isinstance(x, Node) and x.tag == "tr" for x in [c, *c.children]) for c in table.children if isinstance(c, Node))
     todo = [(c, hidden) for c in reversed(table.children)]
     while todo:
         c, unseen = todo.pop()
@@ -331,8 +389,9 @@ def _table(table: Node, see: Visibility, hidden: bool, depth: int) -> str:
             todo += [(x, now) for x in reversed(c.children)]
         elif c.tag == "tr":
             row: dict[int, str] = {}
-            at = 0
-            covered = {k: n - 1 for k, n in below.items() if n > 1}
+            at, i = 0, 0
+            covered = [x for x in covered if x[2] >= len(rows)]
+            new: list[tuple[int, int, int]] = []
             for x in c.children:
                 if isinstance(x, str):
                     if not now and x.strip():
@@ -341,28 +400,42 @@ def _table(table: Node, see: Visibility, hidden: bool, depth: int) -> str:
                 seen, _ = see.of(x, now)
                 if not seen:
                     continue
-                while below.get(at, 0) > 0:
-                    at += 1
+                while i < len(covered) and covered[i][0] <= at:
+                    at, i = max(at, covered[i][1]), i + 1
                 a = x.attributes()
                 row[at] = render(x, see, now, depth)
                 wide, high = _number(a.get("colspan", "1"), 1, 1000), _number(a.get("rowspan", "1"), 1, 10000)
-                for k in range(at, at + wide):
-                    if high > 1:
-                        covered[k] = high - 1
+                if high > 1:
+                    new.append((at, at + wide, min(n_rows, len(rows) + high - 1)))
                 at += wide
-            below = covered
+            if new:
+                covered = _joined(sorted(covered + new))
             rows.append(row)
         elif text := render(c, see, unseen, depth):
             titles.append(text)
+    split = [{k: x.split("\n") for k, x in r.items()} for r in rows]
     columns = sorted({k for r in rows for k in r})
-    split = [{k: t.split("\n") for k, t in r.items()} for r in rows]
-    widths = {k: max((len(line) for r in split if k in r for line in r[k]), default=0) for k in columns}
-    lines = list(titles)
+    place = {k: i for i, k in enumerate(columns)}
+    widths = [0] * len(columns)
     for r in split:
-        for n in range(max((len(x) for x in r.values()), default=0)):
-            cells = [(r.get(k) or [])[n : n + 1] for k in columns]
-            lines.append("  ".join((c[0] if c else "").ljust(widths[k]) for k, c in zip(columns, cells, strict=True)).rstrip())
-    return "\n".join(lines).strip("\n")
+        for k, x in r.items():
+            widths[place[k]] = max(widths[place[k]], *map(len, x))
+    starts = [0, *accumulate(w + 2 for w in widths)]
+    lines = [[(k, x[n]) for k, x in sorted(r.items()) if n < len(x) and x[n]] for r in split for n in range(max(map(len, r.values()), default=0))]
+    padded = sum(starts[place[cells[-1][0]]] + len(cells[-1][1]) for cells in lines if cells)
+    aligned = padded <= PADDING * (64 + sum(len(x) for cells in lines for _, x in cells))
+    out = list(titles)
+    for cells in lines:
+        if not aligned:
+            out.append("  ".join(x for _, x in cells).rstrip())
+            continue
+        line: list[str] = []
+        at = 0
+        for k, x in cells:
+            line += [" " * (starts[place[k]] - at), x]
+            at = starts[place[k]] + len(x)
+        out.append("".join(line).rstrip())
+    return "\n".join(out).strip("\n")
 
 
 def page_text(source: str | None) -> str | None:
