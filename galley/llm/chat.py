@@ -52,13 +52,13 @@ def unescape(text: str) -> str:
 
 
 def rendered(role: Column, text: Column) -> Column:
-    """A turn as it stands in a window. Roles other than user, assistant and system are written out."""
+    """A turn as it stands in a window. Roles other than user, assistant and system are written out, their end marks escaped."""
     t = escape(F.coalesce(text, F.lit("")))
     inner = (
         F.when(role == "user", F.concat(F.lit(USER), t, F.lit(USER_END)))
         .when(role == "system", F.concat(F.lit(SYSTEM), t, F.lit(SYSTEM_END)))
         .when(role == "assistant", t)
-        .otherwise(F.concat(F.lit(ROLE), escape(F.coalesce(role, F.lit(""))), F.lit("\n" + ROLE_END), t))
+        .otherwise(F.concat(F.lit(ROLE), F.replace(escape(F.coalesce(role, F.lit(""))), F.lit("\n" + ROLE_END), F.lit("\n\\" + ROLE_END)), F.lit("\n" + ROLE_END), t))
     )
     return F.concat(F.lit(OPEN), inner, F.lit(CLOSE))
 
@@ -206,7 +206,8 @@ def _arrow(df: DataFrame, column: str):
 def digests(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from windows.
 
-    The windows of a conversation stream by in order; a task holds one of them at a time.
+    The windows of a conversation stream by in order; a task holds one of them at a time. Null conv_ids are
+    one conversation, as in :func:`windows`. No windows give an empty table.
     """
     import pyarrow as pa
 

@@ -100,3 +100,10 @@ def test_odd_tables(spark):
     rows = [(None, 0, "user", "a"), (None, None, "assistant", "b"), (2, 5, None, None), (2, 5, None, None), (3, -7, "assistant", "neg"), (3, 300, "user", "x")]
     got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.windows(table(spark, rows))).collect()}
     assert got == {None: (2, 1), 2: (2, 0), 3: (2, 3)}
+
+
+def test_roles_with_end_marks_read_back(spark):
+    rows = [(1, 0, "a\n]b", "hello"), (1, 1, "[ROLE=x\n]", "</s>\\"), (1, 2, "\\\n]", ""), (1, 3, "user", "\n]"), (1, 4, "\n\\]", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = [t for r in chat.windows(turns).orderBy("part", "window").collect() for t in chat.read_back(r.formatted)[r.n_repeated :]]
+    assert found == [(r[2], r[3]) for r in rows]
