@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.common import words
+from galley.llm.common import column, words
 
 #: Labelled rows that a fit collects at most (those with the smallest hashes of their ids).
 MAX_TRAIN = 12_000
@@ -152,16 +152,19 @@ class RuleModel:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> RuleModel:
     """A model from ``labels`` (doc_id, quality), learned from at most ``max_train`` rows.
 
-    Null labels and labels without a document teach nothing. Without both labels there are no rules and
-    the score is the smoothed share of label 1.
+    Null labels and labels without a document teach nothing. Of rows that share a labelled doc_id one
+    teaches, that with the smallest statistics, so no more rows than ids reach the driver. Without both
+    labels there are no rules and the score is the smoothed share of label 1.
     """
     import numpy as np
 
     chosen = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = with_statistics(sample, "doc_id", "quality").toPandas()  # at most max_train rows of numbers
-    names = [c for c in rows.columns if c.startswith("s_")]
+    stats = with_statistics(sample, "doc_id", "quality")
+    names = [c for c in stats.columns if c.startswith("s_")]
+    one = stats.groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("s"))
+    rows = one.select("doc_id", "quality", "s.*").toPandas()  # at most max_train rows of numbers
     rows = rows.sort_values(["doc_id", *names])
     x, y = rows[names].to_numpy(float), (rows["quality"].to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
@@ -183,8 +186,12 @@ def scores(docs: DataFrame, model: RuleModel) -> DataFrame:
 
 
 def reject_low(docs: DataFrame, model: RuleModel, least: float = 0.5) -> DataFrame:
-    """``docs`` with a score of at least ``least``, in one projection over the scan."""
-    packed = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    """``docs`` with a score of at least ``least``, in one projection over the scan.
+
+    Null texts score as empty ones; repeated rows are judged one by one. All columns come back, whatever
+    their names and types; an empty table gives an empty result.
+    """
+    packed = docs.select("text", F.struct(*map(column, docs.columns)).alias("_row"))
     kept = with_statistics(packed, "_row").filter(model.score() >= least)
     return kept.select("_row.*")
 

@@ -31,6 +31,8 @@ LEET = {
     "4": "a", "@": "a", "8": "b", "(": "c", "3": "e", "€": "e", "6": "g", "9": "g", "1": "il", "!": "i", "|": "il",
     "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z", "*": "abcdefghijklmnopqrstuvwxyz",
 }
+#: Stars that may hide letters in one span; in a span with more, a star is a star.
+STARS = 4
 #: Costs, in nats, of the channel's steps.
 LEET_COST, ANY_COST, DROP_COST, REPEAT_COST = 0.7, 2.0, 0.4, 0.2
 
@@ -38,7 +40,7 @@ _SIGNS = re.escape("".join(LEET))
 _HAS_SIGN = re.compile(f"[{_SIGNS}]")
 _LEET_WORD = re.compile(rf"(?<!\S)\S*?[A-Za-z]\S*")
 _RUN = re.compile(r"([A-Za-z])\1\1")
-_RUN_WORD = re.compile(r"[^\W\d_]*([A-Za-z])\1\1[^\W\d_]*")
+_RUN_WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]*([A-Za-z])\1\1[^\W\d_]*")
 _SPACED = re.compile(rf"(?<![^\s])[A-Za-z{_SIGNS}](?:[ ._\-/][A-Za-z{_SIGNS}]){{2,}}(?![\w])")
 _EDGE = ".,;:?\"')]}>…»”’"
 _STRIP = ".,;:!?\"'()[]{}<>*%&#$@|~^=+-_/\\…«»“”’"
@@ -114,10 +116,11 @@ class Restorer:
     def lattice(self, span: str, spaced: bool) -> list[list[tuple[str, int, float]]]:
         """For each character the (output, symbol, cost) it may stand for; '' is nothing."""
         out, run = [], 0
+        masks = span.count("*") <= STARS
         for k, c in enumerate(span):
             run = run + 1 if k and span[k - 1] == c else 0
             ways = [(c, self.symbol(c), 0.0)]
-            if c in LEET:
+            if c in LEET and (masks or c != "*"):
                 cost = ANY_COST if len(LEET[c]) > 2 else LEET_COST
                 ways += [(x, ord(x) - 96, cost) for x in LEET[c]]
             elif spaced and c in " ._-/":
@@ -228,15 +231,19 @@ def _fit(rows: list[tuple[int, list[int]]], width: int) -> tuple[list[float], fl
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, n_features: int = N_FEATURES) -> Scorer:
     """A scorer from ``labels`` (doc_id, toxic), learned from at most ``max_train`` rows.
 
-    Labels that are null, or whose doc_id has no document, teach nothing. Without both labels the score
-    is the smoothed share of label 1 for every text.
+    Labels that are null, or whose doc_id has no document, teach nothing. Of rows that share a labelled
+    doc_id one teaches, that with the smallest hash and text, so no more rows than ids reach the driver. A
+    feature needs three uses at least; of those the ``n_features`` most telling are kept. Without both labels
+    the score is the smoothed share of label 1 for every text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxic")
     model = log_model(trigram_counts(docs))
     chosen = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    sample = scratch.write(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select((F.col("toxic") > 0).cast("int").alias("y"), "text"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = labelled.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+    sample = scratch.write(one.select((F.col("toxic") > 0).cast("int").alias("y"), "t.text"))
     shares = sample.agg(F.count("*"), F.sum("y")).first()
     n, positive = shares[0], shares[1] or 0
     if not 0 < positive < n:
