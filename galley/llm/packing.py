@@ -7,12 +7,14 @@ than a sequence are first cut into full ones and a rest. When nothing that fits
 gap may be closed by cutting the example at hand (``cut``).
 
 Each task packs its own rows, in pools of ``POOL`` examples, so nothing is shuffled and memory is bounded by
-a pool and by one document's ids. What stays open at the end of a task's rows is laid down as sequences
+one document's ids and by a pool, whose examples are shorter than a sequence: full sequences of a document leave
+at once with their ids. What stays open at the end of a task's rows is laid down as sequences
 whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -43,16 +45,22 @@ class Packer:
         """pieces: (key, start, tokens, loss flags or None). Yields (key, start, length, sequence, offset)."""
         import numpy as np
 
+        if all(p[3] is None for p in pieces):
+            yield from self._pack_plain(pieces)
+            if last:
+                yield from self.finish()
+            return
         kinds: dict[tuple[int, int], list[tuple]] = {}
-        for p in sorted(pieces, key=lambda p: (p[2], str(p[0]), p[1]), reverse=True):
+        for p in sorted(pieces, key=lambda p: p[:3], reverse=True):
             kinds.setdefault((p[2], self.loss_of(p)), []).append(p)
         names = list(kinds)
         demand = np.array([[t, 1, loss] for t, loss in names], dtype=float).reshape(-1, 3)
+        share = demand / self.limits**2
         there = np.ones(len(names), dtype=bool)
         while there.any():
             fits = there & (demand <= self.left).all(axis=1)
             if fits.any():
-                score = np.where(fits, (demand / self.limits**2) @ self.left, -1.0)
+                score = np.where(fits, share @ self.left, -1.0)
                 k = int(score.argmax())
                 p = kinds[names[k]].pop()
                 there[k] = bool(kinds[names[k]])
@@ -73,6 +81,7 @@ class Packer:
                     kinds[kind], k = [], len(names)
                     names.append(kind)
                     demand = np.vstack([demand, [rest[2], 1, kind[1]]])
+                    share = demand / self.limits**2
                     there = np.append(there, True)
                 kinds[kind].append(rest)
                 there[k] = True
@@ -81,13 +90,45 @@ class Packer:
         if last:
             yield from self.finish()
 
+    def _pack_plain(self, pieces: list[tuple]) -> Iterator[tuple]:
+        """Where all tokens bear loss, the dot product grows with the length: the longest that fits has the largest."""
+        stacks: dict[int, list[tuple]] = {}
+        for p in sorted(pieces, key=lambda p: p[:2], reverse=True):
+            stacks.setdefault(p[2], []).append(p)
+        lengths = sorted(stacks)
+
+        def take(i: int) -> tuple:
+            size = lengths[i]
+            p = stacks[size].pop()
+            if not stacks[size]:
+                del stacks[size], lengths[i]
+            return p
+
+        while lengths:
+            room, places, loss = map(int, self.left)
+            i = bisect_right(lengths, min(room, loss)) - 1 if places else -1
+            if i >= 0:
+                self.put(take(i))
+            elif self.cut and places and loss >= room > 0:
+                key, start, size, _ = take(len(lengths) - 1)  # the longest loses least by a cut
+                self.put((key, start, room, None))
+                yield from self.close()
+                if size - room not in stacks:
+                    insort(lengths, size - room)
+                stacks.setdefault(size - room, []).append((key, start + room, size - room, None))
+            else:
+                yield from self.close()
+
     @staticmethod
     def loss_of(p: tuple) -> int:
         return p[2] if p[3] is None else int(sum(p[3]))
 
     def put(self, p: tuple) -> None:
         self.open.append(p)
-        self.left -= (p[2], 1, self.loss_of(p))
+        loss = self.loss_of(p)
+        self.left[0] -= p[2]
+        self.left[1] -= 1
+        self.left[2] -= loss
 
     def close(self) -> Iterator[tuple]:
         at = 0
@@ -141,7 +182,7 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
         encode = tokens.encoder(tokenizer, ranks)
         base = TaskContext.get().partitionId() << 40
         packer = Packer(max_tokens, max_segments, loss_limit, cut)
-        held: dict[int, tuple] = {}  # row number -> doc_id, ids, number of tokens, ids not placed yet
+        held: dict[int, tuple] = {}  # row number -> doc_id, ids still in the pool, where they start, number of tokens, ids not placed yet
         pool: list[tuple] = []
         kind = pa.int64()
         row = 0
@@ -149,12 +190,12 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
         def emit(placed: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             rows = []
             for key, start, size, sequence, at in placed:
-                doc, ids, n, left = held[key]
-                rows.append((doc, start, size, ids[4 * start : 4 * (start + size)], n, base + sequence, at))
+                doc, ids, first, n, left = held[key]
+                rows.append((doc, start, size, ids[4 * (start - first) : 4 * (start + size - first)], n, base + sequence, at))
                 if left == size:
                     del held[key]
                 else:
-                    held[key] = (doc, ids, n, left - size)
+                    held[key] = (doc, ids, first, n, left - size)
                 if len(rows) >= 4096:
                     yield batch_of(rows)
                     rows = []
@@ -176,7 +217,7 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
                 ids = encode(text) + np.array([EOS], dtype="<u4").tobytes()
                 n = len(ids) // 4
                 mask = masks[k] if masks and masks[k] is not None and len(masks[k]) == n else None
-                held[row] = (doc, ids, n, n)
+                held[row] = (doc, ids, 0, n, n)
                 full = [] if mask is not None and loss_limit < max_tokens else list(range(0, n - max_tokens + 1, max_tokens))
                 if full:
                     whole = []
@@ -185,6 +226,8 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
                         packer.next_sequence += 1
                     yield from emit(iter(whole))
                 at = len(full) * max_tokens
+                if full and at < n:
+                    held[row] = (doc, ids[4 * at :], at, n, n - at)  # the placed ids go
                 while at < n:  # a piece's loss-bearing tokens must fit in an empty sequence
                     size = min(max_tokens, n - at)
                     if mask is not None or loss_limit < max_tokens:

@@ -18,6 +18,7 @@ import base64
 import re
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ CHUNK = 65_536
 OVERLAP = 256
 #: Longer than a contraction, a multi-part lookahead or a special string (13 characters).
 MARGIN = 24
-#: Pieces that a Python worker keeps.
-CACHE = 600_000
+#: Pieces that a Python worker keeps, twice: those in use and those before them.
+CACHE = 500_000
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: A space next to other white space, or to the separators that libraries class differently.
@@ -96,7 +97,9 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         parts = _INNER_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         head = self.plain[parts[0]] if parts[0] else b""
-        return head + b"".join(map(self.spaced.__getitem__, parts[1:]))
+        if len(parts) < 3:
+            return head + self.spaced[parts[1]] if len(parts) == 2 else head
+        return head + b"".join(itemgetter(*parts[1:])(self.spaced))
 
     def boundaries(self, text: str, start: int, end: int) -> tuple[list[int], list[bytes]]:
         """Ends, in ``text``, of the pre-tokens of text[start:end], and the ids of each."""
@@ -138,16 +141,24 @@ class Encoder:
 
 
 class _Cache(dict):
-    """Ids of pieces with what stands before them; emptied when it is full."""
+    """Ids of pieces with what stands before them. A full one becomes the older one, from which pieces still in use come back."""
 
     def __init__(self, encoder: Encoder, before: str) -> None:
         super().__init__()
         self.encoder, self.before = encoder, before
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.piece(self.before + piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            quick = self.encoder.quick
+            if quick is not None and piece.isascii() and piece.isalpha() and len(piece) < 1000:
+                ids = array("I", quick._core_bpe.encode_single_piece((self.before + piece).encode())).tobytes()
+            else:
+                ids = self.encoder.piece(self.before + piece)
         if len(piece) <= 64:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

@@ -65,3 +65,22 @@ def test_repeated_rows_and_empty_table(docs):
     assert packing.pack(docs([])).collect() == []
     got = packing.pack(docs([(1, "same text"), (1, "same text")]).coalesce(1)).collect()
     assert sum(p.length for p in got) == 2 * (len(LIBRARY.encode("same text", add_special_tokens=False).ids) + 1)
+
+
+def test_line_breaks_beside_odd_spaces(docs):
+    texts = ["a\n\xa0", "Prix :\n\xa0 12", "x\n\xa0\ny", "a\r\n\xa0\xa0b", "\xa0\nz", "a\r\n b", "w " * 600 + "\n\xa0 end\n", "n" * 999 + "\n\xa0x", "n" * 1001 + "\n\xa0x"]
+    rows = list(enumerate(texts))
+    check(rows, packing.pack(docs(rows).repartition(1)).collect())
+
+
+def test_plain_pools_are_packed_as_by_the_dot_product():
+    rng = random.Random(8)
+    pieces = [(i, 0, rng.randint(1, 700), None) for i in range(400)]
+    general = [(k, at, n, [True] * n) for k, at, n, _ in pieces]  # the same loss by a mask, so the general way is taken
+    placed = [list(packing.Packer(2048, 9, 1800, True).pack(p, last=True)) for p in (pieces, general)]
+    assert placed[0] == placed[1]
+
+
+def test_a_pool_of_long_documents_holds_their_ends_only(docs, monkeypatch):
+    rows = [(i, "word " * (3000 + i)) for i in range(40)]
+    check(rows, packing.pack(docs(rows).repartition(1)).collect())
