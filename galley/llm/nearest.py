@@ -33,7 +33,7 @@ WORDS = 16
 THRESHOLD = 0.2
 SLACK = 3.0
 ROWS_IN_BLOCK = 8192
-QUERIES_IN_BLOCK = 2048
+QUERIES_IN_BLOCK = 16_384
 ROUNDS = 8
 
 
@@ -142,15 +142,23 @@ def fit(vectors, threshold: float = THRESHOLD, seed: int = 3) -> Codebook:
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """``key``, v (array<double>) of the rows that can take part.
+    """``key``, v (array of the column's own type, float or double) of the rows that can take part.
 
     Null keys take no part, nor do vectors that are null, empty, zero, or hold null or non-finite
     components.
     """
-    rows = vectors.select(key, F.transform(F.col(column), lambda c: c.cast("double")).alias("v")).filter(F.col(key).isNotNull() & (F.size("v") > 0))
+    kind = "float" if vectors.schema[column].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(key, F.col(column).cast(f"array<{kind}>").alias("v")).filter(F.col(key).isNotNull() & (F.size("v") > 0))
     return rows.filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
 
 
+def _directions(v):
+    import numpy as np
+
+    wide = v.astype(float)
+    return wide / np.linalg.norm(wide, axis=1, keepdims=True)
+
+
 def _blocks(rows: DataFrame, n: int, size: int, key: str, d: int, book: Codebook | None) -> tuple[DataFrame, int]:
     """``rows`` dealt evenly over numbered blocks of about ``size`` rows, each packed in one row; their number."""
     import pyarrow as pa
@@ -175,7 +183,7 @@ def _blocks(rows: DataFrame, n: int, size: int, key: str, d: int, book: Codebook
             v = table.column("v").slice(a, b - a).combine_chunks().flatten().to_numpy().reshape(-1, d)
             codes = b""
             if book is not None:
-                codes = packed(book.encode(padded(v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))).tobytes()
+                codes = packed(book.encode(padded(_directions(v)).astype(np.float32))).tobytes()
             ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() * each + i], pa.int64()), ids, pa.array([v.tobytes()], pa.binary()), pa.array([codes], pa.binary())], names=["block", "ids", "v", "codes"])
 
@@ -249,6 +257,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     sought, asking = _blocks(asked, n_asked, QUERIES_IN_BLOCK, key, d, None)
     index, sought = scratch.write(index), scratch.write(sought)
     scratch.drop(rows, asked)
+    # vectors travel as they are stored, four or eight bytes a component, and are made double where they are scored
+    row_kind, query_kind = ("<f4" if t.schema["v"].dataType.simpleString() == "array<float>" else "<f8" for t in (rows, asked))
     # each block of the index meets each block of queries in a call of its own
     numbers = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
     left = index.select("block", numbers(asking).alias("asking"), "ids", "v", "codes", F.lit(True).alias("indexed"))
@@ -258,7 +268,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
         if len(pair) < 2:
             return pd.DataFrame({"query_id": [], key: [], "score": []})
         r, q = pair[pair["indexed"]].iloc[0], pair[~pair["indexed"]].iloc[0]
-        v, sought = np.frombuffer(r["v"]).reshape(-1, d), np.frombuffer(q["v"]).reshape(-1, d)
+        v, sought = (np.frombuffer(x["v"], kind).astype(float).reshape(-1, d) for x, kind in ((r, row_kind), (q, query_kind)))
         ids, query_ids = np.asarray(r["ids"]), np.asarray(q["ids"])
         codes = np.frombuffer(r["codes"], np.uint8).reshape(len(v), -1)
         x, y, score = scan(book, ids, v, codes, query_ids, sought, k)
