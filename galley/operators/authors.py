@@ -99,3 +99,23 @@ def relevance(mart: DataFrame, terms: Sequence[str], top: int = 50) -> DataFrame
 
     total = F.aggregate(F.transform("topics", score), F.lit(0), lambda a, b: a + b)
     return mart.select("name", total.alias("relevance"), "n_books").orderBy(F.desc("relevance"), F.desc("n_books"), "name").limit(top)
+
+
+def pool_filtered(pool: DataFrame, text: str = "", kind: str = "", manager: str = "", published: str = "") -> DataFrame:
+    """Authors (name, tags, manager, kind, published) of a pool kept by hand.
+
+    ``text`` lies in the name, tags or manager, in any case; ``kind`` in the kind; the manager is equal. ``published``
+    lies in the column of that name; '미' asks for those that have nothing out.
+    """
+    has = lambda c, x: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(x.lower()))
+    test = F.lit(True)
+    if text:
+        test &= has("name", text) | has("tags", text) | has("manager", text)
+    if kind:
+        test &= F.contains(F.coalesce("kind", F.lit("")), F.lit(kind))
+    if manager:
+        test &= F.coalesce(F.col("manager") == manager, F.lit(False))
+    if published:
+        out = F.coalesce("published", F.lit(""))
+        test &= ~F.contains(out, F.lit("출간")) if published == "미" else F.contains(out, F.lit(published))
+    return pool.filter(test)

@@ -27,13 +27,12 @@ def old_keywords(articles: DataFrame, today: Column, nearest: int = 90, furthest
     return counts.groupBy("keyword").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "keyword").limit(top)
 
 
-def trend_lag(titles: DataFrame, keywords: DataFrame) -> DataFrame:
-    """keyword, n, title, rank: titles that contain an old keyword.
+def trend_lag(titles: DataFrame, keywords: DataFrame, top: int = 20) -> DataFrame:
+    """keyword, n, title, rank: titles that contain one of the ``top`` most frequent old keywords.
 
-    ``keywords`` has at most as many rows as :func:`old_keywords` was asked for; they are gathered in one array that
-    every title is tested with, so there is no join of titles and keywords.
+    These few are gathered in one array that every title is tested with, so there is no join of titles and keywords.
     """
-    held = keywords.agg(F.collect_list(F.struct("keyword", "n")).alias("ks"))  # one row
+    held = keywords.orderBy(F.desc("n"), "keyword").limit(top).agg(F.collect_list(F.struct("keyword", "n")).alias("ks"))  # one row
     low = F.lower("title")
     hits = titles.crossJoin(F.broadcast(held)).select("title", "rank", F.explode(F.filter("ks", lambda k: F.contains(low, k["keyword"]))).alias("k"))
     return hits.select("k.keyword", "k.n", "title", "rank")
@@ -91,3 +90,38 @@ def royalty(price: Column, rate: Column, copies: Column) -> Column:
 
 def break_even(cost: Column, price: Column, rate: Column) -> Column:
     return F.ceil(cost / F.nullif(price * rate, F.lit(0)))
+
+
+def hash_id(text: Column) -> Column:
+    """'it' and the 32-bit hash h = 31 h + c of the text's characters, unsigned, in base 36; '' for null."""
+    codes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c) % 2**32)
+    return F.concat(F.lit("it"), F.lower(F.conv(h.cast("string"), 10, 36)))
+
+
+def log_entries(logs: DataFrame, level: str | None = None) -> DataFrame:
+    """Log rows (ts, level, source, message) of a level, newest first."""
+    return (logs if level is None else logs.filter(F.col("level") == level)).orderBy(F.desc("ts"))
+
+
+def level_counts(logs: DataFrame, levels: Sequence[str] = ("error", "warn", "info", "nav")) -> DataFrame:
+    """A count of each level, and total."""
+    return logs.agg(*[F.count_if(F.col("level") == x).alias(x) for x in levels], F.count("*").alias("total"))
+
+
+def luminance(colour: Column) -> Column:
+    """Relative luminance of a hexadecimal colour (#rgb or #rrggbb), by the sRGB curve."""
+    digits = F.replace(colour, F.lit("#"), F.lit(""))
+    wide = F.when(F.length(digits) == 3, F.regexp_replace(digits, "(.)", "$1$1")).otherwise(digits)
+
+    def channel(at: int) -> Column:
+        c = F.conv(F.substring(wide, at, 2), 16, 10).cast("double") / 255
+        return F.when(c <= 0.03928, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+
+    return channel(1) * 0.2126 + channel(3) * 0.7152 + channel(5) * 0.0722
+
+
+def brightness(pixels: DataFrame, step: int = 8) -> DataFrame:
+    """image_id, brightness: the mean of 0.299 r + 0.587 g + 0.114 b over every ``step``-th pixel (image_id, place, r, g, b)."""
+    light = F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114
+    return pixels.filter(F.col("place") % step == 0).groupBy("image_id").agg(F.avg(light).alias("brightness"))

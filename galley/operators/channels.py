@@ -130,7 +130,8 @@ def rising(channels: DataFrame, now: Column, order: str = "score") -> DataFrame:
     """channel_id, score, tier, subs, age of Korean channels of 500 to 300,000 subscribers, four years old at most.
 
     score is views a subscriber times a bonus for youth (halved under five videos) times log2(videos + 2) times
-    10, rounded. Ordered by tier, then score or subs.
+    10, rounded. A column ``matches``, where there is one, says whether the content matches for the tier. Ordered by tier,
+    then score or subs.
     """
     years = F.datediff(now, "published") / 365
     rows = channels.filter(F.col("subs").between(500, 300000) & korean(channels)).withColumn("age", years).filter("age <= 4")
@@ -138,7 +139,8 @@ def rising(channels: DataFrame, now: Column, order: str = "score") -> DataFrame:
     bonus = F.when(F.col("video_count") >= 5, bonus).otherwise(bonus * 0.5)
     score = half_up(F.col("views") / F.col("subs") * bonus * F.log2(F.col("video_count") + 2.0) * 10)
     mean = F.when(F.col("video_count") > 0, half_up(F.col("views") / F.col("video_count"))).otherwise(0)
-    tier = publish_tier(F.col("subs"), mean, F.col("video_count"), F.lit(False))
+    matches = F.coalesce("matches", F.lit(False)) if "matches" in channels.columns else F.lit(False)
+    tier = publish_tier(F.col("subs"), mean, F.col("video_count"), matches)
     out = rows.select("channel_id", score.alias("score"), tier.alias("tier"), "subs", "age").filter("score > 0")
     return out.orderBy("tier", F.desc(order), "channel_id")
 
@@ -170,3 +172,33 @@ def resolve_input(raw: Column) -> Column:
     handle, ident, custom = path(r"(?:youtube\.com/|^)@([^/?\s]+)"), path(r"(?:youtube\.com/channel/|^)(UC[\w-]{22})"), path(r"youtube\.com/(?:c|user)/([^/?\s]+)")
     named = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     return F.when(handle != "", named("handle", handle)).when(ident != "", named("id", ident)).when(custom != "", named("name", custom)).otherwise(named("search", text))
+
+
+def listed(channels: DataFrame, least: int = 500, top: int = 50) -> DataFrame:
+    """The first ``top`` Korean channels with ``least`` subscribers or more, in the order of the search (column ``place``)."""
+    rows = channels.filter(korean(channels) & (F.coalesce("subs", F.lit(0)) >= least))
+    return rows.orderBy("place").limit(top)
+
+
+def ordered(channels: DataFrame, query: str, by: str = "relevance") -> DataFrame:
+    """Channels by 'relevance' to a query, 'subs' or 'views', most first; equal ones in the order of the search (``place``)."""
+    key = relevance(query) if by == "relevance" else F.coalesce(by, F.lit(0))
+    return channels.withColumn("_key", key).orderBy(F.desc("_key"), "place").drop("_key")
+
+
+def sanitised(raw: Column, most: int = 50) -> Column:
+    """Search words without signs that a search would read as operators, cut."""
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(raw, r"[^a-zA-Z0-9가-힣\s]", " "), r"\s+", " ")), 1, most)
+
+
+def short_number(n: Column) -> Column:
+    """A number as it is shown: 천 from a thousand, 만 from ten thousand, 천만 from ten million."""
+    tenth = lambda unit: F.format_string("%.1f", n / unit)
+    return F.when(n >= 10_000_000, F.concat(tenth(10_000_000.0), F.lit("천만"))).when(n >= 10_000, F.concat(half_up(n / 10_000).cast("string"), F.lit("만"))).when(n >= 1000, F.concat(tenth(1000.0), F.lit("천"))).otherwise(n.cast("string"))
+
+
+def highlighted(text: Column, query: Column, before: str = "<mark>", after: str = "</mark>") -> Column:
+    """The text with the first place of a lower-cased query between two marks."""
+    at, size = F.instr(F.lower(text), query), F.length(query)
+    marked = F.concat(F.substring(text, F.lit(1), at - 1), F.lit(before), F.substring(text, at, size), F.lit(after), F.substring(text, at + size, F.length(text)))
+    return F.when((F.coalesce(query, F.lit("")) == "") | (at == 0), text).otherwise(marked)

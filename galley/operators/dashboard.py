@@ -39,9 +39,9 @@ def categories(titles: DataFrame, planned: DataFrame, lectures: DataFrame, own:
     """
     none = lambda kind: F.lit(None).cast(kind)
     side = F.when(F.col("publisher").isin(*own), "own").when(F.col("publisher").isin(*rivals), "rival")
-    shelf = titles.select("category", side.alias("side"), "rank", "year", none("string").alias("status"), none("long").alias("popularity")).filter(F.col("side").isNotNull() & (F.col("category") != skip))
-    plans = planned.select("category", F.lit("planned").alias("side"), none("int").alias("rank"), none("int").alias("year"), "status", none("long").alias("popularity"))
-    talks = lectures.filter(F.col("category") != skip).select("category", F.lit("lecture").alias("side"), none("int").alias("rank"), none("int").alias("year"), none("string").alias("status"), F.col("popularity").cast("long"))
+    shelf = titles.select("category", side.alias("side"), "rank", "year", "title", none("string").alias("status"), none("long").alias("popularity")).filter(F.col("side").isNotNull() & (F.col("category") != skip))
+    plans = planned.select("category", F.lit("planned").alias("side"), none("int").alias("rank"), none("int").alias("year"), "title", "status", none("long").alias("popularity"))
+    talks = lectures.filter(F.col("category") != skip).select("category", F.lit("lecture").alias("side"), none("int").alias("rank"), none("int").alias("year"), "title", none("string").alias("status"), F.col("popularity").cast("long"))
     of = lambda s: F.col("side") == s
     rows = shelf.unionByName(plans).unionByName(talks).groupBy("category")
     rows = rows.agg(
@@ -52,7 +52,7 @@ def categories(titles: DataFrame, planned: DataFrame, lectures: DataFrame, own:
         F.count_if(of("lecture")).alias("n_lectures"),
         F.min(F.when(of("rival"), F.col("rank"))).alias("rival_best"),
         F.min(F.when(of("own"), F.col("rank"))).alias("own_best"),
-        F.min_by("year", F.when(of("rival"), F.col("rank"))).alias("rival_year"),
+        F.min_by("year", F.when(of("rival"), F.struct("rank", "year", "title"))).alias("rival_year"),
         F.coalesce(F.sum(F.when(of("lecture"), F.col("popularity"))), F.lit(0)).alias("popularity"),
     )
     status = (

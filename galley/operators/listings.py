@@ -8,6 +8,7 @@ compared by edit distance, within the one file that was chosen for the block.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.operators.snapshots import best_of
@@ -26,25 +27,46 @@ def bare(line: Column) -> Column:
 
 
 def repaired(line: Column) -> Column:
-    """Artefacts of printing undone: split operators and dunders, string prefixes set apart, ellipses."""
-    out = F.regexp_replace(F.coalesce(line, F.lit("")), r"([=!<>+\-*/])\s+=", "$1=")
+    """Artefacts of printing undone: notes in the margin, split operators and dunders, string prefixes set apart, ellipses.
+
+    A margin note is Hangul behind the last tab without a sign of code.
+    """
+    out = F.regexp_replace(F.coalesce(line, F.lit("")), r"\t(?=[^\t]*[가-힣])[^\t{}()\[\];=<>/\\|&^~`@+\-*%!\"'#]*$", "")
+    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    out = F.regexp_replace(out, r"([=!<>+\-*/])\s+=", "$1=")
+    out = F.regexp_replace(F.regexp_replace(out, r"\* \*", "**"), r"([<>]) \1", "$1$1")
     out = F.regexp_replace(out, r"_\s+_(?=\w)|(?<=\w)_\s+_", "__")
-    return F.regexp_replace(F.regexp_replace(out, r"\b([fFrRbB])\s+(?=[\"'])", "$1"), "…", "...")
+    out = F.regexp_replace(F.regexp_replace(out, r"\b([fFrRbB])\s+(?=[\"'])", "$1"), r"^@\s+", "@")
+    return F.regexp_replace(F.regexp_replace(out, "…", "..."), r"\.\s\.\s\.", "...")
+
+
+def repaired_name(name: Column) -> Column:
+    """A file name as it was before print set its underscores and dots apart."""
+    out = F.regexp_replace(F.regexp_replace(name, "_ _", "__"), r"\s*_\s*", "_")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\s*\.\s*", "."), r"\t", ""))
 
 
 def without_comment(line: Column) -> Column:
-    """The line up to a # or // outside quotes. Lines of more than 4,000 characters aren't code lines and stay."""
+    """The line up to a # or // outside quotes; a line that is all comment stays.
+
+    The line is cut in strings, marks and the text between; what stands before the first mark is as long as the
+    pieces before it, whatever the length of the line.
+    """
     text = F.coalesce(line, F.lit(""))
-    code = r"^((?>[^\"'#/]++|\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+'|/(?!/)|[\"'])*+)"
-    return F.rtrim(F.when(F.length(text) <= 4000, F.regexp_extract(text, code, 1)).otherwise(text))
+    masked = F.regexp_replace(text, r"\\.", "__")  # escapes, so that quotes inside strings don't end them
+    pieces = F.regexp_extract_all(masked, F.lit(r"\"[^\"]*\"|'[^']*'|#|//|[^\"'#/]+|[\"'/]"), F.lit(0))
+    first = F.least(F.nullif(F.array_position(pieces, "#"), F.lit(0)), F.nullif(F.array_position(pieces, "//"), F.lit(0)))
+    size = F.aggregate(F.slice(pieces, 1, F.greatest(first - 1, F.lit(0)).cast("int")), F.lit(0), lambda n, x: n + F.length(x))
+    before = F.rtrim(F.substring(text, F.lit(1), size))
+    return F.when(first.isNull() | (before == ""), F.rtrim(text)).otherwise(before)
 
 
 def incomplete(line: Column) -> Column:
-    """Whether a line opens more brackets than it closes, or ends in an operator, comma or backslash."""
+    """Whether a line opens more brackets than it closes, or ends in an operator, comma, arrow, backslash or a word like 'and'."""
     more = F.lit(0)
     for a, b in ("()", "[]", "{}"):
         more += F.length(F.replace(line, F.lit(b), F.lit(""))) - F.length(F.replace(line, F.lit(a), F.lit("")))
-    return (more > 0) | F.rtrim(line).rlike(r"[,\\+\-*/=|&]$")
+    return (more > 0) | F.rtrim(line).rlike(r"[,\\+\-*/=|&]$|[=\-]>$|\b(?:and|or|not|in|is)$")
 
 
 def similarity(a: Column, b: Column, least: float = FUZZY) -> Column:
@@ -79,6 +101,24 @@ def excluded(path: Column) -> Column:
     return path.rlike(r"(?:^|/)(?:node_modules|\.git|__pycache__|\.venv|venv|dist|build|\.idea|\.vscode|site-packages)(?:/|$)")
 
 
+def _most_lines(lines: DataFrame, source: DataFrame, need: DataFrame) -> DataFrame:
+    """block_id, path, hits: the file that has most lines of each block, the smaller path on a tie, if ``need`` (block_id, size, need) or more.
+
+    A file with ``need`` of a block's lines lacks at most size - need of them, so it has one of any size - need + 1:
+    files are looked for by that many of the block's rarest lines, and counted on all its lines afterwards. Lines that
+    most files have are thus no join key of the search, and nothing is left out.
+    """
+    s = source.select("path", F.col("bare").alias("k")).filter("k <> ''").distinct()
+    b = lines.select("block_id", "number", F.col("bare").alias("k")).filter("k <> ''").join(need, "block_id")
+    often = s.join(b.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("files"))
+    rare = W.partitionBy("block_id").orderBy("files", "k", "number")
+    probes = b.join(often, "k", "left").withColumn("files", F.coalesce("files", F.lit(0))).withColumn("place", F.row_number().over(rare))
+    probes = probes.filter(F.col("place") <= F.col("size") - F.col("need") + 1).select("block_id", "k")
+    met = probes.distinct().join(s, "k").select("block_id", "path").distinct()
+    hits = met.join(b, "block_id").join(s, ["path", "k"], "left_semi").groupBy("block_id", "path").agg(F.count("*").alias("hits"), F.min("need").alias("need"))
+    return best_of(hits.filter(F.col("hits") >= F.col("need")), ["block_id"], [F.desc("hits"), F.col("path")], 1, "_n").select("block_id", "path", "hits")
+
+
 def best_files(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """block_id, path, hits: the file that shares most lines with each block, the smaller path on a tie.
 
@@ -86,17 +126,18 @@ def best_files(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """
     b = block_lines(blocks)
     size = b.groupBy("block_id").agg(F.count("*").alias("size"))
-    s = source_lines(files)
-    by = lambda k: b.select("block_id", "number", F.col(k).alias("k")).filter("k <> ''").join(s.select("path", F.col(k).alias("k")).distinct(), "k").select("block_id", "number", "path")
-    hits = by("spaced").union(by("bare")).distinct().groupBy("block_id", "path").agg(F.count("*").alias("hits"))
-    best = best_of(hits, ["block_id"], [F.desc("hits"), F.col("path")], 1, "_n").drop("_n").join(size, "block_id")
-    enough = F.when(F.col("size") <= 2, F.col("hits") >= F.col("size")).when(F.col("size") <= 5, F.col("hits") * 2 >= F.col("size")).otherwise(F.col("hits") * 5 >= F.col("size"))
-    return best.filter(enough).select("block_id", "path", "hits")
+    need = F.when(F.col("size") <= 2, F.col("size")).when(F.col("size") <= 5, F.ceil(F.col("size") / 2)).otherwise(F.ceil(F.col("size") / 5))
+    return _most_lines(b, source_lines(files), size.withColumn("need", need))
 
 
-def match_blocks(blocks: DataFrame, files: DataFrame) -> DataFrame:
+def match_blocks(blocks: DataFrame, files: DataFrame, least: float = 0.4) -> DataFrame:
     """block_id, path, how: 'name' where a file name is unique, else 'folder' by the vote of the blocks with
-    unique names on the same pages (column ``page``), else 'content'."""
+    unique names on the same pages (column ``page``), else 'content'.
+
+    A block of five lines or more that has less than ``least`` of them in its file goes to the file that has most
+    of them, if another has more ('again').
+    """
+    blocks = blocks.withColumn("filename", repaired_name(F.col("filename")))
     named = files.groupBy("filename").agg(F.count("*").alias("n"), F.min("path").alias("path"))
     unique = blocks.join(named.filter("n = 1"), "filename").select("block_id", "page", "path", F.lit("name").alias("how"))
     folder = F.regexp_extract("path", r"^(.*?)[^/]*$", 1)
@@ -109,28 +150,39 @@ def match_blocks(blocks: DataFrame, files: DataFrame) -> DataFrame:
     voted = voted.select("block_id", "path", F.lit("folder").alias("how"))
     left = rest.join(voted.select("block_id"), "block_id", "left_anti")
     found = best_files(left, files).select("block_id", "path", F.lit("content").alias("how"))
-    return unique.select("block_id", "path", "how").unionByName(voted).unionByName(found)
+    first = unique.select("block_id", "path", "how").unionByName(voted).unionByName(found)
+    b, s = block_lines(blocks), source_lines(files)
+    lines = b.select("block_id", "number", F.col("bare").alias("k")).filter("k <> ''").join(first, "block_id")
+    kept = lines.join(s.select("path", F.col("bare").alias("k")).distinct(), ["path", "k"], "left_semi").groupBy("block_id").agg(F.count("*").alias("hits"))
+    rates = first.join(b.groupBy("block_id").agg(F.count("*").alias("size")), "block_id").join(kept, "block_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    poor = rates.filter((F.col("size") >= 5) & (F.col("hits") < least * F.col("size"))).select("block_id", "size", (F.col("hits") + 1).alias("need"))
+    better = _most_lines(b.join(poor.select("block_id"), "block_id", "left_semi"), s, poor).select("block_id", F.col("path").alias("_p"))
+    return first.join(better, "block_id", "left").select("block_id", F.coalesce("_p", "path").alias("path"), F.when(F.col("_p").isNotNull(), "again").otherwise(F.col("how")).alias("how"))
+
+
+STAGES = (("exact", "spaced"), ("bare", "bare"), ("plain", "plain"), ("plain_bare", "plain_bare"))
 
 
 def compare_lines(blocks: DataFrame, files: DataFrame, chosen: DataFrame) -> DataFrame:
     """block_id, number, line, stage, source_number: how each printed line is found in the block's file.
 
-    Stages: exact (single spaces), bare, plain (no comment), plain_bare, near (edit distance), diff.
+    Stages: exact (single spaces), bare, plain (no comment), plain_bare, near (edit distance), diff. All keys of a
+    line meet those of the file in one join, and the strictest hit stays.
     """
     lines = block_lines(blocks).join(chosen.select("block_id", "path"), "block_id")
     source = source_lines(files)
-    found, rest = None, lines
-    for stage, key in (("exact", "spaced"), ("bare", "bare"), ("plain", "plain"), ("plain_bare", "plain_bare")):
-        first = source.filter(F.col(key) != "").groupBy("path", F.col(key).alias("k")).agg(F.min("number").alias("source_number"))
-        rest = rest.drop("source_number").join(first.withColumnRenamed("k", key), ["path", key], "left")
-        hit = rest.filter("source_number is not null").select("block_id", "number", "line", F.lit(stage).alias("stage"), "source_number")
-        found = hit if found is None else found.unionByName(hit)
-        rest = rest.filter("source_number is null")
-    close = rest.drop("source_number").join(source.select("path", F.col("number").alias("source_number"), F.col("spaced").alias("there")), "path")
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("stage"), F.col(k).alias("k")) for i, (_, k) in enumerate(STAGES)])).alias("x")
+    there = source.select("path", F.col("number").alias("source_number"), keys).select("path", "source_number", "x.*").filter("k <> ''")
+    there = there.groupBy("path", "stage", "k").agg(F.min("source_number").alias("source_number"))
+    asked = lines.select("block_id", "number", "path", keys).select("block_id", "number", "path", "x.*")
+    hits = asked.join(there, ["path", "stage", "k"]).groupBy("block_id", "number").agg(F.min(F.struct("stage", "source_number")).alias("hit"))
+    rows = lines.join(hits, ["block_id", "number"], "left")
+    close = rows.filter("hit is null").join(source.select("path", F.col("number").alias("source_number"), F.col("spaced").alias("there")), "path")
     close = close.withColumn("score", similarity(F.col("spaced"), F.col("there"))).filter("score is not null")
-    close = best_of(close, ["block_id", "number"], [F.desc("score"), F.col("source_number")], 1, "_n").select("block_id", "number", "line", F.lit("near").alias("stage"), "source_number")
-    diff = rest.join(close.select("block_id", "number"), ["block_id", "number"], "left_anti").select("block_id", "number", "line", F.lit("diff").alias("stage"), F.lit(None).cast("int").alias("source_number"))
-    return found.unionByName(close).unionByName(diff)
+    close = best_of(close, ["block_id", "number"], [F.desc("score"), F.col("source_number")], 1, "_n").select("block_id", "number", F.col("source_number").alias("near"))
+    rows = rows.join(close, ["block_id", "number"], "left")
+    stage = F.when(F.col("hit").isNotNull(), F.element_at(F.array(*[F.lit(n) for n, _ in STAGES]), F.col("hit.stage") + 1)).when(F.col("near").isNotNull(), "near").otherwise("diff")
+    return rows.select("block_id", "number", "line", stage.alias("stage"), F.coalesce("hit.source_number", "near").alias("source_number"))
 
 
 def coverage(blocks: DataFrame, files: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -168,19 +220,25 @@ def absent_files(blocks: DataFrame, files: DataFrame) -> DataFrame:
 def segmented(lines: DataFrame) -> DataFrame:
     """Printed lines (doc_id, page, pos, number, text) as blocks: block_id, doc_id, filename, page, lines.
 
-    A block begins at a label of a file name, where the line number falls, or where it starts over after a gap. Numbers
-    that skip leave a null line. One pass over each document's lines in order; the running number of breaks
+    A block begins at a label of a file name, where the line number falls by more than five, where it falls after a gap
+    of three lines or more, or where it starts over (two at most) after any gap. Numbers that skip leave a null line. One pass over each document's lines in order; the running number of breaks
     is a window sum.
     """
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("doc_id").orderBy("page", "pos")
     label = F.nullif(F.regexp_extract("text", r"^\s*(?:\[?파일\]?\s*)?([\w./-]+\.\w{1,5})\s*$", 1), F.lit(""))
     rows = lines.withColumn("label", F.when(F.col("number").isNull(), label)).filter("label is not null or number is not null")
     before = F.lag("number").over(w)
-    starts = F.col("label").isNotNull() | before.isNull() | (F.col("number") <= before)
+    gap = F.when(F.lag("page").over(w) == F.col("page"), F.col("pos") - F.lag("pos").over(w) - 1).otherwise(0)
+    fall = before - F.col("number")
+    starts = F.col("label").isNotNull() | before.isNull() | (fall > 5) | ((fall >= 0) & (gap >= 3)) | ((fall >= 0) & (F.col("number") <= 2) & (gap >= 1))
     rows = rows.withColumn("_s", F.when(starts, 1).otherwise(0)).withColumn("_gap", F.coalesce(F.col("number") - before > 1, F.lit(False)))
     rows = rows.withColumn("block", F.sum("_s").over(w)).withColumn("filename", F.last("label", True).over(w))
     item = F.struct("page", "pos", F.when(F.col("_gap") & (F.col("_s") == 0), F.array(F.lit(None).cast("string"), F.col("text"))).otherwise(F.array("text")).alias("t"))
     out = rows.filter("number is not null").groupBy("doc_id", "block", "filename").agg(F.min("page").alias("page"), F.array_sort(F.collect_list(item)).alias("items"))
     return out.select(F.concat_ws(":", "doc_id", "block").alias("block_id"), "doc_id", "filename", "page", F.flatten(F.col("items.t")).alias("lines"))
+
+
+def filtered(blocks: DataFrame, state: str | None = None, text: str | None = None) -> DataFrame:
+    """Blocks (block_id, filename, clean) of a state, 'diff' or 'clean', whose file name contains ``text``."""
+    out = blocks if state is None else blocks.filter(F.col("clean") if state == "clean" else ~F.col("clean"))
+    return out.filter(F.contains(F.lower("filename"), F.lit(text.lower()))) if text else out

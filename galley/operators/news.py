@@ -39,7 +39,7 @@ def merge_new(archive: DataFrame, incoming: DataFrame, order: list[str]) -> Data
 
 def with_type(articles: DataFrame, feeds: DataFrame) -> DataFrame:
     """Articles with source_type filled from the feeds' configuration (id, source_type) where it is null."""
-    known = feeds.select(F.col("id").alias("source"), F.col("source_type").alias("_type"))
+    known = feeds.groupBy(F.col("id").alias("source")).agg(F.min("source_type").alias("_type"))
     filled = F.coalesce("source_type", "_type", F.lit(fixed.DEFAULT_TYPE))
     return articles.join(known, "source", "left").withColumn("source_type", filled).drop("_type")
 
@@ -53,11 +53,11 @@ def merged_feeds(snapshot: DataFrame, archive: DataFrame) -> DataFrame:
 def weekly_trends(articles: DataFrame, feeds: DataFrame, weeks: int = 8, top: int = 15, cap: float = 0.5) -> DataFrame:
     """week, keyword, points: weighted and capped counts, the best ``top`` of each of the last ``weeks`` weeks.
 
-    An article adds its source's weight now in ``feeds`` (id, weight; 1 for unknown sources) to each of its
+    An article adds its source's weight now in ``feeds`` (id, weight; 1 for unknown sources, the largest of several) to each of its
     keywords. One source gives at most ``cap`` of a keyword's uncapped sum of the week. Sums are rounded
     half to even, and only positive ones stay. Undated articles take no part; ties go by keyword.
     """
-    weight = feeds.select(F.col("id").alias("source"), "weight")
+    weight = feeds.groupBy(F.col("id").alias("source")).agg(F.max("weight").alias("weight"))
     rows = articles.filter("date is not null").join(weight, "source", "left")
     rows = rows.select(iso_week(F.col("date")).alias("week"), F.explode("keywords").alias("keyword"), "source", F.coalesce("weight", F.lit(fixed.DEFAULT_WEIGHT)).alias("w"))
     given = rows.groupBy("week", "keyword", "source").agg(F.sum("w").alias("w"))
@@ -197,3 +197,15 @@ def filtered(articles: DataFrame, source: str | None = None, kind: str | None =
 def newest(articles: DataFrame, keyword: str, top: int = 20) -> DataFrame:
     """The newest articles with a keyword, undated ones last."""
     return articles.filter(F.array_contains("keywords", keyword)).orderBy(F.desc_nulls_last("date"), "link").limit(top)
+
+
+def in_order(articles: DataFrame) -> DataFrame:
+    """The archive newest first, undated articles last."""
+    return articles.orderBy(F.desc_nulls_last("date"), "link")
+
+
+def strongest_surges(surging: DataFrame, top: int = 6) -> DataFrame:
+    """place, keyword, kind, percent: the new and surging keywords that grew most, new ones by their count now."""
+    rows = surging.filter(F.col("kind") != "falling")
+    best = [F.desc_nulls_first("percent"), F.desc("now"), F.col("keyword")]
+    return rows.orderBy(*best).limit(top).select("keyword", "kind", "now", "percent")

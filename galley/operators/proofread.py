@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from galley.functions import fixed
 from galley.operators.snapshots import best_of
 
 Rule = tuple[str, str, str, str]
@@ -24,6 +25,10 @@ REPEATED_WORD = r"([가-힣]{3,})[ \t]*\1"
 # Sentence ends in Korean texts, and particles of one form that a sentence should not repeat.
 SENTENCE_END = r"(?<=[.!?다요죠함됨음임까나지세네군걸])\s+"
 PARTICLES = {"은": r"[가-힣]+은(?=\s)", "는": r"[가-힣]+는(?=\s)", "이": r"[가-힣]+이(?=\s)", "가": r"[가-힣]+가(?=\s)", "을": r"[가-힣]+을(?=\s)", "를": r"[가-힣]+를(?=\s)", "에서": r"[가-힣]+에서(?=\s)", "으로": r"[가-힣]+으로(?=\s)"}
+# What the colours of a speller's marks mean.
+SPELLER_COLOURS = {"red": "맞춤법 오류", "green": "띄어쓰기 오류", "blue": "표준어 의심/대치어", "violet": "통계적 교정"}
+# Fixed value: stacked particles.
+STACKED = r"에서의|에의|로의|에게의|에게서의|로부터의|과의|와의|로서의|에\s*관해서의|을\s*통해서의|에\s*따라서의|사이에서의"
 # Endings of the three styles of Korean prose.
 STYLES = {
     "formal": r"(?:합니다|됩니다|습니다|겠습니다|있습니다|됩니까|습니까)[.?!\s]",
@@ -56,6 +61,13 @@ def particle_repeats(pages: DataFrame, particles: Mapping[str, str] = PARTICLES,
     return sentences.select("doc_id", "page", F.substring("sentence", 1, 120).alias("sentence"), F.inline(F.filter(counts, lambda c: c["n"] >= least)))
 
 
+def stacked_particles(pages: DataFrame, pattern: str = STACKED, least: int = 2, sentence_end: str = SENTENCE_END, shortest: int = 15) -> DataFrame:
+    """doc_id, page, sentence, n: sentences with ``least`` stacked particles or more."""
+    sentences = pages.select("doc_id", "page", F.explode(F.split("text", sentence_end)).alias("sentence")).filter(F.length("sentence") >= shortest)
+    n = F.regexp_count("sentence", F.lit(pattern)).cast("long")
+    return sentences.select("doc_id", "page", F.substring("sentence", 1, 120).alias("sentence"), n.alias("n")).filter(F.col("n") >= least)
+
+
 def style_counts(pages: DataFrame, styles: Mapping[str, str] = STYLES, shortest: int = 50) -> DataFrame:
     """doc_id, page and the number of endings of each style, for pages long enough."""
     return pages.filter(F.length("text") >= shortest).select("doc_id", "page", *[F.regexp_count("text", F.lit(p)).cast("long").alias(k) for k, p in styles.items()])
@@ -127,6 +139,38 @@ def without_lines(pages: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)).drop("_drop")
 
 
+def repeating_regions(lines: DataFrame, band: float = 0.12, share: float = 0.6, least_pages: int = 4, shortest: int = 2, longest: int = 120) -> DataFrame:
+    """doc_id, side ('top' or 'bottom'), region, n: the text of a page's upper or lower band, where most pages have it.
+
+    ``lines`` has doc_id, page, y (growing upwards) and text. A band is that share of the page's height between its
+    first and last line; its lines, from above, are joined by bars. A region counts from ``share`` of a document's
+    pages, ``least_pages`` at least, rounded down.
+    """
+    w = W.partitionBy("doc_id", "page")
+    top, low = F.max("y").over(w), F.min("y").over(w)
+    rows = lines.withColumn("_edge", F.when(top > low, top - low).otherwise(F.lit(1)) * band).withColumn("_top", top).withColumn("_low", low)
+    sides = F.array_compact(F.array(F.when(F.col("y") > F.col("_top") - F.col("_edge"), "top"), F.when(F.col("y") < F.col("_low") + F.col("_edge"), "bottom")))
+    rows = rows.select("doc_id", "page", "y", F.trim("text").alias("text"), F.explode(sides).alias("side")).filter("text <> ''")
+    bands = rows.groupBy("doc_id", "page", "side").agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), "text"))).alias("x"))
+    bands = bands.select("doc_id", "side", F.array_join("x.text", "|").alias("region")).filter(F.length("region").between(shortest, longest))
+    pages = lines.groupBy("doc_id").agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= least_pages)
+    counts = bands.groupBy("doc_id", "side", "region").agg(F.count("*").alias("n"))
+    return counts.join(pages, "doc_id").filter(F.col("n") >= F.floor(F.col("pages") * share)).select("doc_id", "side", "region", "n")
+
+
+def without_regions(pages: DataFrame, regions: DataFrame, reach: int = 3) -> DataFrame:
+    """``pages`` (doc_id, page, text) without the lines of repeating regions among the first or last ``reach`` lines.
+
+    The regions of a document are few by construction: each stands on most of its pages.
+    """
+    of = lambda side: F.flatten(F.collect_list(F.when(F.col("side") == side, F.split("region", r"\|"))))
+    held = regions.groupBy("doc_id").agg(of("top").alias("_first"), of("bottom").alias("_last"))
+    rows = pages.join(held, "doc_id", "left")
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda x, i: ~((F.array_contains("_first", F.trim(x)) & (i < reach)) | (F.array_contains("_last", F.trim(x)) & (i >= F.size(lines) - reach))))
+    return rows.withColumn("text", F.when(F.col("_first").isNull(), F.col("text")).otherwise(F.trim(F.array_join(kept, "\n")))).drop("_first", "_last")
+
+
 def dictionary_hits(pages: DataFrame, wrong: Mapping[str, str], longest_tail: int = 1) -> DataFrame:
     """doc_id, page, found, suggestion: wrong forms in the text, once a form and page.
 
@@ -189,9 +233,14 @@ def in_order(issues: DataFrame) -> DataFrame:
     return issues.orderBy("doc_id", "page", severity_rank(), "type", "found")
 
 
-def filtered(issues: DataFrame, severity: str | None = None, types: Sequence[str] | None = None, text: str | None = None) -> DataFrame:
-    """Issues of a severity, and of ``types``; a text search holds only where no types are given."""
+def filtered(issues: DataFrame, severity: str | None = None, types: Sequence[str] | None = None, text: str | None = None, resolved: bool | None = None) -> DataFrame:
+    """Issues of a severity, and of ``types``; a text search holds only where no types are given.
+
+    ``resolved`` takes those that a column of that name says are (null: not), or aren't.
+    """
     out = issues if severity is None else issues.filter(F.col("severity") == severity)
+    if resolved is not None:
+        out = out.filter(F.coalesce("resolved", F.lit(False)) == resolved)
     if types is not None:
         return out.filter(F.col("type").isin(*types))
     return out.filter(F.contains(F.lower(F.concat_ws(" ", "found", "suggestion")), F.lit(text.lower()))) if text else out
@@ -207,12 +256,59 @@ def corrected(texts: DataFrame, corrections: DataFrame, before: str = "", after:
 
 
 def same_suggestion(found: Column, suggestion: Column) -> Column:
-    """Whether a suggestion repeats the finding: equal without white space, or 80 percent of its bigrams."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    """Whether a suggestion says what the finding says, white space, quotes and marks aside, in any case.
+
+    They are equal; or one holds the other and is at most 15 percent longer; or their edit distance is at most a
+    tenth of the longer; texts of over 200 characters are compared by trigrams, of which they share nine tenths.
+    An empty one says nothing, so it is never the same.
+    """
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[\s\u00A0.,!?·…。、()\[\]「」『』“”‘’\"']", ""))
     a, b = bare(found), bare(suggestion)
-    grams = lambda c: F.when(F.length(c) < 2, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))))
+    longer, shorter = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    inside = (F.contains(a, b) | F.contains(b, a)) & (longer * 100 <= shorter * 115)
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
     common = F.size(F.array_intersect(grams(a), grams(b)))
-    return (a == b) | (common * 5 >= F.greatest(F.size(grams(a)), F.size(grams(b))) * 4)
+    alike = F.when(longer > 200, common * 10 >= F.greatest(F.size(grams(a)), F.size(grams(b))) * 9).otherwise(F.levenshtein(a, b) * 10 <= longer)
+    return F.coalesce((a != "") & (b != "") & ((a == b) | inside | alike), F.lit(False))
+
+
+def valid_findings(issues: DataFrame, pages: DataFrame) -> DataFrame:
+    """``issues`` whose finding stands in its page (doc_id, page, text) and whose suggestion says something else."""
+    texts = pages.select("doc_id", "page", F.col("text").alias("_text"))
+    rows = issues.join(texts, ["doc_id", "page"]).filter((F.length("found") > 0) & F.contains("_text", F.col("found")))
+    return rows.filter(~same_suggestion(F.col("found"), F.coalesce("suggestion", F.lit("")))).drop("_text")
+
+
+def passive_alternatives(found: Column) -> Column:
+    """struct<passive, active> of what may stand for a double passive, null for other texts. The first form in it decides."""
+    ways = [F.when(found.rlike(p), F.struct(F.regexp_replace(found, p, one).alias("passive"), F.regexp_replace(found, p, two).alias("active"))) for p, one, two in fixed.PASSIVES]
+    return F.coalesce(*ways)
+
+
+def clean_suggestion(type_: Column, found: Column, suggestion: Column) -> Column:
+    """What can be put in the place of a finding, '' where a suggestion only says what to do.
+
+    In order: the text in quotes behind an arrow; the word that all are to be made; nothing for deletions and short
+    directions; the word before a bracket; a short word as it is; else the suggestion without its mark of an error, for
+    missing content and wrong facts cut to the first sentence where it is over three times as long as the finding.
+    """
+    s = F.trim(F.coalesce(suggestion, F.lit("")))
+    part = lambda p: F.nullif(F.regexp_extract(s, p, 1), F.lit(""))
+    before = F.trim(part(r"^([^(（]+?)\s*[(（]"))
+    plain = F.regexp_replace(s, r"(?i)^\[오류\]\s*", "")
+    most = F.greatest(F.length(F.coalesce(found, F.lit(""))) * 3, F.lit(100))
+    sentence = F.nullif(F.regexp_extract(plain, r"^(.{20,}?[.다])\s", 1), F.lit(""))
+    long = F.coalesce(type_.isin("내용보완필요", "사실오류"), F.lit(False)) & (F.length(plain) > most)
+    return (
+        F.when(s == "", "")
+        .when(part(r'^→\s*"([^"]+)"').isNotNull(), part(r'^→\s*"([^"]+)"'))
+        .when(part(r"^'([^']+)'으로 통일").isNotNull(), part(r"^'([^']+)'으로 통일"))
+        .when(s.rlike(r"삭제\s*(?:또는|혹은)") | (s.rlike("시키세요|하세요|필요|확인") & (F.length(s) < 30)) | s.rlike("^다중조사"), "")
+        .when(before.isNotNull() & (F.length(before) < 20), before)
+        .when((F.length(s) <= 10) & ~s.rlike("[.!?,;]"), s)
+        .when(long, F.coalesce(sentence, F.substring(plain, F.lit(1), most)))
+        .otherwise(plain)
+    )
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -283,3 +379,48 @@ def confusion(expected: DataFrame, issues: DataFrame) -> DataFrame:
     one = rows.groupBy("doc_id", "type").agg(F.bool_or(good).alias("good"), F.count("_t").alias("n"))
     wanted = F.col("type").isNotNull()
     return one.agg(F.count_if(wanted & F.col("good")).alias("detected"), F.count_if(wanted & ~F.col("good")).alias("missed"), F.count_if(~wanted & (F.col("n") > 0)).alias("false_positives"), F.count_if(~wanted & (F.col("n") == 0)).alias("clean"))
+
+
+def speller_pairs(answers: DataFrame) -> DataFrame:
+    """``answers`` (key columns, origin_html, html) as rows with found, suggestion and info, pair by pair.
+
+    Underlined spans of the original meet the marked words of the answer in order; the colour of a mark says what
+    was wrong, and what one side has too many goes.
+    """
+    read = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&#39;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
+    origins = F.regexp_extract_all("origin_html", F.lit(r"(?s)<span class='result_underline'>(.*?)</span>"), F.lit(1))
+    mark = r"(?s)<em class='([a-z]+)_text'>(.*?)</em>"
+    colours, fixes = (F.regexp_extract_all("html", F.lit(mark), F.lit(k)) for k in (1, 2))
+    n = F.least(F.size(origins), F.size(fixes))
+    zipped = F.arrays_zip(F.slice(origins, 1, n).alias("found"), F.slice(fixes, 1, n).alias("suggestion"), F.slice(colours, 1, n).alias("colour"))
+    rows = answers.filter("origin_html is not null and html is not null").withColumn("x", F.explode(zipped)).drop("origin_html", "html")
+    info = F.create_map(*[F.lit(v) for pair in SPELLER_COLOURS.items() for v in pair])
+    keys = [c for c in rows.columns if c != "x"]
+    return rows.select(*keys, read(F.col("x.found")).alias("found"), read(F.col("x.suggestion")).alias("suggestion"), F.coalesce(F.try_element_at(info, F.col("x.colour")), F.lit("")).alias("info"))
+
+
+def manuscript_sample(texts: DataFrame, most: int = 20_000, front: int = 8_000, contents: int = 50, lead: int = 500, skip: int = 7_500) -> DataFrame:
+    """doc_id, sample: whole texts (doc_id, text) of up to ``most`` characters, of longer ones what a reader sees first.
+
+    That is the front, the first ``contents`` lines that look like headings, and the first ``lead`` characters of each
+    chapter that begins behind ``skip``, numbered, as long as there is room. Lines are numbered and placed by window
+    sums over their lengths, so a long text is no longer an array than its lines.
+    """
+    short = texts.filter(F.coalesce(F.length("text"), F.lit(0)) <= most).select("doc_id", F.col("text").alias("sample"))
+    long = texts.filter(F.length("text") > most).select("doc_id", "text")
+    w = W.partitionBy("doc_id").orderBy("line")
+    lines = long.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    lines = lines.withColumn("at", F.coalesce(F.sum(F.length("x") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    heads = lines.filter(F.trim("x").rlike(r"^(?:제?\s*\d+\s*[장부편]|CHAPTER\s*\d+|Chapter\s*\d+|\d+\.\d+\s)") & (F.length(F.trim("x")) > 2))
+    heads = best_of(heads, ["doc_id"], [F.col("line")], contents, "_n").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "x"))).alias("h"))
+    toc = F.concat(F.lit("[--- 목차 ---]\n"), F.array_join("h.x", "\n"))
+    rows = long.join(heads.select("doc_id", toc.alias("toc")), "doc_id", "left")
+    rows = rows.withColumn("toc", F.substring("toc", 1, most - front)).withColumn("used", front + F.coalesce(F.length("toc"), F.lit(0)))
+    chapters = lines.filter(F.col("x").rlike(r"^(?:제?\s*\d+\s*[장부편]|CHAPTER\s+\d+|Chapter\s+\d+)") & (F.col("line") > 0) & (F.col("at") >= skip))
+    chapters = chapters.select("doc_id", "line", "at", F.row_number().over(w).alias("k"))
+    parts = chapters.join(rows, "doc_id").select("doc_id", "line", "used", F.concat(F.lit("[--- "), F.col("k").cast("string"), F.lit("장 도입부 ---]\n"), F.substring("text", F.col("at") + 1, F.lit(lead))).alias("part"))
+    parts = parts.withColumn("before", F.col("used") + F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.filter(F.col("before") < most - 200).withColumn("part", F.substring("part", F.lit(1), most - F.col("before")))
+    leads = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "part"))).alias("p"))
+    sample = F.array_join(F.concat(F.array_compact(F.array(F.substring("text", 1, front), F.col("toc"))), F.coalesce("p.part", F.array().cast("array<string>"))), "\n\n")
+    return short.unionByName(rows.join(leads, "doc_id", "left").select("doc_id", sample.alias("sample")))

@@ -39,18 +39,25 @@ def outline_numbers(entries: DataFrame, fill: bool = False, deepest: int = 5) ->
     return rows.select(*[c for c in rows.columns if not c.startswith("_")], number.alias("number"))
 
 
-def upper_median(value: Column) -> Column:
-    """The element at floor(n / 2) of the sorted values: an aggregate that never interpolates."""
-    held = F.array_sort(F.collect_list(value))
-    return F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
+def upper_medians(rows: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
+    """``keys`` and median: the element at floor(n / 2) of each group's sorted values, so nothing is interpolated.
+
+    Equal values are counted first, and running sums over the counts find the place, so no group is held as a list.
+    Nulls don't count.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys)
+    upto = F.sum("_n").over(w.orderBy("_v"))
+    placed = counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(w))
+    return placed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min("_v").alias("median"))
 
 
-def page_lines(items: DataFrame, tolerance: float = 3.0, em: float = 0.25) -> DataFrame:
+def page_lines(items: DataFrame, tolerance: float = 3.0, em: float = 0.25, tab: float | None = None) -> DataFrame:
     """Positioned items (doc_id, page, x, y, width, font_size, str) as lines: doc_id, page, line, y, x, text.
 
     Items follow y downwards, then x. A line begins where y lies more than ``tolerance`` below its first item, an anchor
     that only a fold over the page can know; a page's items are few, so the fold runs over an array of them. A gap wider than
-    ``em`` of the font size puts a space.
+    ``em`` of the font size puts a space, one wider than ``tab`` points, where that is given, a tab.
     """
     item = F.struct((-F.col("y")).alias("down"), "x", "width", "font_size", "str")
     pages = items.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -64,8 +71,11 @@ def page_lines(items: DataFrame, tolerance: float = 3.0, em: float = 0.25) -> Da
     lines = F.aggregate("items", start, step, lambda s: s["lines"])
     rows = pages.withColumn("lines", lines).select("doc_id", "page", F.inline(F.arrays_zip("items", "lines"))).select("doc_id", "page", F.col("lines").alias("line"), "items.*")
     w = W.partitionBy("doc_id", "page", "line").orderBy("x", "down")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(w) > em * F.col("font_size")
-    rows = rows.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), F.col("str")))
+    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(w)
+    between = F.when(gap > em * F.col("font_size"), " ").otherwise("")
+    if tab is not None:
+        between = F.when(gap > tab, "\t").otherwise(between)
+    rows = rows.withColumn("piece", F.concat(between, F.col("str")))
     out = rows.groupBy("doc_id", "page", "line").agg(F.max(-F.col("down")).alias("y"), F.min("x").alias("x"), F.array_sort(F.collect_list(F.struct("x", "down", "piece"))).alias("p"))
     return out.select("doc_id", "page", "line", "y", "x", F.array_join(F.col("p.piece"), "").alias("text"))
 
@@ -96,6 +106,21 @@ def figure_check(elements: DataFrame, mention: str = r"(?i)(?:그림|figure)\s*(
     return there.join(named, "doc_id", "left").select("doc_id", F.coalesce("mentioned", F.lit(0)).alias("mentioned"), "figures")
 
 
+def section_size(sections: DataFrame, line: int = 40, page: int = 35) -> DataFrame:
+    """doc_id, characters, lines, pages (to one decimal, rounded up) of sections (doc_id, level, title, summary, intro, body).
+
+    A heading takes 4, 3 or 2.5 lines by its level, 2 below; a summary a line more than its own, an intro and a body
+    two more; parts that are empty take none.
+    """
+    filled = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = lambda c, more: F.when(filled(c) == "", 0).otherwise(more + F.aggregate(F.split(filled(c), "\n"), F.lit(0).cast("long"), lambda n, p: n + F.greatest(F.ceil(F.length(p) / line), F.lit(1))))
+    level = F.coalesce("level", F.lit(1))
+    heading = F.when(level == 1, 4.0).when(level == 2, 3.0).when(level == 3, 2.5).otherwise(2.0)
+    size = F.length(F.regexp_replace(F.concat(*map(filled, ("title", "summary", "intro", "body"))), r"\s", ""))
+    sums = sections.groupBy("doc_id").agg(F.sum(size).alias("characters"), F.sum(heading + own("summary", 1) + own("intro", 2) + own("body", 2)).alias("lines"))
+    return sums.withColumn("pages", F.ceil(F.round(F.col("lines") / page * 10, 6)) / 10)
+
+
 def manuscript_size(texts: DataFrame, line: int = 40, page: int = 35) -> DataFrame:
     """doc_id, characters (without white space), lines (of ``line`` characters, one a paragraph at least), pages."""
     lines = F.aggregate(F.split("text", "\n"), F.lit(0).cast("long"), lambda n, p: n + F.greatest(F.ceil(F.length(p) / line), F.lit(1)))

@@ -93,3 +93,43 @@ def kept_headings(headings: DataFrame) -> DataFrame:
     w = W.partitionBy("doc_id").orderBy("pos")
     same = (normal_title(F.col("title")) == F.lag(normal_title(F.col("title"))).over(w)) & (F.col("page") - F.lag("page").over(w) <= 1)
     return headings.withColumn("_s", F.coalesce(same, F.lit(False))).filter("not _s").drop("_s")
+
+
+def outline_lines(texts: DataFrame, longest: int = 100) -> DataFrame:
+    """doc_id, line, level, title, memo, pages of the entries in the lines of outlines (doc_id, text).
+
+    Blank lines, rules of signs and comments are skipped. The level is that of a Markdown heading, of a number (1.2.3
+    is 3, at most 4), of a list mark by its indent (2 at least), else of the indent, by tabs and four spaces, at most
+    5; parts, chapters and appendices are 1. A number of pages at the end ('(30p)', ' 30p') and a memo behind a dash
+    are cut off the title. Titles over ``longest`` characters below level 1 are body text.
+    """
+    lines = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\r", ""), "\n")).alias("line", "raw")).withColumn("t", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")))
+    lines = lines.filter((F.col("t") != "") & ~F.col("t").rlike(r"^[-=]{3,}$|^//"))
+    t = F.col("t")
+    indent = F.regexp_extract("raw", r"^(\s*)", 1)
+    tabs = F.length(indent) - F.length(F.replace(indent, F.lit("\t"), F.lit("")))
+    depth = tabs + F.floor((F.length(indent) - tabs) / 4)
+    marks = F.regexp_extract(t, r"^(#{1,5})\s+.", 1)
+    dots = F.length(F.regexp_replace(F.regexp_extract(t, r"^(\d+(?:\.\d+){1,3})", 1), r"\d", ""))
+    cut = lambda p: F.coalesce(F.nullif(F.trim(F.regexp_replace(t, p, "")), F.lit("")), t)
+    named = lambda level, title: F.struct(level.cast("int").alias("level"), title.alias("title"))
+    entry = (
+        F.when(marks != "", named(F.length(marks), F.trim(F.regexp_replace(t, r"^#{1,5}\s+", ""))))
+        .when(t.rlike(r"^\d+장(?![\w가-힣])"), named(F.lit(1), t))
+        .when(dots > 0, named(dots + 1, cut(r"^\d+(?:\.\d+){1,3}\.?\s*")))
+        .when(t.rlike(r"^\d+\.?\s") & (F.length(t) > 3), named(F.lit(1), cut(r"^\d+\.?\s*")))
+        .when(t.rlike(r"^[-*+]\s"), named(F.least(depth + 2, F.lit(5)), F.trim(F.regexp_replace(t, r"^[-*+]\s+", ""))))
+        .otherwise(named(F.least(depth + 1, F.lit(5)), t))
+    )
+    rows = lines.select("doc_id", "line", entry.alias("e")).select("doc_id", "line", "e.*")
+    rows = rows.withColumn("level", F.when(F.col("title").rlike(r"(?i)^(?:PART|부록|Appendix|Chapter|챕터)"), 1).otherwise(F.col("level")))
+    bracketed, bare = r"[(\[]\s*(\d+)\s*[pP페이지]*\s*[)\]]\s*$", r"\s+(\d+)\s*[pP]\s*$"
+    first, second = (F.nullif(F.regexp_extract("title", p, 1), F.lit("")) for p in (bracketed, bare))
+    rows = rows.withColumn("pages", F.coalesce(first, second, F.lit("0")).cast("int"))
+    rows = rows.withColumn("title", F.trim(F.when(first.isNotNull(), F.regexp_replace("title", bracketed, "")).when(second.isNotNull(), F.regexp_replace("title", bare, "")).otherwise(F.col("title"))))
+    dash = F.coalesce(F.nullif(F.regexp_extract("title", r"(\s+—\s+.+)$", 1), F.lit("")), F.nullif(F.regexp_extract("title", r"(\s+-\s+.+)$", 1), F.lit("")))
+    rows = rows.withColumn("_d", F.when(F.instr("title", dash) > 4, dash))
+    memo = F.coalesce(F.trim(F.regexp_replace("_d", r"^\s+[—-]\s+", "")), F.lit(""))
+    title = F.when(F.col("_d").isNull(), F.col("title")).otherwise(F.trim(F.substring("title", F.lit(1), F.instr("title", F.col("_d")) - 1)))
+    rows = rows.select("doc_id", "line", "level", title.alias("title"), memo.alias("memo"), "pages")
+    return rows.filter((F.col("title") != "") & ((F.length("title") <= longest) | (F.col("level") == 1)))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from galley.functions.dictionary import half_up
 from galley.operators.snapshots import best_of
 
+# The scales of a card, best first.
+PICKS, URGENCY, GAPS = ("preempt", "hook", "safe"), ("지금", "3개월 내", "6개월 내"), ("높음", "보통", "낮음")
+HIGH_GAP = "높음"
+
 
 def flattened(taxonomy: DataFrame) -> DataFrame:
     """path, query of a tree (l1, l2, l3, queries array<string>), a row a query."""
@@ -73,19 +77,46 @@ def checked_picks(cards: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def summary(cards: DataFrame) -> DataFrame:
-    """cards, preempt, hook, safe."""
+    """cards, preempt, hook, safe, high_gaps (cards whose column ``gap``, where there is one, is '높음')."""
     n = lambda p: F.count_if(F.col("pick") == p)
-    return cards.agg(F.count("*").alias("cards"), n("preempt").alias("preempt"), n("hook").alias("hook"), (F.count("*") - n("preempt") - n("hook")).alias("safe"))
+    high = F.count_if(F.col("gap") == HIGH_GAP) if "gap" in cards.columns else F.lit(0).cast("long")
+    return cards.agg(F.count("*").alias("cards"), n("preempt").alias("preempt"), n("hook").alias("hook"), (F.count("*") - n("preempt") - n("hook")).alias("safe"), high.alias("high_gaps"))
+
+
+def view_totals(best: DataFrame) -> DataFrame:
+    """path, n, views of each leaf, and of all under a null path."""
+    return best.rollup("path").agg(F.count("*").alias("n"), F.coalesce(F.sum("views"), F.lit(0)).alias("views"))
+
+
+def ordered_cards(cards: DataFrame, mode: str = "preempt") -> DataFrame:
+    """Cards (path, pick, urgency, gap, top_views) by 'preempt' (pick, then urgency), 'urgency', 'views', 'gap' or 'hook'.
+
+    Names that the scales don't know come last; equal cards go by path.
+    """
+    place = lambda c, scale: F.coalesce(*[F.when(F.col(c) == x, i) for i, x in enumerate(scale)], F.lit(9))
+    pick, urgency, gap = place("pick", PICKS), place("urgency", URGENCY), place("gap", GAPS)
+    keys = {"preempt": [pick, urgency], "urgency": [urgency], "views": [F.desc_nulls_last("top_views")], "gap": [gap], "hook": [pick]}[mode]
+    return cards.orderBy(*keys, "path")
 
 
 def competing_books(cards: DataFrame, books: DataFrame, top: int = 3) -> DataFrame:
-    """path, title, place: books whose title contains a word of the card's keyword, the best ranked first.
+    """path, title, place: books whose title contains a word of the card's keyword, the best ranked first, up to ``top``.
 
-    Words are cut from the keyword, two letters at least, and joined with the words of titles where they are
-    words, so that no row meets every other; words inside longer ones don't count.
+    A card's column ``known`` (array of titles), where there is one, counts towards ``top`` and its titles aren't listed
+    again, whatever their case. Words have two letters or more and lie inside a word of the title; the parts of
+    titles' words meet them by equality. Of the titles with a word only the best few go on, as a card can list no
+    more, so a common word pairs no card with every title.
     """
-    words = lambda c: F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(c, r"[^\w가-힣\s]", "")), r"\s+")))
-    k = cards.select("path", words(F.col("keyword")).alias("word")).filter(F.length("word") >= 2)
-    t = books.select("title", "rank", words(F.col("title")).alias("word"))
-    pairs = k.join(t, "word").select("path", "title", "rank").groupBy("path", "title").agg(F.min("rank").alias("rank"))
-    return best_of(pairs, ["path"], [F.col("rank"), F.col("title")], top).drop("rank")
+    cut = lambda c: F.array_distinct(F.split(F.lower(F.regexp_replace(c, r"[^\w가-힣\s]", "")), r"\s+"))
+    known = F.transform(F.coalesce("known", F.array().cast("array<string>")), lambda t: F.lower(t)) if "known" in cards.columns else F.array().cast("array<string>")
+    k = cards.select("path", known.alias("known"), F.explode(cut(F.col("keyword"))).alias("word")).filter((F.length("word") >= 2) & (F.size("known") < top))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\w가-힣]{2,}"), F.lit(0)))
+    t = books.groupBy("title").agg(F.min("rank").alias("rank")).select("title", "rank", F.explode(tokens).alias("token"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at")
+    t = t.select("title", "rank", "token", starts).select("title", "rank", "token", "at", F.explode(F.sequence(F.lit(2), F.length("token") - F.col("at") + 1)).alias("size"))
+    parts = t.select("title", "rank", F.substring("token", F.col("at"), F.col("size")).alias("word"))
+    parts = parts.join(k.select("word").distinct(), "word", "left_semi").distinct()
+    parts = best_of(parts, ["word"], [F.col("rank"), F.col("title")], 2 * top, "_n").drop("_n")
+    pairs = k.join(parts, "word").filter(~F.array_contains("known", F.lower("title")))
+    pairs = pairs.select("path", "title", "rank", F.size("known").alias("held")).distinct()
+    return best_of(pairs, ["path"], [F.col("rank"), F.col("title")], top).filter(F.col("place") <= top - F.col("held")).drop("rank", "held")

@@ -113,7 +113,7 @@ QUERIES = {
     "s11_element_counts": lambda spark, sf_dir: structure.element_counts(_elements(spark, sf_dir), KINDS),
     "s11_virtual_pages": lambda spark, sf_dir: structure.virtual_pages(table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))).select("doc_id", "page", F.length("text").alias("size")),
     "s11_manuscript_size": lambda spark, sf_dir: structure.manuscript_size(_whole(spark, sf_dir)),
-    "s11_upper_median": lambda spark, sf_dir: table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(structure.upper_median(F.col("c_acctbal")).alias("median")),
+    "s11_upper_median": lambda spark, sf_dir: structure.upper_medians(table(spark, sf_dir, "customer"), ("c_nationkey",), "c_acctbal"),
     "s11_completeness": lambda spark, sf_dir: structure.completeness(table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("props")), ("event_type", "props")).groupBy("state").agg(F.count("*").alias("n")),
     "s13_metadata": lambda spark, sf_dir: reports.metadata(table(spark, sf_dir, "documents").filter("text is not null").select(F.concat(F.lit("20240101_"), "doc_id", F.lit(".md")).alias("filename"), F.concat(F.lit("# T "), F.col("doc_id").cast("string"), F.lit("\n\nplain one\n> quoted "), "source").alias("content"))).select("filename", "title", "date", "summary"),
 }

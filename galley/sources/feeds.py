@@ -36,6 +36,14 @@ def _first(xml: Column, *tags: str) -> Column:
     return F.trim(out)
 
 
+def escaped(text: Column) -> Column:
+    """Text as it stands in HTML; '' for null."""
+    out = F.coalesce(text, F.lit(""))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
 def feed_items(feeds: DataFrame, per_feed: int = PER_FEED) -> DataFrame:
     """feed_id, place, title, link, date, summary of RSS items and Atom entries; the first ``per_feed`` of a feed.
 
@@ -62,7 +70,7 @@ def scraped_links(pages: DataFrame, prefix: str, shortest: int = 5, back: int =
     word = r"([A-Z][a-z]{2} \d{1,2}, \d{4})"
     dates = F.coalesce(F.nullif(F.regexp_extract(part(3), word, 1), F.lit("")), F.nullif(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(part(1), F.lit(word), F.lit(1))), -1), F.lit("")))
     text = F.filter(lines, lambda s: ~s.rlike(f"^{word}$"))
-    rows = rows.select("url", "place", part(2).alias("link"), F.get(text, F.lit(0)).alias("title"), F.array_join(F.slice(text, 2, 100), " ").alias("summary"), F.try_to_date(dates, "MMM d, yyyy").alias("date"))
+    rows = rows.select("url", "place", part(2).alias("link"), F.get(text, F.lit(0)).alias("title"), F.array_join(F.slice(text, F.lit(2), F.greatest(F.size(text), F.lit(1))), " ").alias("summary"), F.try_to_date(dates, "MMM d, yyyy").alias("date"))
     rows = rows.filter(F.length("title") >= shortest)
     once = rows.groupBy("url", "link").agg(F.min_by(F.struct("title", "summary", "date"), "place").alias("r"))
     return once.select("url", "link", "r.*")
@@ -120,14 +128,19 @@ def table_rows(text: str) -> list[list[str]]:
     return [[cell(x) for x in r] for r in value]
 
 
-def source_files(spark: SparkSession, path: str, endings: tuple[str, ...] = (".py", ".js", ".java", ".html", ".css", ".ts")) -> DataFrame:
-    """path, folder, filename, content of the source files under a folder, without vendored ones."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+def sources_among(files: DataFrame, endings: tuple[str, ...] = (".py", ".js", ".java", ".html", ".css", ".ts")) -> DataFrame:
+    """path, folder, filename, content of the source files among ``files`` (path, content), without vendored ones."""
     name = F.element_at(F.split("path", "/"), -1)
     wanted = F.lit(False)
     for e in endings:
         wanted |= F.endswith(name, F.lit(e))
-    return rows.filter(wanted & ~excluded(F.col("path"))).select("path", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"), name.alias("filename"), "content")
+    return files.filter(wanted & ~excluded(F.col("path"))).select("path", F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"), name.alias("filename"), "content")
+
+
+def source_files(spark: SparkSession, path: str, endings: tuple[str, ...] = (".py", ".js", ".java", ".html", ".css", ".ts")) -> DataFrame:
+    """path, folder, filename, content of the source files under a folder, without vendored ones."""
+    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    return sources_among(rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), endings)
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
@@ -140,11 +153,13 @@ def tolerant_json(raw: str | None) -> str | None:
     """The JSON in a model's answer as a clean text, or None.
 
     Fences and chatter around it go, control characters too; line breaks in strings are escaped, trailing commas
-    dropped. A list that breaks off is closed after its last whole item.
+    dropped. A list that breaks off is closed after its last whole item. Numbers of views with commas or a unit behind
+    them are made plain; where nothing else helps, a list of the objects that can be read one by one is the answer.
     """
     if not raw:
         return None
-    text = re.sub(r"```(?:json)?", "", raw)
+    text = re.sub(r"[\ufeff\u200b-\u200d]", "", re.sub(r"```(?:json)?", "", raw))
+    text = _VIEWS.sub(lambda m: f'"views": {(m[1] or m[2] or m[3]).replace(",", "")}', text)
     start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
     if start < 0:
         return None
@@ -168,7 +183,7 @@ def tolerant_json(raw: str | None) -> str | None:
             closing.append("}" if c == "{" else "]")
         elif c in "}]":
             if not closing or closing.pop() != c:
-                return None
+                return _objects_alone(text[start:])
         out.append(c)
         if c in "}]":
             whole.append((len(out), list(closing)))
@@ -181,12 +196,39 @@ def tolerant_json(raw: str | None) -> str | None:
             return json.dumps(json.loads(candidate), ensure_ascii=False)
         except ValueError:
             continue
-    return None
+    return _objects_alone(text[start:])
+
+
+#: A number of views with a unit behind it or commas in it.
+_VIEWS = re.compile(r'"views"\s*:\s*(?:"?(\d[\d,]*)\s*[가-힣A-Za-z]+"?|"?(\d[\d,]*)"\s*[가-힣A-Za-z]+|(?=\d{1,3},\d{3})(\d[\d,]*\d))')
+
+
+def _objects_alone(text: str) -> str | None:
+    """A JSON list of the objects without others around them that can be read, None without any."""
+    found, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        if c == "{":
+            start, depth = (i if depth == 0 else start), depth + 1
+        elif c == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                body = re.sub(r",\s*([}\]])", r"\1", re.sub(r"[\x00-\x1f]", " ", text[start : i + 1]))
+                try:
+                    found.append(json.loads(body))
+                except ValueError:
+                    continue
+    return json.dumps(found, ensure_ascii=False) if found else None
 
 
 def parsed_answers(answers: DataFrame, schema: str, column: str = "raw") -> DataFrame:
     """``answers`` with json (clean text, null where there is none) and value (of ``schema``)."""
-    clean = F.pandas_udf(lambda raw: raw.map(tolerant_json), "string", F.PandasUDFType.SCALAR)
+    import pandas as pd
+
+    def read(raw: pd.Series) -> pd.Series:
+        return raw.map(tolerant_json)
+
+    read.__annotations__ = {"raw": pd.Series, "return": pd.Series}
+    clean = F.pandas_udf(read, "string")
     return answers.withColumn("json", clean(F.col(column))).withColumn("value", F.from_json("json", schema))
 
 

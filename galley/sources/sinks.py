@@ -33,7 +33,24 @@ def index_groups(terms: DataFrame) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, titles: list[str], limit: int = 200) -> str:
-    """The first rows of a report table as Markdown, on the driver."""
+    """The first ``limit`` rows of a report table as Markdown, on the driver; a last line says if there are more."""
     cell = lambda v: "" if v is None else f"{v:.1f}" if isinstance(v, float) else str(v).replace("|", "\\|")
-    rows = [" | ".join(map(cell, r)) for r in df.limit(limit).collect()]
-    return "\n".join(f"| {x} |" for x in [" | ".join(titles), " | ".join("---" for _ in titles), *rows])
+    rows = [" | ".join(map(cell, r)) for r in df.limit(limit + 1).collect()]
+    table = "\n".join(f"| {x} |" for x in [" | ".join(titles), " | ".join("---" for _ in titles), *rows[:limit]])
+    return table + (f"\n\n(the first {limit} rows)" if len(rows) > limit else "")
+
+
+def report(title: str, sections: list[tuple[str, DataFrame, list[str]]], notes: list[str] = (), limit: int = 200) -> str:
+    """A Markdown report: a title, then a heading and a table for each of (heading, table, column titles), then notes."""
+    parts = [f"# {title}"]
+    for heading, df, titles in sections:
+        parts += [f"## {heading}", markdown_table(df, titles, limit)]
+    if notes:
+        parts += ["## Notes", "\n".join(f"- {n}" for n in notes)]
+    return "\n\n".join(parts) + "\n"
+
+
+def report_index(reports: DataFrame) -> DataFrame:
+    """id, filename, title, date, summary of reports by :func:`galley.operators.reports.metadata`, the newest file name first."""
+    rows = reports.select(F.regexp_replace("filename", r"\.md$", "").alias("id"), "filename", "title", "date", "summary")
+    return rows.orderBy(F.desc("filename"))

@@ -203,7 +203,7 @@ def test_structure(spark):
     assert [r.text for r in structure.page_lines(items).orderBy("line").collect()] == ["a b", "d c"] or [r.text for r in structure.page_lines(items).orderBy("line").collect()][0] == "a b"
     pages = structure.virtual_pages(spark.createDataFrame([(1, "a" * 10 + "\n\n" + "b" * 10 + "\n\n\n" + "c"), (2, ""), (3, None)], "doc_id int, text string"), 15)
     assert [(r.doc_id, r.page, len(r.text)) for r in pages.collect()] == [(1, 1, 22), (1, 2, 1)]
-    m = spark.createDataFrame([(float(x),) for x in (4, 1, 3, 2)], "x double").agg(structure.upper_median(F.col("x")).alias("m"))
+    m = structure.upper_medians(spark.createDataFrame([("k", float(x)) for x in (4, 1, 3, 2)], "k string, x double"), ("k",), "x").select(F.col("median").alias("m"))
     assert m.first().m == 3.0
 
 
