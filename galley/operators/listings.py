@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.operators.snapshots import best_of
+from galley.session import settled
 
 FUZZY = 0.9
 
@@ -150,13 +151,13 @@ def match_blocks(blocks: DataFrame, files: DataFrame, least: float = 0.4) -> Dat
     voted = voted.select("block_id", "path", F.lit("folder").alias("how"))
     left = rest.join(voted.select("block_id"), "block_id", "left_anti")
     found = best_files(left, files).select("block_id", "path", F.lit("content").alias("how"))
-    first = unique.select("block_id", "path", "how").unionByName(voted).unionByName(found)
+    first = settled(unique.select("block_id", "path", "how").unionByName(voted).unionByName(found))
     b, s = block_lines(blocks), source_lines(files)
     lines = b.select("block_id", "number", F.col("bare").alias("k")).filter("k <> ''").join(first, "block_id")
     kept = lines.join(s.select("path", F.col("bare").alias("k")).distinct(), ["path", "k"], "left_semi").groupBy("block_id").agg(F.count("*").alias("hits"))
     rates = first.join(b.groupBy("block_id").agg(F.count("*").alias("size")), "block_id").join(kept, "block_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     poor = rates.filter((F.col("size") >= 5) & (F.col("hits") < least * F.col("size"))).select("block_id", "size", (F.col("hits") + 1).alias("need"))
-    better = _most_lines(b.join(poor.select("block_id"), "block_id", "left_semi"), s, poor).select("block_id", F.col("path").alias("_p"))
+    better = _most_lines(b, s, settled(poor)).select("block_id", F.col("path").alias("_p"))
     return first.join(better, "block_id", "left").select("block_id", F.coalesce("_p", "path").alias("path"), F.when(F.col("_p").isNotNull(), "again").otherwise(F.col("how")).alias("how"))
 
 

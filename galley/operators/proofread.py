@@ -349,7 +349,7 @@ def rule_chunks(markdown: DataFrame) -> DataFrame:
     """doc_id, chunk, heading, body of a rules text cut at headings of levels two and three."""
     parts = F.split(F.concat(F.lit("\n"), F.col("text")), r"\n(?=#{2,3} )")
     rows = markdown.select("doc_id", F.posexplode(parts).alias("chunk", "raw")).filter(F.col("raw").rlike(r"^#{2,3} "))
-    return rows.select("doc_id", "chunk", F.trim(F.regexp_extract("raw", r"^#{2,3} +([^\n]*)", 1)).alias("heading"), F.trim(F.regexp_replace("raw", r"^[^\n]*\n?", "")).alias("body"))
+    return rows.select("doc_id", "chunk", F.trim(F.regexp_extract("raw", r"^#{2,3} +([^\n]*)", 1)).alias("heading"), F.regexp_replace(F.regexp_replace("raw", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 def relevant_chunks(chunks: DataFrame, texts: DataFrame, always: Sequence[str] = (), top: int = 8) -> DataFrame:

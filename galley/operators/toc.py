@@ -121,14 +121,15 @@ def outline_lines(texts: DataFrame, longest: int = 100) -> DataFrame:
         .when(t.rlike(r"^[-*+]\s"), named(F.least(depth + 2, F.lit(5)), F.trim(F.regexp_replace(t, r"^[-*+]\s+", ""))))
         .otherwise(named(F.least(depth + 1, F.lit(5)), t))
     )
-    rows = lines.select("doc_id", "line", entry.alias("e")).select("doc_id", "line", "e.*")
+    # each step is a row of its own, so that no later one computes it again
+    rows = lines.select("doc_id", "line", F.inline(F.array(entry)))
     rows = rows.withColumn("level", F.when(F.col("title").rlike(r"(?i)^(?:PART|부록|Appendix|Chapter|챕터)"), 1).otherwise(F.col("level")))
     bracketed, bare = r"[(\[]\s*(\d+)\s*[pP페이지]*\s*[)\]]\s*$", r"\s+(\d+)\s*[pP]\s*$"
     first, second = (F.nullif(F.regexp_extract("title", p, 1), F.lit("")) for p in (bracketed, bare))
-    rows = rows.withColumn("pages", F.coalesce(first, second, F.lit("0")).cast("int"))
-    rows = rows.withColumn("title", F.trim(F.when(first.isNotNull(), F.regexp_replace("title", bracketed, "")).when(second.isNotNull(), F.regexp_replace("title", bare, "")).otherwise(F.col("title"))))
+    shorter = F.trim(F.when(first.isNotNull(), F.regexp_replace("title", bracketed, "")).when(second.isNotNull(), F.regexp_replace("title", bare, "")).otherwise(F.col("title")))
+    rows = rows.select("doc_id", "line", "level", F.inline(F.array(F.struct(F.coalesce(first, second, F.lit("0")).cast("int").alias("pages"), shorter.alias("title")))))
     dash = F.coalesce(F.nullif(F.regexp_extract("title", r"(\s+—\s+.+)$", 1), F.lit("")), F.nullif(F.regexp_extract("title", r"(\s+-\s+.+)$", 1), F.lit("")))
-    rows = rows.withColumn("_d", F.when(F.instr("title", dash) > 4, dash))
+    rows = rows.select("*", F.explode(F.array(F.when(F.instr("title", dash) > 4, dash))).alias("_d"))
     memo = F.coalesce(F.trim(F.regexp_replace("_d", r"^\s+[—-]\s+", "")), F.lit(""))
     title = F.when(F.col("_d").isNull(), F.col("title")).otherwise(F.trim(F.substring("title", F.lit(1), F.instr("title", F.col("_d")) - 1)))
     rows = rows.select("doc_id", "line", "level", title.alias("title"), memo.alias("memo"), "pages")

@@ -166,7 +166,7 @@ ORACLES = {
     "s6_best_videos": f"WITH {_BEST} SELECT path, video_id, per_day, place FROM b",
     "s6_leaf_stats": f"WITH {_LEAF} SELECT * FROM l",
     "s6_checked_picks": f"WITH {_PICKS} SELECT * FROM pk",
-    "s6_summary": f"WITH {_PICKS} SELECT count(*) AS cards, count(*) FILTER (pick = 'preempt') AS preempt, count(*) FILTER (pick = 'hook') AS hook, count(*) FILTER (pick NOT IN ('preempt', 'hook')) AS safe FROM pk",
+    "s6_summary": f"WITH {_PICKS} SELECT count(*) AS cards, count(*) FILTER (pick = 'preempt') AS preempt, count(*) FILTER (pick = 'hook') AS hook, count(*) FILTER (pick NOT IN ('preempt', 'hook')) AS safe, 0::BIGINT AS high_gaps FROM pk",
     "s6_path_nodes": f"""WITH {_V}, p AS (SELECT string_split(path, '|') AS p FROM v) SELECT p[1] AS node, NULL::VARCHAR AS parent FROM p UNION SELECT p[1] || '|' || p[2], p[1] FROM p UNION SELECT p[1] || '|' || p[2] || '|' || p[3], p[1] || '|' || p[2] FROM p""",
     "s6_competing_books": f"""WITH {SNAPSHOTS}, k(path, word) AS (VALUES ('a', 'blue'), ('a', 'rod'), ('b', 'gizmo')), m AS (SELECT DISTINCT path, title, best_rank FROM st JOIN k ON list_contains(string_split(title, ' '), word))
         SELECT path, title, row_number() OVER (PARTITION BY path ORDER BY best_rank, title)::INTEGER AS place FROM m QUALIFY place <= 3""",

@@ -24,9 +24,11 @@ KINDS = ("user", "assistant", "system")
 
 
 def lines(spark, sf_dir):
-    """doc_id, page, text, printed: a page a line."""
+    """doc_id, page, text, printed: a page a line. The printed numbers lag by two to four, every fifth is missing, every seventh wrong."""
     d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    return d.select("doc_id", (F.col("page") + 1).alias("page"), "text", (F.col("page") - 1).alias("printed"))
+    page = F.col("page") + 1
+    printed = F.when(page % 5 == 0, None).when(page % 7 == 0, page).otherwise(page - 2 - F.col("doc_id") % 3)
+    return d.select("doc_id", page.alias("page"), "text", printed.cast("int").alias("printed"))
 
 
 def _lines(f):
@@ -118,7 +120,7 @@ QUERIES = {
     "s13_metadata": lambda spark, sf_dir: reports.metadata(table(spark, sf_dir, "documents").filter("text is not null").select(F.concat(F.lit("20240101_"), "doc_id", F.lit(".md")).alias("filename"), F.concat(F.lit("# T "), F.col("doc_id").cast("string"), F.lit("\n\nplain one\n> quoted "), "source").alias("content"))).select("filename", "title", "date", "summary"),
 }
 
-_L = "l AS (SELECT doc_id, page::INTEGER AS page, text, (page - 2)::INTEGER AS printed FROM (SELECT doc_id, unnest(t) AS text, generate_subscripts(t, 1) AS page FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)))"
+_L = "l AS (SELECT doc_id, page::INTEGER AS page, text, (CASE WHEN page % 5 = 0 THEN NULL WHEN page % 7 = 0 THEN page ELSE page - 2 - doc_id % 3 END)::INTEGER AS printed FROM (SELECT doc_id, unnest(t) AS text, generate_subscripts(t, 1) AS page FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)))"
 _RULES = " UNION ALL ".join(
     f"SELECT {i} AS rule, '{p}' AS pattern, '{t}' AS type, '{s}' AS severity" for i, (p, t, s, _) in enumerate(RULES)
 )
@@ -145,6 +147,26 @@ ht AS (SELECT DISTINCT block_id, bn.number, path FROM bn JOIN sn USING (b)),
 hc AS (SELECT block_id, path, count(*) AS hits FROM ht GROUP BY block_id, path QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY count(*) DESC, path) = 1),
 ch AS (SELECT block_id, path, hits FROM hc JOIN (SELECT block_id, count(*) AS size FROM bn GROUP BY 1) USING (block_id) WHERE CASE WHEN size <= 2 THEN hits >= size WHEN size <= 5 THEN hits * 2 >= size ELSE hits * 5 >= size END)"""
 
+_OF = "oc AS (SELECT doc_id, page - printed AS o, count(*) AS n FROM l WHERE printed IS NOT NULL GROUP BY ALL), oo AS (SELECT doc_id, o FROM oc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) = 1)"
+_NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9가-힣]+', ' ', 'g'), ' +', ' ', 'g'))"
+#: Entries, each against all pages of its document; a hit's stage says whether it is near by either number.
+_TOC = f"""en0 AS (SELECT doc_id, page AS entry, substr(text, 1, 30) AS title, CASE WHEN page = 3 THEN 2 ELSE 9 END AS page FROM l WHERE page IN (1, 3) AND len(text) > 30 UNION ALL SELECT doc_id, 0, 'zzqx zzqy', CASE WHEN doc_id % 2 = 0 THEN 1 END FROM l WHERE page = 1),
+tp AS (SELECT l.doc_id, l.page AS at_page, printed, coalesce(o, 0) AS o, {_NORM.format("text")} AS norm FROM l LEFT JOIN oo USING (doc_id)),
+te AS (SELECT *, {_NORM.format("title")} AS want FROM en0),
+th AS (SELECT te.doc_id, entry, page, at_page, printed, o, norm, want, list_filter(string_split(want, ' '), lambda w: len(w) >= 2) AS ws FROM te JOIN tp USING (doc_id) WHERE page IS NOT NULL),
+tf AS (SELECT *, list_count(list_filter(ws, lambda w: contains(norm, w) OR contains(replace(norm, ' ', ''), w))) AS k FROM th),
+tg AS (SELECT * FROM tf WHERE want <> '' AND norm <> '' AND (contains(norm, want) OR (len(replace(want, ' ', '')) >= 4 AND contains(replace(norm, ' ', ''), replace(want, ' ', ''))) OR (len(ws) >= 2 AND k >= 2 AND k * 10 >= len(ws) * 6))),
+ti AS (SELECT doc_id, entry, 1 AS stage, abs(printed - page) AS away, printed < page AS before, printed AS body FROM tg WHERE printed >= 1 AND abs(printed - page) <= 5 UNION ALL SELECT doc_id, entry, 2, abs(at_page - o - page), at_page - o < page, at_page - o FROM tg WHERE at_page - o >= 1 AND abs(at_page - o - page) <= 5
+  UNION ALL SELECT doc_id, entry, 3, at_page, false, CASE WHEN at_page - o >= 1 THEN at_page - o ELSE at_page END FROM tg),
+tj AS (SELECT doc_id, entry, body FROM ti QUALIFY row_number() OVER (PARTITION BY doc_id, entry ORDER BY stage, away, before) = 1),
+tc AS (SELECT te.doc_id, te.entry, title, page, body::BIGINT AS body_page, CASE WHEN page IS NULL THEN 'no-page' WHEN body IS NULL THEN 'missing' WHEN page = body THEN 'match' ELSE 'page-mismatch' END AS status FROM te LEFT JOIN tj ON tj.doc_id = te.doc_id AND tj.entry = te.entry)"""
+#: Lines against the chosen file: equal with single spaces, without spaces, or within a tenth by edit distance.
+_CL = """cx AS (SELECT bl.block_id, bl.number, bl.k, path FROM bl JOIN ch USING (block_id)), cy AS (SELECT path, number, k, replace(k, ' ', '') AS b FROM sl WHERE path IN (SELECT path FROM ch)),
+ce AS (SELECT cx.block_id, cx.number, min(cy.number) FILTER (cy.k = cx.k) AS exact, min(cy.number) FILTER (cy.b = replace(cx.k, ' ', '')) AS bare,
+  arg_min(cy.number, (levenshtein(cy.k, cx.k) / greatest(len(cy.k), len(cx.k)), cy.number)) FILTER (levenshtein(cy.k, cx.k) <= floor(greatest(len(cy.k), len(cx.k)) * 0.1::DOUBLE + 1e-9)) AS near FROM cx JOIN cy USING (path) GROUP BY ALL),
+bo AS (SELECT block_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS number FROM b0),
+cl AS (SELECT ce.block_id, ce.number, bo.line, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN bare IS NOT NULL THEN 'bare' WHEN near IS NOT NULL THEN 'near' ELSE 'diff' END AS stage, coalesce(exact, bare, near) AS source_number FROM ce JOIN bo ON bo.block_id = ce.block_id AND bo.number = ce.number)"""
+
 ORACLES = {
     "s7_scan": f"WITH {_I} SELECT * FROM i",
     "s7_issue_order": f"WITH {_I} SELECT doc_id, page, type, found FROM i ORDER BY doc_id, page, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, type, found LIMIT 100",
@@ -167,7 +189,23 @@ ORACLES = {
     "s7_batches": f"""WITH {_L}, k AS (SELECT doc_id, row_number() OVER w - 1 AS k, lag(text) OVER w AS b FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY page)) SELECT doc_id, k // 3 AS batch, count(*) AS pages, max(len(b)) FILTER (k % 3 = 0) AS before FROM k GROUP BY 1, 2""",
     "s7_picked_evenly": f"WITH {_L}, k AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM l) SELECT doc_id, page FROM k WHERE k < 2 OR k = n // 2 OR k = n // 2 - 1 OR k >= n - 2",
     "s7_confusion": "WITH t AS (SELECT doc_id % 2 = 0 AS want, len(text) >= 20 AND contains(text, '%%%') AS hit, len(text) >= 20 AND (regexp_matches(text, '[?!]{2,}') OR regexp_matches(text, ',\\s*,') OR regexp_matches(text, '\\.{4,}') OR regexp_matches(text, '[#$%&*]{3}')) AS any_hit FROM documents WHERE text IS NOT NULL) SELECT count(*) FILTER (want AND hit) AS detected, count(*) FILTER (want AND NOT hit) AS missed, count(*) FILTER (NOT want AND any_hit) AS false_positives, count(*) FILTER (NOT want AND NOT any_hit) AS clean FROM t",
-    "s8_page_offset": f'WITH {_L} SELECT DISTINCT doc_id, 2::INTEGER AS "offset" FROM l',
+    "s8_page_offset": f'WITH {_L}, {_OF} SELECT doc_id, o::INTEGER AS "offset" FROM oo',
+    "s8_compare": f"WITH {_L}, {_OF}, {_TOC} SELECT doc_id, entry, title, page, body_page, abs(page - body_page) AS difference, status FROM tc",
+    "s8_summary": f"WITH {_L}, {_OF}, {_TOC} SELECT doc_id, count(*) FILTER (status = 'match') AS matches, count(*) FILTER (status = 'page-mismatch') AS mismatches, count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'no-page') AS no_page, floor(count(*) FILTER (status = 'match') * 100 / nullif(count(*) FILTER (status <> 'no-page'), 0) + 0.5)::BIGINT AS percent FROM tc GROUP BY doc_id",
+    "s9_signals": f"""WITH {_L}, h AS (SELECT doc_id, page, regexp_matches(text, '^(?: {{4}}|\\t)|[;{{}}]\\s*$') AS code, unnest(list_transform(regexp_extract_all(text, '[A-Z][a-z]{{2,}}'), lambda x: {{'k': 't', 'term': x}}) || list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{{2,}}')), lambda x: {{'k': 'n', 'term': x}})
+          || list_transform(regexp_extract_all(text, '([A-Z][a-z]{{2,}}) the', 1), lambda x: {{'k': 'd', 'term': x}}) || list_transform(regexp_extract_all(text, '([A-Z][a-z]{{2,}}) of', 1), lambda x: {{'k': 'a', 'term': x}}) || list_transform(regexp_extract_all(text, '([A-Z][a-z]{{2,}})\\s?\\(', 1), lambda x: {{'k': 'e', 'term': x}})) AS x FROM l),
+        p AS (SELECT doc_id, page, code, x.term AS term, count(*) FILTER (x.k = 'n') AS n, bool_or(x.k = 't') AS t, bool_or(x.k = 'd') AS d, bool_or(x.k = 'a') AS a, bool_or(x.k = 'e') AS e FROM h GROUP BY ALL HAVING bool_or(x.k = 't')),
+        g AS (SELECT doc_id, term, sum(n)::BIGINT AS freq, bool_or(d) AS d, bool_or(a) AS a, bool_or(e) AS e, bool_and(code) AS code FROM p GROUP BY ALL),
+        s AS (SELECT doc_id, term, freq, greatest(0, least(10, 5 + CASE WHEN d AND e THEN 5 WHEN d THEN 4 ELSE 0 END + CASE WHEN freq >= 3 THEN 3 ELSE 0 END + CASE WHEN a THEN 2 ELSE 0 END - 3 - CASE WHEN code THEN 5 ELSE 0 END)) AS score FROM g) SELECT * FROM s WHERE score >= 5""",
+    "s10_match_blocks": f"""WITH {_B}, f1 AS (SELECT block_id, 'd/' || (block_id::BIGINT % 7) AS path FROM b0 WHERE EXISTS (SELECT 1 FROM documents WHERE text IS NOT NULL AND doc_id = block_id::BIGINT % 7)),
+        allh AS (SELECT block_id, path, count(*) AS hits FROM ht GROUP BY ALL), sz AS (SELECT block_id, count(*) AS size FROM bn GROUP BY 1), r AS (SELECT f1.block_id, f1.path, size, coalesce(hits, 0) AS hits FROM f1 LEFT JOIN sz USING (block_id) LEFT JOIN allh ON allh.block_id = f1.block_id AND allh.path = f1.path),
+        alt AS (SELECT allh.block_id, allh.path FROM allh JOIN r ON r.block_id = allh.block_id AND size >= 5 AND r.hits < 0.4 * size AND allh.hits > r.hits QUALIFY row_number() OVER (PARTITION BY allh.block_id ORDER BY allh.hits DESC, allh.path) = 1),
+        nf AS (SELECT ch.block_id, ch.path, 'content' AS how FROM ch WHERE ch.block_id NOT IN (SELECT block_id FROM f1)) SELECT r.block_id, coalesce(alt.path, r.path) AS path, CASE WHEN alt.path IS NULL THEN 'name' ELSE 'again' END AS how FROM r LEFT JOIN alt USING (block_id) UNION ALL SELECT * FROM nf""",
+    "s10_compare_lines": f"WITH {_B}, {_CL} SELECT block_id, number::INTEGER AS number, line, stage, source_number::INTEGER AS source_number FROM cl",
+    "s10_totals": f"WITH {_B}, {_CL} SELECT block_id, count(*) AS lines, count(*) FILTER (stage NOT IN ('near', 'diff')) AS same, count(*) FILTER (stage = 'near') AS near, count(*) FILTER (stage = 'diff') AS diff, count(*) FILTER (stage IN ('near', 'diff')) = 0 AS clean FROM cl GROUP BY block_id",
+    "s11_virtual_pages": """WITH RECURSIVE p AS (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: trim(x) <> '') AS t FROM documents WHERE text IS NOT NULL)),
+        w(doc_id, i, page, size) AS (SELECT doc_id, i, 1, len(t) FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN w.size >= 1500 THEN w.page + 1 ELSE w.page END, CASE WHEN w.size >= 1500 THEN len(p.t) ELSE w.size + 2 + len(p.t) END FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1)
+        SELECT doc_id, page, max(size)::INTEGER AS size FROM w GROUP BY ALL""",
     "s9_candidates": "SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY ALL",
     "s10_best_files": f"WITH {_B} SELECT * FROM ch",
     "s10_absent_files": "SELECT DISTINCT 'f' || (item_id % 7) AS filename FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE text IS NOT NULL AND 'f' || doc_id > 'f4' AND 'f' || doc_id = 'f' || (item_id % 7))",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,19 @@ def get_session(app: str = "galley", cpus: int | str = "*", shuffle_partitions:
     return builder.getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``, for plans that use it many times.
+
+    In local mode a temporary folder is set where there is none.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-galley-"))
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``, which may be any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
