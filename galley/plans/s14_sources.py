@@ -242,7 +242,7 @@ def _stream(spark, sf_dir):
     a.repartition(3).write.json(f"{path}/in")
     for _ in range(2):
         ingest.into_archive(ingest.arriving(spark, f"{path}/in", files_per_trigger=1), f"{path}/archive", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/archive").groupBy("date").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    return spark.read.parquet(f"{path}/archive").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("link").alias("links"))
 
 
 def _stream_weeks(spark, sf_dir):
@@ -340,7 +340,7 @@ ORACLES = {
     "s14_old_docs": "SELECT p_partkey, CASE WHEN n >= 100 THEN n ELSE 0 END::INTEGER AS size FROM (SELECT p_partkey, len(trim(repeat('가나다라 마바사 아자차카 ', p_size % 20))) AS n FROM part)",
     "s14_source_tree": """SELECT * FROM (SELECT 'file:/r/' || f || '/' || p_partkey || e AS path, regexp_extract(f, '([^/]*)$', 1) AS folder, p_partkey || e AS filename FROM (SELECT p_partkey, ['src', 'node_modules', 'lib/build', 'rebuild', '.git', 'app'][p_partkey % 6 + 1] AS f, ['.py', '.txt', '.js', '.md'][p_size % 4 + 1] AS e FROM part)
         WHERE f IN ('src', 'rebuild', 'app') AND e IN ('.py', '.js'))""",
-    "s14_stream_archive": f"WITH {_FEED}, f AS (SELECT DISTINCT link, date FROM a) SELECT date, count(*) AS n, count(*) AS ids FROM f GROUP BY date",
+    "s14_stream_archive": f"WITH {_FEED}, f AS (SELECT DISTINCT link FROM a) SELECT count(*) AS n, count(*) AS ids, count(*) AS links FROM f",
     "s14_stream_weeks": f"""WITH {_FEED}, k AS (SELECT a.date, source, unnest([event_type, 'k' || (coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) % 9 + day(ts) % 3)]) AS keyword FROM a JOIN events USING (event_id))
         SELECT date_trunc('week', date)::DATE AS week_start, keyword, sum(CASE WHEN source = 's20' THEN 1.0 ELSE [0.5, 1.0, 1.5, 2.0][substr(source, 2)::INTEGER % 4 + 1] END)::DOUBLE AS points FROM k GROUP BY ALL""",
     "s14_stream_first_sightings": f"WITH {_FEED} SELECT substr(md5(link), 1, 12) AS id, link, 1::BIGINT AS n FROM a WHERE event_id % 10 > 0 GROUP BY link",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from galley.operators.news import article_id
+from galley.operators.snapshots import best_of
 
 ARTICLES = "link string, source string, title string, ts timestamp, keywords array<string>"
 
@@ -34,23 +35,29 @@ def weekly_keywords(articles: DataFrame, feeds: DataFrame, delay: str = "7 days"
     return sums.select(F.col("w7.start").alias("week_start"), "keyword", "points")
 
 
-def into_archive(articles: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Starts the append of new articles to an archive, idempotent by (id): a batch that runs twice adds nothing.
+def into_archive(articles: DataFrame, path: str, checkpoint: str, back: int | None = None) -> StreamingQuery:
+    """Starts the append of new articles to an archive: each link once, so that a batch that runs twice adds nothing.
 
-    The archive is partitioned by date, and each batch looks only at the ids of its own dates.
+    Of a batch's rows of one link the earliest stays. Rows without a link go. The archive is partitioned by date; only its
+    ids are read, with ``back`` those of the last so many days before the batch's first date, so that the work of a
+    batch doesn't grow with the archive.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         from pyspark.errors import AnalysisException
 
         spark = batch.sparkSession
-        rows = batch.withColumn("id", article_id(F.col("link"))).withColumn("date", F.to_date("ts")).dropDuplicates(["id"])
+        rows = batch.filter(F.length("link") > 0).withColumn("id", article_id(F.col("link"))).withColumn("date", F.to_date("ts"))
+        rows = best_of(rows, ["id"], [F.col("ts"), F.xxhash64("source", "title")], 1, "_n").drop("_n")
         try:
             held = spark.read.schema("id string, date date").parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             held = spark.createDataFrame([], "id string, date date")
-        rows.join(held, ["id", "date"], "left_anti").write.mode("append").partitionBy("date").parquet(path)
+        if back is not None:
+            first = rows.agg(F.min("date")).first()[0]
+            held = held.filter(F.col("date") >= F.date_sub(F.lit(first), back))
+        rows.join(held.select("id"), "id", "left_anti").write.mode("append").partitionBy("date").parquet(path)
 
     return articles.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
