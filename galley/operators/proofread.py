@@ -115,10 +115,11 @@ def term_variants(pages: DataFrame, common: Sequence[str] = (), token: str = r"[
         words = words.filter(~F.col("term").isin(*common))
     counts = words.groupBy("doc_id", "term", "variant").agg(F.count("*").alias("n"))
     upper = F.substring("variant", 1, 1) != F.lower(F.substring("variant", 1, 1))
-    group = counts.groupBy("doc_id", "term").agg(F.sum("n").alias("total"), F.bool_or(upper).alias("up"), F.bool_or(~upper).alias("low"), F.min(F.struct(-F.col("n"), "variant")).alias("best"))
-    group = group.filter(F.col("up") & F.col("low") & (F.col("total") >= least)).select("doc_id", "term", F.col("best.variant").alias("canonical"), (-F.col("best.col1")).alias("most"))
-    rows = counts.join(group, ["doc_id", "term"]).filter((F.col("variant") != F.col("canonical")) & (F.col("most") >= 2 * F.col("n")))
-    return rows.select("doc_id", "variant", "n", "canonical")
+    group = counts.groupBy("doc_id", "term").agg(F.sum("n").alias("total"), F.bool_or(upper).alias("up"), F.bool_or(~upper).alias("low"), F.min(F.struct((-F.col("n")).alias("less"), "variant")).alias("best"), F.collect_list(F.struct("variant", "n")).alias("all"))
+    # the spellings of one term in one document are few, so they come along in a list
+    group = group.filter(F.col("up") & F.col("low") & (F.col("total") >= least)).select("doc_id", "best", F.inline("all"))
+    rows = group.filter((F.col("variant") != F.col("best.variant")) & (-F.col("best.less") >= 2 * F.col("n")))
+    return rows.select("doc_id", "variant", "n", F.col("best.variant").alias("canonical"))
 
 
 def repeating_lines(pages: DataFrame, share: float = 0.6, shortest: int = 2, longest: int = 80, least_pages: int = 3) -> DataFrame:

@@ -9,6 +9,7 @@ from galley.functions import rules
 from galley.operators import authors, board, channels, classify, index_terms, listings, news, proofread as pr, reports, structure, toc, velocity
 from galley.functions.dictionary import first_label
 from galley.plans import s2_news, s5_channels, s7_texts, standin
+from galley.plans.standin import in_place
 from galley.session import table
 from galley.sources import feeds
 
@@ -238,11 +239,6 @@ def _channels(spark, sf_dir):
     return c.withColumn("direct", F.col("channel_id") % 10 == 0).withColumn("place", F.col("channel_id"))
 
 
-def _number(df, *keep):
-    """Rows in their order, numbered by it in one task: a sort's result is to be seen, and the table is one of cards or channels."""
-    return df.withColumn("_i", F.monotonically_increasing_id()).select(*keep, F.row_number().over(W.orderBy("_i")).alias("n"))
-
-
 def _cards(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     of = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
@@ -362,17 +358,17 @@ QUERIES = {
     "s15_code_lines": _code_lines,
     "s15_sections": lambda s, d: _reports(s, d).select("n_nationkey", reports.section(F.col("content"), "Two").alias("two"), reports.section(F.col("content"), "Three").alias("three"), F.array_join(reports.headlines(F.col("content")), "|").alias("headlines")),
     "s15_unread": lambda s, d: reports.unread(_reports(s, d), "NATION_3.md:63").select("filename"),
-    "s15_listed_channels": lambda s, d: _number(channels.listed(_channels(s, d), 20000, 10), "channel_id", "subs"),
-    "s15_channels_by_relevance": lambda s, d: _number(channels.ordered(_channels(s, d), "building tools"), "channel_id"),
-    "s15_channels_by_views": lambda s, d: _number(channels.ordered(_channels(s, d), "x", "views"), "channel_id"),
+    "s15_listed_channels": lambda s, d: in_place(channels.listed(_channels(s, d), 20000, 10).select("channel_id", "subs")),
+    "s15_channels_by_relevance": lambda s, d: in_place(channels.ordered(_channels(s, d), "building tools").select("channel_id")),
+    "s15_channels_by_views": lambda s, d: in_place(channels.ordered(_channels(s, d), "x", "views").select("channel_id")),
     "s15_rising_with_matches": lambda s, d: channels.rising(_channels(s, d).withColumn("matches", F.col("channel_id") % 2 == 0), s5_channels._now()).select("channel_id", "tier"),
     "s15_inner_statistics": lambda s, d: channels.with_statistics(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").filter("c_custkey % 2 = 0").withColumnRenamed("c_custkey", "o_custkey").withColumn("c_acctbal", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))), "o_custkey", ["c_acctbal"], keep_all=False).groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("c_acctbal").alias("balance")),
     "s15_inputs": lambda s, d: _names(s, d).select("n_nationkey", channels.resolve_input(F.col("raw")).alias("x"), channels.sanitised(F.col("raw")).alias("words")).select("n_nationkey", "x.*", "words"),
     "s15_numbers": lambda s, d: _col(s, d, "customer", "c_custkey", channels.short_number(F.pow(F.col("c_custkey") + 2, F.lit(4)).cast("long") % 30_000_000).alias("shown"), channels.highlighted(F.col("c_name"), F.lit("mer#")).alias("marked")),
     "s15_taxonomy": _taxonomy,
     "s15_view_totals": lambda s, d: velocity.view_totals(s5_channels.videos(s, d)),
-    "s15_cards_by_pick": lambda s, d: _number(velocity.ordered_cards(_cards(s, d)), "path"),
-    "s15_cards_by_views": lambda s, d: _number(velocity.ordered_cards(_cards(s, d), "views"), "path"),
+    "s15_cards_by_pick": lambda s, d: in_place(velocity.ordered_cards(_cards(s, d)).select("path")),
+    "s15_cards_by_views": lambda s, d: in_place(velocity.ordered_cards(_cards(s, d), "views").select("path")),
     "s15_card_summary": lambda s, d: velocity.summary(_cards(s, d)),
     "s15_pinned": _pinned,
     "s15_tracking": lambda s, d: board.tracking(_col(s, d, "part", F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 9, F.col("p_type")).alias("stage"), F.col("p_size").alias("updated"), F.lit(None).cast("string").alias("memo"))),
@@ -383,7 +379,7 @@ QUERIES = {
     "s15_log_levels": lambda s, d: board.level_counts(_logs(s, d)),
     "s15_luminance": lambda s, d: _col(s, d, "part", "p_partkey", board.luminance(F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("p_partkey") * 7919 % 16777216)), 6, "0"))).alias("light"), board.luminance(F.lit("#fa0")).alias("short")),
     "s15_brightness": _pixels,
-    "s15_news_order": lambda s, d: _number(news.in_order(s2_news.articles(s, d).withColumn("date", F.when(F.col("event_id") % 9 > 0, F.col("date"))).dropDuplicates(["link"]).withColumn("date", F.when(F.col("link").endswith("7"), None).otherwise(F.lit("2024-01-01").cast("date")))), "link"),
+    "s15_news_order": lambda s, d: in_place(news.in_order(s2_news.articles(s, d).withColumn("date", F.when(F.col("event_id") % 9 > 0, F.col("date"))).dropDuplicates(["link"]).withColumn("date", F.when(F.col("link").endswith("7"), None).otherwise(F.lit("2024-01-01").cast("date")))).select("link")),
     "s15_strongest_surges": lambda s, d: news.strongest_surges(news.surges(news.weekly_trends(s2_news.articles(s, d), s2_news.feeds(s)))).select("keyword", "kind"),
     "s15_pool": lambda s, d: authors.pool_filtered(_pool(s, d), "BUILD", "전문서", "m1").select("c_custkey"),
     "s15_pool_unpublished": lambda s, d: authors.pool_filtered(_pool(s, d), published="미").select("c_custkey"),

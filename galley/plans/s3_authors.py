@@ -25,7 +25,7 @@ def _flat(m):
 QUERIES = {
     "s3_books": lambda spark, sf_dir: ops.books(_snaps(spark, sf_dir)),
     "s3_author_mart": _mart(_flat),
-    "s3_ordered": _mart(lambda m: ops.ordered(m).select("name", "n_books").limit(5)),
+    "s3_ordered": _mart(lambda m: standin.in_place(ops.ordered(m).select("name", "n_books"), "n_books")),
     "s3_filtered": _mart(lambda m: ops.filtered(m, "Brand#3", "colour", "blue").select("name", "n_books")),
     "s3_page": _mart(lambda m: ops.page(m, "best_rank", True, 1, 5).select("name", "best_rank")),
     "s3_pool_stats": _mart(ops.pool_stats),
@@ -43,7 +43,7 @@ m AS (SELECT *, list_filter([{_TOPIC}], lambda x: x IS NOT NULL) AS topics FROM
 ORACLES = {
     "s3_books": f"WITH {_B} SELECT * FROM b",
     "s3_author_mart": f"WITH {_B} SELECT name, n_books AS n_listed, best_title, array_to_string(publishers, '|') AS publishers, n_books, best_rank, total_days, array_to_string(topics, '|') AS topics FROM m",
-    "s3_ordered": f"WITH {_B} SELECT name, n_books FROM m ORDER BY n_books DESC, total_days DESC, best_rank, name LIMIT 5",
+    "s3_ordered": f"WITH {_B} SELECT name, n_books, row_number() OVER (PARTITION BY n_books ORDER BY total_days DESC, best_rank, name)::INTEGER AS n FROM m",
     "s3_filtered": f"WITH {_B} SELECT name, n_books FROM m WHERE list_contains(publishers, 'Brand#3') AND list_contains(topics, 'colour') AND (contains(name, 'blue') OR has_blue)",
     "s3_page": f"WITH {_B} SELECT name, best_rank FROM m ORDER BY best_rank, name LIMIT 5 OFFSET 5",
     "s3_pool_stats": f"WITH {_B} SELECT count(*) AS authors, count(*) FILTER (len(topics) > 0) AS with_topics, (SELECT count(DISTINCT t) FROM (SELECT unnest(topics) AS t FROM m)) AS distinct_topics FROM m",

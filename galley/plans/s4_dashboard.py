@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galley.operators import authors, dashboard as ops
 from galley.plans import s3_authors
-from galley.plans.standin import TOPICS
+from galley.plans.standin import TOPICS, in_place
 from galley.session import table
 
 CATEGORIES = ("ECONOMY", "MEDIUM", "LARGE", "PROMO", "SMALL", "STANDARD", "SPECIAL")
@@ -60,8 +60,8 @@ QUERIES = {
     "s4_lectures_without_book": _cats(lambda c: ops.largest(c, "n_lectures", unless="n_own")),
     "s4_insights": _cats(lambda c: ops.insights(c, YEAR)),
     "s4_search": lambda spark, sf_dir: ops.search(_cats(lambda c: c)(spark, sf_dir), titles(spark, sf_dir), "planning", "BLUE anvil 1").select("category", "status"),
-    "s4_ordered": _cats(lambda c: ops.ordered(c).select("category").limit(3)),
-    "s4_ordered_by_name": _cats(lambda c: ops.ordered(c, "name").select("category").limit(3)),
+    "s4_ordered": _cats(lambda c: in_place(ops.ordered(c).select("category"))),
+    "s4_ordered_by_name": _cats(lambda c: in_place(ops.ordered(c, "name").select("category"))),
     "s4_timeline": lambda spark, sf_dir: ops.timeline(planned(spark, sf_dir)),
     "s4_workload": lambda spark, sf_dir: ops.workload(planned(spark, sf_dir), MONTHS, True),
     "s4_matching_authors": lambda spark, sf_dir: ops.matching_authors(authors.author_mart(authors.books(s3_authors._snaps(spark, sf_dir)), TOPICS), "Colour/ring x").select("name"),
@@ -100,8 +100,8 @@ ORACLES = {
     "s4_lectures_without_book": f"WITH {_C} SELECT category, n_lectures AS value FROM c WHERE n_lectures > 0 AND n_own = 0 ORDER BY value DESC, category LIMIT 10",
     "s4_insights": f"WITH {_C} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS kind, category, ({v})::BIGINT AS value FROM c WHERE {w} ORDER BY value DESC, category LIMIT 6)" for k, w, v in _KINDS),
     "s4_search": f"WITH {_C} SELECT category, status FROM c WHERE n_planning > 0 AND category IN (SELECT category FROM t WHERE contains(lower(title), 'blue anvil 1'))",
-    "s4_ordered": f"WITH {_C} SELECT category FROM c ORDER BY {_RANK}, n_rival DESC, category LIMIT 3",
-    "s4_ordered_by_name": f"WITH {_C} SELECT category FROM c ORDER BY category LIMIT 3",
+    "s4_ordered": f"WITH {_C} SELECT category, row_number() OVER (ORDER BY {_RANK}, n_rival DESC, category)::INTEGER AS n FROM c",
+    "s4_ordered_by_name": f"WITH {_C} SELECT category, row_number() OVER (ORDER BY category)::INTEGER AS n FROM c",
     "s4_timeline": f"WITH {_C} SELECT CASE WHEN month = '' THEN '미정' ELSE replace(month, '년', '년 ') END AS month, count(*) FILTER (status = '기획예정') AS planning, count(*) FILTER (status <> '기획예정') AS publishing FROM p GROUP BY 1",
     "s4_workload": f"""WITH {_C}, x AS (SELECT team, replace(month, '년', '년 ') AS m FROM p WHERE status <> '기획예정'), y AS (SELECT team, {", ".join(f"count(*) FILTER (m = '{m}') AS '{m}'" for m in MONTHS)} FROM x GROUP BY team)
         SELECT *, ({" + ".join(f'("{m}" >= 3)::INTEGER' for m in MONTHS)}) AS overloaded, ({" + ".join(f'("{m}" = 2)::INTEGER' for m in MONTHS)}) AS busy FROM y""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.operators import index_terms, listings, proofread as pr, reports, structure, toc
+from galley.plans.standin import in_place
 from galley.session import table
 
 RULES = (
@@ -83,7 +84,7 @@ def _compared(f):
 
 QUERIES = {
     "s7_scan": _lines(lambda p: pr.scan(p, RULES).select("doc_id", "page", "rule", "place", "type", "severity", "found")),
-    "s7_issue_order": _lines(lambda p: pr.in_order(pr.scan(p, RULES)).select("doc_id", "page", "type", "found").limit(100)),
+    "s7_issue_order": _lines(lambda p: in_place(pr.in_order(pr.scan(p, RULES)).select("doc_id", "page", "type", "found"), "doc_id")),
     "s7_filtered": _lines(lambda p: pr.filtered(pr.scan(p, RULES), "low", text="%%").groupBy("type").agg(F.count("*").alias("n"))),
     "s7_repeated_words": lambda spark, sf_dir: pr.repeated_words(_whole(spark, sf_dir), r"\b(\p{L}{3,})[ \t]+\1\b").select("doc_id", "found"),
     "s7_particle_repeats": _lines(lambda p: pr.particle_repeats(p, PARTICLES, sentence_end=r"\.\s+").groupBy("doc_id", "particle").agg(F.count("*").alias("sentences"), F.sum("n").alias("n"))),
@@ -169,7 +170,7 @@ cl AS (SELECT ce.block_id, ce.number, bo.line, CASE WHEN exact IS NOT NULL THEN
 
 ORACLES = {
     "s7_scan": f"WITH {_I} SELECT * FROM i",
-    "s7_issue_order": f"WITH {_I} SELECT doc_id, page, type, found FROM i ORDER BY doc_id, page, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, type, found LIMIT 100",
+    "s7_issue_order": f"WITH {_I} SELECT doc_id, page, type, found, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, type, found)::INTEGER AS n FROM i",
     "s7_filtered": f"WITH {_I} SELECT type, count(*) AS n FROM i WHERE severity = 'low' AND contains(found, '%%') GROUP BY type",
     "s7_particle_repeats": f"""WITH {_L}, s AS (SELECT doc_id, unnest(string_split_regex(text, '\\.\\s+')) AS s FROM l), n AS (SELECT doc_id, s, 'the' AS particle, len(regexp_extract_all(s, 'the\\s')) AS n FROM s UNION ALL SELECT doc_id, s, 'of', len(regexp_extract_all(s, 'of\\s')) FROM s)
         SELECT doc_id, particle, count(*) AS sentences, sum(n)::BIGINT AS n FROM n WHERE len(s) >= 15 AND n >= 3 GROUP BY ALL""",

@@ -15,6 +15,11 @@ RANKS = 20
 OWN = "Brand#1"
 
 
+def in_place(df: DataFrame, *within: str) -> DataFrame:
+    """``df``, a sorted table, with its rows' places n in each group of ``within`` (in all, for tables of few rows)."""
+    return df.withColumn("_i", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(W.partitionBy(*within).orderBy("_i"))).drop("_i")
+
+
 def _topics_sql() -> str:
     cases = ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(title), {w!r})' for w in words)} THEN '{t}' END" for t, words in TOPICS.items())
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
