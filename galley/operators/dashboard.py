@@ -33,15 +33,16 @@ def categories(titles: DataFrame, planned: DataFrame, lectures: DataFrame, own:
     """A row for each category with any title, plan or lecture.
 
     category, n_rival, n_own, n_planned, n_planning, n_lectures, rival_best, own_best (ranks, null without),
-    rival_year (of the best rival), popularity, status. Titles and lectures of category ``skip`` are left out, plans
+    rival_year (of the best rival, on a tie the first by year and title), popularity, status. Titles and lectures of category ``skip`` are left out, plans
     are not. status: plan-only without titles but with plans, lecture-only with neither, gap with rivals' only,
     leading with ours only or where our best rank is at most 1.3 times theirs, else behind.
     """
     none = lambda kind: F.lit(None).cast(kind)
+    named = lambda rows: F.col("title") if "title" in rows.columns else none("string").alias("title")
     side = F.when(F.col("publisher").isin(*own), "own").when(F.col("publisher").isin(*rivals), "rival")
-    shelf = titles.select("category", side.alias("side"), "rank", "year", "title", none("string").alias("status"), none("long").alias("popularity")).filter(F.col("side").isNotNull() & (F.col("category") != skip))
-    plans = planned.select("category", F.lit("planned").alias("side"), none("int").alias("rank"), none("int").alias("year"), "title", "status", none("long").alias("popularity"))
-    talks = lectures.filter(F.col("category") != skip).select("category", F.lit("lecture").alias("side"), none("int").alias("rank"), none("int").alias("year"), "title", none("string").alias("status"), F.col("popularity").cast("long"))
+    shelf = titles.select("category", side.alias("side"), "rank", "year", named(titles), none("string").alias("status"), none("long").alias("popularity")).filter(F.col("side").isNotNull() & (F.col("category") != skip))
+    plans = planned.select("category", F.lit("planned").alias("side"), none("int").alias("rank"), none("int").alias("year"), named(planned), "status", none("long").alias("popularity"))
+    talks = lectures.filter(F.col("category") != skip).select("category", F.lit("lecture").alias("side"), none("int").alias("rank"), none("int").alias("year"), named(lectures), none("string").alias("status"), F.col("popularity").cast("long"))
     of = lambda s: F.col("side") == s
     rows = shelf.unionByName(plans).unionByName(talks).groupBy("category")
     rows = rows.agg(

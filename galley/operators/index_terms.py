@@ -74,7 +74,9 @@ def score() -> Column:
 
 
 def valued(terms: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
-    """Terms that score ``least`` or more, best first, in Korean order."""
+    """Terms that score ``least`` or more, best first, in Korean order. Without a column modifier_only none is one."""
+    if "modifier_only" not in terms.columns:
+        terms = terms.withColumn("modifier_only", F.lit(False))
     return terms.withColumn("score", score()).filter(F.col("score") >= least).orderBy(F.desc("score"), F.collate("term", "ko"), "doc_id")
 
 

@@ -229,7 +229,7 @@ def segmented(lines: DataFrame) -> DataFrame:
     label = F.nullif(F.regexp_extract("text", r"^\s*(?:\[?파일\]?\s*)?([\w./-]+\.\w{1,5})\s*$", 1), F.lit(""))
     rows = lines.withColumn("label", F.when(F.col("number").isNull(), label)).filter("label is not null or number is not null")
     before = F.lag("number").over(w)
-    gap = F.when(F.lag("page").over(w) == F.col("page"), F.col("pos") - F.lag("pos").over(w) - 1).otherwise(0)
+    gap = F.when(F.lag("page").over(w) == F.col("page"), F.col("pos") - F.lag("pos").over(w) - 1).otherwise(1)  # a new page is a gap
     fall = before - F.col("number")
     starts = F.col("label").isNotNull() | before.isNull() | (fall > 5) | ((fall >= 0) & (gap >= 3)) | ((fall >= 0) & (F.col("number") <= 2) & (gap >= 1))
     rows = rows.withColumn("_s", F.when(starts, 1).otherwise(0)).withColumn("_gap", F.coalesce(F.col("number") - before > 1, F.lit(False)))

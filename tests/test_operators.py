@@ -257,7 +257,8 @@ def test_term_signals_against_brute_force(spark):
             w[2 + code] += 1
             for k, after in ((4, " the"), (5, r"\s?\("), (6, " of")):
                 w[k] |= any(re.match(after, text[e:]) for e in ends)
-            w[7] += any(t in re.findall("[A-Z][a-z]{2,}", line) for line in text.split("\n") if len(line.strip(" ")) <= 40)
+            first, _, rest = text.partition("\n")
+            w[7] += t in re.findall("[A-Z][a-z]{2,}", first) and t not in re.findall("[A-Z][a-z]{2,}", rest)
             w[8] += 1
     table = spark.createDataFrame(pages, "doc_id long, page int, text string, code boolean")
     got = {(r.doc_id, r.term): (r.freq, r.pages, r.body_pages, r.code_pages, r.defined, r.with_english, r.acted, r.header_only) for r in index_terms.signals(table, "[A-Z][a-z]{2,}", " the", " of").collect()}
