@@ -31,7 +31,7 @@ OVERLAP = 256
 #: Longer than a contraction, a multi-part lookahead or a special string (13 characters).
 MARGIN = 24
 #: Pieces that a Python worker keeps, twice: those in use and those before them.
-CACHE = 500_000
+CACHE = 300_000
 
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: A space next to other white space, or to the separators that libraries class differently.
