@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _local_roots: dict[str, str] = {}
+#: Folders of scratch tables made inside :func:`collecting`.
+_collected: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,6 +39,8 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/galley-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        for held in _collected:
+            held.append(self.path)
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
@@ -65,6 +71,33 @@ def numbered(docs: DataFrame, scratch: Scratch, *more: Column) -> DataFrame:
     return scratch.write(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*map(column, docs.columns)).alias("row"), *more))
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """A list of the folders of scratch tables that operators make meanwhile."""
+    made: list[str] = []
+    _collected.append(made)
+    try:
+        yield made
+    finally:
+        _collected.remove(made)
+
+
+def drop_unread(spark: SparkSession, folders: list[str], docs: DataFrame) -> list[str]:
+    """Delete the ``folders`` of scratch tables that ``docs`` doesn't read; those that stay.
+
+    All stay where ``docs`` names no files, as a cached table does, which may read them yet.
+    """
+    files = docs.inputFiles()
+    if not files:
+        return folders
+    read = [f for f in folders if any(f"/{f.rsplit('/', 1)[1]}/" in file for file in files)]
+    for f in folders:
+        if f not in read:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return read
+
+
 #: Rows of at most this many bytes in all are broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 8_000_000
 

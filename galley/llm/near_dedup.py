@@ -11,10 +11,10 @@ What keeps it bounded:
 * A key of A that one class alone has can't give a table hit, so B is combined only with A keys that
   collide.
 * Of buckets with the same members one goes on.
-* A bucket never yields all its pairs. Its members are first compared with one leader, then, where the
-  bucket still holds several components, with the few leaders of each further round. Only
+* Only a small bucket yields all its pairs. Members are first compared with one leader, then, where the
+  bucket still holds several components, with a few, of its largest component if that has so many. Only
   components matter, so a bucket inside one component is done, as is one whose leaders have been all its
-  members but one. What is left is compared in blocks of at most about ``BLOCK`` members, components
+  members but one. The first rounds compare a member with a few leaders only, whatever the number of its buckets. What is left is compared in blocks of at most about ``BLOCK`` members, components
   against each other, by an exact count of common shingles in each pair of blocks. Nothing is capped.
 """
 
@@ -34,8 +34,10 @@ ROWS = 3
 #: Chance that a pair exactly at the threshold meets in no key of A (or of B).
 MISS = 2e-4
 BLOCK = 256
-#: Leaders that a bucket's members are compared with, round by round, before blocks are.
-LEADERS = (1, 1, 16)
+#: Leaders of a bucket, round by round, before blocks are compared; and with how many of all leaders that it meets a member is
+#: compared in the first rounds. A later round is for buckets of one member more than leaders, whose pairs it compares all.
+LEADERS = (1, 4, 16)
+FEW = (1, 4)
 SHINGLE = 5
 PERCENT = 80
 
@@ -243,7 +245,8 @@ def _blocks(buckets: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int)
     with_rest = F.transform(F.sequence(F.lit(0), F.col("blocks_rest") - 1), lambda o: F.struct(F.lit(True).alias("main"), F.col("own").alias("x"), o.alias("y")))
     with_main = F.transform(F.sequence(F.lit(0), F.col("blocks_main") - 1), lambda o: F.struct(F.lit(True).alias("main"), o.alias("x"), F.col("own").alias("y")))
     among = F.transform(F.sequence(F.lit(0), F.col("blocks_rest") - 1), lambda o: F.struct(F.lit(False).alias("main"), F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    dealt = rows.select("key", "rep", "label", "is_main", "own", F.explode(F.when(F.col("is_main"), with_rest).otherwise(F.concat(with_main, among))).alias("cell"))
+    alone = (F.col("blocks_main") == 1) & (F.col("blocks_rest") == 1)  # one cell holds both, and all pairs
+    dealt = rows.select("key", "rep", "label", "is_main", "own", F.explode(F.when(F.col("is_main"), with_rest).when(alone, with_main).otherwise(F.concat(with_main, among))).alias("cell"))
     dealt = dealt.select("key", "rep", "label", "cell", F.when(F.col("cell.main"), F.col("is_main")).otherwise(F.col("own") == F.col("cell.x")).alias("left_side"))
     dealt = dealt.join(sets.select("rep", "n", "shingles"), "rep")
 
@@ -336,29 +339,33 @@ def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, n_alive: int, p
     done = 1  # buckets of so many members have no pair left
     for step in range(len(LEADERS) + 1):
         here = buckets.join(small_broadcast(labels.withColumnRenamed("node", "rep"), n_alive, 32), "rep")
-        mixed = here.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("size"))
-        mixed = scratch.write(mixed.filter(F.col("_a") < F.col("_b")).filter(F.col("size") > done).select("key"))
+        sizes = here.groupBy("key", "label").agg(F.count("*").alias("size"))
+        mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("n_main"), (F.sum("size") - F.max("size")).alias("n_rest"))
+        mixed = scratch.write(mixed.filter(F.col("n_rest") > 0).filter(F.col("n_main") + F.col("n_rest") > done))
         n_mixed = mixed.count()
         if not n_mixed:
             break
-        here = scratch.write(here.select("key", "rep", "n", "label").join(small_broadcast(mixed, n_mixed, 24), "key"))
+        here = scratch.write(here.select("key", "rep", "n", "label").join(small_broadcast(mixed.select("key", "main", (F.col("n_main") + F.col("n_rest")).alias("size")), n_mixed, 40), "key"))
         buckets = here.select("key", "rep", "n")
         if step < len(LEADERS):
-            rank = F.xxhash64("rep", F.lit(step)) if step else F.col("rep")
-            first = F.row_number().over(W.partitionBy("key").orderBy(rank, "rep"))
-            lead = here.withColumn("_r", first).filter(F.col("_r") <= LEADERS[step]).select("key", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"))
+            leaders, few = LEADERS[step], FEW[step] if step < len(FEW) else None
+            # members of the largest component lead, so that only the rest is compared with them
+            rank = [F.col("label") != F.col("main"), F.xxhash64("rep", F.lit(step))] if step else []
+            first = F.row_number().over(W.partitionBy("key").orderBy(*rank, "rep"))
+            led = here if few else here.filter(F.col("size") <= leaders + 1)
+            lead = led.withColumn("_r", first).filter(F.col("_r") <= leaders).select("key", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"))
             lead = scratch.write(lead)
-            near = here.join(small_broadcast(lead, n_mixed * LEADERS[step], 48), "key").filter("label <> u_label").filter(100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
-            if step == 0:  # one leader a member joins most groups
-                pairs = near.groupBy(F.col("rep").alias("v")).agg(F.min("u").alias("u")).select("u", "v")
-            else:
-                pairs = near.select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
-                done = LEADERS[step] + 1
+            near = led.join(small_broadcast(lead, n_mixed * leaders, 48), "key").filter("label <> u_label").filter(100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
+            pairs = near.select("u", F.col("rep").alias("v")).distinct()
+            if few is None:
+                done = leaders + 1
+            else:  # a few leaders a member join most groups
+                order = W.partitionBy("v").orderBy(*([F.xxhash64("u", F.lit(step))] if step else []), "u")
+                pairs = pairs.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= few)
+            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
             links = scratch.write(confirm(pairs, sets, percent))
         else:
-            sizes = here.groupBy("key", "label").agg(F.count("*").alias("size"))
-            mixed = sizes.groupBy("key").agg(F.max_by("label", "size").alias("main"), F.max("size").alias("n_main"), (F.sum("size") - F.max("size")).alias("n_rest"))
-            links = scratch.write(_blocks(here, scratch.write(mixed), sets, percent))
+            links = scratch.write(_blocks(here.drop("main", "size"), mixed, sets, percent))
         if links.limit(1).count() == 0:
             continue
         old = labels
