@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galley.llm import chat, exact_dedup, html_text, mixing, near_dedup, nearest, packing, quality, tokens, toxicity
+from galley.llm import chat, exact_dedup, fim, html_text, mixing, near_dedup, nearest, packing, quality, tokens, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_chat_format": chat.query,
     "op10_quality_rules": quality.query,
+    "op12_fill_in_middle": fim.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op2_minhash_near_dedup": near_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
+    "op12_fill_in_middle": fim.SQL,
 }
