@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galley.llm import chat, exact_dedup, fim, html_text, mixing, near_dedup, nearest, packing, quality, tokens, toxicity
+from galley.llm import chat, exact_dedup, fim, html_text, mixing, near_dedup, nearest, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_chat_format": chat.query,
     "op10_quality_rules": quality.query,
+    "op11_simhash_near_dedup": simhash.query,
     "op12_fill_in_middle": fim.query,
 }
 
