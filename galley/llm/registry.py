@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galley.llm import chat, exact_dedup, fim, html_text, mixing, near_dedup, nearest, packing, quality, simhash, tokens, toxicity
+from galley.llm import chat, exact_dedup, fim, html_text, mixing, near_dedup, nearest, negatives, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality.query,
     "op11_simhash_near_dedup": simhash.query,
     "op12_fill_in_middle": fim.query,
+    "op13_hard_negatives": negatives.query,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op2_minhash_near_dedup": near_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op12_fill_in_middle": fim.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
