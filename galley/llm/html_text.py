@@ -4,7 +4,8 @@ A page is cut into tags and text, a tree builder opens and closes elements with
 HTML (a new ``li`` ends the last one, a block ends an open ``p``, a ``td`` brings its ``tr``), visibility
 rules take out what no reader sees, and a renderer walks the tree: collapsed white space in a line, line
 breaks around blocks, a blank line around paragraphs and headings, marks and indents for lists, and
-columns of equal width for tables. All visible text is kept, navigation and footers too.
+columns of equal width for tables. All visible text is kept, navigation and footers too. Each step takes time
+in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -39,15 +40,17 @@ SCOPE = frozenset("table td th caption button".split())
 DEEPEST = 20
 #: A table is aligned if padding makes it at most so many times as long as its text; else two spaces part its cells.
 PADDING = 8
+#: Lists and quotations inside so many others are indented no further.
+INDENT = 24
 
-_TOKEN = re.compile(r"<(?:!--(?:.*?)(?:-->|\Z)|(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)", re.S)
+_OPEN = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*+)|[!?/])")
+#: The rest of a tag: only a value in quotes may hold the sign that ends it.
+_REST = re.compile(r"((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_MEDIA = re.compile(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|/\*.*?\*/", re.S)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([A-Za-z][\w-]*)?((?:[.#][\w-]+)*)\Z")
-_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\b", re.I)
+_BRACE = re.compile("[{}]")
+_SIMPLE = re.compile(r"([A-Za-z][\w-]*+)?+((?:[.#][\w-]++)*+)\Z")
+_SAID = re.compile(r"\s*+(display|visibility)\s*+:\s*+([a-z-]++)", re.I)
 
 
 class Node:
@@ -102,7 +105,7 @@ def parse(source: str) -> tuple[Node, list[str]]:
     root = Node("html")
     open_, styles, at = Open(root), [], 0
     while True:
-        m = _TOKEN.search(source, at)
+        m = _OPEN.search(source, at)
         if text := source[at : m.start() if m else len(source)]:
             text = html.unescape(text) if "&" in text else text
             if open_.top.tag == "head" and text.strip(" \t\n\r\f"):
@@ -110,9 +113,16 @@ def parse(source: str) -> tuple[Node, list[str]]:
             open_.top.children.append(text)
         if not m:
             return root, styles
-        at = m.end()
         if not m[2]:
+            close = ">" if m[0] != "<!--" or source.startswith((">", "->"), m.end()) else "-->"
+            at = source.find(close, m.end()) + len(close)
+            if at < len(close):
+                return root, styles  # a comment that never ends
             continue
+        rest = _REST.match(source, m.end())
+        if not rest:
+            return root, styles  # what follows is inside a tag that never ends
+        at, attrs = rest.end(), rest[1]
         tag = m[2].lower()
         if m[1]:
             _end(open_, tag)
@@ -120,11 +130,11 @@ def parse(source: str) -> tuple[Node, list[str]]:
         if tag in ("html", "body"):
             if tag == "body":
                 _leave_head(open_)
-            if m[3]:
-                (root if tag == "html" else open_.top).attrs += m[3] if tag == "html" or len(open_.nodes) == 1 else ""
+            if attrs:
+                (root if tag == "html" else open_.top).attrs += attrs if tag == "html" or len(open_.nodes) == 1 else ""
             continue
         _make_way(open_, tag)
-        node = Node(tag, m[3].rstrip("/") if m[3] else "")
+        node = Node(tag, attrs.rstrip("/"))
         open_.top.children.append(node)
         if tag in VOID:
             continue
@@ -175,32 +185,76 @@ def _end(open_: Open, tag: str) -> None:
         open_.top.children.append(Node("p"))
 
 
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of a style sheet's rules, in one pass; at-rules are passed over with all that is in them."""
+    parts, at = [], 0
+    while (begin := sheet.find("/*", at)) >= 0:
+        parts.append(sheet[at:begin])
+        end = sheet.find("*/", begin + 2)
+        at = end + 2 if end >= 0 else len(sheet)
+    sheet = "".join([*parts, sheet[at:]])
+    depth, start, body, inner, selectors = 0, 0, 0, None, ""
+    for m in _BRACE.finditer(sheet):
+        if m[0] == "{":
+            if depth == 0:
+                selectors, body, inner = sheet[start : m.start()].rpartition(";")[2], m.end(), None
+            elif depth == 1 and inner is None:
+                inner = m.start()  # rules inside a rule are passed over
+            depth += 1
+            continue
+        depth = max(0, depth - 1)
+        if depth == 0:
+            if body > start and not selectors.lstrip().startswith("@"):
+                yield selectors, sheet[body : m.start() if inner is None else inner]
+            start = m.end()
+    if depth and not selectors.lstrip().startswith("@"):
+        yield selectors, sheet[body:inner]
+
+
+def _said(declarations: str) -> dict[str, tuple[bool, str]]:
+    """What declarations say of display and visibility: whether it is important, and the value. Later ones win, but not over important ones."""
+    found: dict[str, tuple[bool, str]] = {}
+    for one in declarations.split(";"):
+        if m := _SAID.match(one):
+            name, value, important = m[1].lower(), m[2].lower(), "!important" in one.lower().replace(" ", "")
+            if name == "visibility" and value not in ("hidden", "collapse", "visible"):
+                continue
+            if important >= found.get(name, (False,))[0]:
+                found[name] = important, value
+    return found
+
+
 class Visibility:
     """Which elements a reader sees, by element, attributes and the page's plain style rules.
 
+    Of all rules that match an element the important ones win, then those with more ids, classes and element names in the
+    selector, then the last one; a style attribute stands above rules that aren't important, and all of them above the
+    attribute ``hidden``. Rules with combinators or pseudo-classes, and those inside at-rules, aren't applied.
+
     Rules of one selector are one, and each is filed under the rarest of its id, classes and element, so that an
     element is tested by few of them.
     """
 
     def __init__(self, styles: list[str]) -> None:
-        rules: dict[tuple[str, frozenset, frozenset], tuple[bool, int, str]] = {}  # selector -> none, order, visibility
+        rules: dict[tuple[str, frozenset, frozenset], dict[str, tuple]] = {}  # selector -> display and visibility: important, weight, order, value
         at = 0
         for sheet in styles:
-            for selectors, body in _RULE.findall(_MEDIA.sub("", sheet)):
-                v = _VISIBILITY.search(body)
-                effect = "none" if _NONE.search(body) else v[1].lower() if v else ""
-                for s in selectors.split(",") if effect else ():
+            for selectors, body in _rules(sheet):
+                said = _said(body)
+                for s in selectors.split(",") if said else ():
                     if (m := _SIMPLE.match(s.strip())) and m[0]:
                         parts = re.findall(r"[.#][\w-]+", m[2])
                         selector = (m[1] or "").lower(), frozenset(p[1:] for p in parts if p[0] == "."), frozenset(p[1:] for p in parts if p[0] == "#")
-                        none, order, said = rules.get(selector, (False, 0, ""))
+                        weight = sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), bool(m[1])
                         at += 1
-                        rules[selector] = (True, order, said) if effect == "none" else (none, at, effect)
+                        held = rules.setdefault(selector, {})
+                        for name, (important, value) in said.items():
+                            held[name] = max(held.get(name, (False,)), (important, weight, at, value))
         names = lambda r: [f"#{i}" for i in r[2]] + [f".{c}" for c in r[1]] + ([r[0] or "*"] if not r[1] and not r[2] else [])
         often = Counter(n for r in rules for n in names(r))
         self.filed: dict[str, list[tuple]] = {}
         for r, effect in rules.items():
-            self.filed.setdefault(min(names(r), key=lambda n: (often[n], n)), []).append((*r, *effect))
+            self.filed.setdefault(min(names(r), key=lambda n: (often[n], n)), []).append((*r, effect))
 
     def of(self, node: Node, hidden: bool) -> tuple[bool, bool]:
         """Whether the element makes a box at all, and whether its own text is hidden."""
@@ -209,23 +263,23 @@ class Visibility:
         if not self.filed and (not node.attrs or node.attrs.isspace()):
             return node.tag != "dialog", hidden
         a = node.attributes()
-        if "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+        if node.tag == "input" and a.get("type", "").lower() == "hidden":
             return False, hidden
-        none, said, latest = False, "", 0
+        best: dict[str, tuple] = {}
         if self.filed:
             classes, ids = set(a.get("class", "").split()), {a.get("id", "")}
             for name in ("*", node.tag, *(f".{c}" for c in classes), *(f"#{i}" for i in ids)):
-                for tag, those, that, is_none, order, visibility in self.filed.get(name, ()):
+                for tag, those, that, effect in self.filed.get(name, ()):
                     if tag in ("", node.tag) and those <= classes and that <= ids:
-                        none |= is_none
-                        if order > latest:
-                            latest, said = order, visibility
-        style = a.get("style", "")
-        if (_NONE.search(style)) or (none and not re.search(r"display\s*:", style, re.I)):
+                        for what, rule in effect.items():
+                            best[what] = max(best.get(what, rule), rule)
+        for what, (important, value) in _said(a["style"]).items() if "style" in a else ():
+            if what not in best or important >= best[what][0]:
+                best[what] = important, (), 0, value
+        display = best["display"][3] if "display" in best else "none" if "hidden" in a or (node.tag == "dialog" and "open" not in a) else ""
+        if display == "none":
             return False, hidden
-        own = _VISIBILITY.search(style)
-        said = own[1].lower() if own else said
-        return True, said != "visible" if said else hidden
+        return True, best["visibility"][3] != "visible" if "visibility" in best else hidden
 
 
 class Layout:
@@ -262,7 +316,7 @@ class Layout:
         if self.parts and self.due:
             self.parts.append("\n" * self.due)
         if (self.due or not self.parts) and (self.indent or self.mark):
-            s = "  " * max(0, self.indent - bool(self.mark)) + self.mark + s.lstrip(" ")
+            s = "  " * max(0, min(self.indent, INDENT) - bool(self.mark)) + self.mark + s.lstrip(" ")
             self.mark = ""
         self.parts.append(s)
         self.due, self.space = 0, False
@@ -280,8 +334,8 @@ class Layout:
 def _options(node: Node) -> list[Node]:
     """The option that a closed select shows: the chosen one, else the first."""
     found, todo = [], [node]
-    while todo:
-        for c in todo.pop(0).children:
+    for each in todo:  # grows meanwhile
+        for c in each.children:
             if isinstance(c, Node):
                 (found if c.tag == "option" else todo).append(c)
     return [next((o for o in found if "selected" in o.attributes()), found[0])] if found else []
