@@ -1,46 +1,24 @@
 """From raw documents to packed training sequences: each stage calls one operator of ``galley.llm``.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; the output of one, written as Parquet and read
-again, is the ``docs`` of the next. All but the last return the columns of documents. A stage begins by deleting
-the tables that earlier stages have kept for themselves, unless its ``docs`` still reads them.
+again, is the ``docs`` of the next. All but the last return the columns of documents. A stage leaves the tables that
+its result reads, and deletes none of another stage's; :func:`run` deletes them once it has written the result, and who calls
+stages can do so with ``collecting`` and ``discard`` of ``galley.llm.common``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm import exact_dedup, mixing, near_dedup, packing, quality
-from galley.llm.common import Scratch, collecting, drop_unread
+from galley.llm.common import Scratch, collecting, discard
 from galley.session import table
 
 #: Documents go only if the classifier is this sure that they are poor.
 LEAST_QUALITY = 0.5
 
 
-#: Folders that stages of an application have kept, by its id.
-_kept: dict[str, list[str]] = {}
-
-
-def _stage(work: Callable[..., DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``work`` as a stage that cleans up behind the stages before it."""
-
-    @wraps(work)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        still = drop_unread(spark, _kept.pop(app, []), docs)
-        with collecting() as made:
-            out = work(spark, docs, sf_dir)
-        _kept[app] = still + made
-        return out
-
-    return stage
-
-
-@_stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble doesn't reject, learned from the labels outside the held-out third."""
     labels = table(spark, sf_dir, "labels")
@@ -48,25 +26,21 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.reject_low(docs, quality.fit(docs, labels), LEAST_QUALITY)
 
 
-@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.deduplicate(docs)
 
 
-@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
     return near_dedup.deduplicate(docs)
 
 
-@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources at their target weights: a document stands as often as it was drawn."""
     return mixing.mix(docs)
 
 
-@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in sequences of at most 2048."""
     pieces = packing.pack(docs)
@@ -83,10 +57,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over ``documents``. What a stage keeps for itself goes when its result is written, and that when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = Scratch(spark, name).write(stage(spark, docs, sf_dir))
+        scratch = Scratch(spark, name)
+        with collecting() as made:
+            docs = scratch.write(stage(spark, docs, sf_dir))
+        discard(spark, [*made, *([before.path] if before else [])])
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

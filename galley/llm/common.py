@@ -42,11 +42,11 @@ class Scratch:
         for held in _collected:
             held.append(self.path)
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         """Write ``df`` and read it back."""
         self.count += 1
         path = f"{self.path}/{self.count}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -68,7 +68,7 @@ def numbered(docs: DataFrame, scratch: Scratch, *more: Column) -> DataFrame:
 
     Equal rows are told apart by their keys, and no column of ``docs``, whatever its name or type, meets another.
     """
-    return scratch.write(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*map(column, docs.columns)).alias("row"), *more))
+    return scratch.write(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*map(column, docs.columns)).alias("row"), *more), "zstd")
 
 
 @contextmanager
@@ -82,20 +82,11 @@ def collecting() -> Iterator[list[str]]:
         _collected.remove(made)
 
 
-def drop_unread(spark: SparkSession, folders: list[str], docs: DataFrame) -> list[str]:
-    """Delete the ``folders`` of scratch tables that ``docs`` doesn't read; those that stay.
-
-    All stay where ``docs`` names no files, as a cached table does, which may read them yet.
-    """
-    files = docs.inputFiles()
-    if not files:
-        return folders
-    read = [f for f in folders if any(f"/{f.rsplit('/', 1)[1]}/" in file for file in files)]
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Delete the folders of scratch tables that nothing reads any more, as those of :func:`collecting` whose result is written."""
     for f in folders:
-        if f not in read:
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    return read
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Rows of at most this many bytes in all are broadcast; beyond it the join shuffles.

@@ -44,3 +44,26 @@ def test_stages_take_an_empty_table(spark, sf_dir):
         assert stage(spark, empty, sf_dir).collect() == [], name
     model = quality.RuleModel([], [], [], 0.0)
     assert quality.reject_low(empty, model).collect() == []
+
+
+def test_results_of_other_calls_stay_readable(spark, sf_dir):
+    """Stages called twice, and on two inputs in turn, leave each other's results alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    halves = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    for stage in (cp.drop_copies, cp.drop_near_copies, cp.mix_sources):
+        first = [stage(spark, half, sf_dir) for half in halves]
+        again = [stage(spark, half, sf_dir) for half in halves]
+        counts = [df.count() for df in first]
+        assert counts == [df.count() for df in again] == [df.count() for df in first]
+        assert all(counts)
+
+
+def test_run_cleans_up_behind_its_stages(spark, sf_dir):
+    from galley.llm.common import collecting
+
+    with collecting() as made:
+        out = cp.run(spark, sf_dir)
+    assert out.count() > 0
+    left = [f for f in made if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f))]
+    assert len(left) == 1  # what the last stage reads
+    assert f"/{left[0].rsplit('/', 1)[1]}/" in out.inputFiles()[0] or "galley-mixing" in left[0]
