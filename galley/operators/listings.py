@@ -2,7 +2,7 @@
 
 Blocks are rows (block_id, filename, lines array<string>; a null line is one that the author left out), files
 rows (path, filename, content). Lines meet by keys of falling strictness, and only what no key finds is
-compared by edit distance, within the one file that was chosen for the block.
+compared by edit distance, with those lines of the block's file that share a segment with it.
 """
 
 from __future__ import annotations
@@ -79,6 +79,52 @@ def similarity(a: Column, b: Column, least: float = FUZZY) -> Column:
     return F.when((distance <= allowed) & (longest > 0), 1 - distance / longest)
 
 
+def _edits(n: Column, least: float) -> Column:
+    """The most edits between a string of ``n`` characters and any string that is similar enough, however long that is."""
+    return F.floor(n * round((1 - least) / least, 9) + 1e-9).cast("int")
+
+
+def near_candidates(asked: DataFrame, source: DataFrame, least: float = FUZZY) -> DataFrame:
+    """block_id, number, source_number of pairs in one path that may be similar enough: asked (block_id, number, path, spaced), source (path, source_number, spaced).
+
+    A segment index for edit distance. A source line that allows t edits is cut in t + 1 segments of equal length; an edit spoils one
+    segment at most, so a line within t edits holds one of them unspoilt, and one such segment i has no more than i edits
+    before it, so it stands there at most i places away. Lines therefore meet by equality of path, segment number
+    and segment, and no pair is lost; lines too short for an edit have no segment, as they could only be equal.
+    """
+    if least <= 0.5:
+        raise ValueError("the segment index needs least > 0.5, so that each segment has a character")
+    size = F.length("spaced")
+    cut = lambda n: F.floor(n / (_edits(n, least) + 1)).cast("int")
+    rows = source.withColumn("n", size).withColumn("t", _edits(F.col("n"), least)).filter("t > 0").withColumn("s", cut(F.col("n")))
+    segments = F.transform(F.sequence(F.lit(0), F.col("t")), lambda i: F.struct(i.alias("i"), F.substring(F.col("spaced"), i * F.col("s") + 1, F.col("s")).alias("part")))
+    index = rows.select("path", "source_number", "n", "s", F.inline(segments))
+    # lengths that a similar source line may have, and the segments of those lengths
+    lengths = F.sequence(F.greatest(F.lit(1), F.col("a") - F.floor(F.col("a") * round(1 - least, 9) + 1e-9)).cast("int"), F.floor(F.col("a") / least + 1e-9).cast("int"))
+    shapes = F.array_distinct(F.transform(lengths, lambda n: F.struct(cut(n).alias("s"), _edits(n, least).alias("t"))))
+    probes = asked.withColumn("a", size).select("block_id", "number", "path", "spaced", "a", F.inline(shapes)).filter("t > 0")
+    probes = probes.groupBy("block_id", "number", "path", "spaced", "a", "s").agg(F.max("t").alias("t"))
+    places = F.transform(F.sequence(F.lit(0), F.col("t")), lambda i: F.transform(
+        F.sequence(i * F.col("s") - i, i * F.col("s") + i), lambda at: F.when((at >= 0) & (at + F.col("s") <= F.col("a")), F.struct(i.alias("i"), F.substring(F.col("spaced"), at + 1, F.col("s")).alias("part")))))
+    places = F.array_distinct(F.filter(F.flatten(places), lambda x: x.isNotNull()))
+    probes = probes.select("block_id", "number", "path", "a", "s", F.inline(places))
+    met = probes.join(index, ["path", "s", "i", "part"])
+    fits = F.abs(F.col("a") - F.col("n")) <= F.floor(F.greatest("a", "n") * round(1 - least, 6) + 1e-9)
+    return met.filter(fits).select("block_id", "number", "path", "source_number").distinct()
+
+
+def near_lines(asked: DataFrame, source: DataFrame, least: float = FUZZY) -> DataFrame:
+    """block_id, number, near, score: the most similar line of the path for each asked line that has one, the first on a tie.
+
+    Source lines that read alike are one, at their first place.
+    """
+    lines = source.join(asked.select("path").distinct(), "path", "left_semi").groupBy("path", "spaced").agg(F.min("source_number").alias("source_number"))
+    pairs = near_candidates(asked, lines, least)
+    both = pairs.join(lines.withColumnRenamed("spaced", "there"), ["path", "source_number"]).join(asked.select("block_id", "number", "spaced"), ["block_id", "number"])
+    scored = both.withColumn("score", similarity(F.col("spaced"), F.col("there"), least)).filter("score is not null")
+    return best_of(scored, ["block_id", "number"], [F.desc("score"), F.col("source_number")], 1, "_n").select("block_id", "number", F.col("source_number").alias("near"), "score")
+
+
 def source_lines(files: DataFrame) -> DataFrame:
     """path, number, line and its keys: spaced, bare, plain (no comment, spaced), plain_bare."""
     rows = files.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("number", "line"))
@@ -109,7 +155,7 @@ def _most_lines(lines: DataFrame, source: DataFrame, need: DataFrame) -> DataFra
     files are looked for by that many of the block's rarest lines, and counted on all its lines afterwards. Lines that
     most files have are thus no join key of the search, and nothing is left out.
     """
-    s = source.select("path", F.col("bare").alias("k")).filter("k <> ''").distinct()
+    s = settled(source.select("path", F.col("bare").alias("k")).filter("k <> ''").distinct())
     b = lines.select("block_id", "number", F.col("bare").alias("k")).filter("k <> ''").join(need, "block_id")
     often = s.join(b.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("files"))
     rare = W.partitionBy("block_id").orderBy("files", "k", "number")
@@ -178,9 +224,8 @@ def compare_lines(blocks: DataFrame, files: DataFrame, chosen: DataFrame) -> Dat
     asked = lines.select("block_id", "number", "path", keys).select("block_id", "number", "path", "x.*")
     hits = asked.join(there, ["path", "stage", "k"]).groupBy("block_id", "number").agg(F.min(F.struct("stage", "source_number")).alias("hit"))
     rows = lines.join(hits, ["block_id", "number"], "left")
-    close = rows.filter("hit is null").join(source.select("path", F.col("number").alias("source_number"), F.col("spaced").alias("there")), "path")
-    close = close.withColumn("score", similarity(F.col("spaced"), F.col("there"))).filter("score is not null")
-    close = best_of(close, ["block_id", "number"], [F.desc("score"), F.col("source_number")], 1, "_n").select("block_id", "number", F.col("source_number").alias("near"))
+    asked = settled(rows.filter("hit is null").select("block_id", "number", "path", "spaced"))
+    close = near_lines(asked, source.select("path", F.col("number").alias("source_number"), "spaced")).drop("score")
     rows = rows.join(close, ["block_id", "number"], "left")
     stage = F.when(F.col("hit").isNotNull(), F.element_at(F.array(*[F.lit(n) for n, _ in STAGES]), F.col("hit.stage") + 1)).when(F.col("near").isNotNull(), "near").otherwise("diff")
     return rows.select("block_id", "number", "line", stage.alias("stage"), F.coalesce("hit.source_number", "near").alias("source_number"))

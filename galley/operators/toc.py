@@ -1,16 +1,18 @@
 """Tables of contents against the body: entries (doc_id, entry, title, level, page), pages (doc_id, page, printed, text).
 
 A title is looked for on the pages near its number, nearest first, then near the number plus the document's
-offset, then anywhere. The near searches are band joins by page number; only entries that neither finds
-meet all pages of their document.
+offset, then anywhere. The near searches are band joins by page number; entries that neither finds are looked
+for by the rarest grams of their rarest words.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.operators.snapshots import best_of
+from galley.session import settled
 
 BAND = 5
 
@@ -32,6 +34,47 @@ def found_in(title: Column, page: Column) -> Column:
     return (title != "") & (page != "") & (F.contains(page, title) | ((F.length(bare) >= 4) & F.contains(bare_page, bare)) | most)
 
 
+def _grams(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters of a text without line breaks, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
+
+
+#: Characters of a gram of the index; shorter words are grams themselves.
+GRAM = 3
+
+
+def found_anywhere(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, entry, at of the pages (doc_id, at, norm) on which a title (doc_id, entry, want) stands as :func:`found_in` says.
+
+    An inverted index of grams. Whatever way a title is found, the page without its spaces holds either the title without
+    its own, or one of any m - h + 1 of its m longer words, as h of them are needed. So a title looks up the rarest of
+    its whole grams, and the rarest grams of as many of its rarest words, among the pages of its document; what
+    shares one of them is verified. Grams that no page has can't be met. A page gives a row for those grams only that
+    some title of its document asks for.
+    """
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    spelt = F.filter(F.split("want", " "), lambda w: F.length(w) >= 2)
+    need = F.greatest(F.lit(2), F.ceil(F.size("spelt") * 0.6 - 1e-9)).cast("int")
+    # word 0 is the whole title; a repeated word counts as often as it stands there
+    sought = F.concat(F.array(bare(F.col("want"))), F.when(F.size("spelt") >= 2, F.array_distinct("spelt")).otherwise(F.array().cast("array<string>")))
+    asked = entries.filter("want <> ''").withColumn("spelt", spelt).select("doc_id", "entry", "spelt", F.size("spelt").alias("m"), need.alias("h"), F.posexplode(sought).alias("k", "word"))
+    asked = asked.withColumn("times", F.when(F.col("k") > 0, F.size(F.filter("spelt", lambda w: w == F.col("word")))).otherwise(0)).drop("spelt")
+    grams = asked.withColumn("gram", F.explode(F.when(F.length("word") >= GRAM, _grams(F.col("word"), GRAM)).otherwise(F.array("word"))))
+    wanted = grams.groupBy("doc_id").agg(F.collect_set("gram").alias("wanted"))
+    on_page = F.array_union(F.array_union(_grams(bare(F.col("norm")), 1), _grams(bare(F.col("norm")), 2)), _grams(bare(F.col("norm")), GRAM))
+    index = settled(pages.filter("norm <> ''").join(wanted, "doc_id").select("doc_id", "at", F.explode(F.array_intersect("wanted", on_page)).alias("gram")))
+    often = index.groupBy("doc_id", "gram").agg(F.count("*").alias("pages"))
+    # the rarest gram of a word, and how many pages have it; none at all where a gram is absent
+    rarest = grams.join(often, ["doc_id", "gram"], "left").groupBy("doc_id", "entry", "m", "h", "k", "times").agg(F.min(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "gram")).alias("r"))
+    rarest = rarest.select("doc_id", "entry", "m", "h", "k", "times", "r.pages", "r.gram")
+    before = F.sum("times").over(W.partitionBy("doc_id", "entry").orderBy(F.col("k") == 0, "pages", "gram", "k").rowsBetween(W.unboundedPreceding, -1))
+    # words in front whose number, as often as they stand there, reaches m - h + 1
+    probes = rarest.withColumn("before", F.coalesce(before, F.lit(0))).filter((F.col("k") == 0) | (F.col("before") < F.col("m") - F.col("h") + 1)).filter("pages > 0")
+    pairs = probes.select("doc_id", "entry", "gram").distinct().join(index, ["doc_id", "gram"]).select("doc_id", "entry", "at").distinct()
+    both = pairs.join(entries.select("doc_id", "entry", "want"), ["doc_id", "entry"]).join(pages.select("doc_id", "at", "norm"), ["doc_id", "at"])
+    return both.filter(found_in(F.col("want"), F.col("norm"))).select("doc_id", "entry", "at").distinct()
+
+
 def page_offset(pages: DataFrame) -> DataFrame:
     """doc_id, offset: the commonest difference of page and printed number, the smaller on a tie."""
     counts = pages.filter("printed is not null").groupBy("doc_id", (F.col("page") - F.col("printed")).alias("offset")).agg(F.count("*").alias("n"))
@@ -56,7 +99,10 @@ def compare(entries: DataFrame, pages: DataFrame, band: int = BAND) -> DataFrame
 
     close = near(F.col("printed"), 1, F.col("printed")).unionByName(near(F.col("at") - F.col("offset"), 2, F.col("at") - F.col("offset")))
     rest = numbered.join(close.select("doc_id", "entry").distinct(), ["doc_id", "entry"], "left_anti")
-    far = rest.join(p, "doc_id").filter(found_in(F.col("want"), F.col("norm")))
+    rest = settled(rest.select("doc_id", "entry", "want"))
+    # the first page that has it
+    far = found_anywhere(rest, p.select("doc_id", "at", "norm")).groupBy("doc_id", "entry").agg(F.min("at").alias("at"))
+    far = far.join(p.select("doc_id", "offset").distinct(), "doc_id")
     number = F.when(F.col("at") - F.col("offset") >= 1, F.col("at") - F.col("offset")).otherwise(F.col("at"))
     far = far.select("doc_id", "entry", F.lit(3).alias("stage"), F.col("at").cast("long").alias("away"), F.lit(False).alias("before"), number.cast("long").alias("body_page"))
     hit = best_of(close.unionByName(far), ["doc_id", "entry"], [F.col("stage"), F.col("away"), F.col("before")], 1, "_n").select("doc_id", "entry", "body_page")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from galley.functions.dictionary import half_up
 from galley.operators.snapshots import best_of
+from galley.session import settled
 
 # The scales of a card, best first.
 PICKS, URGENCY, GAPS = ("preempt", "hook", "safe"), ("지금", "3개월 내", "6개월 내"), ("높음", "보통", "낮음")
@@ -104,18 +105,22 @@ def competing_books(cards: DataFrame, books: DataFrame, top: int = 3) -> DataFra
 
     A card's column ``known`` (array of titles), where there is one, counts towards ``top`` and its titles aren't listed
     again, whatever their case. Words have two letters or more and lie inside a word of the title; the parts of
-    titles' words meet them by equality. Of the titles with a word only the best few go on, as a card can list no
+    titles' words that are as long as some keyword meet them by equality. Of the titles with a word only the best few go on, as a card can list no
     more, so a common word pairs no card with every title.
     """
     cut = lambda c: F.array_distinct(F.split(F.lower(F.regexp_replace(c, r"[^\w가-힣\s]", "")), r"\s+"))
     known = F.transform(F.coalesce("known", F.array().cast("array<string>")), lambda t: F.lower(t)) if "known" in cards.columns else F.array().cast("array<string>")
     k = cards.select("path", known.alias("known"), F.explode(cut(F.col("keyword"))).alias("word")).filter((F.length("word") >= 2) & (F.size("known") < top))
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"[\w가-힣]{2,}"), F.lit(0)))
-    t = books.groupBy("title").agg(F.min("rank").alias("rank")).select("title", "rank", F.explode(tokens).alias("token"))
-    starts = F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("at")
-    t = t.select("title", "rank", "token", starts).select("title", "rank", "token", "at", F.explode(F.sequence(F.lit(2), F.length("token") - F.col("at") + 1)).alias("size"))
-    parts = t.select("title", "rank", F.substring("token", F.col("at"), F.col("size")).alias("word"))
-    parts = parts.join(k.select("word").distinct(), "word", "left_semi").distinct()
+    # numbered once, so that a window carries no title
+    t = settled(books.groupBy("title").agg(F.min("rank").alias("rank")).withColumn("id", F.monotonically_increasing_id()))
+    # a window of each length that some word has slides over a token, so a token gives rows in proportion to its letters
+    sizes = k.agg(F.collect_set(F.length("word"))).scalar()
+    window = F.concat(F.lit("(?=(.{"), F.col("n").cast("string"), F.lit("}))"))
+    cut_up = t.select("id", F.explode(tokens).alias("token")).select("id", "token", sizes.alias("sizes")).select("id", "token", F.explode("sizes").alias("n"))
+    met = cut_up.select("id", F.explode(F.array_distinct(F.regexp_extract_all("token", window, F.lit(1)))).alias("word"))
+    met = met.join(k.select("word").distinct(), "word", "left_semi").distinct()
+    parts = met.join(t, "id").select("title", "rank", "word")
     parts = best_of(parts, ["word"], [F.col("rank"), F.col("title")], 2 * top, "_n").drop("_n")
     pairs = k.join(parts, "word").filter(~F.array_contains("known", F.lower("title")))
     pairs = pairs.select("path", "title", "rank", F.size("known").alias("held")).distinct()

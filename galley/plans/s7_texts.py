@@ -53,11 +53,12 @@ def _elements(spark, sf_dir):
 
 
 def _entries(spark, sf_dir):
-    """Three entries a document: the beginning of its first and third line, and a title that stands nowhere."""
+    """The lines of over 30 characters as titles, some without a number, most with a number before the line's; and a title a document that stands nowhere."""
     p = lines(spark, sf_dir)
-    first = p.filter("page in (1, 3) and length(text) > 30").select("doc_id", F.col("page").alias("entry"), F.substring("text", 1, 30).alias("title"), F.lit(1).alias("level"), F.when(F.col("page") == 3, 2).otherwise(9).alias("page"))
+    number = F.when(F.col("page") % 4 > 0, F.greatest(F.lit(1), F.col("page") - 2 - F.col("page") % 9 * 3))
+    long = p.filter("length(text) > 30").select("doc_id", F.col("page").alias("entry"), F.col("text").alias("title"), F.lit(1).alias("level"), number.alias("page"))
     none = p.filter("page = 1").select("doc_id", F.lit(0).alias("entry"), F.lit("zzqx zzqy").alias("title"), F.lit(1).alias("level"), F.when(F.col("doc_id") % 2 == 0, 1).alias("page"))
-    return first.unionByName(none)
+    return long.unionByName(none)
 
 
 def _blocks(spark, sf_dir):
@@ -151,7 +152,7 @@ ch AS (SELECT block_id, path, hits FROM hc JOIN (SELECT block_id, count(*) AS si
 _OF = "oc AS (SELECT doc_id, page - printed AS o, count(*) AS n FROM l WHERE printed IS NOT NULL GROUP BY ALL), oo AS (SELECT doc_id, o FROM oc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) = 1)"
 _NORM = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9가-힣]+', ' ', 'g'), ' +', ' ', 'g'))"
 #: Entries, each against all pages of its document; a hit's stage says whether it is near by either number.
-_TOC = f"""en0 AS (SELECT doc_id, page AS entry, substr(text, 1, 30) AS title, CASE WHEN page = 3 THEN 2 ELSE 9 END AS page FROM l WHERE page IN (1, 3) AND len(text) > 30 UNION ALL SELECT doc_id, 0, 'zzqx zzqy', CASE WHEN doc_id % 2 = 0 THEN 1 END FROM l WHERE page = 1),
+_TOC = f"""en0 AS (SELECT doc_id, page AS entry, text AS title, CASE WHEN page % 4 > 0 THEN greatest(1, page - 2 - page % 9 * 3) END AS page FROM l WHERE len(text) > 30 UNION ALL SELECT doc_id, 0, 'zzqx zzqy', CASE WHEN doc_id % 2 = 0 THEN 1 END FROM l WHERE page = 1),
 tp AS (SELECT l.doc_id, l.page AS at_page, printed, coalesce(o, 0) AS o, {_NORM.format("text")} AS norm FROM l LEFT JOIN oo USING (doc_id)),
 te AS (SELECT *, {_NORM.format("title")} AS want FROM en0),
 th AS (SELECT te.doc_id, entry, page, at_page, printed, o, norm, want, list_filter(string_split(want, ' '), lambda w: len(w) >= 2) AS ws FROM te JOIN tp USING (doc_id) WHERE page IS NOT NULL),
