@@ -170,18 +170,21 @@ def _report(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    """Answers of a spreadsheet service in its four shapes, made from the nations, which are few."""
-    rows = [(r.n_nationkey, r.n_name) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-    import json
-
-    shapes = {
-        "arrays": json.dumps([["key", "name"], *rows]),
-        "objects": json.dumps([{"key": k, "name": n} for k, n in rows]),
-        "values": json.dumps({"headers": ["key", "name"], "data": rows}),
-        "table": "call(" + json.dumps({"table": {"cols": [{"label": "key"}, {"label": "name"}], "rows": [{"c": [{"v": k}, {"v": "Date(2024,0,1)", "f": n}]} for k, n in rows]}}) + ");",
-    }
-    out = [(shape, i, r[0], r[1]) for shape, text in shapes.items() for i, r in enumerate(feeds.table_rows(text))]
-    return spark.createDataFrame(out, "shape string, line long, a string, b string")
+    """Each customer's orders as an answer of a spreadsheet service, in one of its four shapes."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")))).alias("x"))
+    head = F.array(F.lit("key"), F.lit("status"))
+    rows = F.transform("x", lambda r: F.array(r["key"].cast("string"), r["status"]))
+    label = lambda t: F.struct(F.lit(t).alias("label"))
+    dated = F.transform("x", lambda r: F.struct(F.array(F.struct(r["key"].cast("string").alias("v"), F.lit(None).cast("string").alias("f")), F.struct(F.lit("Date(2024,0,1)").alias("v"), r["status"].alias("f"))).alias("c")))
+    shapes = (
+        F.to_json(F.concat(F.array(head), rows)),
+        F.to_json("x"),
+        F.to_json(F.struct(head.alias("headers"), rows.alias("data"))),
+        F.concat(F.lit("call("), F.to_json(F.struct(F.struct(F.array(label("key"), label("status")).alias("cols"), dated.alias("rows")).alias("table"))), F.lit(");")),
+    )
+    raw = F.element_at(F.array(*shapes), (F.col("o_custkey") % 4 + 1).cast("int"))
+    out = feeds.answer_cells(o.select("o_custkey", raw.alias("raw")))
+    return out.select("o_custkey", F.col("line").cast("long").alias("line"), F.col("cells")[0].alias("a"), F.col("cells")[1].alias("b"))
 
 
 def _documents(spark, sf_dir):
@@ -331,7 +334,7 @@ ORACLES = {
         n AS (SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS t FROM nation ORDER BY n_nationkey LIMIT 10),
         l AS (SELECT ['# Market', '', '## Segments', '', '| segment | n | mean |', '| --- | --- | --- |'] || (SELECT list(t ORDER BY t) FROM c) || ['', '## Nations', '', '| key | name |', '| --- | --- |'] || (SELECT list(t ORDER BY t) FROM n) || ['', '(the first 10 rows)', '', '## Notes', '', '- done', ''] AS l)
         SELECT generate_subscripts(l, 1) - 1 AS line, unnest(l) AS text FROM l""",
-    "s14_table_rows": "WITH s(shape) AS (VALUES ('arrays'), ('objects'), ('values'), ('table')) SELECT shape, n_nationkey + 1 AS line, n_nationkey::VARCHAR AS a, n_name AS b FROM nation, s UNION ALL SELECT shape, 0, 'key', 'name' FROM s",
+    "s14_table_rows": "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line, o_orderkey::VARCHAR AS a, o_orderstatus AS b FROM orders UNION ALL SELECT DISTINCT o_custkey, 0, 'key', 'status' FROM orders",
     "s14_docx_text": f"WITH {_DOCS} SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY k)) AS text_md5, NULL::VARCHAR AS error FROM x GROUP BY doc_id",
     "s14_hwpx_text": f"WITH {_DOCS} SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY k)) AS text_md5, NULL::VARCHAR AS error FROM x GROUP BY doc_id",
     "s14_docx_elements": f"WITH {_DOCS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INTEGER AS pos, {_KINDS.format(body=_BODY, extra='')} AS kind, len(text)::INTEGER AS size, kind = 'bold' AS bold FROM x",

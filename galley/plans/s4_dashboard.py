@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.operators import authors, dashboard as ops
+from galley.operators.ordinals import ranked
 from galley.plans import s3_authors
 from galley.plans.standin import TOPICS, in_place
 from galley.session import table
@@ -25,7 +25,7 @@ def titles(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("sold"))
     rows = table(spark, sf_dir, "part").join(lines, F.col("p_partkey") == F.col("l_partkey"))
     # the stand-in's rank is global; a real table brings its own
-    rows = rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("sold"), "p_partkey")))
+    rows = ranked(rows, F.desc("sold"), F.col("p_partkey")).withColumn("rank", F.col("rank").cast("int"))
     # own titles of one category and rivals' of another are left out, so that every status occurs
     rows = rows.filter(~((F.col("p_type") == "PROMO") & F.col("p_brand").isin(*OWN)) & ~((F.col("p_type") == "LARGE") & F.col("p_brand").isin(*RIVALS)))
     return rows.select(F.col("p_type").alias("category"), "rank", F.concat_ws(" ", "p_name", "p_partkey").alias("title"), F.col("p_brand").alias("publisher"), (2000 + F.col("p_size") % 27).cast("int").alias("year"))

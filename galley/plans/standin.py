@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from galley.operators.ordinals import numbered
 from galley.session import table
 
 #: Topics of the invented titles; a title may show two.
@@ -16,7 +17,9 @@ OWN = "Brand#1"
 
 
 def in_place(df: DataFrame, *within: str) -> DataFrame:
-    """``df``, a sorted table, with its rows' places n in each group of ``within`` (in all, for tables of few rows)."""
+    """``df``, a sorted table, with its rows' places n in each group of ``within``, whose groups are small, or in all."""
+    if not within:
+        return numbered(df).withColumn("n", F.col("n").cast("int"))
     return df.withColumn("_i", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(W.partitionBy(*within).orderBy("_i"))).drop("_i")
 
 

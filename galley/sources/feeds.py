@@ -103,29 +103,36 @@ def archive(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def table_rows(text: str) -> list[list[str]]:
-    """Rows of cells of a spreadsheet service's answer, header first.
+def answer_cells(answers: DataFrame, column: str = "raw") -> DataFrame:
+    """``answers`` with line (from 0) and cells (array of strings) of each row of a spreadsheet service's answer, header first.
 
-    The answer is an array of arrays, an array of objects, {values} or {data, headers}, or a table of cols and rows
-    wrapped in a call; such a driver-side answer is small.
+    An answer is an array of arrays, an array of objects, an object with values or with headers and data, or a table of
+    cols and rows wrapped in a call. It is read as a variant, so answers of all shapes pass through the same
+    expressions, none through the driver. A cell without a value is '', a date shows its formatted text; the columns of objects
+    are their keys in order of first appearance. What isn't JSON, nulls included, gives no rows.
     """
-    start, end = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1), max(text.rfind("}"), text.rfind("]"))
-    if start < 0:
-        return []
-    value = json.loads(text[start : end + 1])
-    cell = lambda x: "" if x is None else str(x)
-    if isinstance(value, dict) and "table" in value:
-        t = value["table"]
-        shown = lambda c: "" if c is None else cell(c.get("f") if str(c.get("v")).startswith("Date(") else c.get("v"))
-        return [[cell(c.get("label")) for c in t["cols"]], *[[shown(c) for c in r["c"]] for r in t["rows"]]]
-    if isinstance(value, dict):
-        rows = value.get("values", value.get("data", []))
-        head = [value["headers"]] if value.get("headers") else []
-        return [[cell(x) for x in r] for r in [*head, *rows]]
-    if value and isinstance(value[0], dict):
-        names = list(dict.fromkeys(k for r in value for k in r))
-        return [names, *[[cell(r.get(n)) for n in names] for r in value]]
-    return [[cell(x) for x in r] for r in value]
+    text = F.regexp_extract(column, r"(?s)([\[{].*[\]}])", 1)
+    v, held = F.col("_v"), answers.withColumn("_text", text).withColumn("_v", F.try_parse_json("_text"))
+    get = lambda x, path, kind: F.try_variant_get(x, path, kind)
+    many = "array<variant>"
+    cell = lambda x: F.coalesce(get(x, "$", "string"), F.lit(""))
+    cells = lambda r: F.transform(get(r, "$", many), cell)
+    rows = lambda x: F.transform(x, cells)
+    maps = F.from_json("_text", "array<map<string, string>>")  # keeps the keys in their order
+    names = F.array_distinct(F.flatten(F.transform(F.filter(maps, lambda m: m.isNotNull()), F.map_keys)))
+    objects = F.concat(F.array(names), F.transform(maps, lambda m: F.transform(names, lambda n: F.coalesce(m[n], F.lit("")))))
+    shown = lambda c: F.when(F.startswith(get(c, "$.v", "string"), F.lit("Date(")), F.coalesce(get(c, "$.f", "string"), F.lit(""))).otherwise(F.coalesce(get(c, "$.v", "string"), F.lit("")))
+    head = F.transform(get(v, "$.table.cols", many), lambda c: F.coalesce(get(c, "$.label", "string"), F.lit("")))
+    body = F.transform(get(v, "$.table.rows", many), lambda r: F.transform(get(r, "$.c", many), shown))
+    titles = F.transform(get(v, "$.headers", many), cell)
+    valued = rows(F.coalesce(get(v, "$.values", many), get(v, "$.data", many), F.array().cast(many)))
+    found = (
+        F.when(get(v, "$.table", "variant").isNotNull(), F.concat(F.array(head), body))
+        .when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.when(F.size(titles) > 0, F.concat(F.array(titles), valued)).otherwise(valued))
+        .when(F.startswith(F.schema_of_variant(get(v, "$[0]", "variant")), F.lit("OBJECT")), objects)
+        .otherwise(rows(get(v, "$", many)))
+    )
+    return held.select(*answers.columns, F.posexplode(found).alias("line", "cells"))
 
 
 def sources_among(files: DataFrame, endings: tuple[str, ...] = (".py", ".js", ".java", ".html", ".css", ".ts")) -> DataFrame:

@@ -114,3 +114,18 @@ def test_keywords_inside_long_words(spark):
             brute[path] = list(enumerate(hits, 1))
     assert {k: sorted(v) for k, v in got.items()} == brute
     assert velocity.competing_books(c.limit(0), b).collect() == []
+
+
+def test_places_over_a_whole_table(spark):
+    from galley.operators import ordinals
+
+    rng = random.Random(2)
+    rows = [(i, rng.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, x int").repartition(7)
+    out = ordinals.ranked(df, F.desc("x"), F.col("id"))
+    want = {i: n for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    assert {r.id: r["rank"] for r in out.collect()} == want
+    assert ordinals.ranked(df.limit(0), F.col("id")).collect() == []
+    assert ordinals.numbered(df.filter("id = 5").orderBy("id")).collect()[0].n == 1
+    few = ordinals.numbered(spark.range(10_000).orderBy(F.col("id") % 97, "id"))
+    assert few.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 10_000, 10_000)

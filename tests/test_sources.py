@@ -104,14 +104,6 @@ def test_scraped_pages(spark):
     assert (r.repo, r.description, r.language) == ("o/r", "does x", "Rust")
 
 
-def test_table_answers():
-    assert feeds.table_rows('[["a"], [1, null]]') == [["a"], ["1", ""]]
-    assert feeds.table_rows('[{"a": 1}, {"b": 2}]') == [["a", "b"], ["1", ""], ["", "2"]]
-    assert feeds.table_rows('{"headers": ["h"], "data": [[1]]}') == [["h"], ["1"]]
-    assert feeds.table_rows('call({"table": {"cols": [{"label": "d"}], "rows": [{"c": [{"v": "Date(2026,0,1)", "f": "1.1"}]}, {"c": [null]}]}});') == [["d"], ["1.1"], [""]]
-    assert feeds.table_rows("<html>") == []
-
-
 def test_files_and_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "t.csv").write_bytes('﻿a,b\r\n"x ""q""\ny",1\r\n,\r\n'.encode())
@@ -129,3 +121,23 @@ def test_files_and_sinks(spark, tmp_path):
     terms = spark.createDataFrame([("api", [1, 2]), ("가방", [3])], "term string, pages array<int>")
     assert {r.grp: r.lines for r in sinks.index_groups(terms).collect()} == {"A": "api\t1, 2", "ㄱ": "가방\t3"}
     assert sinks.markdown_table(terms.select("term"), ["t"]).splitlines()[:2] == ["| t |", "| --- |"]
+
+
+def test_answers_of_a_spreadsheet_service(spark):
+    answers = {
+        "arrays": ('[["a", "b"], [1, null], ["x"], [true, 2.5]]', [["a", "b"], ["1", ""], ["x"], ["true", "2.5"]]),
+        "objects": ('[{"z": 1}, {"b": 2, "z": null}]', [["z", "b"], ["1", ""], ["", "2"]]),
+        "headers": ('{"headers": ["h"], "data": [[1]]}', [["h"], ["1"]]),
+        "values": ('{"values": [["h"], ["1"]]}', [["h"], ["1"]]),
+        "table": ('call({"table": {"cols": [{"label": "d"}, {}], "rows": [{"c": [{"v": "Date(2026,0,1)", "f": "1.1"}, {"v": 3}]}, {"c": [null, {"v": null}]}]}});', [["d", ""], ["1.1", "3"], ["", ""]]),
+        "html": ("<html>", []),
+        "none": (None, []),
+        "empty": ("[]", []),
+        "broken": ("[[1, 2", []),
+    }
+    rows = spark.createDataFrame([(k, raw, "kept") for k, (raw, _) in answers.items()], "id string, raw string, line string").withColumnRenamed("line", "more")
+    got = {}
+    for r in feeds.answer_cells(rows).orderBy("id", "line").collect():
+        assert r.more == "kept"
+        got.setdefault(r.id, []).append(r.cells)
+    assert got == {k: want for k, (_, want) in answers.items() if want}
