@@ -14,7 +14,9 @@ What keeps it bounded:
 * Only a small bucket yields all its pairs. Members are first compared with one leader, then, where the
   bucket still holds several components, with a few, of its largest component if that has so many. Only
   components matter, so a bucket inside one component is done, as is one whose leaders have been all its
-  members but one. The first rounds compare a member with a few leaders only, whatever the number of its buckets. What is left is compared in blocks of at most about ``BLOCK`` members, components
+  members but one. The first rounds compare a member with a few leaders only, whatever the number of its buckets. Alike texts
+  meet in many buckets, so what is left of buckets that share members becomes one bucket, where that leaves fewer rows to
+  deal. It is compared in blocks of at most about ``BLOCK`` members, components
   against each other, by an exact count of common shingles in each pair of blocks. Nothing is capped.
 """
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ BLOCK = 256
 LEADERS = (1, 4, 16)
 FEW = (1, 4)
 SHINGLE = 5
+#: Bytes of the longest words whose hash is a polynomial.
+LONG = 128
 PERCENT = 80
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -75,7 +79,12 @@ _tables: list[_Tables] = []
 
 
 def word_hashes(text: str | None):
-    """64-bit hashes of the words of a text, in order, A-Z in lower case; all characters at once."""
+    """64-bit hashes of the words of a text, in order, A-Z in lower case; all characters at once.
+
+    A word of up to ``LONG`` bytes is a polynomial of random values of its bytes; a longer one goes through XXH3, as patterned
+    sequences of a thousand letters meet in any polynomial modulo a power of two. What is left to chance: two
+    different words, or shingles, are alike with a chance of about 2 ** -64 a pair.
+    """
     import numpy as np
 
     if not _tables:
@@ -99,6 +108,12 @@ def word_hashes(text: str | None):
     h ^= h >> np.uint64(32)
     h *= np.uint64(_ODD[1])
     h ^= h >> np.uint64(29)
+    if most > LONG:
+        import xxhash
+
+        data, last = chars.tobytes(), first + size
+        for w in np.flatnonzero(size > LONG):
+            h[w] = xxhash.xxh3_64_intdigest(data[first[w] : last[w]], seed=7)
     return h
 
 
@@ -228,6 +243,39 @@ def _colliding(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     return rows.join(small_broadcast(many, many.count(), 8 * len(keys) + 16), keys)
 
 
+def _block_count(n: Column | str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+
+
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """key, main (label of the largest component), n_main, n_rest of the buckets of ``rows`` (key, label)."""
+    sizes = rows.groupBy(key, "label").agg(F.count("*").alias("size"))
+    return sizes.groupBy(key).agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("n_main"), (F.sum("size") - F.max("size")).alias("n_rest"))
+
+
+def _merged(here: DataFrame, mixed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``here`` (key, rep, n, label) and ``mixed`` with buckets that share members, at first or second hand, as one.
+
+    Each set of such buckets is made one only if its members then are dealt over blocks in fewer rows than now,
+    bucket by bucket. All pairs of members of a bucket stay pairs of a bucket.
+    """
+    rows_of = F.col("n_main") * _block_count("n_rest") + F.col("n_rest") * (_block_count("n_main") + _block_count("n_rest"))
+    least = here.groupBy("key").agg(F.min("rep").alias("least"))
+    edges = scratch.write(here.join(least, "key").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct())
+    group = components(edges, scratch)
+    n = group.count()
+    grouped = scratch.write(here.join(small_broadcast(group.select(F.col("node").alias("rep"), F.col("label").alias("group")), n, 32), "rep"))
+    now = mixed.join(grouped.select("key", "group").distinct(), "key").groupBy("group").agg(F.sum(rows_of).alias("now"), F.count("*").alias("buckets"))
+    whole = scratch.write(grouped.select("group", "rep", "n", "label").distinct())
+    better = _mixed(whole, "group").join(now, "group").filter(F.col("buckets") > 1).filter(rows_of < F.col("now"))
+    better = scratch.write(better.select("group", F.xxhash64("group", F.lit("group")).alias("key"), "main", "n_main", "n_rest"))
+    joined = small_broadcast(better.select("group", "key"), better.count(), 32)
+    apart = grouped.join(joined.drop("key"), "group", "left_anti").select("key", "rep", "n", "label")
+    here = scratch.write(apart.unionByName(whole.join(joined, "group").select("key", "rep", "n", "label")))
+    mixed = mixed.join(apart.select("key").distinct(), "key", "left_semi").unionByName(better.drop("group"))
+    return here, scratch.write(mixed)
+
+
 def _blocks(buckets: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components inside the buckets of ``mixed`` (key, main, n_main, n_rest).
 
@@ -237,9 +285,8 @@ def _blocks(buckets: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int)
     import pandas as pd
 
     id_type = buckets.schema["rep"].dataType.simpleString()
-    count = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     rows = buckets.join(mixed, "key").withColumn("is_main", F.col("label") == F.col("main"))
-    rows = rows.withColumn("blocks_main", count("n_main")).withColumn("blocks_rest", count("n_rest"))
+    rows = rows.withColumn("blocks_main", _block_count("n_main")).withColumn("blocks_rest", _block_count("n_rest"))
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.when(F.col("is_main"), F.col("blocks_main")).otherwise(F.col("blocks_rest"))).cast("int")
     rows = rows.withColumn("own", own)
     with_rest = F.transform(F.sequence(F.lit(0), F.col("blocks_rest") - 1), lambda o: F.struct(F.lit(True).alias("main"), F.col("own").alias("x"), o.alias("y")))
@@ -339,9 +386,7 @@ def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, n_alive: int, p
     done = 1  # buckets of so many members have no pair left
     for step in range(len(LEADERS) + 1):
         here = buckets.join(small_broadcast(labels.withColumnRenamed("node", "rep"), n_alive, 32), "rep")
-        sizes = here.groupBy("key", "label").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.max("size").alias("n_main"), (F.sum("size") - F.max("size")).alias("n_rest"))
-        mixed = scratch.write(mixed.filter(F.col("n_rest") > 0).filter(F.col("n_main") + F.col("n_rest") > done))
+        mixed = scratch.write(_mixed(here, "key").filter(F.col("n_rest") > 0).filter(F.col("n_main") + F.col("n_rest") > done))
         n_mixed = mixed.count()
         if not n_mixed:
             break
@@ -365,7 +410,7 @@ def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, n_alive: int, p
             pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
             links = scratch.write(confirm(pairs, sets, percent))
         else:
-            links = scratch.write(_blocks(here.drop("main", "size"), mixed, sets, percent))
+            links = scratch.write(_blocks(*_merged(here.drop("main", "size"), mixed, scratch), sets, percent))
         if links.limit(1).count() == 0:
             continue
         old = labels

@@ -110,3 +110,36 @@ def test_deduplicate_tells_rows_apart(spark):
     out = nd.deduplicate(table)
     assert out.columns == table.columns
     assert sorted((r.doc_id or 0, r.text or "", r.component_id) for r in out.collect()) == [(0, "", 4), (0, "", 4), (1, text, 4), (1, "quite other words stand here", 4)]
+
+
+def test_patterned_long_words_are_told_apart(spark, docs):
+    word = lambda n: "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    for n in (64, 512, 1024, 2048, 4096):
+        a = word(n)
+        b = a.translate({97: "b", 98: "a"})
+        text = f"{a} {b} {a} {a} {b}"
+        assert len(set(nd.word_hashes(text).tolist())) == 2
+        row = nd.near_groups(docs([(1, text), (2, f"{a} {a} {a}"), (3, f"{b} {b} {b}")]), k=3, percent=85).filter("doc_id = 1").first()
+        assert row.n_shingles == 3
+
+
+def test_buckets_that_share_members_are_one_where_that_is_less(spark):
+    """Overlapping buckets of a cloud of texts become one; a chain of buckets with one member in common stays as it is."""
+    from pyspark.sql import functions as F
+
+    from galley.llm.common import Scratch
+
+    cloud = [(k, r, 10, r) for k in range(20) for r in range(100) if (r * 7 + k) % 10]
+    chain = [(100 + k, 1000 + 600 * k + r, 10, 1000 + 600 * k + r) for k in range(4) for r in range(601)]
+    here = spark.createDataFrame(cloud + chain, "key long, rep long, n long, label long")
+    mixed = nd._mixed(here, "key")
+    rows, left = nd._merged(here, mixed, Scratch(spark, "test"))
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.key, set()).add(r.rep)
+    assert set(range(100)) in got.values()
+    assert all(got[100 + k] == {1000 + 600 * k + r for r in range(601)} for k in range(4))
+    assert len(got) == 5
+    assert {r.key for r in left.collect()} == set(got)
+    assert left.filter("n_main + n_rest = 100").count() == 1
+    assert rows.groupBy("key").agg(F.count_distinct("rep").alias("n")).join(left, "key").filter("n <> n_main + n_rest").count() == 0
