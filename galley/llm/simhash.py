@@ -351,14 +351,14 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> Data
     rows = scratch.write(fingerprints(docs, k))
     classes = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     labels = linked(classes, scratch, radius)
-    if labels is not None:
-        classes = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-        least = classes.filter("label is not null").groupBy("label").agg(F.min("least").alias("first"))
-        classes = classes.join(least, "label", "left").withColumn("component_id", F.coalesce("first", "least"))
-    else:
-        classes = classes.withColumn("component_id", F.col("least"))
     # only classes of several rows, or of a component of several, say more than a row's own id
-    telling = scratch.write(classes.filter("rows > 1 or component_id <> least or (least is null and component_id is not null)").select("fp", "component_id"))
+    telling = classes.filter("rows > 1").select("fp", F.col("least").alias("component_id"))
+    if labels is not None:
+        found = scratch.write(labels.withColumnRenamed("node", "fp").join(classes, "fp").select("fp", "label", "least"))
+        first = found.groupBy("label").agg(F.min("least").alias("component_id"))
+        alone = telling.join(found.select("fp"), "fp", "left_anti")
+        telling = alone.unionByName(found.join(first, "label").select("fp", "component_id"))
+    telling = scratch.write(telling)
     out = rows.join(small_broadcast(telling, telling.count(), 32), "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
