@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("s1_snapshots", "s2_news", "s3_authors", "s4_dashboard", "s5_channels", "s7_texts", "s14_sources", "s15_more")
+MODULES = ("s1_snapshots", "s2_news", "s3_authors", "s4_dashboard", "s5_channels", "s7_texts", "s14_sources", "s15_more", "s16_services")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -146,13 +146,13 @@ def sources_among(files: DataFrame, endings: tuple[str, ...] = (".py", ".js", ".
 
 def source_files(spark: SparkSession, path: str, endings: tuple[str, ...] = (".py", ".js", ".java", ".html", ".css", ".ts")) -> DataFrame:
     """path, folder, filename, content of the source files under a folder, without vendored ones."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return sources_among(rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), endings)
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """filename, content of the Markdown files in a folder."""
-    rows = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galley.operators.index_terms import initial_group
+from galley.session import settled
 
 
 def write_archive(df: DataFrame, path: str, *by: str) -> None:
@@ -18,6 +23,56 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_scripts(df: DataFrame, path: str, variable: str) -> None:
+    """Rows as lines of script, each of which adds one object to the list ``variable`` of the browser's window."""
+    line = F.concat(F.lit(f"(window.{variable} = window.{variable} || []).push("), F.to_json(F.struct(*df.columns)), F.lit(");"))
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def read_scripts(spark: SparkSession, path: str, variable: str, schema: str | T.StructType) -> DataFrame:
+    """The rows that :func:`write_scripts` has written; other lines are passed over."""
+    head = f"(window.{variable} = window.{variable} || []).push("
+    lines = spark.read.text(path).filter(F.startswith("value", F.lit(head)) & F.endswith("value", F.lit(");")))
+    body = F.substring("value", F.lit(len(head) + 1), F.length("value") - len(head) - 2)
+    return lines.select(F.from_json(body, schema).alias("r")).select("r.*")
+
+
+def write_mart(mart: DataFrame, plain: str, scripts: list[str], variable: str) -> None:
+    """A mart in its places: as JSON lines, and as a script for each page that shows it. It is computed once."""
+    held = settled(mart)
+    write_json(held, plain)
+    for path in scripts:
+        write_scripts(held, path, variable)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """A file for each row (filename, content) in a folder that driver and executors share as a file system.
+
+    A file is written under another name first, so that a task that runs again leaves whole files only. Null contents give
+    empty files; names with a folder in them, or null, are an error; of equal names one stays.
+    """
+    import pandas as pd
+
+    folder = path.removeprefix("file://").removeprefix("file:")
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import uuid
+
+        os.makedirs(folder, exist_ok=True)
+        for part in parts:
+            for name, content in zip(part["filename"], part["content"], strict=True):
+                if not name or "/" in name or name in (".", ".."):
+                    raise ValueError(f"not a file name: {name!r}")
+                made = f"{folder}/.{uuid.uuid4().hex}"
+                with open(made, "w", encoding="utf-8", newline="") as file:
+                    file.write(content or "")
+                os.replace(made, f"{folder}/{name}")
+            yield pd.DataFrame({"files": [len(part)]})
+
+    files.select("filename", "content").mapInPandas(write, "files long").agg(F.sum("files")).collect()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """All cells quoted, quotes doubled, CRLF, a byte order mark before the header of each file."""
     first, *rest = df.columns
@@ -25,6 +80,76 @@ def write_csv(df: DataFrame, path: str) -> None:
     marked.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 
+#: Names of fields that an export leaves out, in lower case.
+CREDENTIALS = ("apikey", "api_key", "key", "token", "secret", "password", "authorization")
+
+
+def _cleaned(value: Column, kind: T.DataType, names: frozenset[str]) -> Column:
+    """``value`` without the named fields at any depth; a type without any comes back as it is."""
+    if isinstance(kind, T.StructType):
+        kept = [_cleaned(value.getField(f.name), f.dataType, names).alias(f.name) for f in kind if f.name.lower() not in names]
+        return F.when(value.isNotNull(), F.struct(*kept) if kept else F.struct(F.lit(None).cast("string").alias("_")))
+    if isinstance(kind, (T.ArrayType, T.MapType)) and "variant" in kind.simpleString():
+        # no Python function works inside a lambda, so variants in collections go through one with all around them
+        return F.from_json(_json_cleaner(names)(F.to_json(value)), _cleaned_type(kind, names))
+    if isinstance(kind, T.ArrayType) and _has_names(kind.elementType):
+        return F.transform(value, lambda x: _cleaned(x, kind.elementType, names))
+    if isinstance(kind, T.MapType):
+        held = F.map_filter(value, lambda k, v: ~F.lower(k).isin(*names)) if isinstance(kind.keyType, T.StringType) else value
+        return F.transform_values(held, lambda k, v: _cleaned(v, kind.valueType, names)) if _has_names(kind.valueType) else held
+    if isinstance(kind, T.VariantType):
+        return F.parse_json(_json_cleaner(names)(F.to_json(value)))
+    return value
+
+
+def _cleaned_type(kind: T.DataType, names: frozenset[str]) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        kept = [T.StructField(f.name, _cleaned_type(f.dataType, names)) for f in kind if f.name.lower() not in names]
+        return T.StructType(kept or [T.StructField("_", T.StringType())])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_cleaned_type(kind.elementType, names))
+    return T.MapType(kind.keyType, _cleaned_type(kind.valueType, names)) if isinstance(kind, T.MapType) else kind
+
+
+def _has_names(kind: T.DataType) -> bool:
+    """Whether values of the type hold named fields."""
+    if isinstance(kind, T.ArrayType):
+        return _has_names(kind.elementType)
+    return isinstance(kind, (T.StructType, T.MapType, T.VariantType))
+
+
+def _json_cleaner(names: frozenset[str]):
+    """The walk for variants, whose fields no schema names."""
+    import pandas as pd
+
+    def walk(x):
+        if isinstance(x, dict):
+            return {k: walk(v) for k, v in x.items() if k.lower() not in names}
+        return [walk(v) for v in x] if isinstance(x, list) else x
+
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else json.dumps(walk(json.loads(t)), ensure_ascii=False))
+
+    clean.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(clean, "string")
+
+
+def without_credentials(df: DataFrame, names: tuple[str, ...] = CREDENTIALS) -> DataFrame:
+    """``df`` without columns, struct fields, map keys and variant fields of the given names, in any case and at any depth.
+
+    Structs, arrays and maps are rewritten by their schema, without Python; variants, alone or inside others, one by one. Nulls
+    stay null, empty collections empty. A struct that has no other field keeps one, ``_``, which is null.
+    """
+    held = frozenset(n.lower() for n in names)
+    kept = [f for f in df.schema if f.name.lower() not in held]
+    return df.select(*[_cleaned(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType, held).alias(f.name) for f in kept])
+
+
+def write_session(df: DataFrame, path: str, names: tuple[str, ...] = CREDENTIALS) -> None:
+    """A session as JSON lines, without its credentials; nulls are written, so that every field comes back."""
+    without_credentials(df, names).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def index_groups(terms: DataFrame) -> DataFrame:
     """grp, lines: the terms of each initial as 'term<tab>pages', in Korean order. Terms have term and pages."""
     line = F.concat_ws("\t", "term", F.array_join(F.transform("pages", lambda p: p.cast("string")), ", "))
