@@ -6,6 +6,7 @@ list would be a nested loop of rows times words.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -18,6 +19,46 @@ def mentions(text: Column, words: Sequence[str]) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words]), F.lit(False))
 
 
+def _trie(words: Sequence[str]) -> str:
+    """A pattern for the longest of ``words`` at a place, which looks at each of its characters once."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [(c if c.isalnum() else "\\" + c) + pattern(below) for c, below in node.items() if c]
+        if not parts:
+            return ""
+        joined = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return joined + "?" * ("" in node)
+
+    return pattern(root)
+
+
+def first_mentioned(text: Column, rules: Sequence[tuple[Sequence[str], str]]) -> Column:
+    """The name of the first rule (words, name) with a word in ``text`` as it stands; null without one, or for null.
+
+    One pass of one pattern, however many rules there are: at each place of the text a trie of all words finds the longest one
+    that begins there. Words that begin another are found with it, so a word stands for the first rule of itself and of
+    all words that it begins with. Words without a character are left out.
+    """
+    first: dict[str, int] = {}
+    for i, (words, _) in enumerate(rules):
+        for word in words:
+            if word:
+                first.setdefault(word, i)
+    if not first:
+        return F.lit(None).cast("string")
+    least = {w: min(first[w[:n]] for n in range(1, len(w) + 1) if w[:n] in first) for w in first}
+    places = F.from_json(F.lit(json.dumps(least)), "map<string, int>")  # one literal, whatever its size
+    names = F.from_json(F.lit(json.dumps([name for _, name in rules])), "array<string>")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_trie(sorted(first))}))"), F.lit(1)))
+    return F.get(names, F.array_min(F.transform(found, lambda w: F.try_element_at(places, w))))
+
+
 def all_labels(text: Column, table: Mapping[str, Sequence[str]], otherwise: str | None = None) -> Column:
     """Labels whose words the lower-cased text mentions, in the table's order; [otherwise] (or []) if none."""
     low = F.lower(text)

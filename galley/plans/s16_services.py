@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galley.operators import reports
-from galley.plans import s2_news, s3_authors
-from galley.plans.s14_sources import _folder
+from galley.operators import classify, reports
+from galley.plans import s2_news, s3_authors, s14_sources
+from galley.plans.s14_sources import _folder, _made, _parts, _sheet
 from galley.session import table
-from galley.sources import feeds, paged, sinks
-from galley.streaming import ingest
+from galley.sources import feeds, functions, paged, sinks
+from galley.streaming import ingest, state
 
 #: Customers on a page of the service, and what its two keys may spend.
 ON_PAGE = 25
@@ -98,7 +98,54 @@ def _author_files(spark, sf_dir):
     return plain.unionByName(scripts[0]).unionByName(scripts[1])
 
 
+def _rises(spark, sf_dir):
+    """The first day on which each keyword has been seen often enough within a week, told by a stream with state."""
+    path = _folder(spark)
+    a = s2_news.articles(spark, sf_dir).select("link", "source", "title", F.col("date").cast("timestamp").alias("ts"), "keywords")
+    a.coalesce(1).write.json(f"{path}/in")
+    before = spark.conf.get(state.ROCKS[0], None)
+    spark.conf.set(*state.ROCKS)
+    try:
+        out = state.rises(ingest.arriving(spark, f"{path}/in"), least=OFTEN)
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(state.ROCKS[0]) if before is None else spark.conf.set(state.ROCKS[0], before)
+    return spark.read.schema(state.RISES).parquet(f"{path}/out").filter("event = 'rise'").select("keyword", "day", "n")
+
+
+def _sql_documents(spark, sf_dir):
+    """Word documents read by SQL."""
+    functions.register(spark)
+    _made(spark, sf_dir, "docx").createOrReplaceTempView("office_files_of_documents")
+    rows = spark.sql("SELECT name, text, error FROM office_rows(TABLE(office_files_of_documents), 'text')")
+    return rows.select(F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
+
+
+def _sql_sheets(spark, sf_dir):
+    """Workbooks, one a brand, read by SQL line by line, the files of a name in one task."""
+    functions.register(spark)
+    p = _parts(spark, sf_dir)
+    _sheet(p, ("Rank", "Title", "Price"), (F.col("k"), F.col("p_name"), F.col("price")), ".xlsx").createOrReplaceTempView("office_files_of_parts")
+    return spark.sql("""
+        SELECT regexp_extract(name, '_(.*)[.]xlsx', 1) AS brand, line, cells[0] AS a, cells[1] AS b, cells[2] AS c
+        FROM office_rows(TABLE(office_files_of_parts) PARTITION BY (name), 'cells')""")
+
+
+def _many_subjects(spark, sf_dir):
+    """Customers' names under 67 subjects of two words each, the first that a name mentions."""
+    subjects = {f"subject {i}": (f"{i:02}7", f"9{i:02}") for i in range(67)}
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", classify.category(F.col("c_name"), subjects, otherwise="none").alias("category"))
+
+
+#: Sightings within a week that make a rise.
+OFTEN = 20
+
 QUERIES = {
+    "s16_rises": _rises,
+    "s16_sql_documents": _sql_documents,
+    "s16_sql_sheets": _sql_sheets,
+    "s16_many_subjects": _many_subjects,
     "s16_paged_service": _paged_service,
     "s16_paged_stream": _paged_stream,
     "s16_session_export": _session,
@@ -109,6 +156,13 @@ QUERIES = {
 
 _PAGES = f"g AS (SELECT c_mktsegment AS query, c_custkey // {ON_PAGE} AS token, c_custkey AS id FROM customer)"
 ORACLES = {
+    "s16_rises": f"""WITH k AS (SELECT ts::DATE AS date, unnest([event_type, 'k' || (coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) % 9 + day(ts) % 3)]) AS keyword FROM events),
+        d AS (SELECT keyword, date, count(*) AS n FROM k GROUP BY ALL), w AS (SELECT keyword, date, sum(n) OVER (PARTITION BY keyword ORDER BY date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS n FROM d)
+        SELECT keyword, date AS day, n::BIGINT AS n FROM w WHERE n >= {OFTEN} QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY date) = 1""",
+    "s16_sql_documents": s14_sources.ORACLES["s14_docx_text"],
+    "s16_sql_sheets": f"""WITH {s14_sources._PARTS} SELECT replace(p_brand, '#', '') AS brand, k::INTEGER AS line, k::VARCHAR AS a, p_name AS b, price::VARCHAR AS c FROM p
+        UNION ALL SELECT DISTINCT replace(p_brand, '#', ''), 0, 'Rank', 'Title', 'Price' FROM p""",
+    "s16_many_subjects": """SELECT c_custkey, coalesce('subject ' || (SELECT min(i) FROM range(67) AS r(i) WHERE contains(c_name, lpad(i::VARCHAR, 2, '0') || '7') OR contains(c_name, '9' || lpad(i::VARCHAR, 2, '0'))), 'none') AS category FROM customer""",
     "s16_paged_service": f"""WITH {_PAGES}, o AS (SELECT query, token, row_number() OVER (ORDER BY token, query) AS n FROM (SELECT DISTINCT query, token FROM g))
         SELECT query, count(*) AS items, sum(id)::BIGINT AS ids, count(DISTINCT token) AS pages, count(*) FILTER (n <= 9) AS by_small FROM g JOIN o USING (query, token) GROUP BY query""",
     "s16_paged_stream": f"WITH {_PAGES} SELECT query, count(*) AS items, sum(id)::BIGINT AS ids, count(DISTINCT token) AS pages FROM g GROUP BY query",
