@@ -368,7 +368,8 @@ def relevant_chunks(chunks: DataFrame, texts: DataFrame, always: Sequence[str] =
     if not always:
         return best
     fixed = chunks.filter(F.col("heading").isin(*always)).select("heading").distinct()
-    every = texts.select("batch").distinct().crossJoin(F.broadcast(fixed.limit(len(always)))).select("batch", "heading", F.lit(0).cast("long").alias("score"))
+    every = texts.select("batch").distinct().select("batch", F.explode(F.array(*map(F.lit, dict.fromkeys(always)))).alias("heading")).join(fixed, "heading", "left_semi")
+    every = every.select("batch", "heading", F.lit(0).cast("long").alias("score"))
     return best.unionByName(every.join(best, ["batch", "heading"], "left_anti"))
 
 

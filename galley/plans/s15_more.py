@@ -113,18 +113,18 @@ def _outlines(spark, sf_dir):
 
 
 def _manuscripts(spark, sf_dir):
-    """All documents of a source as one manuscript, with a chapter head every tenth document."""
+    """25 documents of a source as one manuscript, with a chapter head every tenth document."""
     d = table(spark, sf_dir, "documents").filter("text is not null and source is not null")
     head = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("제 "), F.col("doc_id").cast("string"), F.lit("장 start\n"))).otherwise("")
-    held = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat(head, F.col("text")).alias("t")))).alias("x"))
+    held = d.groupBy(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 25)).alias("source")).agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat(head, F.col("text")).alias("t")))).alias("x"))
     out = pr.manuscript_sample(held.select(F.col("source").alias("doc_id"), F.array_join("x.t", "\n").alias("text")))
     return out.select("doc_id", F.length("sample").alias("size"), F.md5(F.substring("sample", 1, 8000).cast("binary")).alias("front_md5"), F.regexp_count("sample", F.lit(r"\[--- \d+장 도입부 ---\]")).cast("long").alias("chapters"))
 
 
 def _segments(spark, sf_dir):
     """Lineitems as printed lines: a label before each order's lines, which are numbered from one."""
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 > 0")
-    rows = l.withColumn("number", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).withColumn("doc_id", F.col("l_orderkey") % 10)
+    l = table(spark, sf_dir, "lineitem")
+    rows = l.withColumn("number", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).withColumn("doc_id", F.floor(F.col("l_orderkey") / 50))
     rows = rows.withColumn("number", F.when(F.col("number") >= 3, F.col("number") + 2).otherwise(F.col("number")))
     label = rows.select("doc_id", "l_orderkey", F.lit(0).alias("n"), F.lit(None).cast("int").alias("number"), F.concat(F.lit("src/f"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("text")).distinct()
     printed = rows.select("doc_id", "l_orderkey", F.col("number").alias("n"), "number", F.concat(F.lit("x = "), F.col("l_partkey").cast("string")).alias("text")).unionByName(label)
@@ -200,7 +200,7 @@ def _labels(spark, sf_dir):
 def _fields(spark, sf_dir):
     pages, terms = _terms(spark, sf_dir)
     marked = pages.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "([A-Z][a-z]{3,})", "$1 : X")).otherwise(F.col("text")))
-    return index_terms.field_terms(marked, terms.filter("doc_id % 4 < 2")).filter("doc_id % 2 = 0")
+    return index_terms.field_terms(marked, terms)
 
 
 def _scored(spark, sf_dir):
@@ -223,7 +223,7 @@ def _chunks(spark, sf_dir):
 def _relevant(spark, sf_dir):
     chunks = _chunks(spark, sf_dir)
     texts = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("batch"), "text")
-    return pr.relevant_chunks(chunks.filter("doc_id < 5"), texts, always=("of 0",), top=4)
+    return pr.relevant_chunks(chunks, texts, always=("of 0",), top=4)
 
 
 def _reports(spark, sf_dir):
@@ -418,8 +418,8 @@ ORACLES = {
     "s15_context": "SELECT doc_id, substr(text, greatest(spot - 50, 1)::BIGINT, spot - greatest(spot - 50, 1)) AS before, 'the ' AS target, substr(text, spot + 4, 50) AS after FROM (SELECT doc_id, text, instr(text, 'the ') AS spot FROM documents) WHERE spot > 0",
     "s15_compressed": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\t　]', ' ', 'g'), ' {2,}', ' ', 'g'), '-{4,}', '---', 'g'), '={4,}', '===', 'g'), '_{4,}', '___', 'g'), '\\*{4,}', '***', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS md5 FROM documents WHERE text IS NOT NULL",
     "s15_rule_chunks": "SELECT n_nationkey AS doc_id, 1 AS chunk, 'the ' || lower(n_name) AS heading, 'body' || chr(10) || '| und | x |' AS body FROM nation UNION ALL SELECT n_nationkey, 2, 'of ' || (n_nationkey % 3), '| die | y |' FROM nation",
-    "s15_relevant_chunks": """WITH k AS (SELECT DISTINCT * FROM (SELECT 'the ' || lower(n_name) AS heading, unnest(['the', lower(n_name), 'und']) AS word, unnest([2, 2, 1]) AS points FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'of ' || (n_nationkey % 3), unnest(['of', 'die']), unnest([2, 1]) FROM nation WHERE n_nationkey < 5)
-          UNION ALL SELECT DISTINCT 'the ' || lower(n_name), unnest(['nation']), unnest([2]) FROM nation WHERE n_nationkey < 0),
+    "s15_relevant_chunks": """WITH c AS (SELECT 'the ' || lower(n_name) AS heading, 'und' AS cell FROM nation UNION SELECT 'of ' || (n_nationkey % 3), 'die' FROM nation),
+        k AS (SELECT heading, word, max(points) AS points FROM (SELECT heading, unnest(regexp_extract_all(heading, '[\\p{L}\\p{N}]{2,}')) AS word, 2 AS points FROM c UNION ALL SELECT heading, cell, 1 FROM c) GROUP BY ALL),
         w AS (SELECT DISTINCT doc_id AS batch, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]{2,}')) AS word FROM documents WHERE text IS NOT NULL),
         h AS (SELECT heading, CASE WHEN word LIKE 'nation!_%' ESCAPE '!' THEN 'nation' ELSE word END AS word, points FROM k),
         s AS (SELECT batch, heading, sum(points)::BIGINT AS score FROM w JOIN h USING (word) GROUP BY ALL), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY batch ORDER BY score DESC, heading) <= 4)
@@ -440,14 +440,14 @@ ORACLES = {
     "s15_without_regions": f"WITH {_RG} SELECT pg.doc_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM rr WHERE rr.doc_id = pg.doc_id AND side = 'top')) AS heads, count(*) FILTER (page % 2 = 0 AND NOT EXISTS (SELECT 1 FROM rr WHERE rr.doc_id = pg.doc_id AND side = 'bottom')) AS feet FROM pg GROUP BY pg.doc_id",
     "s15_outlines": """WITH e(line, level, before, memo, pages) AS (VALUES (0, 2, '', '', 12), (1, 3, '', '', 0), (2, 3, '', 'memo of it', 0), (3, 3, '', '', 0), (4, 1, 'Chapter ', '', 7), (6, 1, '3장 ', '', 0), (7, 1, '', 'why', 0))
         SELECT p_partkey AS doc_id, line, level, before || p_name AS title, memo, pages FROM part, e""",
-    "s15_manuscripts": """WITH m AS (SELECT source, string_agg(CASE WHEN doc_id % 10 = 0 THEN '제 ' || doc_id || '장 start' || chr(10) ELSE '' END || text, chr(10) ORDER BY doc_id) AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source),
+    "s15_manuscripts": """WITH m AS (SELECT source || '-' || (doc_id // 25) AS source, string_agg(CASE WHEN doc_id % 10 = 0 THEN '제 ' || doc_id || '장 start' || chr(10) ELSE '' END || text, chr(10) ORDER BY doc_id) AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
         l AS (SELECT source, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM m WHERE len(t) > 20000), p AS (SELECT *, coalesce(sum(len(x) + 1) OVER (PARTITION BY source ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM l),
         h AS (SELECT source, string_agg(x, chr(10) ORDER BY line) AS h FROM (SELECT * FROM p WHERE regexp_matches(trim(x), '^(제?\\s*\\d+\\s*[장부편]|CHAPTER\\s*\\d+|Chapter\\s*\\d+|\\d+\\.\\d+\\s)') AND len(trim(x)) > 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY line) <= 50) GROUP BY source),
         b AS (SELECT m.source, t, CASE WHEN h IS NULL THEN NULL ELSE substr('[--- 목차 ---]' || chr(10) || h, 1, 12000) END AS toc FROM m LEFT JOIN h USING (source) WHERE len(t) > 20000),
         c AS (SELECT p.source, line, len('[--- ' || k || '장 도입부 ---]' || chr(10) || substr(t, (spot + 1)::BIGINT, 500)) AS n, 8000 + coalesce(len(toc), 0) AS used FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line) AS k FROM p WHERE regexp_matches(x, '^(제?\\s*\\d+\\s*[장부편]|CHAPTER\\s+\\d+|Chapter\\s+\\d+)') AND line > 1 AND spot >= 7500) p JOIN b USING (source)),
         d AS (SELECT *, used + coalesce(sum(n) OVER (PARTITION BY source ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c), g AS (SELECT source, count(*) AS chapters, sum(least(n, 20000 - before)) AS n FROM d WHERE before < 19800 GROUP BY source)
         SELECT m.source AS doc_id, (CASE WHEN len(m.t) <= 20000 THEN len(m.t) ELSE 8000 + coalesce(2 + len(toc), 0) + coalesce(g.n + 2 * chapters, 0) END)::INTEGER AS size, md5(substr(m.t, 1, 8000)) AS front_md5, coalesce(chapters, 0) AS chapters FROM m LEFT JOIN b USING (source) LEFT JOIN g USING (source)""",
-    "s15_segments": "SELECT l_orderkey % 10 AS doc_id, 'src/f' || l_orderkey || '.py' AS filename, (count(*) + CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END)::INTEGER AS size, CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END::INTEGER AS gaps FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY l_orderkey",
+    "s15_segments": "SELECT l_orderkey // 50 AS doc_id, 'src/f' || l_orderkey || '.py' AS filename, (count(*) + CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END)::INTEGER AS size, CASE WHEN count(*) >= 3 THEN 1 ELSE 0 END::INTEGER AS gaps FROM lineitem GROUP BY l_orderkey",
     "s15_page_lines": """WITH k AS (SELECT l_suppkey AS doc_id, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS k FROM lineitem)
         SELECT doc_id, (k // 70)::INTEGER AS page, k % 70 // 7 AS line, string_agg(CASE WHEN k % 7 > 0 AND (k - 1) % 7 % 3 = 2 THEN chr(9) WHEN k % 7 > 0 AND (k - 1) % 7 % 3 = 1 THEN ' ' ELSE '' END || 'w' || l_partkey, '' ORDER BY k) AS text FROM k GROUP BY 1, 2, 3""",
     "s15_kept_headings": "SELECT conv_id AS doc_id, turn AS pos FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY NOT coalesce(role = lag(role) OVER w AND turn // 2 - lag(turn // 2) OVER w <= 1, false)",
@@ -459,7 +459,8 @@ ORACLES = {
     "s15_bilingual_pairs": """WITH x AS (SELECT p_partkey % 15 AS doc_id, '여기 벡터 검색' AS korean, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS english FROM part), y AS (SELECT doc_id, korean, english, count(*) AS n FROM x GROUP BY ALL) SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, english) = 1""",
     "s15_one_language": "WITH d AS (SELECT DISTINCT p_partkey % 15 AS doc_id, p_type FROM part) SELECT doc_id, p_type AS term FROM d WHERE doc_id % 2 = 1 UNION ALL SELECT DISTINCT doc_id, unnest(['검색', '벡터', 'VectorStore']) FROM d",
     "s15_label_terms": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS term FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0 UNION SELECT DISTINCT doc_id, term FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS term FROM documents WHERE doc_id % 2 = 1) WHERE contains(text, '[' || term || ']')",
-    "s15_field_terms": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS term FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 0",
+    "s15_field_terms": """WITH t AS (SELECT DISTINCT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '([A-Z][a-z]{3,})', '\\1 : X', 'g') ELSE text END AS text, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS term FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, term FROM t WHERE regexp_matches(text, '(?i)' || term || '\\s*:\\s*[a-z]') OR regexp_matches(text, '[·,]\\s*' || term || '\\s*[·,]')""",
     "s15_score_distribution": "WITH s AS (SELECT p_size % 5 + 6 AS score FROM part), t AS (SELECT count(*) AS n, count(*) FILTER (score >= 9) AS excellent, count(*) FILTER (score = 8) AS good, count(*) FILTER (score < 8) AS fair, round(avg(score), 1) AS mean FROM s) SELECT *, floor(excellent * 100 / n + 0.5)::BIGINT AS excellent_percent, floor(good * 100 / n + 0.5)::BIGINT AS good_percent, floor(fair * 100 / n + 0.5)::BIGINT AS fair_percent FROM t",
     "s15_terms_filtered": "SELECT p_name AS term, count(*) AS n FROM part WHERE p_type = 'PROMO' AND contains(p_name, 'bl') GROUP BY 1",
     "s15_divider_pages": "SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN true WHEN 0 THEN p_size >= 20 WHEN 1 THEN p_size >= 20 ELSE false END AS divider FROM part",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galley.operators import classify, reports
-from galley.plans import s2_news, s3_authors, s14_sources
+from galley.plans import s2_news, s3_authors, s7_texts, s14_sources
 from galley.plans.s14_sources import _folder, _made, _parts, _sheet
 from galley.session import table
 from galley.sources import feeds, functions, paged, sinks
@@ -78,13 +78,9 @@ def _late_weeks(spark, sf_dir):
 
 
 def _report_files(spark, sf_dir):
-    """The texts of documents as Markdown files in a folder: index with title, date and summary of each, by what stands in them."""
+    """The texts of documents as Markdown files in a folder: an index with title, date and summary of each, by what stands in them."""
     path = _folder(spark)
-    d = table(spark, sf_dir, "documents").filter("text is not null")
-    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "20240229_").when(F.col("doc_id") % 3 == 1, "20240231_").otherwise("r"), F.col("doc_id").cast("string"), F.lit(".md"))
-    # every fifth has a heading and a quotation of its own lines
-    mine = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("# "), F.substring("text", 1, 20), F.lit("\n> "), F.substring("text", 1, 30), F.lit("\n"))).otherwise("")
-    sinks.write_files(d.select(name.alias("filename"), F.concat(mine, "text").alias("content")), path)
+    sinks.write_files(s7_texts.report_texts(spark, sf_dir), path)
     return sinks.report_index(reports.metadata(feeds.markdown(spark, path))).select("id", "filename", "title", "date", "summary")
 
 
@@ -172,13 +168,6 @@ ORACLES = {
         a AS (SELECT link, arg_min(source, (date, event_id)) AS source, min(date) AS date, arg_min(keywords, (date, event_id)) AS keywords FROM e GROUP BY link)
         SELECT date_trunc('week', date)::DATE AS week_start, keyword, sum(CASE WHEN source = 's20' THEN 1.0 ELSE [0.5, 1.0, 1.5, 2.0][substr(source, 2)::INTEGER % 4 + 1] END)::DOUBLE AS points
         FROM (SELECT date, source, unnest(keywords) AS keyword FROM a) GROUP BY ALL""",
-    "s16_report_files": """WITH d AS (SELECT CASE doc_id % 3 WHEN 0 THEN '20240229_' WHEN 1 THEN '20240231_' ELSE 'r' END || doc_id AS id, doc_id,
-          CASE WHEN doc_id % 5 = 0 THEN '# ' || substr(text, 1, 20) || chr(10) || '> ' || substr(text, 1, 30) || chr(10) ELSE '' END || text AS content FROM documents WHERE text IS NOT NULL),
-        l AS (SELECT *, list_transform(string_split_regex(content, '\\r?\\n'), lambda x: trim(x, ' ')) AS ls FROM d),
-        p AS (SELECT id, doc_id, content, list_filter(ls, lambda x: regexp_matches(x, '^# '))[1] AS t, list_filter(ls, lambda x: regexp_matches(x, '^> *[^ ]'))[1] AS q,
-          list_filter(ls, lambda x: x <> '' AND NOT regexp_matches(x, '^(?:[#>|\\-*]|\\d+\\.)'))[1] AS s FROM l)
-        SELECT id, id || '.md' AS filename, coalesce(nullif(trim(regexp_replace(t, '^# +', ''), ' '), ''), id) AS title,
-          coalesce(CASE WHEN doc_id % 3 = 0 THEN DATE '2024-02-29' END, try_cast(nullif(regexp_extract(content, '(\\d{4}-\\d{2}-\\d{2})', 1), '') AS DATE)) AS date,
-          substr(coalesce(trim(regexp_replace(q, '^> *', ''), ' '), s), 1, 200) AS summary FROM p""",
+    "s16_report_files": f"WITH {s7_texts.REPORTS} SELECT id, filename, title, date, summary FROM rp",
     "s16_author_files": f"WITH {s3_authors._B} SELECT place, name, n_books, best_rank FROM m0, (VALUES ('json'), ('js'), ('panel')) AS x(place)",
 }

@@ -75,6 +75,20 @@ def _files(spark, sf_dir):
     return d.select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.concat(F.lit("f"), "doc_id").alias("filename"), F.regexp_replace("text", r"(?<=\.)\s+", "\n").alias("content"))
 
 
+def report_texts(spark, sf_dir):
+    """The texts of documents as reports (filename, content); every fifth has a heading and a quotation of its own first line, some names a date, some one that isn't."""
+    d = table(spark, sf_dir, "documents").filter("text is not null")
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "20240229_").when(F.col("doc_id") % 3 == 1, "20240231_").otherwise("r"), F.col("doc_id").cast("string"), F.lit(".md"))
+    mine = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("# "), F.substring("text", 1, 20), F.lit("\n> "), F.substring("text", 1, 30), F.lit("\n"))).otherwise("")
+    return d.select(name.alias("filename"), F.concat(mine, "text").alias("content"))
+
+
+def _absent(spark, sf_dir):
+    """Benchmark items that refer to every 37th document's file."""
+    blocks = _blocks(spark, sf_dir).withColumn("filename", F.concat(F.lit("f"), (F.col("block_id").cast("long") * 37).cast("string")))
+    return listings.absent_files(blocks, _files(spark, sf_dir))
+
+
 def _compared(f):
     def query(spark, sf_dir):
         b, s = _blocks(spark, sf_dir), _files(spark, sf_dir)
@@ -106,12 +120,13 @@ QUERIES = {
     "s8_page_offset": _lines(lambda p: toc.page_offset(p)),
     "s9_candidates": lambda spark, sf_dir: index_terms.candidates(_whole(spark, sf_dir).withColumn("code", F.lit(False)), "[A-Z][a-z]{3,}").groupBy("doc_id", "term").agg(F.count("*").alias("n")),
     "s9_signals": lambda spark, sf_dir: index_terms.valued(index_terms.signals(lines(spark, sf_dir).select("doc_id", "page", "text", F.col("text").rlike(CODE).alias("code")), "[A-Z][a-z]{2,}", " the", " of"), 5).select("doc_id", "term", "freq", "score"),
+    "s9_term_order": lambda spark, sf_dir: in_place(index_terms.valued(index_terms.signals(lines(spark, sf_dir).select("doc_id", "page", "text", F.col("text").rlike(CODE).alias("code")), "[A-Z][a-z]{2,}", " the", " of"), 5).select("doc_id", "term", "score")),
     "s10_best_files": _compared(lambda b, s, c: c),
     "s10_compare_lines": _compared(listings.compare_lines),
     "s10_coverage": _compared(listings.coverage),
     "s10_totals": _compared(lambda b, s, c: listings.totals(listings.compare_lines(b, s, c))),
     "s10_match_blocks": lambda spark, sf_dir: listings.match_blocks(_blocks(spark, sf_dir), _files(spark, sf_dir)),
-    "s10_absent_files": lambda spark, sf_dir: listings.absent_files(_blocks(spark, sf_dir), _files(spark, sf_dir).filter("filename > 'f4'")),
+    "s10_absent_files": _absent,
     "s11_merged_runs": lambda spark, sf_dir: structure.merged_runs(_elements(spark, sf_dir), ("user",)).select("doc_id", "pos", "type", "n"),
     "s11_outline_numbers": lambda spark, sf_dir: structure.outline_numbers(_elements(spark, sf_dir)).select("doc_id", "pos", "number"),
     "s11_element_counts": lambda spark, sf_dir: structure.element_counts(_elements(spark, sf_dir), KINDS),
@@ -119,7 +134,7 @@ QUERIES = {
     "s11_manuscript_size": lambda spark, sf_dir: structure.manuscript_size(_whole(spark, sf_dir)),
     "s11_upper_median": lambda spark, sf_dir: structure.upper_medians(table(spark, sf_dir, "customer"), ("c_nationkey",), "c_acctbal"),
     "s11_completeness": lambda spark, sf_dir: structure.completeness(table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("props")), ("event_type", "props")).groupBy("state").agg(F.count("*").alias("n")),
-    "s13_metadata": lambda spark, sf_dir: reports.metadata(table(spark, sf_dir, "documents").filter("text is not null").select(F.concat(F.lit("20240101_"), "doc_id", F.lit(".md")).alias("filename"), F.concat(F.lit("# T "), F.col("doc_id").cast("string"), F.lit("\n\nplain one\n> quoted "), "source").alias("content"))).select("filename", "title", "date", "summary"),
+    "s13_metadata": lambda spark, sf_dir: reports.metadata(report_texts(spark, sf_dir)).select("filename", "title", "date", "summary"),
 }
 
 _L = "l AS (SELECT doc_id, page::INTEGER AS page, text, (CASE WHEN page % 5 = 0 THEN NULL WHEN page % 7 = 0 THEN page ELSE page - 2 - doc_id % 3 END)::INTEGER AS printed FROM (SELECT doc_id, unnest(t) AS text, generate_subscripts(t, 1) AS page FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE text IS NOT NULL)))"
@@ -169,6 +184,16 @@ ce AS (SELECT cx.block_id, cx.number, min(cy.number) FILTER (cy.k = cx.k) AS exa
 bo AS (SELECT block_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS number FROM b0),
 cl AS (SELECT ce.block_id, ce.number, bo.line, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN bare IS NOT NULL THEN 'bare' WHEN near IS NOT NULL THEN 'near' ELSE 'diff' END AS stage, coalesce(exact, bare, near) AS source_number FROM ce JOIN bo ON bo.block_id = ce.block_id AND bo.number = ce.number)"""
 
+#: Reports and what their texts say of themselves.
+REPORTS = """d0 AS (SELECT CASE doc_id % 3 WHEN 0 THEN '20240229_' WHEN 1 THEN '20240231_' ELSE 'r' END || doc_id AS id, doc_id,
+  CASE WHEN doc_id % 5 = 0 THEN '# ' || substr(text, 1, 20) || chr(10) || '> ' || substr(text, 1, 30) || chr(10) ELSE '' END || text AS content FROM documents WHERE text IS NOT NULL),
+l0 AS (SELECT *, list_transform(string_split_regex(content, '\\r?\\n'), lambda x: trim(x, ' ')) AS ls FROM d0),
+p0 AS (SELECT id, doc_id, content, list_filter(ls, lambda x: regexp_matches(x, '^# '))[1] AS t, list_filter(ls, lambda x: regexp_matches(x, '^> *[^ ]'))[1] AS q,
+  list_filter(ls, lambda x: x <> '' AND NOT regexp_matches(x, '^(?:[#>|\\-*]|\\d+\\.)'))[1] AS s FROM l0),
+rp AS (SELECT id, id || '.md' AS filename, coalesce(nullif(trim(regexp_replace(t, '^# +', ''), ' '), ''), id) AS title,
+  coalesce(CASE WHEN doc_id % 3 = 0 THEN DATE '2024-02-29' END, try_cast(nullif(regexp_extract(content, '(\\d{4}-\\d{2}-\\d{2})', 1), '') AS DATE)) AS date,
+  substr(coalesce(trim(regexp_replace(q, '^> *', ''), ' '), s), 1, 200) AS summary FROM p0)"""
+
 ORACLES = {
     "s7_scan": f"WITH {_I} SELECT * FROM i",
     "s7_issue_order": f"WITH {_I} SELECT doc_id, page, type, found, row_number() OVER (PARTITION BY doc_id ORDER BY page, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, type, found)::INTEGER AS n FROM i",
@@ -199,6 +224,11 @@ ORACLES = {
         p AS (SELECT doc_id, page, code, x.term AS term, count(*) FILTER (x.k = 'n') AS n, bool_or(x.k = 't') AS t, bool_or(x.k = 'd') AS d, bool_or(x.k = 'a') AS a, bool_or(x.k = 'e') AS e FROM h GROUP BY ALL HAVING bool_or(x.k = 't')),
         g AS (SELECT doc_id, term, sum(n)::BIGINT AS freq, bool_or(d) AS d, bool_or(a) AS a, bool_or(e) AS e, bool_and(code) AS code FROM p GROUP BY ALL),
         s AS (SELECT doc_id, term, freq, greatest(0, least(10, 5 + CASE WHEN d AND e THEN 5 WHEN d THEN 4 ELSE 0 END + CASE WHEN freq >= 3 THEN 3 ELSE 0 END + CASE WHEN a THEN 2 ELSE 0 END - 3 - CASE WHEN code THEN 5 ELSE 0 END)) AS score FROM g) SELECT * FROM s WHERE score >= 5""",
+    "s9_term_order": f"""WITH {_L}, h AS (SELECT doc_id, page, regexp_matches(text, '^(?: {{4}}|\\t)|[;{{}}]\\s*$') AS code, unnest(list_transform(regexp_extract_all(text, '[A-Z][a-z]{{2,}}'), lambda x: {{'k': 't', 'term': x}}) || list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{{2,}}')), lambda x: {{'k': 'n', 'term': x}})
+          || list_transform(regexp_extract_all(text, '([A-Z][a-z]{{2,}}) the', 1), lambda x: {{'k': 'd', 'term': x}}) || list_transform(regexp_extract_all(text, '([A-Z][a-z]{{2,}}) of', 1), lambda x: {{'k': 'a', 'term': x}}) || list_transform(regexp_extract_all(text, '([A-Z][a-z]{{2,}})\\s?\\(', 1), lambda x: {{'k': 'e', 'term': x}})) AS x FROM l),
+        p AS (SELECT doc_id, page, code, x.term AS term, count(*) FILTER (x.k = 'n') AS n, bool_or(x.k = 't') AS t, bool_or(x.k = 'd') AS d, bool_or(x.k = 'a') AS a, bool_or(x.k = 'e') AS e FROM h GROUP BY ALL HAVING bool_or(x.k = 't')),
+        g AS (SELECT doc_id, term, sum(n)::BIGINT AS freq, bool_or(d) AS d, bool_or(a) AS a, bool_or(e) AS e, bool_and(code) AS code FROM p GROUP BY ALL),
+        s AS (SELECT doc_id, term, freq, greatest(0, least(10, 5 + CASE WHEN d AND e THEN 5 WHEN d THEN 4 ELSE 0 END + CASE WHEN freq >= 3 THEN 3 ELSE 0 END + CASE WHEN a THEN 2 ELSE 0 END - 3 - CASE WHEN code THEN 5 ELSE 0 END)) AS score FROM g) SELECT doc_id, term, score, row_number() OVER (ORDER BY score DESC, term, doc_id)::INTEGER AS n FROM s WHERE score >= 5""",
     "s10_match_blocks": f"""WITH {_B}, f1 AS (SELECT block_id, 'd/' || (block_id::BIGINT % 7) AS path FROM b0 WHERE EXISTS (SELECT 1 FROM documents WHERE text IS NOT NULL AND doc_id = block_id::BIGINT % 7)),
         allh AS (SELECT block_id, path, count(*) AS hits FROM ht GROUP BY ALL), sz AS (SELECT block_id, count(*) AS size FROM bn GROUP BY 1), r AS (SELECT f1.block_id, f1.path, size, coalesce(hits, 0) AS hits FROM f1 LEFT JOIN sz USING (block_id) LEFT JOIN allh ON allh.block_id = f1.block_id AND allh.path = f1.path),
         alt AS (SELECT allh.block_id, allh.path FROM allh JOIN r ON r.block_id = allh.block_id AND size >= 5 AND r.hits < 0.4 * size AND allh.hits > r.hits QUALIFY row_number() OVER (PARTITION BY allh.block_id ORDER BY allh.hits DESC, allh.path) = 1),
@@ -210,7 +240,7 @@ ORACLES = {
         SELECT doc_id, page, max(size)::INTEGER AS size FROM w GROUP BY ALL""",
     "s9_candidates": "SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY ALL",
     "s10_best_files": f"WITH {_B} SELECT * FROM ch",
-    "s10_absent_files": "SELECT DISTINCT 'f' || (item_id % 7) AS filename FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE text IS NOT NULL AND 'f' || doc_id > 'f4' AND 'f' || doc_id = 'f' || (item_id % 7))",
+    "s10_absent_files": "SELECT DISTINCT 'f' || (item_id * 37) AS filename FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE text IS NOT NULL AND doc_id = item_id * 37)",
     "s10_coverage": f"""WITH {_B}, so AS (SELECT block_id, sn.number, b FROM sn JOIN ch USING (path)), tot AS (SELECT block_id, count(*) AS total FROM so GROUP BY 1),
         cov AS (SELECT block_id, count(DISTINCT number) AS covered FROM so JOIN (SELECT DISTINCT block_id, b FROM bn) USING (block_id, b) GROUP BY 1), sz AS (SELECT block_id, count(*) AS size FROM bn GROUP BY 1),
         q AS (SELECT block_id, total, coalesce(covered, 0) AS covered, CASE WHEN gaps THEN greatest(least(total - coalesce(covered, 0), total - size), 0) ELSE 0 END AS omitted, CASE WHEN gaps THEN 0 ELSE total - coalesce(covered, 0) END AS missing
@@ -224,5 +254,5 @@ ORACLES = {
     "s11_manuscript_size": "SELECT doc_id, len(regexp_replace(text, '\\s', '', 'g')) AS characters, n AS lines, ceil(n / 35)::BIGINT AS pages FROM (SELECT doc_id, text, list_sum(list_transform(string_split(text, chr(10)), lambda p: greatest(ceil(len(p) / 40), 1)))::BIGINT AS n FROM documents WHERE text IS NOT NULL)",
     "s11_upper_median": "SELECT c_nationkey, (list(c_acctbal ORDER BY c_acctbal))[count(*) // 2 + 1] AS median FROM customer GROUP BY 1",
     "s11_completeness": "SELECT CASE WHEN event_id % 3 > 0 THEN 'done' ELSE 'partial' END AS state, count(*) AS n FROM events GROUP BY 1",
-    "s13_metadata": "SELECT '20240101_' || doc_id || '.md' AS filename, 'T ' || doc_id AS title, DATE '2024-01-01' AS date, 'quoted ' || source AS summary FROM documents WHERE text IS NOT NULL",
+    "s13_metadata": f"WITH {REPORTS} SELECT filename, title, date, summary FROM rp",
 }
