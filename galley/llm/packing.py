@@ -140,7 +140,10 @@ class Packer:
         self.open, self.left = [], self.limits.copy()
 
     def finish(self) -> Iterator[tuple]:
-        """The open pieces in sequences of the powers of two that make up their length, largest first."""
+        """The open pieces in sequences of the powers of two that make up their length, largest first; in one where nothing may be cut."""
+        if not self.cut:
+            yield from self.close()
+            return
         todo = self.open[::-1]
         total = sum(p[2] for p in todo)
         while total:
@@ -159,20 +162,21 @@ class Packer:
 
 
 def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, cut: bool = True, tokenizer: str = tokens.TOKENIZER, ranks: str | None = tokens.RANKS) -> DataFrame:
-    """doc_id, start, length, ids, doc_tokens, sequence_id, offset of every piece.
+    """doc_id, start, length, ids, doc_tokens, loss_tokens (of the piece), sequence_id, offset of every piece.
 
     A row's ids are those of its whole text, without special tokens, then EOS; null and empty texts give
     EOS alone. ``ids`` are packed little-endian unsigned 32-bit integers. Each id lies in one piece, and a
     sequence's pieces lie from offset 0 on without gaps. Rows that repeat a doc_id, or all of a row, are
     packed once each. A column ``loss_mask`` (array<boolean>, one flag a token, EOS included), where there
-    is one, says which tokens bear loss; a null mask, or one of another length, means all. An empty table
+    is one, says which tokens bear loss; a null mask, or one of another length, means all, and a column of that name
+    and another type is ignored. Without ``cut`` an example is parted only where it exceeds a limit by itself. An empty table
     gives an empty result; other columns are ignored. sequence_id is unique over all tasks.
     """
     import numpy as np
     import pyarrow as pa
 
     loss_limit = max_tokens if max_loss is None else max_loss
-    masked = "loss_mask" in docs.columns
+    masked = "loss_mask" in docs.columns and docs.schema["loss_mask"].dataType.simpleString() == "array<boolean>"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "text"] + ["loss_mask"] * masked
 
@@ -182,7 +186,7 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
         encode = tokens.encoder(tokenizer, ranks)
         base = TaskContext.get().partitionId() << 40
         packer = Packer(max_tokens, max_segments, loss_limit, cut)
-        held: dict[int, tuple] = {}  # row number -> doc_id, ids still in the pool, where they start, number of tokens, ids not placed yet
+        held: dict[int, tuple] = {}  # row number -> doc_id, ids still in the pool, where they start, number of tokens, ids not placed yet, mask
         pool: list[tuple] = []
         kind = pa.int64()
         row = 0
@@ -190,12 +194,13 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
         def emit(placed: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             rows = []
             for key, start, size, sequence, at in placed:
-                doc, ids, first, n, left = held[key]
-                rows.append((doc, start, size, ids[4 * (start - first) : 4 * (start + size - first)], n, base + sequence, at))
+                doc, ids, first, n, left, mask = held[key]
+                loss = size if mask is None else sum(mask[start : start + size])
+                rows.append((doc, start, size, ids[4 * (start - first) : 4 * (start + size - first)], n, loss, base + sequence, at))
                 if left == size:
                     del held[key]
                 else:
-                    held[key] = (doc, ids, first, n, left - size)
+                    held[key] = (doc, ids, first, n, left - size, mask)
                 if len(rows) >= 4096:
                     yield batch_of(rows)
                     rows = []
@@ -203,11 +208,11 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
                 yield batch_of(rows)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            doc, start, size, ids, n, sequence, at = map(list, zip(*rows, strict=True))
+            doc, start, size, ids, n, loss, sequence, at = map(list, zip(*rows, strict=True))
             long = pa.int64()
             return pa.RecordBatch.from_arrays(
-                [pa.array(doc, kind), pa.array(start, long), pa.array(size, long), pa.array(ids, pa.binary()), pa.array(n, long), pa.array(sequence, long), pa.array(at, long)],
-                names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
+                [pa.array(doc, kind), pa.array(start, long), pa.array(size, long), pa.array(ids, pa.binary()), pa.array(n, long), pa.array(loss, long), pa.array(sequence, long), pa.array(at, long)],
+                names=["doc_id", "start", "length", "ids", "doc_tokens", "loss_tokens", "sequence_id", "offset"],
             )
 
         for batch in batches:
@@ -216,8 +221,8 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
             for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 ids = encode(text) + np.array([EOS], dtype="<u4").tobytes()
                 n = len(ids) // 4
-                mask = masks[k] if masks and masks[k] is not None and len(masks[k]) == n else None
-                held[row] = (doc, ids, 0, n, n)
+                mask = [bool(x) for x in masks[k]] if masks and masks[k] is not None and len(masks[k]) == n else None
+                held[row] = (doc, ids, 0, n, n, mask)
                 full = [] if mask is not None and loss_limit < max_tokens else list(range(0, n - max_tokens + 1, max_tokens))
                 if full:
                     whole = []
@@ -227,7 +232,7 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
                     yield from emit(iter(whole))
                 at = len(full) * max_tokens
                 if full and at < n:
-                    held[row] = (doc, ids[4 * at :], at, n, n - at)  # the placed ids go
+                    held[row] = (doc, ids[4 * at :], at, n, n - at, mask)  # the placed ids go
                 while at < n:  # a piece's loss-bearing tokens must fit in an empty sequence
                     size = min(max_tokens, n - at)
                     if mask is not None or loss_limit < max_tokens:
@@ -241,7 +246,7 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
                     yield from emit(packer.pack(full_pool, last=False))
         yield from emit(packer.pack(pool, last=True))
 
-    schema = f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    schema = f"doc_id {id_type}, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
     return docs.select(*columns).mapInArrow(run, schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galley.llm import chat, exact_dedup, fim, html_text, mixing, near_dedup, nearest, negatives, packing, quality, simhash, tokens, toxicity
+from galley.llm import chat, exact_dedup, fim, html_text, instructions, mixing, near_dedup, nearest, negatives, packing, quality, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op11_simhash_near_dedup": simhash.query,
     "op12_fill_in_middle": fim.query,
     "op13_hard_negatives": negatives.query,
+    "pack_instructions": instructions.query,
 }
 
 ORACLES = {
