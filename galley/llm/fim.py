@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,9 @@ MARKS = (PREFIX, SUFFIX, MIDDLE)
 #: Of 100 documents with a usable text, so many stay as they are; of 100 others, so many have the suffix first.
 PLAIN = 10
 SUFFIX_FIRST = 20
-#: Code points that are cut into tokens at a time; a part goes on to the end of its run of letters.
-CHUNK = 65_536
+#: Code points that are cut into tokens at a time; a part goes on to the end of its run of letters. The library keeps a
+#: table of a part's bytes, which is fastest where it stays in the processor's nearest memory.
+CHUNK = 256
 
 _NOT_LETTER = re.compile("[^A-Za-z]")
 
@@ -43,16 +45,15 @@ class Cutter:
         """The ends of all tokens in code points, an integer array. Between a letter and another letter no part is cut."""
         import numpy as np
 
-        parts, at = [np.zeros(0, np.int64)], 0
+        ends, at, cut = array("q"), 0, self.split.pre_tokenize_str
         while at < len(text):
             stop = min(at + self.chunk, len(text))
             if stop < len(text):
                 following = _NOT_LETTER.search(text, stop)
                 stop = following.start() if following else len(text)
-            found = self.split.pre_tokenize_str(text[at:stop])
-            parts.append(np.fromiter((end for _, (_, end) in found), np.int64, len(found)) + at)
+            ends.extend([at + end for _, (_, end) in cut(text[at:stop])])
             at = stop
-        return np.concatenate(parts)
+        return np.frombuffer(ends, np.int64)
 
 
 def draws(doc_id, salt: str) -> tuple[int, int, int, int]:
