@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from galley.operators import classify, reports
-from galley.plans import s2_news, s3_authors, s7_texts, s14_sources
+from galley.functions import rules
+from galley.operators import classify, proofread, reports
+from galley.plans import gate, s2_news, s3_authors, s7_texts, s14_sources
 from galley.plans.s14_sources import _folder, _made, _parts, _sheet
 from galley.session import table
 from galley.sources import feeds, functions, paged, sinks
@@ -134,10 +135,20 @@ def _many_subjects(spark, sf_dir):
     return c.select("c_custkey", classify.category(F.col("c_name"), subjects, otherwise="none").alias("category"))
 
 
+def _gate(spark, sf_dir):
+    """The sentences of the gate, one before each part's name: how many slips all rules together find, and how many clean ones they accuse."""
+    rows = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(kind).alias("type"), F.lit(found).alias("found")) for t, kind, found in gate.SENTENCES])
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", F.element_at(rows, (F.col("p_partkey") % len(gate.SENTENCES) + 1).cast("int")).alias("s"))
+    pages = p.select("doc_id", F.lit(1).alias("page"), F.concat_ws(" ", "s.text", "p_name").alias("text"))
+    issues = proofread.scan(pages, rules.EVERY).select("doc_id", "type", "found").unionByName(proofread.repeated_words(pages).select("doc_id", "type", "found"))
+    return proofread.confusion(p.select("doc_id", "s.type", "s.found"), issues)
+
+
 #: Sightings within a week that make a rise.
 OFTEN = 20
 
 QUERIES = {
+    "s16_gate": _gate,
     "s16_rises": _rises,
     "s16_sql_documents": _sql_documents,
     "s16_sql_sheets": _sql_sheets,
@@ -152,6 +163,7 @@ QUERIES = {
 
 _PAGES = f"g AS (SELECT c_mktsegment AS query, c_custkey // {ON_PAGE} AS token, c_custkey AS id FROM customer)"
 ORACLES = {
+    "s16_gate": "SELECT count(*) FILTER (p_partkey % 40 < 30) AS detected, 0::BIGINT AS missed, 0::BIGINT AS false_positives, count(*) FILTER (p_partkey % 40 >= 30) AS clean FROM part",
     "s16_rises": f"""WITH k AS (SELECT ts::DATE AS date, unnest([event_type, 'k' || (coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) % 9 + day(ts) % 3)]) AS keyword FROM events),
         d AS (SELECT keyword, date, count(*) AS n FROM k GROUP BY ALL), w AS (SELECT keyword, date, sum(n) OVER (PARTITION BY keyword ORDER BY date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS n FROM d)
         SELECT keyword, date AS day, n::BIGINT AS n FROM w WHERE n >= {OFTEN} QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY date) = 1""",

@@ -46,3 +46,18 @@ def test_office_rows_follow_the_constant(spark):
     for bad in ("office_rows(TABLE(some_files), 'no')", "office_rows(TABLE(SELECT name FROM some_files), 'text')", "office_rows('x', 'text')"):
         with pytest.raises(Exception, match="argument|lacks"):
             spark.sql(f"SELECT * FROM {bad}").collect()
+
+
+def test_the_gate_of_proofreading(spark):
+    """All thirty slips are found and no clean sentence is accused; so says each sentence by itself."""
+    from galley.functions import rules
+    from galley.operators import proofread
+    from galley.plans import gate
+
+    assert (len(rules.CLICHES), len(gate.SENTENCES)) == (26, 40)
+    pages = spark.createDataFrame([(i, 1, t) for i, (t, _, _) in enumerate(gate.SENTENCES)], "doc_id int, page int, text string")
+    expected = spark.createDataFrame([(i, kind, found) for i, (_, kind, found) in enumerate(gate.SENTENCES)], "doc_id int, type string, found string")
+    issues = proofread.scan(pages, rules.EVERY).select("doc_id", "type", "found").unionByName(proofread.repeated_words(pages).select("doc_id", "type", "found"))
+    assert tuple(proofread.confusion(expected, issues).first()) == (30, 0, 0, 10)
+    # every pattern is one that the engine reads, and none matches an empty text
+    assert proofread.scan(spark.createDataFrame([(1, 1, " " * 30)], "doc_id int, page int, text string"), rules.EVERY).filter("found = ''").count() == 0
