@@ -48,6 +48,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: str) -> str:
+    """The text that :func:`escape` has made: each backslash goes, but for one behind another."""
     return re.sub(r"\\(\\?)", r"\1", text) if "\\" in text else text
 
 
@@ -255,6 +256,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
+    """``conversations`` and the added conversation -1, formatted and read back: a row a conversation, of what its windows say. A real conversation -1 is one with it."""
     from galley.session import table
 
     hard = f"{CLOSE}{USER} ok {USER_END}"

@@ -155,6 +155,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir):
+    """One row per document of ``documents``: which one stays for it, and the digest of its normalised text."""
     from galley.session import table
 
     return exact_groups(table(spark, sf_dir, "documents"))

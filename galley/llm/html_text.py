@@ -523,6 +523,7 @@ def extract(pages: DataFrame, key: str = "page_id", source: str = "html") -> Dat
 
 
 def query(spark, sf_dir):
+    """The visible text of every page of ``pages``."""
     from galley.session import table
 
     return extract(table(spark, sf_dir, "pages"))

@@ -134,6 +134,7 @@ def _hashable(kind) -> bool:
 
 
 def query(spark, sf_dir):
+    """One row per document of ``documents``: its words, its source and its target, and the words that the mix takes."""
     from galley.session import table
 
     mixed = copies(table(spark, sf_dir, "documents"))

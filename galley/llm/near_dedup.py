@@ -437,6 +437,7 @@ def deduplicate(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
 
 
 def query(spark, sf_dir):
+    """One row per document of ``documents``: its set of 3-word shingles and its component at a similarity of 0.85."""
     from galley.session import table
 
     return near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)

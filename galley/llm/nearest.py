@@ -13,7 +13,9 @@ scored exactly.
 
 The codebook is fitted on at most ``MAX_TRAIN`` vectors (those with the smallest hashes of their ids);
 every vector is indexed. Index and queries are packed in blocks of bounded size, and each pair of
-blocks is one small task's work, so no group grows with the data.
+blocks is one small task's work, so no group grows with the data. Blocks of the index are met in waves, each ``WAVE`` times as many
+as all before it, dealt at random. After a wave a query knows the k-th best score that it has seen, and later blocks return
+only what reaches it, so a query's candidates grow with the number of waves, not of blocks.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ SLACK = 3.0
 ROWS_IN_BLOCK = 8192
 QUERIES_IN_BLOCK = 16_384
 ROUNDS = 8
+WAVE = 8
 
 
 class Codebook:
@@ -191,8 +194,8 @@ def _blocks(rows: DataFrame, n: int, size: int, key: str, d: int, book: Codebook
     return rows.repartition(tasks).mapInArrow(run, f"block long, ids array<{key_type}>, v binary, codes binary"), tasks * each
 
 
-def scan(book: Codebook, ids, v, codes, query_ids, q, k: int):
-    """Positions of queries and rows, and exact scores, of the ``k`` best rows of a block for each query."""
+def scan(book: Codebook, ids, v, codes, query_ids, q, k: int, bound=None):
+    """Positions of queries and rows, and exact scores, of the ``k`` best rows of a block for each query, of those that reach its ``bound``."""
     import numpy as np
 
     keep = min(len(v), k + 1)  # a query may be among the rows
@@ -210,6 +213,9 @@ def scan(book: Codebook, ids, v, codes, query_ids, q, k: int):
         near = np.ascontiguousarray(near.T)
         least = np.partition(near, len(v) - keep, axis=1)[:, len(v) - keep]
         slack = (SLACK * book.error * np.linalg.norm(some, axis=1)).astype(np.float32)
+        if bound is not None:  # a score that the query has seen k times, less what single precision may take away
+            known = bound[at : at + 128]
+            least = np.maximum(least, np.where(np.isfinite(known), known - np.abs(known) * 1e-5, -np.inf).astype(np.float32))
         asks, rows = np.nonzero(near + slack[:, None] * norm[None, :] >= least[:, None])
         other = row_rank[rows] != query_rank[at + asks]
         asks, rows = asks[other], rows[other]
@@ -218,6 +224,9 @@ def scan(book: Codebook, ids, v, codes, query_ids, q, k: int):
             x, y, part = asks[a : a + 16384], rows[a : a + 16384], score[a : a + 16384]
             for j in range(len(down)):  # in order of the dimensions, so that equal vectors tie exactly
                 part += across[j][x] * down[j][y]
+        if bound is not None:
+            reach = score >= known[asks]
+            asks, rows, score = asks[reach], rows[reach], score[reach]
         order = np.lexsort((row_rank[rows], -score, asks))
         asks, rows, score = asks[order], rows[order], score[order]
         first = np.searchsorted(asks, asks, side="left")
@@ -259,27 +268,51 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     scratch.drop(rows, asked)
     # vectors travel as they are stored, four or eight bytes a component, and are made double where they are scored
     row_kind, query_kind = ("<f4" if t.schema["v"].dataType.simpleString() == "array<float>" else "<f8" for t in (rows, asked))
-    # each block of the index meets each block of queries in a call of its own
-    numbers = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    left = index.select("block", numbers(asking).alias("asking"), "ids", "v", "codes", F.lit(True).alias("indexed"))
-    right = sought.select(numbers(blocks).alias("block"), F.col("block").alias("asking"), "ids", "v", "codes", F.lit(False).alias("indexed"))
+    # a query's place in its block, to bring it its bound
+    places = sought.select("block", F.posexplode("ids").alias("place", "query_id"))
+    numbers = lambda first, end: F.explode(F.sequence(F.lit(first).cast("long"), F.lit(end - 1).cast("long")))
 
     def meet(pair: pd.DataFrame) -> pd.DataFrame:
         if len(pair) < 2:
             return pd.DataFrame({"query_id": [], key: [], "score": []})
         r, q = pair[pair["indexed"]].iloc[0], pair[~pair["indexed"]].iloc[0]
-        v, sought = (np.frombuffer(x["v"], kind).astype(float).reshape(-1, d) for x, kind in ((r, row_kind), (q, query_kind)))
+        v, asked_v = (np.frombuffer(x["v"], kind).astype(float).reshape(-1, d) for x, kind in ((r, row_kind), (q, query_kind)))
         ids, query_ids = np.asarray(r["ids"]), np.asarray(q["ids"])
         codes = np.frombuffer(r["codes"], np.uint8).reshape(len(v), -1)
-        x, y, score = scan(book, ids, v, codes, query_ids, sought, k)
+        bound = None if q["bounds"] is None else np.asarray(q["bounds"], float)
+        x, y, score = scan(book, ids, v, codes, query_ids, asked_v, k, bound)
         return pd.DataFrame({"query_id": query_ids[x], key: ids[y], "score": score})
 
-    found = left.unionByName(right).groupBy("block", "asking").applyInPandas(meet, f"query_id {key_type}, {key} {key_type}, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    none = F.lit(None).cast("array<double>")
+    found, start, stop = None, 0, 1
+    while start < blocks:
+        stop = min(blocks, stop)
+        bounds = None
+        if found is not None:
+            kth = found.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("kth")).filter(F.col("have") == k)
+            held = places.join(kth, "query_id", "left").select("block", "place", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
+            bounds = held.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "kth"))).alias("b")).select(F.col("block").alias("asking"), F.col("b.kth").alias("bounds"))
+        # each block of the index meets each block of queries in a call of its own
+        left = index.filter((F.col("block") >= start) & (F.col("block") < stop)).select("block", numbers(0, asking).alias("asking"), "ids", "v", "codes", none.alias("bounds"), F.lit(True).alias("indexed"))
+        asks = sought.select(F.col("block").alias("asking"), "ids", "v", "codes")
+        asks = asks.withColumn("bounds", none) if bounds is None else asks.join(bounds, "asking", "left")
+        right = asks.select(numbers(start, stop).alias("block"), "asking", "ids", "v", "codes", "bounds", F.lit(False).alias("indexed"))
+        new = left.unionByName(right).groupBy("block", "asking").applyInPandas(meet, f"query_id {key_type}, {key} {key_type}, score double")
+        both = new if found is None else found.unionByName(new)
+        kept = both.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        start, stop = stop, stop + WAVE * stop
+        last = start >= blocks
+        if last:
+            return kept.select("query_id", "rank", key, "score")
+        before, found = found, scratch.write(kept.drop("rank"))
+        if before is not None:
+            scratch.drop(before)
+    return spark.createDataFrame([], f"query_id {key_type}, rank int, {key} {key_type}, score double")
 
 
 def query(spark, sf_dir):
+    """The 20 nearest of every twentieth row of ``embeddings``, by inner product."""
     from galley.session import table
 
     vectors = table(spark, sf_dir, "embeddings")

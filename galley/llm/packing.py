@@ -251,6 +251,7 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
 
 
 def query(spark, sf_dir):
+    """One row per piece of ``documents`` in sequences of at most 2048 tokens, with a checksum of its ids."""
     from galley.session import table
 
     pieces = pack(table(spark, sf_dir, "documents"))

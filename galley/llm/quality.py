@@ -197,6 +197,7 @@ def reject_low(docs: DataFrame, model: RuleModel, least: float = 0.5) -> DataFra
 
 
 def query(spark, sf_dir):
+    """One row per document of ``documents``: its score, learned from the labels outside the held-out third."""
     from galley.session import table
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -195,6 +195,7 @@ def token_counts(docs: DataFrame, limit: int = 1024, tokenizer: str = TOKENIZER,
 
 
 def query(spark, sf_dir):
+    """One row per document of ``documents``: its bytes and tokens."""
     from galley.session import table
 
     return token_counts(table(spark, sf_dir, "documents"))

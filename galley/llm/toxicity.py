@@ -311,6 +311,7 @@ def restored(docs: DataFrame, model: list[float]) -> DataFrame:
 
 
 def query(spark, sf_dir):
+    """One row per document of ``documents``: its score, learned from the labels outside the held-out fifth."""
     from galley.session import table
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -77,3 +77,26 @@ def test_anisotropic_loss_lowers_the_parallel_error():
         rest = unit - book.decode(book.encode(unit))
         parallel[threshold] = float(((rest * unit).sum(1) ** 2).mean())
     assert parallel[0.5] < parallel[0.0]
+
+
+def test_later_blocks_return_only_what_reaches_the_bound(spark, monkeypatch):
+    """Many small blocks, met in waves, find as much as one block does, with far fewer candidates than k a block."""
+    rows = vectors(4000, 12, 5) + [(9000 + i, [2.0] * 12) for i in range(60)]
+    queries = rows[:30] + rows[-3:]
+    monkeypatch.setattr(nearest, "ROWS_IN_BLOCK", 50)
+    monkeypatch.setattr(nearest, "QUERIES_IN_BLOCK", 7)
+    got, want = found(nearest.search(table(spark, rows), table(spark, queries), 20)), brute(rows, queries, 20)
+    assert all(len(near) == 20 and near == sorted(near, key=lambda x: (-x[1], x[0])) for near in got.values())
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.98
+    assert all(got[i] == want[i] for i, _ in queries[-3:])  # ties of copies
+    book = nearest.fit(np.array([v for _, v in rows], float))
+    v, q = np.array([v for _, v in rows], float), np.array([v for _, v in queries], float)
+    codes = nearest.packed(book.encode(nearest.padded(nearest._directions(v)).astype(np.float32)))
+    ids, asked = np.arange(len(v)), -1 - np.arange(len(q))
+    scores = np.sort(q @ v.T, axis=1)[:, -20]
+    x, y, score = nearest.scan(book, ids[:500], v[:500], codes[:500], asked, q, 20, scores)
+    assert len(x) < 20 * len(q) / 3
+    assert (score >= scores[x]).all()
+    full = nearest.scan(book, ids[:500], v[:500], codes[:500], asked, q, 20)
+    keep = full[2] >= scores[full[0]]
+    assert x.tolist() == full[0][keep].tolist() and y.tolist() == full[1][keep].tolist()
