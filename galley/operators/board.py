@@ -50,6 +50,7 @@ def risk_flags(text: Column, patterns: Mapping[str, Sequence[str]]) -> Column:
 
 
 def links_in(text: Column) -> Column:
+    """The web addresses in a text, in order; null for null."""
     return F.regexp_extract_all(text, F.lit(r"https?://[^\s)\]>\"']+"), F.lit(0))
 
 
@@ -59,6 +60,7 @@ def pinned_too(items: DataFrame, pinned: DataFrame) -> DataFrame:
 
 
 def item_counts(items: DataFrame) -> DataFrame:
+    """type, n: how many items there are of each type, null among them."""
     return items.groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -89,6 +91,7 @@ def royalty(price: Column, rate: Column, copies: Column) -> Column:
 
 
 def break_even(cost: Column, price: Column, rate: Column) -> Column:
+    """Copies, rounded up, whose royalties make up for the cost; null where a copy brings nothing."""
     return F.ceil(cost / F.nullif(price * rate, F.lit(0)))
 
 

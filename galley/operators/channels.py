@@ -123,6 +123,7 @@ def relevance(query: str) -> Column:
 
 
 def korean(channels: DataFrame) -> Column:
+    """Whether title or description show Hangul, or the country is KR; false where all are null."""
     return F.coalesce(F.concat_ws(" ", "title", "description").rlike(HANGUL), F.lit(False)) | F.coalesce(F.col("country") == "KR", F.lit(False))
 
 
@@ -146,6 +147,7 @@ def rising(channels: DataFrame, now: Column, order: str = "score") -> DataFrame:
 
 
 def similar_score(appearances: Column, subs: Column) -> Column:
+    """Ten points an appearance and up to twenty for the size, a hundred at most."""
     return F.least(appearances * 10 + ladder(subs, [(1000000, 20), (100000, 15), (10000, 10), (1000, 5)], 0), F.lit(100))
 
 

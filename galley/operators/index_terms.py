@@ -21,6 +21,7 @@ LEAST_SCORE = 7
 
 
 def term_key(term: Column) -> Column:
+    """What spellings of one term have in common: lower case without spaces, hyphens and underscores."""
     return F.lower(F.regexp_replace(term, r"[\s\-_]+", ""))
 
 

@@ -91,10 +91,12 @@ def weekly_counts(articles: DataFrame) -> DataFrame:
 
 
 def keyword_counts(articles: DataFrame) -> DataFrame:
+    """keyword, articles: how many articles have it; an article that names it twice counts twice."""
     return articles.select(F.explode("keywords").alias("keyword")).groupBy("keyword").agg(F.count("*").alias("articles"))
 
 
 def heat_level(n: Column) -> Column:
+    """The level from 0 to 4 of a number of articles; 4 for null."""
     return F.when(n == 0, 0).when(n <= 2, 1).when(n <= 5, 2).when(n <= 10, 3).otherwise(4)
 
 

@@ -25,6 +25,8 @@ def get_session(app: str = "galley", cpus: int | str = "*", shuffle_partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("GALLEY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        # tables that settled() keeps go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -34,7 +36,8 @@ def get_session(app: str = "galley", cpus: int | str = "*", shuffle_partitions:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``, for plans that use it many times.
 
-    In local mode a temporary folder is set where there is none.
+    In local mode a temporary folder is set where there is none. With ``spark.cleaner.referenceTracking.cleanCheckpoints``, which
+    :func:`get_session` sets, Spark deletes the table once no plan refers to it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:

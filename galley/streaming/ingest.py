@@ -88,12 +88,12 @@ def into_weeks(articles: DataFrame, feeds: DataFrame, archive: str, weeks: str,
     return articles.writeStream.foreachBatch(revise).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def into_archive(articles: DataFrame, path: str, checkpoint: str, back: int | None = None) -> StreamingQuery:
+def into_archive(articles: DataFrame, path: str, checkpoint: str, back: int | None = 400) -> StreamingQuery:
     """Starts the append of new articles to an archive: each link once, so that a batch that runs twice adds nothing.
 
     Of a batch's rows of one link the earliest stays. Rows without a link go. The archive is partitioned by date; only its
-    ids are read, with ``back`` those of the last so many days before the batch's first date, so that the work of a
-    batch doesn't grow with the archive.
+    ids are read, those of the last ``back`` days before the batch's first date, so that the work of a batch doesn't grow with
+    the archive; with None, all of them.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
