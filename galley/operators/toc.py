@@ -29,7 +29,8 @@ def found_in(title: Column, page: Column) -> Column:
     """
     bare, bare_page = F.replace(title, F.lit(" "), F.lit("")), F.replace(page, F.lit(" "), F.lit(""))
     words = F.filter(F.split(title, " "), lambda w: F.length(w) >= 2)
-    hits = F.size(F.filter(words, lambda w: F.contains(page, w) | F.contains(bare_page, w)))
+    # a word has no space, so what stands on the page stands there without its spaces; the outer function makes that text once, not for each word
+    hits = F.size(F.get(F.transform(F.array(bare_page), lambda text: F.filter(words, lambda w: F.contains(text, w))), F.lit(0)))
     most = (F.size(words) >= 2) & (hits >= 2) & (hits * 10 >= F.size(words) * 6)
     return (title != "") & (page != "") & (F.contains(page, title) | ((F.length(bare) >= 4) & F.contains(bare_page, bare)) | most)
 

@@ -26,23 +26,23 @@ def _folder(spark) -> str:
 
 
 def _parts(spark, sf_dir):
-    """Parts with a place in their brand, a file name and a date a brand."""
+    """Parts with a place in their file (a brand's, of a thousand numbers) and a date a brand."""
     p = table(spark, sf_dir, "part")
-    p = p.withColumn("k", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")))
+    p = p.withColumn("file", F.floor(F.col("p_partkey") / 1000)).withColumn("k", F.row_number().over(W.partitionBy("p_brand", "file").orderBy("p_partkey")))
     date = F.date_add(F.lit("2024-01-01").cast("date"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("int"))
     return p.withColumn("date", date).withColumn("price", F.floor("p_retailprice").cast("int"))
 
 
-_PARTS = "p AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, DATE '2024-01-01' + regexp_extract(p_brand, '(\\d+)', 1)::INTEGER AS date, floor(p_retailprice)::INTEGER AS price FROM part)"
+_PARTS = "p AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey // 1000 ORDER BY p_partkey) AS k, p_partkey // 1000 AS file, DATE '2024-01-01' + regexp_extract(p_brand, '(\\d+)', 1)::INTEGER AS date, floor(p_retailprice)::INTEGER AS price FROM part)"
 
 
 def _sheet(rows, header, cells, suffix):
-    """A workbook a brand: its header, then its rows in order."""
+    """A workbook a file of parts: its header, then its rows in order."""
     row = F.array(*[c.cast("string") for c in cells])
-    held = rows.groupBy("p_brand", "date").agg(F.array_sort(F.collect_list(F.struct("k", row.alias("row")))).alias("r"))
+    held = rows.groupBy("p_brand", "file", "date").agg(F.array_sort(F.collect_list(F.struct("k", row.alias("row")))).alias("r"))
     body = F.transform("r", lambda x: x["row"])
     data = F.concat(F.array(F.array(*map(F.lit, header))), body) if header else body
-    name = F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(suffix))
+    name = F.concat(F.date_format("date", "yyyyMMdd"), F.lit("_"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("-"), F.col("file").cast("string"), F.lit(suffix))
     return office.made(held.select(name.alias("name"), "date", data.alias("data")), "xlsx")
 
 
@@ -107,12 +107,12 @@ def _feeds(spark, sf_dir, atom):
         x = F.concat(F.lit("<a:entry><a:title>"), esc(F.col("title")), F.lit('</a:title><a:link rel="self" href="'), "link", F.lit('"/><a:updated>'), when, F.lit("</a:updated><a:summary>"), "summary", F.lit("</a:summary></a:entry>"))
     else:
         x = F.concat(F.lit("<item><title><![CDATA["), "title", F.lit("]]></title><link>"), "link", F.lit("</link><pubDate>"), when, F.lit("</pubDate><description>"), esc(F.col("summary")), F.lit("</description></item>"))
-    rows = a.select("source", "event_id", x.alias("x"))
-    held = rows.groupBy(F.col("source").alias("feed_id")).agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("i"))
+    rows = a.select(F.concat_ws("-", "source", F.floor(F.col("event_id") / 5000)).alias("feed_id"), "event_id", x.alias("x"))
+    held = rows.groupBy("feed_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "x"))).alias("i"))
     return feeds.feed_items(held.select("feed_id", F.concat(F.lit("<channel>"), F.array_join("i.x", "\n"), F.lit("</channel>")).alias("xml")), per_feed=30)
 
 
-_FEED = """a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id) - 1 AS place FROM (SELECT event_id, 'https://n.example/' || (event_id * 7 % 3001) AS link, 's' || (user_id % 21) AS source,
+_FEED = """a AS (SELECT *, source || '-' || (event_id // 5000) AS feed_id, row_number() OVER (PARTITION BY source, event_id // 5000 ORDER BY event_id) - 1 AS place FROM (SELECT event_id, 'https://n.example/' || (event_id * 7 % 3001) AS link, 's' || (user_id % 21) AS source,
   'New ' || event_type || ' release' AS title, 'data k' || coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) AS summary, ts::DATE AS date FROM events))"""
 
 
@@ -124,7 +124,7 @@ def _scraped(spark, sf_dir):
     title = F.when(F.col("o_orderkey") % 6 == 0, "abc").otherwise(F.concat(F.lit("News "), F.col("o_orderkey").cast("string")))
     link = F.concat(F.lit("/news/"), (F.col("o_orderkey") % 1000).cast("string"))
     a = F.concat(before, F.lit("<a class=x href='"), link, F.lit("?q=1'><h3>"), title, F.lit("</h3>"), inside, F.lit("<p>first line</p><p>of "), F.col("o_orderpriority"), F.lit("</p></a>"))
-    rows = o.withColumn("url", F.concat(F.lit("u"), (F.col("o_custkey") % 10).cast("string"))).select("url", "o_orderkey", a.alias("a"))
+    rows = o.withColumn("url", F.concat(F.lit("u"), F.floor(F.col("o_custkey") / 20).cast("string"))).select("url", "o_orderkey", a.alias("a"))
     held = rows.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "a"))).alias("i"))
     return feeds.scraped_links(held.select("url", F.array_join("i.a", "\n").alias("html")), "/news/", back=60)
 
@@ -132,7 +132,7 @@ def _scraped(spark, sf_dir):
 def _repositories(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     x = F.concat(F.lit("<article class='b'><h2 class=h><a href=\"/own /"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit('">x</a></h2><p class="c">A <b>'), "p_type", F.lit("</b>   thing</p><span itemprop=\"programmingLanguage\">"), "p_brand", F.lit(" </span></article>"))
-    rows = p.select((F.col("p_partkey") % 4).cast("string").alias("url"), "p_partkey", x.alias("x")).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "x"))).alias("i"))
+    rows = p.select(F.floor(F.col("p_partkey") / 50).cast("string").alias("url"), "p_partkey", x.alias("x")).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "x"))).alias("i"))
     return feeds.repositories(rows.select("url", F.array_join("i.x", "").alias("html"))).withColumn("place", F.col("place").cast("long"))
 
 
@@ -322,11 +322,11 @@ ORACLES = {
     "s14_bestsellers_by_content": f"WITH {_PARTS} SELECT k AS rank, 'The book of the ' || p_name AS title, ['한빛미디어', '길벗', '제이펍'][k % 3 + 1] AS publisher, p_type AS author, price::BIGINT AS sales, 0 AS year FROM p",
     "s14_lectures": f"WITH {_PARTS} SELECT 'site' AS service, 'wide' AS cat1, p_type AS cat2, p_name AS title, price::BIGINT AS popularity FROM p WHERE k % 4 > 0",
     "s14_planned": f"WITH {_PARTS} SELECT p_name AS title, p_type AS category, p_brand AS team, 'someone' AS author, CASE k % 3 WHEN 0 THEN '2026년 03월' WHEN 1 THEN '2026년 04월' ELSE '' END AS month, '집필중' AS status FROM p",
-    "s14_rss": f"WITH {_FEED} SELECT source AS feed_id, place::INTEGER AS place, title, link, CASE WHEN event_id % 11 > 0 THEN date END AS date, summary || ' & more' AS summary FROM a WHERE place < 30",
-    "s14_atom": f"WITH {_FEED} SELECT source AS feed_id, place::INTEGER AS place, title || ' & more' AS title, link, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN date ELSE date - 1 END AS date, summary FROM a WHERE place < 30",
-    "s14_scraped_links": """WITH o AS (SELECT 'u' || (o_custkey % 10) AS url, o_orderkey, '/news/' || (o_orderkey % 1000) AS link, o_orderdate::DATE AS d, o_orderpriority AS p FROM orders WHERE o_orderkey % 6 > 0)
+    "s14_rss": f"WITH {_FEED} SELECT feed_id, place::INTEGER AS place, title, link, CASE WHEN event_id % 11 > 0 THEN date END AS date, summary || ' & more' AS summary FROM a WHERE place < 30",
+    "s14_atom": f"WITH {_FEED} SELECT feed_id, place::INTEGER AS place, title || ' & more' AS title, link, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN date ELSE date - 1 END AS date, summary FROM a WHERE place < 30",
+    "s14_scraped_links": """WITH o AS (SELECT 'u' || (o_custkey // 20) AS url, o_orderkey, '/news/' || (o_orderkey % 1000) AS link, o_orderdate::DATE AS d, o_orderpriority AS p FROM orders WHERE o_orderkey % 6 > 0)
         SELECT url, link, 'News ' || o_orderkey AS title, 'first line of ' || p AS summary, d AS date FROM o QUALIFY row_number() OVER (PARTITION BY url, link ORDER BY o_orderkey) = 1""",
-    "s14_repositories": """SELECT (p_partkey % 4)::VARCHAR AS url, row_number() OVER (PARTITION BY p_partkey % 4 ORDER BY p_partkey) - 1 AS place, 'own/' || replace(p_name, ' ', '-') AS repo, 'A ' || p_type || ' thing' AS description, p_brand AS language FROM part""",
+    "s14_repositories": """SELECT (p_partkey // 50)::VARCHAR AS url, row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS place, 'own/' || replace(p_name, ' ', '-') AS repo, 'A ' || p_type || ' thing' AS description, p_brand AS language FROM part""",
     "s14_csv": """SELECT doc_id, md5(regexp_replace(text, '\\s+$|^\\s+', '', 'g')) AS text_md5, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'say "' || source || '", then' END AS note FROM documents WHERE text IS NOT NULL""",
     "s14_json_archive": f"WITH {_FEED} SELECT a.event_id, link, date, event_type || '|k' || (coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 0) % 9 + day(ts) % 3) AS keywords FROM a JOIN events USING (event_id)",
     "s14_archive_by_date": f"WITH {_FEED} SELECT date, date = DATE '2024-01-05' AS again, count(*) AS n FROM a GROUP BY 1, 2",

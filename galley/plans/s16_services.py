@@ -119,7 +119,7 @@ def _sql_documents(spark, sf_dir):
 
 
 def _sql_sheets(spark, sf_dir):
-    """Workbooks, one a brand, read by SQL line by line, the files of a name in one task."""
+    """Workbooks of parts read by SQL line by line, the files of a name in one task."""
     functions.register(spark)
     p = _parts(spark, sf_dir)
     _sheet(p, ("Rank", "Title", "Price"), (F.col("k"), F.col("p_name"), F.col("price")), ".xlsx").createOrReplaceTempView("office_files_of_parts")
@@ -168,8 +168,8 @@ ORACLES = {
         d AS (SELECT keyword, date, count(*) AS n FROM k GROUP BY ALL), w AS (SELECT keyword, date, sum(n) OVER (PARTITION BY keyword ORDER BY date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS n FROM d)
         SELECT keyword, date AS day, n::BIGINT AS n FROM w WHERE n >= {OFTEN} QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY date) = 1""",
     "s16_sql_documents": s14_sources.ORACLES["s14_docx_text"],
-    "s16_sql_sheets": f"""WITH {s14_sources._PARTS} SELECT replace(p_brand, '#', '') AS brand, k::INTEGER AS line, k::VARCHAR AS a, p_name AS b, price::VARCHAR AS c FROM p
-        UNION ALL SELECT DISTINCT replace(p_brand, '#', ''), 0, 'Rank', 'Title', 'Price' FROM p""",
+    "s16_sql_sheets": f"""WITH {s14_sources._PARTS} SELECT replace(p_brand, '#', '') || '-' || file AS brand, k::INTEGER AS line, k::VARCHAR AS a, p_name AS b, price::VARCHAR AS c FROM p
+        UNION ALL SELECT DISTINCT replace(p_brand, '#', '') || '-' || file, 0, 'Rank', 'Title', 'Price' FROM p""",
     "s16_many_subjects": """SELECT c_custkey, coalesce('subject ' || (SELECT min(i) FROM range(67) AS r(i) WHERE contains(c_name, lpad(i::VARCHAR, 2, '0') || '7') OR contains(c_name, '9' || lpad(i::VARCHAR, 2, '0'))), 'none') AS category FROM customer""",
     "s16_paged_service": f"""WITH {_PAGES}, o AS (SELECT query, token, row_number() OVER (ORDER BY token, query) AS n FROM (SELECT DISTINCT query, token FROM g))
         SELECT query, count(*) AS items, sum(id)::BIGINT AS ids, count(DISTINCT token) AS pages, count(*) FILTER (n <= 9) AS by_small FROM g JOIN o USING (query, token) GROUP BY query""",
