@@ -254,26 +254,32 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _merged(here: DataFrame, mixed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``here`` (key, rep, n, label) and ``mixed`` with buckets that share members, at first or second hand, as one.
+    """``here`` (key, rep, n, label) and ``mixed`` with buckets that share members as one.
 
-    Each set of such buckets is made one only if its members then are dealt over blocks in fewer rows than now,
-    bucket by bucket. All pairs of members of a bucket stay pairs of a bucket.
+    A bucket goes by the smallest member of any bucket that one of its members is in, and buckets whose such
+    members hang together go together; not all that share a member need to. Each set of such buckets is made one only
+    if its members then are dealt over blocks in fewer rows than now, bucket by bucket. All pairs of members of a bucket
+    stay pairs of a bucket.
     """
     rows_of = F.col("n_main") * _block_count("n_rest") + F.col("n_rest") * (_block_count("n_main") + _block_count("n_rest"))
-    least = here.groupBy("key").agg(F.min("rep").alias("least"))
-    edges = scratch.write(here.join(least, "key").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct())
-    group = components(edges, scratch)
-    n = group.count()
-    grouped = scratch.write(here.join(small_broadcast(group.select(F.col("node").alias("rep"), F.col("label").alias("group")), n, 32), "rep"))
-    now = mixed.join(grouped.select("key", "group").distinct(), "key").groupBy("group").agg(F.sum(rows_of).alias("now"), F.count("*").alias("buckets"))
-    whole = scratch.write(grouped.select("group", "rep", "n", "label").distinct())
+    bucket, member = W.partitionBy("key"), W.partitionBy("rep")
+    rows = here.withColumn("least", F.min("rep").over(bucket)).withColumn("next", F.min("least").over(member))
+    rows = scratch.write(rows.withColumn("by", F.min("next").over(bucket)))
+    edges = rows.select(F.col("rep").alias("u"), F.col("next").alias("v")).union(rows.select("least", "by")).distinct()
+    labels = components(edges, scratch).select(F.col("node").alias("by"), F.col("label").alias("group"))
+    keys = scratch.write(rows.select("key", "by").distinct().join(labels, "by", "left").select("key", "by", F.coalesce("group", "by").alias("group")))
+    # each set's members, first without the buckets that go by one member, then without those members
+    members = scratch.write(rows.select("by", "rep", "n", "label").distinct())
+    whole = scratch.write(members.join(keys.select("by", "group").distinct(), "by").select("group", "rep", "n", "label").distinct())
+    now = mixed.join(keys, "key").groupBy("group").agg(F.sum(rows_of).alias("now"), F.count("*").alias("buckets"))
     better = _mixed(whole, "group").join(now, "group").filter(F.col("buckets") > 1).filter(rows_of < F.col("now"))
     better = scratch.write(better.select("group", F.xxhash64("group", F.lit("group")).alias("key"), "main", "n_main", "n_rest"))
-    joined = small_broadcast(better.select("group", "key"), better.count(), 32)
-    apart = grouped.join(joined.drop("key"), "group", "left_anti").select("key", "rep", "n", "label")
-    here = scratch.write(apart.unionByName(whole.join(joined, "group").select("key", "rep", "n", "label")))
-    mixed = mixed.join(apart.select("key").distinct(), "key", "left_semi").unionByName(better.drop("group"))
-    return here, scratch.write(mixed)
+    n = better.count()
+    gone = scratch.write(keys.join(small_broadcast(better.select("group"), n, 24), "group").select("key"))
+    gone = small_broadcast(gone, gone.count(), 16)
+    apart = rows.join(gone, "key", "left_anti").select("key", "rep", "n", "label")
+    joined = whole.join(small_broadcast(better.select("group", "key"), n, 32), "group").select("key", "rep", "n", "label")
+    return scratch.write(apart.unionByName(joined)), scratch.write(mixed.join(gone, "key", "left_anti").unionByName(better.drop("group")))
 
 
 def _blocks(buckets: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
