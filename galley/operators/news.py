@@ -8,6 +8,8 @@ changes the week of its date.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -196,9 +198,9 @@ def filtered(articles: DataFrame, source: str | None = None, kind: str | None =
     return out
 
 
-def newest(articles: DataFrame, keyword: str, top: int = 20) -> DataFrame:
-    """The newest articles with a keyword, undated ones last."""
-    return articles.filter(F.array_contains("keywords", keyword)).orderBy(F.desc_nulls_last("date"), "link").limit(top)
+def newest(articles: DataFrame, keyword: str, top: int = 20, ties: Sequence[str] = ()) -> DataFrame:
+    """The newest articles with a keyword, undated ones last, then by link and by the columns of ``ties``."""
+    return articles.filter(F.array_contains("keywords", keyword)).orderBy(F.desc_nulls_last("date"), "link", *ties).limit(top)
 
 
 def in_order(articles: DataFrame) -> DataFrame:

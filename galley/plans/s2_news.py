@@ -82,7 +82,7 @@ QUERIES = {
     "s2_signals": _both(lambda t, a: ops.signals(t, a, _today())),
     "s2_trend_labels": _trends(ops.trend_labels),
     "s2_filtered": _articles(lambda a: ops.filtered(a, kind="corp", since=ops.cutoff(_today(), "1w"), text="VIEW rel").select("event_id", "source", "date")),
-    "s2_newest": _articles(lambda a: ops.newest(a, "purchase").select("event_id", "link", "date")),
+    "s2_newest": _articles(lambda a: ops.newest(a, "purchase", ties=("event_id",)).select("event_id", "link", "date")),
     "s2_keyword_labels": _articles(lambda a: a.select("event_id", F.array_join(keyword_labels(F.concat_ws(" ", "title", "summary"), PARTS), "|").alias("labels"))),
     "s2_signal_titles": _articles(lambda a: a.filter(has_signal(F.col("title"), ("signup release",), fixed.WEAK_SIGNALS, ("view", "error"))).groupBy("title").agg(F.count("*").alias("n"))),
 }
