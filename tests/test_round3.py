@@ -6,6 +6,7 @@ import duckdb
 
 from galley.operators import news
 from galley.plans import s15_more
+from galley.sources import archives
 
 
 def _same(df, sql, **tables):
@@ -43,3 +44,21 @@ def test_newest_breaks_ties(spark):
     rows = [(i, "same", day, ["k"]) for i in range(200, 0, -1)]
     a = spark.createDataFrame(rows, "event_id long, link string, date date, keywords array<string>").repartition(7)
     assert [r["event_id"] for r in news.newest(a, "k", top=5, ties=("event_id",)).collect()] == [1, 2, 3, 4, 5]
+
+
+def test_readers_give_bounded_batches():
+    made = []
+
+    def rows(name, n):
+        for k in range(n):
+            made.append((name, k))
+            yield name, k
+
+    sizes = [(0, 3), (archives.BYTES, 1), (5, 0), (5, 2 * archives.ROWS + 7), (archives.BYTES, 2), (1, 1)]
+    got, ahead = [], 0
+    for some in archives.in_batches((size, rows(i, n)) for i, (size, n) in enumerate(sizes)):
+        got.append(some)
+        ahead = max(ahead, len(made) - sum(map(len, got)))
+    assert [x for some in got for x in some] == [(i, k) for i, (_, n) in enumerate(sizes) for k in range(n)]
+    assert [len(x) for x in got] == [4, archives.ROWS, archives.ROWS, 9, 1]
+    assert ahead == 0  # no file is read before the rows of those in front are given
