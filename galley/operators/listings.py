@@ -15,6 +15,8 @@ from galley.operators.snapshots import best_of
 from galley.session import settled
 
 FUZZY = 0.9
+#: Keys of at most this many bytes in all are broadcast; beyond it their join shuffles.
+BROADCAST_BYTES = 8_000_000
 
 
 def spaced(line: Column) -> Column:
@@ -148,6 +150,13 @@ def excluded(path: Column) -> Column:
     return path.rlike(r"(?:^|/)(?:node_modules|\.git|__pycache__|\.venv|venv|dist|build|\.idea|\.vscode|site-packages)(?:/|$)")
 
 
+def _few(keys: DataFrame, name: str) -> DataFrame:
+    """The distinct values of a text column, broadcast if they are counted to be ``BROADCAST_BYTES`` at most, so that the larger table stays where it is."""
+    kept = settled(keys.select(name).distinct())
+    size = kept.agg(F.sum(F.octet_length(name) + 40)).first()[0] or 0
+    return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
+
+
 def _most_lines(lines: DataFrame, source: DataFrame, need: DataFrame) -> DataFrame:
     """block_id, path, hits: the file that has most lines of each block, the smaller path on a tie, if ``need`` (block_id, size, need) or more.
 
@@ -155,9 +164,10 @@ def _most_lines(lines: DataFrame, source: DataFrame, need: DataFrame) -> DataFra
     files are looked for by that many of the block's rarest lines, and counted on all its lines afterwards. Lines that
     most files have are thus no join key of the search, and nothing is left out.
     """
-    s = settled(source.select("path", F.col("bare").alias("k")).filter("k <> ''").distinct())
     b = lines.select("block_id", "number", F.col("bare").alias("k")).filter("k <> ''").join(need, "block_id")
-    often = s.join(b.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").alias("files"))
+    # lines that no block has are no hit of any, so they aren't dealt; they go where they are read if the blocks' lines are few enough to broadcast
+    s = settled(source.select("path", F.col("bare").alias("k")).filter("k <> ''").join(_few(b.select("k"), "k"), "k", "left_semi").select("path", "k").distinct())
+    often = s.groupBy("k").agg(F.count("*").alias("files"))
     rare = W.partitionBy("block_id").orderBy("files", "k", "number")
     probes = b.join(often, "k", "left").withColumn("files", F.coalesce("files", F.lit(0))).withColumn("place", F.row_number().over(rare))
     probes = probes.filter(F.col("place") <= F.col("size") - F.col("need") + 1).select("block_id", "k")
@@ -200,13 +210,19 @@ def match_blocks(blocks: DataFrame, files: DataFrame, least: float = 0.4) -> Dat
     first = settled(unique.select("block_id", "path", "how").unionByName(voted).unionByName(found))
     b, s = block_lines(blocks), source_lines(files)
     lines = b.select("block_id", "number", F.col("bare").alias("k")).filter("k <> ''").join(first, "block_id")
-    kept = lines.join(s.select("path", F.col("bare").alias("k")).distinct(), ["path", "k"], "left_semi").groupBy("block_id").agg(F.count("*").alias("hits"))
+    mine = source_lines(_chosen(files, first)).select("path", F.col("bare").alias("k"))
+    kept = lines.join(mine, ["path", "k"], "left_semi").groupBy("block_id").agg(F.count("*").alias("hits"))
     rates = first.join(b.groupBy("block_id").agg(F.count("*").alias("size")), "block_id").join(kept, "block_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     poor = rates.filter((F.col("size") >= 5) & (F.col("hits") < least * F.col("size"))).select("block_id", "size", (F.col("hits") + 1).alias("need"))
     better = _most_lines(b, s, settled(poor)).select("block_id", F.col("path").alias("_p"))
     return first.join(better, "block_id", "left").select("block_id", F.coalesce("_p", "path").alias("path"), F.when(F.col("_p").isNotNull(), "again").otherwise(F.col("how")).alias("how"))
 
 
+def _chosen(files: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The files that some block is held against; the others' lines are neither cut nor dealt."""
+    return files.join(_few(chosen.select("path"), "path"), "path", "left_semi")
+
+
 STAGES = (("exact", "spaced"), ("bare", "bare"), ("plain", "plain"), ("plain_bare", "plain_bare"))
 
 
@@ -217,7 +233,7 @@ def compare_lines(blocks: DataFrame, files: DataFrame, chosen: DataFrame) -> Dat
     line meet those of the file in one join, and the strictest hit stays.
     """
     lines = block_lines(blocks).join(chosen.select("block_id", "path"), "block_id")
-    source = source_lines(files)
+    source = source_lines(_chosen(files, chosen))
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("stage"), F.col(k).alias("k")) for i, (_, k) in enumerate(STAGES)])).alias("x")
     there = source.select("path", F.col("number").alias("source_number"), keys).select("path", "source_number", "x.*").filter("k <> ''")
     there = there.groupBy("path", "stage", "k").agg(F.min("source_number").alias("source_number"))
@@ -237,7 +253,7 @@ def coverage(blocks: DataFrame, files: DataFrame, chosen: DataFrame) -> DataFram
     With lines left out, those that aren't printed count as omitted on purpose, up to the lines in excess of print.
     """
     printed = block_lines(blocks)
-    source = source_lines(files).join(chosen.select("block_id", "path"), "path")
+    source = source_lines(_chosen(files, chosen)).join(chosen.select("block_id", "path"), "path")
     known = printed.select("block_id", F.explode(F.array("spaced", "bare", "plain", "plain_bare")).alias("k")).filter("k <> ''").distinct()
     keys = source.select("block_id", "number", F.explode(F.array("spaced", "bare", "plain", "plain_bare")).alias("k"))
     hit = keys.join(known, ["block_id", "k"]).select("block_id", "number").distinct().groupBy("block_id").agg(F.count("*").alias("covered"))

@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from galley.operators import news
+from galley.operators import listings, news
 from galley.plans import s15_more
 from galley.sources import archives
 
@@ -62,3 +62,25 @@ def test_readers_give_bounded_batches():
     assert [x for some in got for x in some] == [(i, k) for i, (_, n) in enumerate(sizes) for k in range(n)]
     assert [len(x) for x in got] == [4, archives.ROWS, archives.ROWS, 9, 1]
     assert ahead == 0  # no file is read before the rows of those in front are given
+
+
+def test_lines_of_no_block_are_not_kept(spark, monkeypatch):
+    sizes = []
+
+    def settled(df, real=listings.settled):
+        kept = real(df)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(listings, "settled", settled)
+    more = "\n".join(f"other line {k}" for k in range(300))
+    files = spark.createDataFrame([("d/a", "a", "one\ntwo\n" + more), ("d/b", "b", "one\nthree\nfour\n" + more)], "path string, filename string, content string")
+    blocks = spark.createDataFrame([("1", "x", 1, ["one", "three", "fourr"])], "block_id string, filename string, page int, lines array<string>")
+    for limit in (listings.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(listings, "BROADCAST_BYTES", limit)
+        chosen = listings.best_files(blocks, files)
+        assert [tuple(r) for r in chosen.collect()] == [("1", "d/b", 2)]
+        got = {r["number"]: r["stage"] for r in listings.compare_lines(blocks, files, chosen).collect()}
+        assert got == {0: "exact", 1: "exact", 2: "diff"}
+        assert listings.coverage(blocks, files, chosen).first()["covered"] == 2
+    assert max(sizes) < 10
