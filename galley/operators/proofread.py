@@ -110,14 +110,17 @@ def term_variants(pages: DataFrame, common: Sequence[str] = (), token: str = r"[
     least twice its uses.
     """
     words = pages.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("variant"))
-    words = words.withColumn("term", F.lower("variant"))
     if common:
-        words = words.filter(~F.col("term").isin(*common))
-    counts = words.groupBy("doc_id", "term", "variant").agg(F.count("*").alias("n"))
-    upper = F.substring("variant", 1, 1) != F.lower(F.substring("variant", 1, 1))
-    group = counts.groupBy("doc_id", "term").agg(F.sum("n").alias("total"), F.bool_or(upper).alias("up"), F.bool_or(~upper).alias("low"), F.min(F.struct((-F.col("n")).alias("less"), "variant")).alias("best"), F.collect_list(F.struct("variant", "n")).alias("all"))
-    # the spellings of one term in one document are few, so they come along in a list
-    group = group.filter(F.col("up") & F.col("low") & (F.col("total") >= least)).select("doc_id", "best", F.inline("all"))
+        words = words.filter(~F.lower("variant").isin(*common))
+    # a term follows from its spelling, so it needn't be dealt along with it
+    counts = words.groupBy("doc_id", "variant").agg(F.count("*").alias("n"))
+    # the spellings of one term in one document are few, so they come along in a list, from which all else follows
+    group = counts.groupBy("doc_id", F.lower("variant").alias("term")).agg(F.collect_list(F.struct("variant", "n")).alias("all")).filter(F.size("all") > 1)
+    upper = lambda x: F.substring(x["variant"], 1, 1) != F.lower(F.substring(x["variant"], 1, 1))
+    total = F.aggregate("all", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    group = group.filter(F.exists("all", upper) & F.exists("all", lambda x: ~upper(x)) & (total >= least))
+    best = F.array_min(F.transform("all", lambda x: F.named_struct(F.lit("less"), -x["n"], F.lit("variant"), x["variant"])))
+    group = group.select("doc_id", best.alias("best"), F.inline("all"))
     rows = group.filter((F.col("variant") != F.col("best.variant")) & (-F.col("best.less") >= 2 * F.col("n")))
     return rows.select("doc_id", "variant", "n", F.col("best.variant").alias("canonical"))
 

@@ -4,7 +4,7 @@ import datetime
 
 import duckdb
 
-from galley.operators import listings, news
+from galley.operators import listings, news, proofread
 from galley.plans import s15_more
 from galley.sources import archives
 
@@ -84,3 +84,12 @@ def test_lines_of_no_block_are_not_kept(spark, monkeypatch):
         assert got == {0: "exact", 1: "exact", 2: "diff"}
         assert listings.coverage(blocks, files, chosen).first()["covered"] == 2
     assert max(sizes) < 10
+
+
+def test_term_variants_deal_each_spelling_once(spark):
+    pages = spark.createDataFrame([(1, 1, "Spark Spark Spark spark SPARK And and"), (1, 2, "Spark data data"), (2, 1, "Data Data data data data data")], "doc_id long, page int, text string")
+    out = proofread.term_variants(pages, ("and",))
+    assert sorted(map(tuple, out.collect())) == [(1, "SPARK", 1, "Spark"), (1, "spark", 1, "Spark"), (2, "Data", 2, "data")]
+    # the list of spellings is all that is gathered of a term, which its spellings give anyway
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "bool_or" not in plan and "sum(" not in plan
