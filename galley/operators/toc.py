@@ -1,25 +1,29 @@
 """Tables of contents against the body: entries (doc_id, entry, title, level, page), pages (doc_id, page, printed, text).
 
 A title is looked for on the pages near its number, nearest first, then near the number plus the document's
-offset, then anywhere. The near searches are band joins by page number; entries that neither finds are looked
-for by the rarest grams of their rarest words.
+offset, then anywhere. A document's titles and pages meet once, in blocks, where each word is looked for once; of all
+pages that have a title the best one is kept.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galley.operators.snapshots import best_of
-from galley.session import settled
 
 BAND = 5
 
 
 def normal_title(text: Column) -> Column:
     """Lower case, letters of ASCII and Hangul and digits only, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9가-힣]+", " "), r" +", " "))
+    # the ranges between those of letters and digits: Java takes about seven times as long over [^a-z0-9가-힣]
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-/:-`{-\x{ABFF}\x{D7A4}-\x{10FFFF}]+", " "))
 
 
 def found_in(title: Column, page: Column) -> Column:
@@ -35,45 +39,102 @@ def found_in(title: Column, page: Column) -> Column:
     return (title != "") & (page != "") & (F.contains(page, title) | ((F.length(bare) >= 4) & F.contains(bare_page, bare)) | most)
 
 
-def _grams(text: Column, n: int) -> Column:
-    """All substrings of ``n`` characters of a text without line breaks, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=(.{{{n}}}))"), F.lit(1)))
+#: Pages, and titles, of a document that are held against each other at a time.
+BLOCK = 512
+#: Words that are looked up at a time.
+WORDS = 16_384
 
 
-#: Characters of a gram of the index; shorter words are grams themselves.
-GRAM = 3
+def _standing(wants: Sequence[str], norms: Sequence[str]) -> Iterator[tuple[int, Sequence[int]]]:
+    """The number of each title and of the pages on which it stands as :func:`found_in` says, if any.
 
+    A word is looked for once in all pages, however many titles have it. With two words or more, the other two ways to be
+    found need all of them, so the number of words that stand there decides.
+    """
+    import numpy as np
+
+    bare = [n.replace(" ", "") for n in norms]
+    text, starts = "\n".join(bare), list(accumulate((len(x) + 1 for x in bare[:-1]), initial=0))
+
+    def looked_up(words: dict[str, int]):
+        there = np.zeros((len(words), len(bare)), np.bool_)
+        for word, k in words.items():
+            at, held = text.find(word), []
+            while at >= 0:
+                page = bisect_right(starts, at) - 1
+                held.append(page)
+                at = text.find(word, starts[page + 1]) if page + 1 < len(starts) else -1
+            there[k, held] = True
+        return there
+
+    words: dict[str, int] = {}
+    asked: list[tuple[int, list[int]]] = []
+    for i, want in enumerate(wants):
+        spelt = [w for w in want.split(" ") if len(w) >= 2]
+        if len(spelt) >= 2:
+            asked.append((i, [words.setdefault(w, len(words)) for w in spelt]))
+        elif want:
+            whole = want.replace(" ", "")
+            pages = [k for k, n in enumerate(norms) if want in n or (len(whole) >= 4 and whole in bare[k])]
+            if pages:
+                yield i, pages
+        if asked and (len(words) >= WORDS or i + 1 == len(wants)):
+            there = looked_up(words)
+            for k, mine in asked:
+                hits = there[mine].sum(axis=0, dtype=np.int32)
+                pages = np.flatnonzero((hits >= 2) & (hits * 10 >= len(mine) * 6)).tolist()
+                if pages:
+                    yield k, pages
+            words, asked = {}, []
+
+
+def _met(entries: DataFrame, pages: DataFrame, choose: Callable, made: Mapping[str, str]) -> DataFrame:
+    """doc_id, entry and the columns ``made`` of titles (doc_id, entry, want, more) that stand on pages (doc_id, at, norm, more) of their document.
+
+    A document's titles and pages come in blocks of about ``BLOCK``, and each block of titles meets each of pages in one row,
+    so the texts are dealt once, not for each page that a title might be on. ``choose`` makes rows of ``made`` from a
+    title's columns and those of the pages of a block that have it.
+    """
+    import pyarrow as pa
+
+    of = {c: entries.schema[c].dataType.simpleString() for c in ("doc_id", "entry")}
+    parts = entries.groupBy("doc_id").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    # entries are dealt by hash, as their numbers may be any
+    asked = entries.join(parts, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("entry"), "parts").alias("part")).agg(F.collect_list(F.struct(*entries.columns[1:])).alias("titles"))
+    held = pages.groupBy("doc_id", F.floor(F.col("at") / BLOCK).alias("part")).agg(F.collect_list(F.struct(*pages.columns[1:])).alias("pages"))
+    both = asked.drop("part").join(held.drop("part"), "doc_id")
+
+    def columns(of_lists) -> list[dict[str, list]]:
+        flat = of_lists.flatten()
+        names = [f.name for f in flat.type]
+        all_of = {n: c if n == "entry" else c.to_pylist() for n, c in zip(names, flat.flatten(), strict=True)}
+        ends = list(accumulate(of_lists.value_lengths().to_pylist(), initial=0))
+        return [{n: c[a:b] for n, c in all_of.items()} for a, b in zip(ends, ends[1:], strict=False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                some = batch.slice(first, 64)
+                docs, found, rows = [], [], []
+                for i, (titles, there) in enumerate(zip(columns(some.column("titles")), columns(some.column("pages")), strict=True)):
+                    for k, places in _standing(titles["want"], there["norm"]):
+                        chosen = choose(titles, k, there, places)
+                        rows += chosen
+                        docs += [i] * len(chosen)
+                        found += [titles["entry"][k]] * len(chosen)
+                if rows:
+                    values = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(found, titles["entry"].type), *values], names=["doc_id", "entry", *made])
+
+    types = [{"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[t] for t in made.values()]
+    return both.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in (of | dict(made)).items()))
 
-def found_anywhere(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, entry, at of the pages (doc_id, at, norm) on which a title (doc_id, entry, want) stands as :func:`found_in` says.
 
-    An inverted index of grams. Whatever way a title is found, the page without its spaces holds either the title without
-    its own, or one of any m - h + 1 of its m longer words, as h of them are needed. So a title looks up the rarest of
-    its whole grams, and the rarest grams of as many of its rarest words, among the pages of its document; what
-    shares one of them is verified. Grams that no page has can't be met. A page gives a row for those grams only that
-    some title of its document asks for.
-    """
-    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    spelt = F.filter(F.split("want", " "), lambda w: F.length(w) >= 2)
-    need = F.greatest(F.lit(2), F.ceil(F.size("spelt") * 0.6 - 1e-9)).cast("int")
-    # word 0 is the whole title; a repeated word counts as often as it stands there
-    sought = F.concat(F.array(bare(F.col("want"))), F.when(F.size("spelt") >= 2, F.array_distinct("spelt")).otherwise(F.array().cast("array<string>")))
-    asked = entries.filter("want <> ''").withColumn("spelt", spelt).select("doc_id", "entry", "spelt", F.size("spelt").alias("m"), need.alias("h"), F.posexplode(sought).alias("k", "word"))
-    asked = asked.withColumn("times", F.when(F.col("k") > 0, F.size(F.filter("spelt", lambda w: w == F.col("word")))).otherwise(0)).drop("spelt")
-    grams = asked.withColumn("gram", F.explode(F.when(F.length("word") >= GRAM, _grams(F.col("word"), GRAM)).otherwise(F.array("word"))))
-    wanted = grams.groupBy("doc_id").agg(F.collect_set("gram").alias("wanted"))
-    on_page = F.array_union(F.array_union(_grams(bare(F.col("norm")), 1), _grams(bare(F.col("norm")), 2)), _grams(bare(F.col("norm")), GRAM))
-    index = settled(pages.filter("norm <> ''").join(wanted, "doc_id").select("doc_id", "at", F.explode(F.array_intersect("wanted", on_page)).alias("gram")))
-    often = index.groupBy("doc_id", "gram").agg(F.count("*").alias("pages"))
-    # the rarest gram of a word, and how many pages have it; none at all where a gram is absent
-    rarest = grams.join(often, ["doc_id", "gram"], "left").groupBy("doc_id", "entry", "m", "h", "k", "times").agg(F.min(F.struct(F.coalesce("pages", F.lit(0)).alias("pages"), "gram")).alias("r"))
-    rarest = rarest.select("doc_id", "entry", "m", "h", "k", "times", "r.pages", "r.gram")
-    before = F.sum("times").over(W.partitionBy("doc_id", "entry").orderBy(F.col("k") == 0, "pages", "gram", "k").rowsBetween(W.unboundedPreceding, -1))
-    # words in front whose number, as often as they stand there, reaches m - h + 1
-    probes = rarest.withColumn("before", F.coalesce(before, F.lit(0))).filter((F.col("k") == 0) | (F.col("before") < F.col("m") - F.col("h") + 1)).filter("pages > 0")
-    pairs = probes.select("doc_id", "entry", "gram").distinct().join(index, ["doc_id", "gram"]).select("doc_id", "entry", "at").distinct()
-    both = pairs.join(entries.select("doc_id", "entry", "want"), ["doc_id", "entry"]).join(pages.select("doc_id", "at", "norm"), ["doc_id", "at"])
-    return both.filter(found_in(F.col("want"), F.col("norm"))).select("doc_id", "entry", "at").distinct()
+def found_anywhere(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, entry, at of the pages (doc_id, at, norm) on which a title (doc_id, entry, want) stands as :func:`found_in` says."""
+    kind = pages.schema["at"].dataType.simpleString()
+    every = lambda titles, k, there, places: [(there["at"][p],) for p in places]
+    return _met(entries.select("doc_id", "entry", "want"), pages.select("doc_id", "at", "norm").filter("at is not null"), every, {"at": kind}).distinct()
 
 
 def page_offset(pages: DataFrame) -> DataFrame:
@@ -87,26 +148,26 @@ def compare(entries: DataFrame, pages: DataFrame, band: int = BAND) -> DataFrame
 
     Titles shorter than two characters are skipped. Equal distances prefer the later page.
     """
-    p = pages.join(page_offset(pages), "doc_id", "left").withColumn("offset", F.coalesce("offset", F.lit(0))).select("doc_id", F.col("page").alias("at"), "printed", "offset", normal_title(F.col("text")).alias("norm"))
+    long = lambda c: F.col(c).cast("long").alias(c)
+    p = pages.join(page_offset(pages), "doc_id", "left").select("doc_id", F.col("page").cast("long").alias("at"), long("printed"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"), normal_title(F.col("text")).alias("norm"))
     e = entries.filter(F.length("title") >= 2).withColumn("want", normal_title(F.col("title")))
-    numbered = e.filter("page is not null").select("doc_id", "entry", "page", "want")
-
-    def near(number: Column, stage: int, body: Column) -> DataFrame:
-        # a page serves the entries within the band: it is dealt to their numbers, and the join is by equality
-        dealt = p.filter(number.isNotNull()).withColumn("n", number).withColumn("body", body)
-        dealt = dealt.select("doc_id", "norm", "body", F.col("n").alias("number"), F.explode(F.sequence(F.col("n") - band, F.col("n") + band)).alias("page"))
-        hits = numbered.join(dealt, ["doc_id", "page"]).filter((F.col("body") >= 1) & found_in(F.col("want"), F.col("norm")))
-        return hits.select("doc_id", "entry", F.lit(stage).alias("stage"), F.abs(F.col("number") - F.col("page")).cast("long").alias("away"), (F.col("number") < F.col("page")).alias("before"), F.col("body").cast("long").alias("body_page"))
-
-    close = near(F.col("printed"), 1, F.col("printed")).unionByName(near(F.col("at") - F.col("offset"), 2, F.col("at") - F.col("offset")))
-    rest = numbered.join(close.select("doc_id", "entry").distinct(), ["doc_id", "entry"], "left_anti")
-    rest = settled(rest.select("doc_id", "entry", "want"))
-    # the first page that has it
-    far = found_anywhere(rest, p.select("doc_id", "at", "norm")).groupBy("doc_id", "entry").agg(F.min("at").alias("at"))
-    far = far.join(p.select("doc_id", "offset").distinct(), "doc_id")
-    number = F.when(F.col("at") - F.col("offset") >= 1, F.col("at") - F.col("offset")).otherwise(F.col("at"))
-    far = far.select("doc_id", "entry", F.lit(3).alias("stage"), F.col("at").cast("long").alias("away"), F.lit(False).alias("before"), number.cast("long").alias("body_page"))
-    hit = best_of(close.unionByName(far), ["doc_id", "entry"], [F.col("stage"), F.col("away"), F.col("before")], 1, "_n").select("doc_id", "entry", "body_page")
+
+    def nearest(titles: dict, k: int, there: dict, places: Sequence[int]) -> list[tuple]:
+        # stage 1 is by printed number, 2 by the page less the offset, 3 the first page that has the title
+        page, best = titles["page"][k], []
+        for at, printed, offset in ((there["at"][i], there["printed"][i], there["offset"][i]) for i in places):
+            if printed is not None and printed >= 1 and abs(printed - page) <= band:
+                best.append((1, abs(printed - page), printed < page, printed))
+            if at is not None:
+                number = at - offset
+                if number >= 1 and abs(number - page) <= band:
+                    best.append((2, abs(number - page), number < page, number))
+                best.append((3, at, False, number if number >= 1 else at))
+        return [min(best)] if best else []
+
+    made = {"stage": "int", "away": "bigint", "before": "boolean", "body_page": "bigint"}
+    hits = _met(e.filter("page is not null").select("doc_id", "entry", long("page"), "want"), p, nearest, made)
+    hit = hits.groupBy("doc_id", "entry").agg(F.min(F.struct(*made)).alias("hit")).select("doc_id", "entry", "hit.body_page")
     out = e.join(hit, ["doc_id", "entry"], "left").withColumn("difference", F.abs(F.col("page") - F.col("body_page")))
     status = F.when(F.col("page").isNull(), "no-page").when(F.col("body_page").isNull(), "missing").when(F.col("difference") == 0, "match").otherwise("page-mismatch")
     return out.select("doc_id", "entry", "title", "page", "body_page", "difference", status.alias("status"))
