@@ -12,9 +12,10 @@ from galley.session import table
 from galley.sources import feeds, functions, paged, sinks
 from galley.streaming import ingest, state
 
-#: Customers on a page of the service, and what its two keys may spend.
+#: Customers on a page of the service, and what its two keys may spend; the large one pays for a table of any size.
 ON_PAGE = 25
-KEYS = '{"small": 9, "large": 1000000}'
+KEYS = '{"small": 9, "large": 1000000000000}'
+SHELVES = "galley.sources.paged:PageShelves"
 
 
 def _pages(spark, sf_dir):
@@ -24,11 +25,6 @@ def _pages(spark, sf_dir):
     return c.select(F.col("c_mktsegment").alias("query"), token.alias("token"), F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))).alias("item"))
 
 
-def _serve(rows, path):
-    # all items of a page in one file
-    rows.repartition("query", "token").sortWithinPartitions("query", "token", "item").write.mode("append").partitionBy("query", "token").text(path)
-
-
 def _summed(rows):
     read = rows.filter("state = 'read'").withColumn("id", F.get_json_object("item", "$.id").cast("long"))
     return read.groupBy("query").agg(F.count("*").alias("items"), F.sum("id").alias("ids"), F.count_distinct("token").alias("pages"), F.count_if(F.col("key") == "small").alias("by_small"))
@@ -36,9 +32,9 @@ def _summed(rows):
 
 def _paged_service(spark, sf_dir):
     path = _folder(spark)
-    _serve(_pages(spark, sf_dir), path)
+    paged.write_shelves(_pages(spark, sf_dir), path)
     spark.dataSource.register(paged.PagedSource)
-    return _summed(spark.read.format("paged").options(path=path, keys=KEYS).load())
+    return _summed(spark.read.format("paged").options(path=path, keys=KEYS, transport=SHELVES).load())
 
 
 def _paged_stream(spark, sf_dir):
@@ -48,8 +44,8 @@ def _paged_stream(spark, sf_dir):
     rows = _pages(spark, sf_dir)
     middle = F.lit("00000003")
     for part in (rows.filter(F.col("token") < middle), rows.filter(F.col("token") >= middle)):
-        _serve(part, f"{path}/pages")
-        stream = spark.readStream.format("paged").options(path=f"{path}/pages", keys='{"k": 1000000}').load()
+        paged.write_shelves(part, f"{path}/pages")
+        stream = spark.readStream.format("paged").options(path=f"{path}/pages", keys='{"k": 1000000000000}', transport=SHELVES).load()
         stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return _summed(spark.read.parquet(f"{path}/out")).drop("by_small")
 
