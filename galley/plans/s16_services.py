@@ -135,11 +135,15 @@ def _gate(spark, sf_dir):
     """The sentences of the gate, one before each part's name: how many slips all rules together find, and how many clean ones they accuse."""
     rows = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(kind).alias("type"), F.lit(found).alias("found")) for t, kind, found in gate.SENTENCES])
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", F.element_at(rows, (F.col("p_partkey") % len(gate.SENTENCES) + 1).cast("int")).alias("s"))
+    # some hundreds of rules cost far more than reading a row, and a table of short rows is few splits of a file
+    p = p.repartition(SPREAD * spark.sparkContext.defaultParallelism, "doc_id")
     pages = p.select("doc_id", F.lit(1).alias("page"), F.concat_ws(" ", "s.text", "p_name").alias("text"))
     issues = proofread.scan(pages, rules.EVERY).select("doc_id", "type", "found").unionByName(proofread.repeated_words(pages).select("doc_id", "type", "found"))
     return proofread.confusion(p.select("doc_id", "s.type", "s.found"), issues)
 
 
+#: Tasks for each core where short rows cost much.
+SPREAD = 4
 #: Sightings within a week that make a rise.
 OFTEN = 20
 

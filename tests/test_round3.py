@@ -156,3 +156,11 @@ def test_keys_pay_for_all_pages_of_any_table():
     # a million units were fewer than the pages of customers at six GB
     pages = range(1_100_000)
     assert [p.key for p in paged.allotted(pages, json.loads(s16_services.KEYS), 1, 1_000_000)] == ["small", "large", "large"]
+
+
+def test_gate_is_dealt_over_tasks(spark, sf_dir):
+    plan = s16_services.QUERIES["s16_gate"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    n = s16_services.SPREAD * spark.sparkContext.defaultParallelism
+    # all rules ran where the file was read, in one task
+    scan = plan[plan.index("regexp_extract_all") :]
+    assert f", {n}), REPARTITION_BY_NUM" in scan
