@@ -72,8 +72,10 @@ def instruction_rows(turns: DataFrame, budget: int = chat.BUDGET, history: int =
                 masks = []
                 for text, loss in zip(some.column("text").to_pylist(), some.column("loss").to_pylist(), strict=True):
                     ids = np.frombuffer(encode(text), "<u4")
-                    masks.append(loss_flags(lengths, ids, text, [(s["start"], s["end"]) for s in loss]).tolist())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), pa.array(masks, pa.list_(pa.bool_()))], names=["doc_id", "text", "loss_mask"])
+                    masks.append(loss_flags(lengths, ids, text, [(s["start"], s["end"]) for s in loss]))
+                ends = np.cumsum([0, *map(len, masks)], dtype=np.int32)
+                flags = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(masks)))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text"), flags], names=["doc_id", "text", "loss_mask"])
 
     return made.select(name.alias("doc_id"), F.col("formatted").alias("text"), "loss").mapInArrow(run, "doc_id string, text string, loss_mask array<boolean>")
 

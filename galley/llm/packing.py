@@ -191,6 +191,15 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
         kind = pa.int64()
         row = 0
 
+        def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+            # a byte a flag, and some rows at a time: a list of a flag's objects takes eight
+            for first in range(0, batch.num_rows, 256):
+                some = batch.slice(first, 256)
+                held_flags = some.column("loss_mask") if masked else [None] * some.num_rows
+                for doc, text, row_flags in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), held_flags, strict=True):
+                    there = masked and row_flags.is_valid
+                    yield doc, text, row_flags.values.fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() if there else None
+
         def emit(placed: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             rows = []
             for key, start, size, sequence, at in placed:
@@ -217,11 +226,10 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
 
         for batch in batches:
             kind = batch.column("doc_id").type
-            masks = batch.column("loss_mask").to_pylist() if masked else None
-            for k, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            for doc, text, flags in read(batch):
                 ids = encode(text) + np.array([EOS], dtype="<u4").tobytes()
                 n = len(ids) // 4
-                mask = [bool(x) for x in masks[k]] if masks and masks[k] is not None and len(masks[k]) == n else None
+                mask = flags if flags is not None and len(flags) == n else None
                 held[row] = (doc, ids, 0, n, n, mask)
                 full = [] if mask is not None and loss_limit < max_tokens else list(range(0, n - max_tokens + 1, max_tokens))
                 if full:
@@ -236,8 +244,8 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_
                 while at < n:  # a piece's loss-bearing tokens must fit in an empty sequence
                     size = min(max_tokens, n - at)
                     if mask is not None or loss_limit < max_tokens:
-                        flags = np.cumsum(mask[at : at + size] if mask is not None else [True] * size)
-                        size = max(1, int(np.searchsorted(flags, loss_limit, side="right")))
+                        sums = np.cumsum(np.frombuffer(mask, np.uint8, size, at) if mask is not None else np.ones(size, np.uint8), dtype=np.int64)
+                        size = max(1, int(np.searchsorted(sums, loss_limit, side="right")))
                     pool.append((row, at, size, mask[at : at + size] if mask is not None else None))
                     at += size
                 row += 1

@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from galley.operators import listings, news, proofread, toc
@@ -174,3 +175,41 @@ def test_segments_gather_orders_once(spark, sf_dir):
     # one exchange by document serves all windows, in as many tasks as the rows need
     physical = made.executedPlan().toString()
     assert physical.count("Exchange") == 1 and "REPARTITION_BY_NUM" in physical
+
+
+def test_masks_of_a_pool_take_a_byte_a_flag(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+    from pyspark.sql import types as T
+
+    packing = pytest.importorskip("galley.llm.packing")
+
+    class Docs:
+        columns = ["doc_id", "text", "loss_mask"]
+        schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("loss_mask", T.ArrayType(T.BooleanType()))])
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    class Task:
+        def partitionId(self):  # noqa: N802
+            return 0
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", lambda: Task())
+    text = "the cat sat on the mat and " * 100
+    n = len(packing.tokens.encoder(packing.tokens.TOKENIZER, packing.tokens.RANKS)(text)) // 4 + 1
+    flags = [i % 3 == 0 for i in range(n)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3_000)), pa.array([text] * 3_000), pa.array([flags, None, flags[1:]] * 1_000, pa.list_(pa.bool_()))], names=Docs.columns)
+    run = packing.pack(Docs(), 2048, 8, 768, cut=False)
+    tracemalloc.start()
+    out = [b for b in run(iter([rows]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [r for b in out for r in b.drop_columns("ids").to_pylist()]
+    assert {r["doc_id"]: sum(x["loss_tokens"] for x in got if x["doc_id"] == r["doc_id"]) for r in got[:30]} == {r["doc_id"]: sum(flags) if r["doc_id"] % 3 == 0 else n for r in got[:30]}
+    assert peak < 3_000 * n * 12
