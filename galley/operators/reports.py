@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def metadata(reports: DataFrame) -> DataFrame:
-    """Reports (filename, content) with title, date and summary, the newest file name first.
+def metadata(reports: DataFrame, ordered: bool = True) -> DataFrame:
+    """Reports (filename, content) with title, date and summary, the newest file name first if ``ordered``.
 
     title: the first level-one heading, else the file name. date: of the file name, else the first in the text.
     summary: the first quoted line, else the first plain line, cut to 200 characters.
@@ -20,7 +20,7 @@ def metadata(reports: DataFrame) -> DataFrame:
     digits = F.regexp_extract("filename", r"^(\d{8})", 1)
     date = F.coalesce(F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd"), F.try_to_date(F.nullif(F.regexp_extract("content", r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd"))
     rows = reports.select("filename", F.coalesce(title, F.regexp_replace("filename", r"\.md$", "")).alias("title"), date.alias("date"), F.substring(F.coalesce(quoted, plain), 1, 200).alias("summary"), "content")
-    return rows.orderBy(F.desc("filename"))
+    return rows.orderBy(F.desc("filename")) if ordered else rows
 
 
 def section(content: Column, heading: str) -> Column:

@@ -8,7 +8,7 @@ from galley.functions import rules
 from galley.operators import classify, proofread, reports
 from galley.plans import gate, s2_news, s3_authors, s7_texts, s14_sources
 from galley.plans.s14_sources import _folder, _made, _parts, _sheet
-from galley.session import table
+from galley.session import settled, table
 from galley.sources import feeds, functions, paged, sinks
 from galley.streaming import ingest, state
 
@@ -78,7 +78,9 @@ def _report_files(spark, sf_dir):
     """The texts of documents as Markdown files in a folder: an index with title, date and summary of each, by what stands in them."""
     path = _folder(spark)
     sinks.write_files(s7_texts.report_texts(spark, sf_dir), path)
-    return sinks.report_index(reports.metadata(feeds.markdown(spark, path))).select("id", "filename", "title", "date", "summary")
+    # kept before they are sorted, as a sort reads its input once for the ranges and once for the rows
+    known = settled(reports.metadata(feeds.markdown(spark, path), ordered=False).select("filename", "title", "date", "summary"))
+    return sinks.report_index(known).select("id", "filename", "title", "date", "summary")
 
 
 def _author_files(spark, sf_dir):

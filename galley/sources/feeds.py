@@ -150,9 +150,14 @@ def source_files(spark: SparkSession, path: str, endings: tuple[str, ...] = (".p
     return sources_among(rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), endings)
 
 
+#: Tasks for each core that read files.
+SPLITS = 16
+
+
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """filename, content of the Markdown files in a folder."""
-    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    # Spark puts some thirty small files in a split; a task takes many splits, one after the other
+    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).coalesce(SPLITS * spark.sparkContext.defaultParallelism)
     return rows.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
 
 

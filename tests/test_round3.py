@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from galley.operators import listings, news, proofread, toc
 from galley.plans import s15_more, s16_services
-from galley.sources import archives, paged
+from galley.sources import archives, feeds, paged
 
 
 def _same(df, sql, **tables):
@@ -213,3 +213,17 @@ def test_masks_of_a_pool_take_a_byte_a_flag(monkeypatch):
     got = [r for b in out for r in b.drop_columns("ids").to_pylist()]
     assert {r["doc_id"]: sum(x["loss_tokens"] for x in got if x["doc_id"] == r["doc_id"]) for r in got[:30]} == {r["doc_id"]: sum(flags) if r["doc_id"] % 3 == 0 else n for r in got[:30]}
     assert peak < 3_000 * n * 12
+
+
+def test_small_files_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"r{i}.md").write_text(f"# t{i}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        rows = feeds.markdown(spark, str(tmp_path))
+        # a file was a split, and each split a task
+        assert rows.rdd.getNumPartitions() <= feeds.SPLITS * spark.sparkContext.defaultParallelism < 300
+        assert sorted(map(tuple, rows.collect())) == sorted((f"r{i}.md", f"# t{i}\n") for i in range(300))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
