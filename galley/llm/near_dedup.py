@@ -14,7 +14,8 @@ What keeps it bounded:
 * Only a small bucket yields all its pairs. Members are first compared with one leader, then, where the
   bucket still holds several components, with a few, of its largest component if that has so many. Only
   components matter, so a bucket inside one component is done, as is one whose leaders have been all its
-  members but one. The first rounds compare a member with a few leaders only, whatever the number of its buckets. Alike texts
+  members but one. The first rounds compare a member with a few leaders only, whatever the number of its buckets, and
+  choose them from lists, so that no row is made for each leader of each bucket. Alike texts
   meet in many buckets, so what is left of buckets that share members becomes one bucket, where that leaves fewer rows to
   deal. It is compared in blocks of at most about ``BLOCK`` members, components
   against each other, by an exact count of common shingles in each pair of blocks. Nothing is capped.
@@ -404,16 +405,11 @@ def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, n_alive: int, p
             rank = [F.col("label") != F.col("main"), F.xxhash64("rep", F.lit(step))] if step else []
             first = F.row_number().over(W.partitionBy("key").orderBy(*rank, "rep"))
             led = here if few else here.filter(F.col("size") <= leaders + 1)
-            lead = led.withColumn("_r", first).filter(F.col("_r") <= leaders).select("key", F.col("rep").alias("u"), F.col("label").alias("u_label"), F.col("n").alias("u_n"))
+            lead = led.withColumn("_r", first).filter(F.col("_r") <= leaders).groupBy("key").agg(F.collect_list(F.struct("rep", "n", "label")).alias("leaders"))
             lead = scratch.write(lead)
-            near = led.join(small_broadcast(lead, n_mixed * leaders, 48), "key").filter("label <> u_label").filter(100 * F.least("n", "u_n") >= percent * F.greatest("n", "u_n"))
-            pairs = near.select("u", F.col("rep").alias("v")).distinct()
+            pairs = _led(led, small_broadcast(lead, n_mixed, 24 + 32 * leaders), few, step, percent)
             if few is None:
                 done = leaders + 1
-            else:  # a few leaders a member join most groups
-                order = W.partitionBy("v").orderBy(*([F.xxhash64("u", F.lit(step))] if step else []), "u")
-                pairs = pairs.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= few)
-            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
             links = scratch.write(confirm(pairs, sets, percent))
         else:
             links = scratch.write(_blocks(*_merged(here.drop("main", "size"), mixed, scratch), sets, percent))
@@ -427,6 +423,22 @@ def _link(buckets: DataFrame, sets: DataFrame, alive: DataFrame, n_alive: int, p
     return labels
 
 
+def _led(members: DataFrame, lead: DataFrame, few: int | None, step: int, percent: int) -> DataFrame:
+    """Pairs (u < v) of ``members`` (key, rep, n, label) and ``lead`` (key, leaders), for each member ``few`` of all its leaders.
+
+    A leader is of another component and of a fitting size. A bucket's leaders are one list, and a member's lists
+    become one before any is dealt out, so there are never more rows than members of buckets, or than pairs to compare.
+    """
+    fits = lambda x: (x["label"] != F.col("label")) & (100 * F.least("n", x["n"]) >= percent * F.greatest("n", x["n"]))
+    met = members.join(lead, "key").select(F.col("rep").alias("v"), F.transform(F.filter("leaders", fits), lambda x: x["rep"]).alias("us"))
+    met = met.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("us"))).alias("us"))
+    if few is not None:  # a few leaders a member join most groups
+        order = lambda u: F.struct((F.xxhash64(u, F.lit(step)) if step else F.lit(0)).alias("_k"), u.alias("u"))
+        met = met.select("v", F.slice(F.array_sort(F.transform("us", order)), 1, few)["u"].alias("us"))
+    pairs = met.select("v", F.explode("us").alias("u"))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def deduplicate(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest doc_id, nulls last.
 

@@ -143,3 +143,55 @@ def test_buckets_that_share_members_are_one_where_that_is_less(spark):
     assert {r.key for r in left.collect()} == set(got)
     assert left.filter("n_main + n_rest = 100").count() == 1
     assert rows.groupBy("key").agg(F.count_distinct("rep").alias("n")).join(left, "key").filter("n <> n_main + n_rest").count() == 0
+
+
+def join_rows(spark, since):
+    """Rows that each join has made in the executions of SQL from number ``since`` on, and the number of the next."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    executions, made = store.executionsList(), []
+    numbers = [executions.apply(i).executionId() for i in range(executions.size())]
+    for number in (x for x in numbers if x >= since):
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(i) for i in range(metrics.size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return made, max(numbers, default=-1) + 1
+
+
+def test_leaders_make_no_more_rows_than_buckets_have_members(docs, spark, monkeypatch):
+    """A cloud of texts just under the threshold shares many buckets, and each of them has several leaders."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for at in rng.sample(range(100), 3):
+            text[at] = f"v{i} {at}"
+        rows.append((i, " ".join(text)))
+    members, buckets = [], nd._distinct_buckets
+    monkeypatch.setattr(nd, "_distinct_buckets", lambda met, scratch: members.append(met.count()) or buckets(met, scratch))
+    _, since = join_rows(spark, 0)
+    check(docs, rows, 5, 80)
+    made, _ = join_rows(spark, since)
+    assert len(made) > 10
+    assert max(made) <= max(members)
+
+
+def test_a_member_takes_the_same_few_of_all_its_leaders(spark):
+    """Against every leader of every bucket as a row of its own."""
+    rng = random.Random(9)
+    members = [(k, r, 10 + r % 5, r % 7) for k in range(12) for r in rng.sample(range(40), 15)]
+    table = spark.createDataFrame(members, "key long, rep long, n long, label long")
+    leaders = {k: [m for m in members if m[0] == k][:4] for k in range(12)}
+    lead = spark.createDataFrame([(k, [m[1:] for m in of]) for k, of in leaders.items()], "key long, leaders array<struct<rep: long, n: long, label: long>>")
+    hashes = {r.u: r.h for r in spark.sql("SELECT id AS u, xxhash64(id, 1) AS h FROM range(40)").collect()}
+    met = {}
+    for k, r, n, label in members:
+        met.setdefault(r, set()).update(u for _, u, m, other in leaders[k] if other != label and 100 * min(n, m) >= 80 * max(n, m))
+    for few, step in ((1, 0), (4, 1), (None, 2)):
+        order = (lambda u: (hashes[u], u)) if step else (lambda u: u)
+        want = {(min(u, v), max(u, v)) for v, us in met.items() for u in sorted(us, key=order)[:few]}
+        got = [(r.u, r.v) for r in nd._led(table, lead, few, step, 80).collect()]
+        assert sorted(got) == sorted(want)
