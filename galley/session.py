@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +51,10 @@ def settled(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables in ``sf_dir``, which may be any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def local_path(path: str) -> str | None:
+    """A path without its ``file:``, or None if it names another file system."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) is None:
+        return path
+    return re.sub("^file:(?://)?", "", path) if path.startswith("file:") else None

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.operators.listings import excluded
+from galley.session import local_path
 
 PER_FEED = 30
 SUMMARY = 300
@@ -150,15 +154,67 @@ def source_files(spark: SparkSession, path: str, endings: tuple[str, ...] = (".p
     return sources_among(rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")), endings)
 
 
-#: Tasks for each core that read files.
-SPLITS = 16
+#: Tasks for each core that read files, and about how many bytes of texts one holds at once.
+SPLITS, READ_BYTES = 16, 1 << 22
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """filename, content of the Markdown files in a folder."""
-    # Spark puts some thirty small files in a split; a task takes many splits, one after the other
-    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True).coalesce(SPLITS * spark.sparkContext.defaultParallelism)
-    return rows.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
+    """filename, content of the Markdown files under a folder, but for folders whose names begin with a dot; empty files have ''.
+
+    A task lists what lies in the folder and in its folders, and others list and read what is below, so that the driver holds no
+    names; it needs a file system that all share. Under a path of another kind Spark lists the files on the driver, without empty ones and hidden ones.
+    """
+    import pyarrow as pa
+
+    tasks = SPLITS * spark.sparkContext.defaultParallelism
+    folder = local_path(path)
+    if folder is None:
+        # Spark puts some thirty small files in a split; a task takes many splits, one after the other
+        rows = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(path, wholetext=True).coalesce(tasks)
+        return rows.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("content"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = (p for batch in batches for _ in range(batch.num_rows) for p in _two_levels(folder))
+        while paths := list(islice(below, 1024)):
+            yield pa.record_batch({"path": pa.array(paths, pa.string())})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, size = [], [], 0
+        full = lambda: pa.record_batch({"filename": pa.array(names, pa.string()), "content": pa.array(texts, pa.binary())})
+        for batch in batches:
+            for file in (f for p in batch.column(0) for f in _markdown_under(p.as_py())):
+                with open(file, "rb") as opened:
+                    texts.append(opened.read())
+                names.append(os.path.basename(file))
+                size += len(texts[-1]) + len(names[-1])
+                if size >= READ_BYTES:
+                    yield full()
+                    names, texts, size = [], [], 0
+        yield full()
+
+    paths = spark.range(0, 1, 1, 1).mapInArrow(listed, "path string").repartition(tasks, "path")
+    return paths.mapInArrow(read, "filename string, content binary").select("filename", F.col("content").cast("string").alias("content"))
+
+
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """The Markdown files of a folder, and its folders whose names don't begin with a dot."""
+    with os.scandir(folder) as entries:
+        yield from (e for e in entries if (not e.name.startswith(".") if e.is_dir() else e.name.endswith(".md")))
+
+
+def _two_levels(folder: str) -> Iterator[str]:
+    """The Markdown files of a folder, and what lies in its folders."""
+    for e in _entries(folder):
+        yield from (b.path for b in _entries(e.path)) if e.is_dir() else (e.path,)
+
+
+def _markdown_under(path: str) -> Iterator[str]:
+    """A file itself, or the Markdown files at any depth under a folder."""
+    if not os.path.isdir(path):
+        yield path
+        return
+    for e in _entries(path):
+        yield from _markdown_under(e.path)
 
 
 def tolerant_json(raw: str | None) -> str | None:
