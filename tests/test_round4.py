@@ -55,3 +55,11 @@ def test_a_failed_write_leaves_no_files(spark, tmp_path):
     with pytest.raises(Exception, match="not a file name"):
         sinks.write_files(spark.createDataFrame([("a.md", "x"), ("b/c.md", "x")], "filename string, content string").coalesce(1), path)
     assert os.listdir(path) == []
+
+
+def test_the_driver_lists_no_files(spark, tmp_path):
+    path = f"{tmp_path}/files"
+    sinks.write_files(spark.range(600).selectExpr("concat('r', id, '.md') AS filename", "'x' AS content"), path)
+    rows = feeds.markdown(spark, path)
+    # a scan of text files has all their names on the driver
+    assert rows.inputFiles() == [] and rows.count() == 600
