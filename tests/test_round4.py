@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from galley.plans import s2_news, s7_texts, s16_services
+from galley.plans import s2_news, s16_services
 from galley.sources import feeds, sinks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,3 +63,17 @@ def test_the_driver_lists_no_files(spark, tmp_path):
     rows = feeds.markdown(spark, path)
     # a scan of text files has all their names on the driver
     assert rows.inputFiles() == [] and rows.count() == 600
+
+
+def test_newest_articles_that_tie(spark, tmp_path):
+    day = dt.datetime(2024, 1, 30, 12)
+    rows = [(i * 3001, day, i, "purchase", 1.0, '{"k": 1}') for i in range(60)] + [(i * 3001 + 1, day, i, "view", 1.0, None) for i in range(5)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in s2_news.QUERIES["s2_newest"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    sql = s2_news.ORACLES["s2_newest"]
+    # which of the sixty the SQL takes is open; the query takes those with the smallest event_id
+    assert [r[1:] for r in got] == [r[1:] for r in con.execute(sql).fetchall()]
+    assert got == con.execute(sql.replace("date DESC, link LIMIT", "date DESC, link, event_id LIMIT")).fetchall()
+    assert [r[0] for r in got] == [i * 3001 for i in range(20)]
